@@ -1,6 +1,9 @@
 """Queries of this subpackage and their SQL; __spark_entry__ adds them if the subpackage is there."""
 
-from framequill.llm import exact_dedup
+from framequill.llm import exact_dedup, mixing
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_entropy_mix": mixing.op3_entropy_mix,
+}
 SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
