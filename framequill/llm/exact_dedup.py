@@ -75,6 +75,9 @@ def run_stream(spark: SparkSession, folder: str, schema, max_bytes: int, max_fil
     conf = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     }
     before = {k: spark.conf.get(k, None) for k in conf}
     state = f"{shared_dir(spark)}/state"
