@@ -49,3 +49,19 @@ def spool(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(module: str) -> None:
+    """Send a module's functions to executors by value, so that they need no copy of the package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def small_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+    """Bound what one Arrow batch to a Python worker may hold, whatever the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
