@@ -1,9 +1,14 @@
 """Queries of this subpackage and their SQL; __spark_entry__ adds them if the subpackage is there."""
 
-from framequill.llm import exact_dedup, mixing
+from framequill.llm import exact_dedup, mixing, near_dedup, syncmers
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_entropy_mix": mixing.op3_entropy_mix,
+    "op4_closed_syncmers": syncmers.op4_closed_syncmers,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+}
+SQL = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op10_minhash_near_dedup": near_dedup.OP10_SQL,
 }
-SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
