@@ -1,11 +1,13 @@
 """Queries of this subpackage and their SQL; __spark_entry__ adds them if the subpackage is there."""
 
-from framequill.llm import exact_dedup, mixing, near_dedup, syncmers
+from framequill.llm import exact_dedup, language_id, mixing, near_dedup, packing, syncmers
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_entropy_mix": mixing.op3_entropy_mix,
     "op4_closed_syncmers": syncmers.op4_closed_syncmers,
+    "op9_language_id": language_id.op9_language_id,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 SQL = {
