@@ -1,16 +1,21 @@
 """Queries of this subpackage and their SQL; __spark_entry__ adds them if the subpackage is there."""
 
-from framequill.llm import exact_dedup, language_id, mixing, near_dedup, packing, syncmers
+from framequill.llm import exact_dedup, language_id, mixing, near_dedup, ngram_lm, packing, quality, substring_dedup, syncmers, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_entropy_mix": mixing.op3_entropy_mix,
     "op4_closed_syncmers": syncmers.op4_closed_syncmers,
+    "op5_warc_fixity": warc.op5_warc_fixity,
+    "op6_bloom_lm": ngram_lm.op6_bloom_lm,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_ordinal_quality": quality.op8_ordinal_quality,
     "op9_language_id": language_id.op9_language_id,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op5_warc_fixity": warc.OP5_SQL,
     "op10_minhash_near_dedup": near_dedup.OP10_SQL,
 }
