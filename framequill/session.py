@@ -60,7 +60,7 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def small_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Bound what one Arrow batch to a Python worker may hold, whatever the length of texts."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) > most:
