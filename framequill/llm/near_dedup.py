@@ -1,25 +1,30 @@
 """Near-duplicate components by banded MinHash, sequential Bayesian pruning and exact verification.
 
-1. Each document's set of five-word shingles gets a digest and a signature of 128 minima. Documents with equal
+1. Each document's set of five-word shingles gets a digest and a signature of minima. Documents with equal
    sets form a class, and one signature of each class goes on, so copies never meet each other again.
 2. Signatures are cut into 32 bands of 4. Two sets with similarity 0.75 share no band with a probability of 5e-6.
-3. Members of a bucket are paired with one leader. A pair's signatures are compared 32 minima at a
-   time; it is dropped as soon as the posterior probability of reaching the threshold falls below ``miss``. The rest are
-   verified on their whole sets, computed anew from the texts.
-4. Links give components. Where a bucket still holds more than one, other leaders follow, and as soon as the pairs
-   across components that are left are few against the bucket table, all those not yet compared are. Pairs within a component
-   need no look, so no link between components that share a bucket is lost and no group is expanded into all its pairs.
+   Buckets with the same members count once.
+3. Within a bucket, signatures are compared 32 minima at a time; a pair is dropped as soon as the posterior probability of
+   reaching the threshold falls below ``miss``. What survives joins documents into families.
+4. Within a family, pairs that survive the same pruning on twice as many minima are verified on the whole sets,
+   computed anew from the texts. Verified links give the components.
+
+Both searches walk breadth first from found to not yet found members, so a pair whose ends are already connected is never
+looked at and each member is reported once, by one link; no group is written out as its pairs. A group larger than
+``BLOCK`` is dealt into blocks that each get the group's leader too; only members that do not end up with the leader are then
+compared with all blocks. That keeps every link between texts that share a band, and a group of copies linear.
 
 Defined results
     null and wordless text: an empty set, linked with nothing; fewer than five words: one shingle of them all; rows without
     identifier take their class's component and are kept only if that has no identifier either; rows that repeat an
-    identifier count as one document; an empty table gives an empty result; further columns are ignored.
+    identifier count as one document, and of several texts one is compared; an empty table gives an empty result; further
+    columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,9 @@ from framequill.session import load, ship, small_batches, spool
 ship(__name__)
 
 WIDTH = 5
-HASHES, ROWS = 128, 4
+HASHES, ROWS, STEP = 128, 4, 32
+#: Members of a group that are compared in one task.
+BLOCK = 1024
 #: A side with at most so many 8-byte keys (about 4 MB as a relation) is broadcast; beyond, both sides are shuffled.
 BROADCAST_KEYS = 100_000
 
@@ -58,27 +65,22 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def parameters() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(7501).integers(1, 1 << 63, (2, HASHES), dtype=np.uint64)
-    return draw[0] * np.uint64(2) + np.uint64(1), draw[1]
-
-
-def signature(own: np.ndarray) -> np.ndarray:
-    scale, shift = parameters_cached()
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), 512):
-        part = own[at : at + 512, None] * scale
-        part += shift
-        np.minimum(least, part.min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    draw = np.random.default_rng(7501).integers(0, 1 << 32, (2, 2 * HASHES), dtype=np.uint64).astype(np.uint32)
+    return draw[0] | np.uint32(1), draw[1]
 
 
-_PARAMETERS: list = []
+SCALE, SHIFT = parameters()
 
 
-def parameters_cached():
-    if not _PARAMETERS:
-        _PARAMETERS.append(parameters())
-    return _PARAMETERS[0]
+def signature(own: np.ndarray, hashes: int) -> np.ndarray:
+    """The least value of the set under each of so many linear maps of its hashes' upper halves."""
+    half = (own >> np.uint64(32)).astype(np.uint32)
+    least = np.full(hashes, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(half), 512):
+        part = half[at : at + 512, None] * SCALE[:hashes]
+        part += SHIFT[:hashes]
+        np.minimum(least, part.min(axis=0), out=least)
+    return least
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +91,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in shingle_sets(batch.column(1)):
             sizes.append(len(own))
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-            signatures.append(signature(own).tobytes() if len(own) else None)
+            signatures.append(signature(own, HASHES).tobytes() if len(own) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
             ["id", "n", "digest", "sig"])
@@ -110,10 +112,10 @@ def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(mix(keys).ravel().view(np.int64)), pa.array(np.repeat(np.asarray(batch.column(0)), bands))], ["key", "rep"])
 
 
-def cutoffs(threshold: float, miss: float, step: int) -> list[tuple[int, int]]:
+def cutoffs(hashes: int, threshold: float, miss: float) -> list[tuple[int, int]]:
     """(n, least matches of n with which a pair goes on): with fewer, P(similarity >= threshold) < miss under a uniform prior."""
     found = []
-    for n in range(step, HASHES + 1, step):
+    for n in range(STEP, hashes + 1, STEP):
         below, m = 0.0, 0
         while m <= n:
             below += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
@@ -124,113 +126,153 @@ def cutoffs(threshold: float, miss: float, step: int) -> list[tuple[int, int]]:
     return found
 
 
-def pruner(threshold: float, miss: float, step: int):
-    rules = cutoffs(threshold, miss, step)
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = signature_matrix(batch.column(2)), signature_matrix(batch.column(3))
-            alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
-            for n, least in rules:
-                matches = matches + (left[alive, n - step : n] == right[alive, n - step : n]).sum(axis=1)
-                go = matches >= least
-                alive, matches = alive[go], matches[go]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive))], ["a", "b"])
-
-    return prune
-
-
-def verifier(percent: int):
-    """Rows sorted by (hub, part, role, node): a hub's text (role 0), then those to be compared with it."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, base = None, None
-        for batch in slices(batches, "text"):
-            found: tuple[list, list] = ([], [])
-            for h, role, node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(3))):
-                if role == 0:
-                    hub, base = h, own
-                elif hub == h and len(own) and len(base):
-                    short, long_ = (own, base) if len(own) < len(base) else (base, own)
-                    if 100 * len(short) >= percent * len(long_):
-                        at = np.searchsorted(long_, short)
-                        shared = int((long_[np.minimum(at, len(long_) - 1)] == short).sum())
-                        if 100 * shared >= percent * (len(own) + len(base) - shared):
-                            found[0].append(h)
-                            found[1].append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
-
-    return verify
-
-
-def matching(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def alike(one: np.ndarray, others: np.ndarray, rules: list[tuple[int, int]]) -> np.ndarray:
+    """Numbers of the rows of ``others`` whose comparison with ``one`` is not broken off."""
+    alive, matches = np.arange(len(others)), np.zeros(len(others), np.int64)
+    for n, least in rules:
+        matches = matches + (others[alive, n - STEP : n] == one[n - STEP : n]).sum(axis=1)
+        go = matches >= least
+        alive, matches = alive[go], matches[go]
+        if not len(alive):
+            break
+    return alive
+
+
+def spanned(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links (found, newly found) of a breadth-first walk; ``near(i, rest)`` tells which of ``rest`` link with i."""
+    rest = np.arange(n)
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            hit = near(i, rest)
+            for j in rest[hit].tolist():
+                yield i, j
+                queue.append(j)
+            rest = np.delete(rest, hit)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[list, list]]:
+    """(nodes, payloads) of each group of rows (g, block, node, payload) sorted by g and block; repeated nodes count once."""
+    now, nodes, held = None, [], []
+    for batch in batches:
+        for g, block, node, value in zip(*(batch.column(j).to_pylist() for j in range(3)), read(batch.column(3))):
+            if (g, block) != now:
+                if len(nodes) > 1:
+                    yield nodes, held
+                now, nodes, held = (g, block), [], []
+            if not nodes or nodes[-1] != node:
+                nodes.append(node)
+                held.append(value)
+    if len(nodes) > 1:
+        yield nodes, held
+
+
+def edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+
+def by_signature(threshold: float, miss: float):
+    rules = cutoffs(HASHES, threshold, miss)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, held in grouped(batches, lambda column: column.to_pylist()):
+            table = np.frombuffer(b"".join(held), np.uint32).reshape(len(held), HASHES)
+            yield edges([(nodes[i], nodes[j]) for i, j in spanned(len(nodes), lambda i, rest: alike(table[i], table[rest], rules))])
+
+    return run
+
+
+def by_set(percent: int, miss: float):
+    rules = cutoffs(2 * HASHES, percent / 100, miss)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, sets in grouped(slices(batches, "payload"), shingle_sets):
+            table = np.stack([signature(own, 2 * HASHES) for own in sets])
+            sizes = np.array([len(own) for own in sets])
+
+            def near(i: int, rest: np.ndarray) -> np.ndarray:
+                fits = np.flatnonzero(100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
+                fits = fits[alike(table[i], table[rest[fits]], rules)] if sizes[i] else fits[:0]
+                if not len(fits):
+                    return fits
+                parts = [sets[j] for j in rest[fits].tolist()]
+                joined, base = np.concatenate(parts), sets[i]
+                hit = base[np.minimum(np.searchsorted(base, joined), len(base) - 1)] == joined
+                lengths = sizes[rest[fits]]
+                shared = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+                return fits[100 * shared >= percent * (lengths + sizes[i] - shared)]
+
+            yield edges([(nodes[i], nodes[j]) for i, j in spanned(len(nodes), near)])
+
+    return run
+
+
+def matching(rows: DataFrame, keys: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
     """Join with a spooled slim table, broadcast only if it has at most BROADCAST_KEYS rows."""
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, chunk: int = 48) -> DataFrame:
-    """The pairs (a, b) whose texts' sets reach the threshold; ``docs`` is (id, text)."""
-    pairs = spool(pairs, "survivors")
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    asks = pairs.join(counts, "a").select(F.col("a").alias("hub"), F.col("b").alias("node"),
-                                          F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / chunk)).cast("long").alias("part"))
-    asks = spool(asks.select("hub", "part", F.lit(1).alias("role"), "node").unionByName(
-        asks.select("hub", "part").distinct().select("hub", "part", F.lit(0).alias("role"), F.col("hub").alias("node"))), "asks")
-    texts = matching(docs.withColumnRenamed("id", "node"), asks, "node")
-    rows = texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "node").select("hub", "role", "node", "text")
-    return spool(rows.mapInArrow(verifier(percent), "a long, b long").distinct(), "links")
+def linked(groups: DataFrame, attach: Callable[[DataFrame], DataFrame], kernel, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect the members of each group (g, node) as far as ``kernel`` finds them alike.
+
+    ``attach`` adds what the kernel compares as ``payload`` to rows (g, block, node).
+    """
+    def search(rows: DataFrame) -> DataFrame:
+        rows = attach(rows).select("g", "block", "node", "payload")
+        return spool(rows.repartition("g", "block").sortWithinPartitions("g", "block", "node").mapInArrow(kernel, "a long, b long"), "links")
+
+    def part(of):
+        return F.pmod(F.xxhash64("node"), of)
+
+    sizes = spool(groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
+                  .withColumn("blocks", F.ceil(F.col("n") / block)), "sizes")
+    large = sizes.where("blocks > 1")
+    leads = large.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("node"))
+    found = search(groups.join(sizes, "g").select("g", part(F.col("blocks")).alias("block"), "node").unionByName(leads))
+    if large.isEmpty():
+        return found
+    # Members of large groups that are not with their leader yet meet every block of their group.
+    labels = components(found)
+    held = groups.join(large, "g").join(labels, "node", "left").select("g", "node", "lead", "blocks", F.coalesce("component", "node").alias("component"))
+    lead_at = held.where("node = lead").select("g", F.col("component").alias("lead_component"))
+    held = spool(held.join(lead_at, "g").select("g", "node", "blocks", (F.col("component") != F.col("lead_component")).alias("apart")), "apart")
+    shares = held.where("apart").groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("shares"))
+    if shares.isEmpty():
+        return found
+    held = held.join(shares, "g")
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = held.where("apart").withColumn("u", part(F.col("shares"))).withColumn("m", to("blocks"))
+    all_ = held.withColumn("m", part(F.col("blocks"))).withColumn("u", to("shares"))
+    cells = mine.unionByName(all_, allowMissingColumns=True).select("g", (F.col("u") * F.col("blocks") + F.col("m")).alias("block"), "node").distinct()
+    return found.unionByName(search(cells))
 
 
 def near_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-7, step: int = 32, rounds: int = 16,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-5, block: int = BLOCK,
 ) -> DataFrame:
     """(id, n, component) for each row of ``docs``."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = spool(docs.mapInArrow(sign, "id long, n long, digest binary, sig binary"), "signed")
     classes = spool(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")).where("rep is not null"), "classes")
-    sigs = classes.select("rep", "sig")
-    bands = sigs.mapInArrow(band_rows, "key long, rep long")
-    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = spool(bands.join(crowded, "key", "left_semi"), "buckets")
-    size = buckets.count()
-    labels = tested = None
-    for turn in range(rounds + 1):
-        held = buckets if labels is None else buckets.join(labels, "rep", "left")
-        held = held.select("key", "rep", (F.col("rep") if labels is None else F.coalesce("component", "rep")).alias("comp"))
-        order = F.struct(*([F.xxhash64("rep", F.lit(turn)).alias("h")] if turn else []), "rep", "comp")
-        stats = (held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lead"))
-                 .groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min("lead").alias("lead"))
-                 .where("n * n > same"))
-        stats = spool(stats, "open")
-        cross = stats.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-        if not cross:
-            break
-        last = turn > 0 and (cross <= 2 * size or turn == rounds)
-        if last:
-            left = held.join(stats.select("key"), "key", "left_semi")
-            right = left.select("key", F.col("rep").alias("other"), F.col("comp").alias("other_comp"))
-            pairs = left.join(right, "key").where("comp < other_comp").select("rep", "other")
-        else:
-            leads = stats.select("key", F.col("lead.rep").alias("other"), F.col("lead.comp").alias("other_comp"))
-            pairs = held.join(leads, "key").where("comp <> other_comp").select("rep", "other")
-        pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        pairs = spool(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        nodes = spool(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "nodes")
-        needed = spool(matching(sigs, nodes, "rep", "left_semi"), "signatures")
-        with_both = (pairs.join(needed.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-                     .join(needed.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b"))
-        new = verified(docs, with_both.mapInArrow(pruner(percent / 100, miss, step), "a long, b long"), percent)
-        known = new if labels is None else new.unionByName(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")))
-        labels = components(known).withColumnRenamed("node", "rep")
-        if last:
-            break
-    named = classes.select("digest", "rep")
-    named = named.withColumn("component", F.col("rep")) if labels is None else named.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    return (signed.select("id", "n", "digest").join(named.select("digest", "component"), "digest", "left")
+
+    # Buckets, each set of members once.
+    bands = classes.select("rep", "sig").mapInArrow(band_rows, "key long, rep long")
+    members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
+    crowded = bands.groupBy("key").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    buckets = spool(bands.join(crowded, "key", "left_semi").select(F.col("key").alias("g"), F.col("rep").alias("node")), "buckets")
+    nodes = spool(buckets.select("node").distinct(), "nodes")
+    signatures = spool(matching(classes.select(F.col("rep").alias("node"), F.col("sig").alias("payload")), nodes, "node", "left_semi"), "signatures")
+    families = components(linked(buckets, lambda rows: rows.join(signatures, "node"), by_signature(percent / 100, miss), block))
+
+    families = spool(families.select(F.col("component").alias("g"), "node").unionByName(
+        families.select(F.col("component").alias("g"), F.col("component").alias("node")).distinct()), "families")
+    texts = docs.select(F.col("id").alias("node"), F.col("text").alias("payload"))
+    labels = components(linked(families, lambda rows: matching(texts, spool(rows, "rows"), "node"), by_set(percent, miss), block)).withColumnRenamed("node", "rep")
+
+    named = classes.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    return (signed.select("id", "n", "digest").join(named, "digest", "left")
             .select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component")))
 
 

@@ -17,7 +17,7 @@ from framequill.session import ship
 ship(__name__)
 
 SPACES = (32, 9, 10, 11, 12, 13)
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def byte_values() -> np.ndarray:
@@ -86,7 +86,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of a piece have about ``most`` bytes together."""
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
