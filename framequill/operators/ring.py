@@ -1,0 +1,91 @@
+"""Directions on a ring: anchors and phases to frames, re-timing, sampling and sweeps.
+
+Breakpoint lists are small by contract (eight anchors, a few hundred phases), so a lookup is an array expression inside
+the row's own projection: no join, no shuffle.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from framequill.functions.angles import TURN, half_even, half_up, wrap
+
+
+def frame_at(angle: Column, anchors: Sequence[int], count: int) -> Column:
+    """Frame of an angle in radians between evenly spread anchors; the last leads to the first one ring on."""
+    ends = F.array(*[F.lit(float(a)) for a in [*anchors, anchors[0] + count]])
+    u = wrap(angle, TURN) / F.lit(TURN / len(anchors))
+    i = F.least(F.floor(u).cast("int"), F.lit(len(anchors) - 1))
+    a, b = F.get(ends, i), F.get(ends, i + 1)
+    return F.pmod(half_up(a + (b - a) * (u - i)), F.lit(count).cast("long"))
+
+
+def frame_at_phase(degrees: Column, samples: Sequence[tuple[float, float]], count: int) -> Column:
+    """Frame of degrees from (frame, degrees) samples that start at 0, closed by (count, 360)."""
+    points = [*samples, (count, 360.0)]
+    found = F.lit(None).cast("double")
+    for (f, d), (g, e) in zip(points, points[1:]):
+        found = F.when(degrees >= F.lit(float(d)), F.lit(float(f)) + F.lit(float(g - f)) * ((degrees - F.lit(float(d))) / F.lit(float(e - d)))).otherwise(found)
+    return F.pmod(half_up(found), F.lit(count).cast("long"))
+
+
+def frame_at_arc(degrees: Column, samples: Sequence[tuple[float, int]], slack: float = 1e-7) -> Column:
+    """Frame of degrees from (degrees, frame) samples of an open arc; null outside."""
+    start, end = samples[0][0], samples[-1][0]
+    at = wrap(degrees, 360.0)
+    at = F.when(at < F.lit(start - slack), at + 360.0).otherwise(at)
+    inside = at <= F.lit(end + slack)
+    at = F.least(F.greatest(at, F.lit(float(start))), F.lit(float(end)))
+    found = F.lit(None).cast("double")
+    for (d, f), (e, g) in reversed(list(zip(samples, samples[1:]))):
+        found = F.when(at <= F.lit(float(e)), F.lit(float(f)) + F.lit(float(g - f)) * ((at - F.lit(float(d))) / F.lit(float(e - d)))).otherwise(found)
+    return F.when(inside, half_up(found))
+
+
+def retime(df: DataFrame, key: Sequence[str], frame: str, motion: str, anchors: Sequence[int]) -> DataFrame:
+    """Phases within each 45-degree sector in proportion to motion, floored at a tenth of the sector's median.
+
+    One row per frame from the first anchor to the last; the sector after the last anchor is not inferred.
+    """
+    sector = sum((F.when(F.col(frame) >= a, 1).otherwise(0) for a in anchors[1:]), F.lit(0))
+    inside = df.where((F.col(frame) >= anchors[0]) & (F.col(frame) < anchors[-1])).withColumn("sector", sector.cast("int"))
+    by_sector = Window.partitionBy(*key, "sector")
+    along = by_sector.orderBy(frame).rowsBetween(Window.unboundedPreceding, -1)
+    least = F.greatest(F.lit(0.1) * F.percentile(motion, F.lit(0.5)).over(by_sector), F.lit(1e-6))
+    shared = inside.withColumn("step", F.greatest(F.col(motion), least))
+    phase = F.lit(45.0) * F.col("sector") + F.lit(45.0) * (F.coalesce(F.sum("step").over(along), F.lit(0.0)) / F.sum("step").over(by_sector))
+    found = shared.select(*key, F.col(frame).alias("frame"), "sector", phase.alias("phase"))
+    last = df.where(F.col(frame) == anchors[-1]).select(*key, F.col(frame).alias("frame"), F.lit(len(anchors) - 1).alias("sector"), F.lit(45.0 * (len(anchors) - 1)).alias("phase"))
+    return found.unionByName(last)
+
+
+def overview(df: DataFrame, key: Sequence[str], most: int = 24) -> DataFrame:
+    """(key, frame): up to ``most`` evenly spread indices of each sequence, rounded half to even, each once."""
+    n = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    k = F.least(F.lit(most), F.col("n")).cast("int")
+    picks = n.withColumn("k", k).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    at = F.when(F.col("k") == 1, F.lit(0.0)).otherwise(half_even(F.col("j") * (F.col("n") - 1) / (F.col("k") - 1)))
+    return picks.select(*key, at.cast("long").alias("frame")).distinct()
+
+
+def sweep(count: Column, kind: str) -> Column:
+    """Playback order: ring = forward twice, 0, backward twice; arc = forward, backward; source = forward, backward without ends."""
+    forward = F.sequence(F.lit(0), count - 1)
+    back = F.reverse(forward)
+    if kind == "ring":
+        return F.concat(forward, forward, F.array(F.lit(0)), back, back)
+    if kind == "arc":
+        return F.concat(forward, back)
+    return F.concat(forward, F.when(count > 2, F.slice(back, F.lit(2), F.greatest(count - 2, F.lit(0)))).otherwise(F.array().cast("array<int>")))
+
+
+def effective_seconds(duration: Column, entry_end: Column, cycle_end: Column) -> Column:
+    """Seconds of an entry orbit that turn the ring."""
+    return duration * (cycle_end - entry_end)
+
+
+def radians(degrees: Column) -> Column:
+    return degrees * F.lit(math.pi / 180)

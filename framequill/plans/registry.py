@@ -1,4 +1,4 @@
-"""Registered queries and the SQL that must give the same rows."""
+"""All registered queries and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from framequill.plans import certificates, kernels, requests, sequences  # noqa: F401
+from framequill.plans.catalog import QUERIES, SQL  # noqa: F401
