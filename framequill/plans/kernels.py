@@ -1 +1,161 @@
-"""To come."""
+"""Queries over pixels: each embedding is an 8 x 8 frame of one channel, line items are colour samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from framequill.functions import pixels as px
+from framequill.operators import pixels
+from framequill.plans.catalog import query
+from framequill.session import load
+
+CELLS = """(select label as clip, vec_id, p - 1 as pos, cast(floor(abs(cast(embedding[p] as double)) * 1000) as bigint) % 256 as v, (p - 1) % 8 as x, (p - 1) // 8 as y
+  from (select label, vec_id, embedding, unnest(range(1, 65)) as p from embeddings))"""
+SAMPLES = "(select l_orderkey, l_linenumber, l_partkey % 256 as r, l_suppkey * 7 % 256 as g, l_orderkey % 256 as b from lineitem)"
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, vec_id, pos, v, x, y): a row per pixel."""
+    spread = load(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id", F.posexplode("embedding").alias("pos", "e"))
+    return spread.select("clip", "vec_id", "pos", (F.floor(F.abs(F.col("e").cast("double")) * 1000) % 256).alias("v"), (F.col("pos") % 8).alias("x"), F.expr("pos div 8").alias("y"))
+
+
+def against_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels with ``ref``, the same pixel in the first frame of the clip."""
+    order = Window.partitionBy("clip", "pos").orderBy("vec_id")
+    return cells(spark, sf_dir).withColumn("ref", F.first_value("v").over(order))
+
+
+REF = f"(select *, first_value(v) over (partition by clip, pos order by vec_id) as ref from {CELLS})"
+
+
+@query(f"""
+with g as (select clip, vec_id, abs(v - ref) as gap, x in (0, 7) or y in (0, 7) as edge from {REF}),
+m as (select clip, vec_id, avg(gap) as mae, quantile_cont(gap, 0.95) as p95, coalesce(avg(case when edge then gap end), 0) as edge_error from g group by clip, vec_id)
+select clip, vec_id, round(mae, 6) as mae, round(p95, 6) as p95, round(edge_error, 6) as edge_error, mae <= 5 and p95 <= 15 and edge_error <= 5 as passed from m""")
+def residual_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = against_first(spark, sf_dir).withColumn("gap", F.abs(F.col("v") - F.col("ref"))).withColumn("edge", F.col("x").isin(0, 7) | F.col("y").isin(0, 7))
+    found = pixels.residuals(rows, ["clip", "vec_id"], "gap", "edge")
+    return found.select("clip", "vec_id", *[F.round(c, 6).alias(c) for c in ("mae", "p95", "edge_error")], "passed")
+
+
+@query(f"""
+with m as (select clip, vec_id, avg(abs(v - ref)) as mean, quantile_cont(abs(v - ref), 0.95) as p95 from {REF} group by clip, vec_id)
+select clip, vec_id, round(mean, 6) as mean, round(p95, 6) as p95, mean <= 2 and p95 <= 8 as matches from m""")
+def source_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = against_first(spark, sf_dir).withColumn("gap", F.abs(F.col("v") - F.col("ref")))
+    return pixels.matches_source(rows, ["clip", "vec_id"], "gap").withColumn("mean", F.round("mean", 6)).withColumn("p95", F.round("p95", 6))
+
+
+@query(f"""
+with s as (select clip, vec_id, avg(case when abs(v - 100) <= 60 then 1.0 else 0.0 end) as share from {CELLS} where x in (0, 7) or y in (0, 7) group by clip, vec_id)
+select clip, round(min(share), 6) as stability, min(share) >= 0.3 as stable from s group by clip""")
+def border_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    border = cells(spark, sf_dir).where("x in (0, 7) or y in (0, 7)").withColumn("far", F.abs(F.col("v") - 100))
+    return pixels.border_stability(border, ["clip"], "vec_id", "far", 60, 0.3).withColumn("stability", F.round("stability", 6))
+
+
+@query(f"""
+with s as (select clip, vec_id, median(ref - v) as shift from {REF} group by clip, vec_id),
+j as (select r.*, s.shift from {REF} r join s on s.clip = r.clip and s.vec_id = r.vec_id),
+m as (select clip, vec_id, min(shift) as shift, avg(abs(ref - v)) as before, avg(abs(ref - v - shift)) as after from j group by clip, vec_id)
+select clip, vec_id, shift, round(before, 6) as before, round(after, 6) as after, abs(shift) <= 12 and after <= before + 0.05 as accepted from m""")
+def channel_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pixels.channel_offset(against_first(spark, sf_dir), ["clip", "vec_id"], "ref", "v")
+    return found.withColumn("before", F.round("before", 6)).withColumn("after", F.round("after", 6))
+
+
+@query(f"""
+with s as (select clip, vec_id, count(*) as n, sum(x) as sx, sum(y) as sy, sum(v) as sz, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy, sum(x * v) as sxz, sum(y * v) as syz from {CELLS} group by clip, vec_id),
+c as (select *, sxx - sx * sx / n::double as xx, sxy - sx * sy / n::double as xy, syy - sy * sy / n::double as yy, sxz - sx * sz / n::double as xz, syz - sy * sz / n::double as yz from s),
+k as (select *, (xz * yy - yz * xy) / (xx * yy - xy * xy) as c1, (yz * xx - xz * xy) / (xx * yy - xy * xy) as c2 from c)
+select clip, vec_id, round((sz - c1 * sx - c2 * sy) / n, 5) as c0, round(c1, 5) as c1, round(c2, 5) as c2 from k""")
+def plane_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pixels.plane(cells(spark, sf_dir), ["clip", "vec_id"], "x", "y", "v")
+    return found.select("clip", "vec_id", *[F.round(c, 5).alias(c) for c in ("c0", "c1", "c2")])
+
+
+@query(f"""
+select l_orderkey, l_linenumber, greatest(0, least(g, least(r, b) + 300) - greatest(r, b)) as dominance, least(g, greatest(r, b)) as despilled, least(r, g, b) > 210 and greatest(r, g, b) - least(r, g, b) < 30 as light,
+       cast(trunc(t * t * (3.0 - 2.0 * t) * 255) as integer) as alpha,
+       cast(round_even(r * (b / 255.0) + 40 * (1.0 - b / 255.0), 0) as integer) as blended
+from (select *, greatest(0.0, least(1.0, (greatest(abs(r - 0), abs(g - 255), abs(b - 0)) - 12.0) / 208.0)) as t from {SAMPLES})""")
+def key_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (0, 255, 0)
+    rows = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_partkey") % 256).alias("r"), (F.col("l_suppkey") * 7 % 256).alias("g"), (F.col("l_orderkey") % 256).alias("b"))
+    rgb = [F.col(c) for c in "rgb"]
+    channels = px.key_channels(key)
+    return rows.select("l_orderkey", "l_linenumber", px.dominance(rgb, channels).alias("dominance"), px.despilled(rgb, channels)[1].alias("despilled"), px.is_light(*rgb).alias("light"),
+                       px.distance_alpha(rgb, key).alias("alpha"), px.over(F.col("r"), F.lit(40), F.col("b") / 255.0).alias("blended"))
+
+
+@query("""
+with g as (select i % 64 as x, i // 64 as y from range(0, 3072) t(i))
+select x, y, cast(trunc(greatest(0.0, least(1.0, x / 6.0, (63 - x) / 10.0, (47 - y) / 4.0)) * 255) as integer) as alpha from g""")
+def feather_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = spark.range(64 * 48).select((F.col("id") % 64).alias("x"), F.expr("id div 64").alias("y"))
+    return grid.withColumn("alpha", px.feather_alpha(F.col("x"), F.col("y"), 64, 48, 6, 0, 10, 4))
+
+
+@query(f"""
+with l as (select clip, vec_id, pos, v, lag(v) over w as one, lead(v) over w as two from {CELLS} window w as (partition by clip, vec_id order by pos))
+select clip, vec_id, pos, cast(round_even(coalesce(two, 0) * 0.5 + round_even(coalesce(one, 0) * 0.25 + v * 0.75, 0) * 0.5, 0) as double) as shown from l""")
+def layered_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("clip", "vec_id").orderBy("pos")
+    layer = lambda z, c, a: F.struct(F.lit(z).alias("z"), F.coalesce(c, F.lit(0)).cast("double").alias("value"), F.lit(a).alias("alpha"))
+    rows = cells(spark, sf_dir).withColumn("layers", F.array(layer(2, F.lead("v").over(order), 0.5), layer(1, F.lag("v").over(order), 0.25)))
+    return rows.select("clip", "vec_id", F.col("pos").cast("long").alias("pos"), px.layered(F.col("v"), F.col("layers")).alias("shown"))
+
+
+@query(f"""
+select clip, vec_id, cast(count(*) as integer) as n, cast(count(*) filter (where v > 200) as integer) as covered, true as "binary", count(*) filter (where v > 200) >= 16 as enough from {CELLS} group by clip, vec_id""")
+def mask_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.transform("embedding", lambda e: F.when(F.floor(F.abs(e.cast("double")) * 1000) % 256 > 200, 255).otherwise(0))
+    masks = load(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id", value.alias("mask"))
+    return pixels.mask_problems(masks, ["clip", "vec_id"], "mask")
+
+
+@query(f"""
+with d as (select a.clip, a.vec_id, a.pos, bool_or(b.v > 230) as grown from {CELLS} a join {CELLS} b on b.vec_id = a.vec_id and abs(a.x - b.x) <= 2 and abs(a.y - b.y) <= 2 group by a.clip, a.vec_id, a.pos)
+select clip, vec_id, count(*) filter (where grown) as grown from d group by clip, vec_id""")
+def dilated_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 1000) % 256 > 230)
+    rows = load(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id", F.lit(8).alias("w"), mask.alias("m"))
+    return pixels.dilated(rows, "w", "m").select("clip", "vec_id", F.size(F.filter("dilated", lambda b: b)).cast("long").alias("grown"))
+
+
+@query(f"""
+with recursive o as (select vec_id, clip, x, y from {CELLS} where v > 90),
+r as (select vec_id, clip, x, y from o where x in (0, 7) or y in (0, 7) union select o.vec_id, o.clip, o.x, o.y from r join o on o.vec_id = r.vec_id and abs(o.x - r.x) + abs(o.y - r.y) = 1),
+n as (select vec_id, count(*) as n from r group by vec_id)
+select e.label as clip, e.vec_id, coalesce(n.n, 0) as reached from embeddings e left join n on n.vec_id = e.vec_id""")
+def edge_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 1000) % 256 > 90)
+    rows = load(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id", F.lit(8).alias("w"), mask.alias("m"))
+    return pixels.flood(rows, "w", "m").select("clip", "vec_id", F.size(F.filter("reached", lambda b: b)).cast("long").alias("reached"))
+
+
+@query(f"""
+with m as (select clip, vec_id, quantile_cont(v / 100.0, 0.95) as p95, avg(v) as residual, max(v) / 100.0 as moved from {CELLS} group by clip, vec_id)
+select clip, vec_id, round(p95, 6) as p95, residual, round(moved, 6) as moved, p95 <= 1.5 and residual <= 12 and moved <= 30 * 0.08 as passed from m""")
+def bridge_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cells(spark, sf_dir).select("clip", "vec_id", (F.col("v") / 100.0).alias("trip"), F.col("v").alias("residual"), (F.col("v") / 100.0).alias("moved"))
+    found = pixels.flow_gate(rows, ["clip", "vec_id"], "trip", "residual", "moved", F.lit(30.0))
+    return found.select("clip", "vec_id", F.round("p95", 6).alias("p95"), "residual", F.round("moved", 6).alias("moved"), "passed")
+
+
+@query()
+def map_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverse maps made of a frame's values; a kernel without SQL form, tested on fixed maps."""
+    at = lambda f: F.transform("embedding", lambda e, i: f(i).cast("double") + e.cast("double") * 0.5)
+    maps = load(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("w"), at(lambda i: i % 8).alias("mx"), at(lambda i: F.floor(i / 8)).alias("my"))
+    return pixels.map_inspection(maps, "vec_id", "w", "mx", "my", (1, 1, 7, 7))
+
+
+@query()
+def frame_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translation of each frame to the one before it in its clip; a kernel without SQL form, tested on shifted frames."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    pairs = load(spark, sf_dir, "embeddings").withColumn("before", F.coalesce(F.lag("embedding").over(order), F.col("embedding"))).withColumn("w", F.lit(8))
+    return pixels.registration(pairs, "vec_id", "w", "before", "embedding", texture=0.0)

@@ -1 +1,191 @@
-"""To come."""
+"""Queries over requests and their media.
+
+Roles: conversations are media of a request in order, documents are prompts and payloads, events carry JSON requirements,
+parts are colours, rates and sizes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from framequill.functions import text
+from framequill.operators import requests, rules
+from framequill.plans.catalog import query
+from framequill.session import load
+
+CHECKS = ("alignment", "anchors", "background", "continuity", "edges", "exposure", "identity", "isolation", "resolution", "timing")
+MEDIA_SQL = "(select conv_id, turn, case turn % 3 when 0 then 'image' when 1 then 'video' else 'audio' end as role, case when turn % 3 = 0 then null else length(text) % 100 / 10.0 end as seconds, length(text) as chars from conversations)"
+
+
+def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.element_at(F.array(F.lit("image"), F.lit("video"), F.lit("audio")), (F.col("turn") % 3 + 1).cast("int"))
+    return load(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", role.alias("role"), F.when(F.col("turn") % 3 != 0, F.length("text") % 100 / 10.0).alias("seconds"), F.length("text").alias("chars"))
+
+
+@query(f"select conv_id, turn, role, row_number() over (partition by conv_id, role order by turn) - 1 as role_index from {MEDIA_SQL}")
+def media_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.role_index(media(spark, sf_dir), ["conv_id"], "role", "turn").select("conv_id", "turn", "role", "role_index")
+
+
+@query(f"""
+with g as (select conv_id, role, count(*) as n, coalesce(round(sum(seconds), 6), 0.0) as seconds from {MEDIA_SQL} group by conv_id, role)
+select conv_id, role, n, seconds, n <= case role when 'image' then 2 when 'video' then 1 else 1 end and seconds <= 15.001 as within from g""")
+def media_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = requests.inventory(media(spark, sf_dir), ["conv_id"], "role", "seconds", {"image": 2, "video": 1, "audio": 1})
+    return found.withColumn("seconds", F.round("seconds", 6))
+
+
+@query("""
+with m as (select p_partkey, p_size * 40.0 as w, p_partkey % 50 * 30.0 + 100 as h, case when p_partkey % 4 = 0 then null else p_partkey % 200 / 10.0 end as s, case when p_partkey % 5 = 0 then null else p_size * 1.5 end as r from part)
+select p_partkey, 'side' as rule from m where not (least(w, h) between 256 and 5760 and greatest(w, h) between 256 and 5760)
+union all select p_partkey, 'ratio' from m where not (w / h between 0.4 and 2.5)
+union all select p_partkey, 'seconds' from m where not (s is null or s between 2 and 15)
+union all select p_partkey, 'rate' from m where not (r is null or r between 23.975 and 60)""")
+def media_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    parts = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 40.0).alias("w"), (key % 50 * 30.0 + 100).alias("h"),
+                                               F.when(key % 4 != 0, key % 200 / 10.0).alias("s"), F.when(key % 5 != 0, F.col("p_size") * 1.5).alias("r"))
+    return rules.violations(parts, ["p_partkey"], requests.medium_rules(F.col("w"), F.col("h"), F.col("s"), F.col("r")))
+
+
+@query(f"""
+with q as (select conv_id, unnest(case conv_id % 3 when 0 then ['image', 'prompt', 'depth'] when 1 then ['audio', 'seed', 'video'] else ['audio', 'image', 'audio'] end) as control from (select distinct conv_id from conversations))
+select distinct q.conv_id, q.control from q where q.control not in ('prompt', 'duration', 'resolution', 'seed')
+and not exists (select 1 from {MEDIA_SQL} m where m.conv_id = q.conv_id and m.role = q.control)""")
+def requirement_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = media(spark, sf_dir)
+    lists = F.element_at(F.array(*[F.array(*[F.lit(c) for c in r]) for r in (("image", "prompt", "depth"), ("audio", "seed", "video"), ("audio", "image", "audio"))]), (F.col("conv_id") % 3 + 1).cast("int"))
+    asked = held.select("conv_id").distinct().withColumn("controls", lists)
+    return requests.requirement_gaps(asked, "conv_id", "controls", held, "role")
+
+
+@query(f"""
+select conv_id, string_agg(role || turn, ',' order by case role when 'video' then 1 when 'image' then 2 else 3 end, turn) as content from {MEDIA_SQL} group by conv_id""")
+def request_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media(spark, sf_dir).withColumn("position", F.col("turn")).withColumn("value", F.concat("role", F.col("turn").cast("string")))
+    return requests.content(rows, "conv_id", "role", "value", ["video", "image", "audio"]).withColumn("content", F.array_join("content", ","))
+
+
+@query("""
+select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, cast(json_extract_string(props, '$.k') as bigint) % 5 in (1, 3) as allowed from events""")
+def json_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long", {"mode": "PERMISSIVE"}).alias("p"))
+    return held.select("event_id", F.col("p.k").alias("k"), (F.col("p.k") % 5).isin(1, 3).alias("allowed"))
+
+
+@query("""
+with r as (select event_id, user_id, event_type, sha256('{"k":' || json_extract_string(props, '$.k') || ',"type":"' || event_type || '"}') as fingerprint from events),
+n as (select *, row_number() over (partition by user_id, fingerprint order by event_id) as nth from r)
+select user_id, event_id, fingerprint from n where nth > 1""")
+def duplicate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = text.canonical({"type": F.col("event_type"), "k": F.from_json("props", "k long")["k"]})
+    asked = load(spark, sf_dir, "events").select("user_id", "event_id", F.sha2(body, 256).alias("fingerprint"))
+    return requests.repeated(asked, ["user_id"], "fingerprint", "event_id")
+
+
+@query("""
+with p as (select o_custkey, max(o_orderkey) as pilot, count(*) as n from orders where o_orderstatus = 'F' and o_orderkey % 5 = 0 group by o_custkey)
+select c.c_custkey, p.pilot from customer c join p on p.o_custkey = c.c_custkey where p.n = 1""")
+def pilot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pilots = load(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("pilot"))
+    return requests.single_match(load(spark, sf_dir, "customer").select("c_custkey"), pilots, ["c_custkey"])
+
+
+@query("""
+with p(mfr, least, most) as (values ('Brand#1', 1, 20), ('Brand#2', 10, 40), ('Brand#3', 5, 50)),
+j as (select part.p_partkey, part.p_size, p.least, p.most from part left join p on p.mfr = left(part.p_brand, 7))
+select p_partkey, case when least is null then 'unknown-model' when p_size < least or p_size > most then 'duration' end as problem from j where least is null or p_size < least or p_size > most""")
+def model_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = spark.createDataFrame([("Brand#1", 1, 20), ("Brand#2", 10, 40), ("Brand#3", 5, 50)], "mfr string, least int, most int")
+    joined = load(spark, sf_dir, "part").select("p_partkey", "p_size", F.substring("p_brand", 1, 7).alias("mfr")).join(F.broadcast(profiles), "mfr", "left")
+    problem = F.when(F.col("least").isNull(), "unknown-model").when((F.col("p_size") < F.col("least")) | (F.col("p_size") > F.col("most")), "duration")
+    return joined.select("p_partkey", problem.alias("problem")).where("problem is not null")
+
+
+@query("""
+select page_id, sha256(html) as payload_sha256, cast(strlen(html) as integer) as payload_bytes, regexp_replace(url || ' ' || left(url, 5), 'https?://[^\\s"<>]+', '[url]', 'g') as text from pages""")
+def audit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "pages").withColumn("said", F.concat("url", F.lit(" "), F.substring("url", 1, 5)))
+    return requests.audit_view(rows, ["page_id"], "said", "html")
+
+
+@query("""select page_id, 'data:text/html;base64,' || to_base64(encode(url)) as uri, 'text/html' as mime, url as content from pages""")
+def media_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uris = load(spark, sf_dir, "pages").select("page_id", text.data_uri(F.lit("text/html"), F.col("url").cast("binary")).alias("uri"))
+    return uris.select("page_id", "uri", text.uri_mime(F.col("uri")).alias("mime"), F.decode(text.uri_content(F.col("uri")), "UTF-8").alias("content"))
+
+
+@query("""
+select p_partkey, p_partkey % 256 as red, p_size as green, p_partkey * 7 % 256 as blue, case when p_partkey % 9 = 0 then null else p_partkey % 60 / (case when p_partkey % 2 = 0 then 1.0 else 1001.0 end) end as rate,
+       'frame-' || lpad(cast(p_partkey as varchar), 6, '0') as name, p_partkey % 4 <> 1 as confined, p_partkey % 3 <> 0 as prose, p_size % 2 = 0 as layer from part""")
+def scalar_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    colour = F.concat(F.lit("#"), *[F.lower(F.lpad(F.hex(c.cast("long")), 2, "0")) for c in (key % 256, size, key * 7 % 256)])
+    rate = F.when(key % 9 == 0, "0/0").when(key % 2 == 0, F.concat((key % 60).cast("string"), F.lit("/1"))).otherwise(F.concat((key % 60).cast("string"), F.lit("/1001")))
+    path = F.when(key % 4 == 1, F.lit("a/../../b")).otherwise(F.lit("a/b.png"))
+    said = F.when(key % 3 == 0, F.lit(" TODO ")).otherwise(F.lit("turn left"))
+    layer = F.when(size % 2 == 0, F.lit("actor-1")).otherwise(F.lit("1Actor"))
+    c = text.hex_colour(colour)
+    return load(spark, sf_dir, "part").select(
+        "p_partkey", c[0].cast("long").alias("red"), c[1].alias("green"), c[2].cast("long").alias("blue"), text.rational(rate).alias("rate"), text.numbered("frame-", key).alias("name"),
+        text.is_confined(path).alias("confined"), text.is_prose(said).alias("prose"), text.is_layer_id(layer).alias("layer"))
+
+
+@query("""
+select p_partkey, 'Subject ' || p_partkey || '. ' || case p_partkey % 3 when 0 then 'One continuous turn through all directions' when 1 then 'One continuous turn between two directions' else 'One continuous motion' end
+  || ', ' || p_size || ' s. At 0 s: up. At ' || case when p_size % 2 = 0 then cast(p_size // 2 as varchar) else (p_size // 2) || '.5' end || ' s: right.' as prompt from part""")
+def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(F.lit("ring"), F.lit("arc"), F.lit("other")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    points = F.array(F.struct(F.lit(0.0).alias("fraction"), F.lit("up").alias("pose")), F.struct(F.lit(0.5).alias("fraction"), F.lit("right").alias("pose")))
+    subject = F.concat(F.lit("Subject "), F.col("p_partkey").cast("string"))
+    return load(spark, sf_dir, "part").select("p_partkey", requests.prompt(kind, subject, points, F.col("p_size").cast("double")).alias("prompt"))
+
+
+@query("""
+with p as (select conv_id, count(*) filter (where role = 'user') as users, count(*) filter (where turn = 0) as firsts, sum(length(text)) as chars, count(distinct role) as roles from conversations group by conv_id)
+select conv_id, 'one-opening' as rule from p where firsts <> 1
+union all select conv_id, 'prompt-length' from p where chars > 700
+union all select conv_id, 'one-prompt-source' from p where not ((users > 0 and roles = 1) or (users = 0 and roles > 0) or roles = 2)
+union all select conv_id, 'loop-or-last' from p where users > 1 and roles > 1""")
+def plan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.col("turn") == 0).alias("firsts"), F.sum(F.length("text")).alias("chars"), F.count_distinct("role").alias("roles"))
+    users, roles = F.col("users"), F.col("roles")
+    return rules.violations(turns, ["conv_id"], {
+        "one-opening": F.col("firsts") == 1, "prompt-length": F.col("chars") <= 700,
+        "one-prompt-source": ((users > 0) & (roles == 1)) | ((users == 0) & (roles > 0)) | (roles == 2), "loop-or-last": ~((users > 1) & (roles > 1))})
+
+
+@query(f"""
+with t as (select doc_id, unnest({list(CHECKS)!r}) as "check" from documents where doc_id % 10 = 0) select doc_id, "check", 'unreviewed' as status from t""")
+def review_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.template(load(spark, sf_dir, "documents").where("doc_id % 10 = 0"), "doc_id", CHECKS)
+
+
+@query("""
+with r as (select user_id, case event_id % 3 when 0 then 'isolation' when 1 then 'identity' else 'timing' end as "check", case when value > 480 then 'fail' when value > 450 then 'limited' when value > 440 then 'unknown' else 'pass' end as status from events),
+g as (select user_id, count(*) as checks, count(*) filter (where status = 'pass') as passed, count(*) filter (where status = 'limited') as limited,
+             coalesce(bool_and(status = 'pass') filter (where "check" = 'isolation'), false) as must from r group by user_id)
+select user_id, checks, passed, limited, must and passed + limited = checks as accepted from g""")
+def input_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    check = F.element_at(F.array(F.lit("isolation"), F.lit("identity"), F.lit("timing")), (F.col("event_id") % 3 + 1).cast("int"))
+    status = F.when(F.col("value") > 480, "fail").when(F.col("value") > 450, "limited").when(F.col("value") > 440, "unknown").otherwise("pass")
+    return requests.review_outcome(load(spark, sf_dir, "events").select("user_id", check.alias("check"), status.alias("status")), "user_id", "isolation")
+
+
+@query("""
+with a as (select distinct label as clip, least(greatest(unnest([0, 12, 33, 70]), 0), 40) as frame from embeddings)
+select a.clip, b.name as background, a.frame from a, (values ('white'), ('black'), ('grey'), ('checker')) b(name)""")
+def contact_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchors = load(spark, sf_dir, "embeddings").select(F.col("label").alias("clip")).distinct().withColumn(
+        "frame", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(a) for a in (0, 12, 33, 70)]), lambda a: F.least(F.greatest(a, F.lit(0)), F.lit(40))))))
+    return anchors.select("clip", F.explode(F.array(*[F.lit(b) for b in ("white", "black", "grey", "checker")])).alias("background"), "frame")
+
+
+@query("""
+select o_orderkey, max_by(l_linestatus, l_linenumber * 1000000 + l_partkey) as state, count(*) as polls from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey""")
+def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linestatus", (F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey")).alias("at"))
+    return lines.join(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderkey").agg(
+        F.max_by("l_linestatus", "at").alias("state"), F.count(F.lit(1)).alias("polls"))
