@@ -184,8 +184,8 @@ def contact_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select o_orderkey, max_by(l_linestatus, l_linenumber * 1000000 + l_partkey) as state, count(*) as polls from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey""")
+select o_orderkey, max_by(l_linestatus, (l_linenumber * 1000000 + l_partkey) * 2 + case when l_linestatus = 'O' then 1 else 0 end) as state, count(*) as polls from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey""")
 def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linestatus", (F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey")).alias("at"))
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linestatus", ((F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey")) * 2 + (F.col("l_linestatus") == "O").cast("long")).alias("at"))
     return lines.join(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderkey").agg(
         F.max_by("l_linestatus", "at").alias("state"), F.count(F.lit(1)).alias("polls"))

@@ -8,16 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from framequill.session import ship
 
 ship(__name__)
 
-FRAME = T.StructType.fromDDL("source string, frame int, ts double, h int, w int, channels int, px array<smallint>")
+FRAME = ("source string, frame int, ts double, h int, w int, channels int, px array<smallint>")
 #: Schema of a version 3 manifest.
-MANIFEST = T.StructType.fromDDL(
+MANIFEST = (
     "schemaVersion int, sceneId string, baseImage string, baseImageSha256 string, sourceSize array<int>, crop array<int>, eye array<double>, frameCount int, columns int,"
     " framesPerSheet int, sheets array<string>, directionFrames array<int>, preview struct<mode: string, notes: string>,"
     " frameSources array<struct<source: string, frame: int, synthesized: boolean>>, sourceHashes map<string, string>,"
@@ -34,10 +34,10 @@ class RawClips(DataSource):
     def name(cls) -> str:
         return "raw-clips"
 
-    def schema(self) -> T.StructType:
+    def schema(self) -> str:
         return FRAME
 
-    def reader(self, schema: T.StructType) -> DataSourceReader:
+    def reader(self, schema) -> DataSourceReader:
         return RawClipReader(self.options)
 
 

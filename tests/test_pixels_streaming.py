@@ -1,0 +1,126 @@
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from framequill.functions import pixels as px
+from framequill.operators import pixels
+from framequill.sources import frames
+from framequill.streaming import pointer
+
+
+def test_residual_of_a_changed_patch_fails(spark):
+    rows = [(f, i, 30.0 if f == 7 and i < 64 else 0.0, i < 8) for f in range(16) for i in range(256)]
+    df = spark.createDataFrame(rows, "f int, i int, gap double, edge boolean")
+    assert [r["f"] for r in pixels.residuals(df, ["f"], "gap", "edge").where("not passed").collect()] == [7]
+
+
+def test_plane_is_recovered_and_a_line_is_refused(spark):
+    rows = [("p", x, y, 3.0 + 2 * x - 0.5 * y) for x in range(5) for y in range(4)] + [("l", x, x, 1.0 * x) for x in range(6)]
+    found = {r["k"]: r for r in pixels.plane(spark.createDataFrame(rows, "k string, x int, y int, z double"), ["k"], "x", "y", "z").collect()}
+    assert [round(found["p"][c], 9) for c in ("c0", "c1", "c2")] == [3, 2, -0.5] and found["l"]["c1"] is None
+
+
+def test_flood_reaches_only_what_touches_the_border(spark):
+    grid = np.array([[1, 0, 0, 0, 0], [0, 0, 1, 1, 0], [1, 1, 0, 1, 0], [0, 1, 0, 0, 0], [0, 0, 0, 0, 0]], bool)
+    df = spark.createDataFrame([(5, grid.ravel().tolist())], "w int, m array<boolean>")
+    found = np.array(pixels.flood(df, "w", "m").first()["reached"]).reshape(5, 5)
+    assert found.sum() == 4 and not found[1, 2]
+
+
+def test_map_inspection(spark):
+    y, x = np.mgrid[0:30, 0:30].astype(float)
+    cases = {"same": (x, y), "flip": (29 - x, y), "away": (x + 20, y), "bad": (np.full_like(x, np.nan), y)}
+    df = spark.createDataFrame([(k, 30, a.ravel().tolist(), b.ravel().tolist()) for k, (a, b) in cases.items()], "k string, w int, mx array<double>, my array<double>")
+    found = {r["k"]: r for r in pixels.map_inspection(df, "k", "w", "mx", "my", (5, 5, 24, 24)).collect()}
+    assert (found["same"]["folded"], found["same"]["outside"], found["same"]["most_moved"]) == (0, 0, 0)
+    assert found["flip"]["folded"] > 0 and found["away"]["outside"] > 0 and found["bad"]["folded"] is None
+
+
+def test_registration_finds_a_shift(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 255, (16, 16)).astype(float)
+    df = spark.createDataFrame([("s", 16, a.ravel().tolist(), np.roll(a, (-1, -2), (0, 1)).ravel().tolist()), ("f", 16, [1.0] * 256, [1.0] * 256)], "k string, w int, a array<double>, b array<double>")
+    found = {r["k"]: (r["dx"], r["dy"], r["accepted"]) for r in pixels.registration(df, "k", "w", "a", "b").collect()}
+    assert found == {"s": (2, 1, True), "f": (0, 0, False)}
+
+
+def test_key_channels():
+    assert px.key_channels((0, 255, 0)) == [1] and px.key_channels((250, 10, 240)) == [0, 2] and px.key_channels((100, 100, 100)) == []
+
+
+def test_layers_follow_their_order(spark):
+    layers = F.array(*[F.struct(F.lit(z).alias("z"), F.lit(v).alias("value"), F.lit(a).alias("alpha")) for z, v, a in ((2, 220.0, 1.0), (1, 10.0, 0.5))])
+    assert spark.range(1).select(px.layered(F.lit(0), layers)).first()[0] == 220
+
+
+def loop(events, gate):
+    state, out = pointer.REST, []
+    for i, dx, dy in events:
+        state, action = pointer.point(state, dx, dy, gate)
+        out.append((i, action))
+    return out
+
+
+def test_gate_leaves_late_and_returns_early():
+    assert [a for _, a in loop([(0, 22.0, 0.0), (1, 30.0, 0.0), (2, 22.0, 0.0), (3, 10.0, 0.0), (4, 0.0, -7.0)], pointer.Gate())] == ["rest", "snap", "move", "rest", "snap"]
+    assert [a for _, a in loop([(0, 100.0, 0.0), (1, 100.0, 1.0), (2, 0.0, 100.0)], pointer.Gate(hysteresis=0.5))] == ["snap", "hold", "move"]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 3), float(i), i, float(rng.normal(0, 30)), float(rng.normal(0, 20)), "touch" if i % 7 == 0 else "mouse") for i in range(120)]
+    schema = "user_id long, ts double, event_id long, dx double, dy double, pointer_type string"
+    df = spark.createDataFrame(rows, schema)
+    gate = pointer.Gate(hysteresis=0.4)
+    for part in range(3):
+        spark.createDataFrame(rows[part * 40 : part * 40 + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumnRenamed("event_id", "id")
+    query = pointer.pointer_stream(stream, "user_id", gate).writeStream.format("memory").queryName("pointers").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    streamed = {(r["key"], r["id"]): r["action"] for r in spark.table("pointers").collect()}
+    batch = {(r["key"], r["id"]): r["action"] for r in pointer.pointer_batch(df.where("pointer_type <> 'touch'"), "user_id", ["ts", "event_id"], gate).collect()}
+    assert streamed == batch and len(batch) == sum(r[5] == "mouse" for r in rows)
+
+
+def test_damping_settles_without_overshoot():
+    state = None
+    seen = []
+    for i in range(200):
+        state = pointer.follow(state, 900.0, None if i == 0 else 1 / 60, 3600, 0.14)
+        seen.append(state[0])
+    assert seen == sorted(seen) and seen[-1] == 900.0 and state[1] == 0.0
+    state = pointer.follow((10.0, 0.0), 3590.0, 1 / 60, 3600, 0.14)
+    assert state[0] < 10.0 or state[0] > 3590.0
+
+
+def test_sources_round_trip(spark, tmp_path):
+    clip = np.arange(6 * 2 * 3 * 1, dtype=np.uint8).reshape(6, 2, 3, 1)
+    (tmp_path / "clips").mkdir()
+    np.save(tmp_path / "clips" / "a.npy", clip)
+    spark.dataSource.register(frames.RawClips)
+    df = spark.read.format("raw-clips").option("path", str(tmp_path / "clips")).option("step", 2).load()
+    rows = df.orderBy("frame").collect()
+    assert [r["frame"] for r in rows] == [0, 1, 2] and rows[1]["px"] == clip[2].ravel().tolist()
+    assert frames.probe(df, 12.5).first()["frame_count"] == 3
+    sheets = frames.packed(df, 2, 2)
+    assert sorted((r["sheet"], len(r["cells"]), r["rows"]) for r in sheets.collect()) == [(0, 2, 1), (1, 1, 1)]
+    frames.publish(sheets, str(tmp_path / "out"), "sheet")
+    import pytest
+
+    with pytest.raises(Exception, match="(?i)exists"):
+        frames.publish(sheets, str(tmp_path / "out"), "sheet")
+
+
+def test_manifests_that_do_not_parse_are_kept(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.json").write_text('{"sceneId": "x", "columns": 4}')
+    (tmp_path / "m" / "b.json").write_text("{broken")
+    found = frames.read_manifests(spark, str(tmp_path / "m")).cache()
+    assert sorted((r["columns"], r["_corrupt"] is None) for r in found.collect() if r["columns"]) == [(4, True)]
+    assert found.where("_corrupt is not null").count() == 1
+
+
+def test_samples_take_the_frame_shown_at_that_time(spark):
+    df = spark.createDataFrame([("a", 0.0, 0), ("a", 0.3, 1), ("a", 1.0, 2)], "source string, ts double, frame int")
+    assert sorted((r["sample"], r["frame"]) for r in frames.nearest_samples(df, 4).collect()) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)]
