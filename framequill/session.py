@@ -65,3 +65,51 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) > most:
         spark.conf.set(key, str(most))
+
+
+class Shared:
+    """A broadcast object whose classes executors need not be able to import.
+
+    Broadcasts are pickled by reference; here the object goes by value, and its arrays beside it, without a second copy
+    on the workers.
+    """
+
+    def __init__(self, spark: SparkSession, value: object):
+        import numpy as np
+        from pyspark import cloudpickle
+
+        buffers: list = []
+        head = cloudpickle.dumps(value, protocol=5, buffer_callback=buffers.append)
+        self.held = spark.sparkContext.broadcast((head, [np.frombuffer(b.raw(), np.uint8) for b in buffers]))
+        self.loaded = None
+
+    def __getstate__(self) -> dict:
+        return {"held": self.held, "loaded": None}
+
+    @property
+    def value(self):
+        if self.loaded is None:
+            import pickle
+
+            head, buffers = self.held.value
+            self.loaded = pickle.loads(head, buffers=buffers)
+        return self.loaded
+
+    def unpersist(self) -> None:
+        self.held.unpersist()
+
+
+def tidy() -> None:
+    """Give memory that a kernel's arrays have left back to the system; Python workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+ship(__name__)
