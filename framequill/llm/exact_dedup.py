@@ -77,7 +77,8 @@ def run_stream(spark: SparkSession, folder: str, schema, max_bytes: int, max_fil
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # else open stores stay in the executors after the stream
     }
     before = {k: spark.conf.get(k, None) for k in conf}
     state = f"{shared_dir(spark)}/state"

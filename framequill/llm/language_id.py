@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from framequill.llm.words import mix, powers, slices, text_bytes
-from framequill.session import load, ship, small_batches
+from framequill.session import Shared, load, ship, small_batches
 
 ship(__name__)
 
@@ -295,7 +295,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Col
     counted = sample.where(~held).select("lang", "text").mapInArrow(count_grams, "lang string, c3 int, c2 int, c1 int, c0 int, n long")
     model = fit(counted.groupBy("lang", "c3", "c2", "c1", "c0").agg(F.sum("n").alias("n")).toArrow())
     if model.langs:
-        given = spark.sparkContext.broadcast(model)
+        given = Shared(spark, model)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
@@ -311,7 +311,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Col
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, bits, accepted) for each row."""
-    given = docs.sparkSession.sparkContext.broadcast(model)
+    given = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -327,7 +327,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is accepted as one of the model's languages."""
-    given = docs.sparkSession.sparkContext.broadcast(model)
+    given = Shared(docs.sparkSession, model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ A text's features are its distinct words and a few marks of its shape (shares of
 words, bucketed), hashed into ``1 << BITS`` weights that all grades share. With ordered thresholds t_1 < t_2 < ... the model is
 P(grade <= k) = sigmoid(t_k - w.x). It gives each text its expected grade and the tail probability of the highest grade,
 by which documents are selected. Training takes at most ``sample`` rated documents, those with the least hashes of their
-identifier, and runs on the driver; scoring is one pass over all texts.
+identifier, and runs on the driver by limited-memory BFGS; scoring is one pass over all texts.
 
 Defined results
     null and empty texts are scored by their shape alone; rows rated several times count as often; ratings without grade or without
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framequill.llm.words import mix, slices, text_bytes, word_hashes
-from framequill.session import load, ship, small_batches
+from framequill.session import Shared, load, ship, small_batches
 
 ship(__name__)
 
@@ -70,34 +70,56 @@ class Ordinal:
         return sigmoid(self.index(numbers, begin)[:, None] - self.thresholds[None, :])
 
 
-def fit(numbers: np.ndarray, begin: np.ndarray, grades: np.ndarray, penalty: float = 1e-5, steps: int = 200, rate: float = 0.3) -> Ordinal:
-    """Maximum likelihood with a quadratic penalty, by Adam on all rows; grades are 0, 1, ... without gaps."""
-    kinds = int(grades.max()) + 1
-    n = len(grades)
-    cum = np.clip(np.array([(grades <= k).mean() for k in range(kinds - 1)]), 1e-4, 1 - 1e-4)
-    model = Ordinal(np.zeros(1 << BITS), np.log(cum / (1 - cum)))
-    gaps = np.log(np.maximum(np.diff(model.thresholds), 1e-2))
+def objective(point: np.ndarray, numbers: np.ndarray, begin: np.ndarray, grades: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """(penalised mean negative log-likelihood, its gradient) at weights, first threshold and logarithms of the gaps."""
+    size, n = 1 << BITS, len(grades)
+    weights, gaps = point[:size], np.exp(point[size + 1 :])
+    model = Ordinal(weights, point[size] + np.concatenate([[0.0], np.cumsum(gaps)]))
+    x = model.index(numbers, begin)
+    edges = np.concatenate([[-np.inf], model.thresholds, [np.inf]])
+    up, low = sigmoid(edges[grades + 1] - x), sigmoid(edges[grades] - x)
+    p = np.maximum(up - low, 1e-12)
+    d_up, d_low = up * (1 - up) / p, low * (1 - low) / p
     scale = 1 / np.sqrt(np.maximum(np.diff(begin), 1))
-    size = len(model.weights)
-    state = np.zeros((2, size + kinds - 1))
-    for step in range(1, steps + 1):
-        x = model.index(numbers, begin)
-        edges = np.concatenate([[-np.inf], model.thresholds, [np.inf]])
-        up, low = sigmoid(edges[grades + 1] - x), sigmoid(edges[grades] - x)
-        p = np.maximum(up - low, 1e-12)
-        d_up, d_low = up * (1 - up) / p, low * (1 - low) / p  # d log p / d threshold above, below (negative)
-        slope = (d_low - d_up) / n  # d loss / d threshold is -d_up and +d_low; x has the opposite sign
-        grad_w = np.bincount(numbers, np.repeat(-slope * scale, np.diff(begin)), size) + penalty * model.weights
-        grad_t = np.array([(-d_up[grades == k]).sum() + d_low[grades == k + 1].sum() for k in range(kinds - 1)]) / n
-        grad = np.concatenate([grad_w, [grad_t.sum()], np.cumsum(grad_t[::-1])[::-1][1:] * np.exp(gaps)])
-        state[0] = 0.9 * state[0] + 0.1 * grad
-        state[1] = 0.99 * state[1] + 0.01 * grad * grad
-        move = rate * (1 + np.cos(np.pi * step / steps)) / 2 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
-        model.weights -= move[:size]
-        gaps = gaps - 0.1 * move[size + 1 :]
-        first = model.thresholds[0] - 0.1 * move[size]
-        model.thresholds = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-    return model
+    grad_w = np.bincount(numbers, np.repeat((d_up - d_low) * scale / n, np.diff(begin)), size) + penalty * weights
+    grad_t = np.array([d_low[grades == k + 1].sum() - d_up[grades == k].sum() for k in range(len(model.thresholds))]) / n
+    later = np.cumsum(grad_t[::-1])[::-1]
+    return float(-np.log(p).mean() + 0.5 * penalty * weights @ weights), np.concatenate([grad_w, [later[0]], later[1:] * gaps])
+
+
+def fit(numbers: np.ndarray, begin: np.ndarray, grades: np.ndarray, penalty: float = 1e-6, steps: int = 80, memory: int = 8) -> Ordinal:
+    """Maximum penalised likelihood by limited-memory BFGS; grades are 0, 1, ... without gaps."""
+    size, kinds = 1 << BITS, int(grades.max()) + 1
+    cum = np.clip(np.array([(grades <= k).mean() for k in range(kinds - 1)]), 1e-4, 1 - 1e-4)
+    start = np.log(cum / (1 - cum))
+    point = np.concatenate([np.zeros(size), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
+    value, grad = objective(point, numbers, begin, grades, penalty)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, alphas = grad.copy(), []
+        for s, y in reversed(pairs):
+            alphas.append((s @ q) / (s @ y))
+            q -= alphas[-1] * y
+        q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1.0
+        for (s, y), alpha in zip(pairs, reversed(alphas)):
+            q += s * (alpha - (y @ q) / (s @ y))
+        step, slope = 1.0, -(grad @ q)
+        while step > 1e-8:
+            tried = point - step * q
+            after, new = objective(tried, numbers, begin, grades, penalty)
+            if after <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, y = tried - point, new - grad
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y)][-memory:]
+        done = value - after < 1e-7 * max(1.0, abs(value))
+        point, value, grad = tried, after, new
+        if done:
+            break
+    return Ordinal(point[:size], point[size] + np.concatenate([[0.0], np.cumsum(np.exp(point[size + 1 :]))]))
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample: int = 12_000) -> Ordinal | None:
@@ -126,7 +148,7 @@ def rate(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     model = train(docs, ratings, sample)
     if model is None:
         return docs.select("id", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(True).alias("selected"))
-    given = docs.sparkSession.sparkContext.broadcast(Ordinal(model.weights.astype(np.float32), model.thresholds))
+    given = Shared(docs.sparkSession, Ordinal(model.weights.astype(np.float32), model.thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

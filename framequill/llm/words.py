@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-from framequill.session import ship
+from framequill.session import ship, tidy
 
 ship(__name__)
 
@@ -88,9 +88,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of a piece have about ``most`` bytes together."""
-    for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
-        group = np.cumsum(np.asarray(lengths.fill_null(0), dtype=np.int64)) // most
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)] if len(group) else []
-        for a, b in zip(cuts, cuts[1:]):
-            yield batch.slice(a, b - a)
+    try:
+        for batch in batches:
+            lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+            group = np.cumsum(np.asarray(lengths.fill_null(0), dtype=np.int64)) // most
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)] if len(group) else []
+            for a, b in zip(cuts, cuts[1:]):
+                yield batch.slice(a, b - a)
+    finally:
+        tidy()
