@@ -164,3 +164,32 @@ def flow_gate(flows: DataFrame, key: Sequence[str], roundtrip: str, residual: st
     """(key, p95, residual, moved, passed): limits of an interpolated bridge on its own flow figures."""
     found = flows.groupBy(*key).agg(F.percentile(roundtrip, F.lit(0.95)).alias("p95"), F.avg(residual).alias("residual"), F.max(moved).alias("moved"), F.min(least_side).alias("side"))
     return found.withColumn("passed", (F.col("p95") <= 1.5) & (F.col("residual") <= 12) & (F.col("moved") <= F.col("side") * 0.08)).drop("side")
+
+
+def cropped(px: Column, width: int, x: int, y: int, w: int, h: int) -> Column:
+    """A rectangle of a row-major array."""
+    return F.flatten(F.transform(F.sequence(F.lit(y), F.lit(y + h - 1)), lambda r: F.slice(px, r * width + F.lit(x + 1), F.lit(w))))
+
+
+def composite(front: Column, back: Column, matte: Column) -> Column:
+    """Frame over clean plate by a reviewed matte 0..255, element by element, rounded half to even."""
+    both = F.zip_with(front, back, lambda f, b: F.struct(f.alias("f"), b.alias("b")))
+    return F.zip_with(both, matte, lambda p, m: F.rint(p["f"] * (m / 255) + p["b"] * (1 - m / 255)).cast("int"))
+
+
+def patched(front: Column, base: Column, mode: Column, edge: Column, light: Column, alpha: Column) -> Column:
+    """One channel of a frame's patch: kept as it is, edge-connected light replaced by the base, or keyed over the base by alpha 0..255."""
+    return (F.when(mode == "preserve", front).when(mode == "replace-edge-light", F.when(edge & light, base).otherwise(front))
+            .when(mode == "chroma-key", F.rint(front * (alpha / 255) + base * (1 - alpha / 255))).cast("int"))
+
+
+def matte_motion(df: DataFrame, key: Sequence[str], order: str, matte: str, px: str, solid: int = 192, least: int = 64) -> DataFrame:
+    """(key, order, edge_motion): mean difference to the frame before where both mattes are solid; null with less than ``least`` such pixels."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy(*key).orderBy(order)
+    paired = df.withColumn("__m", F.lag(matte).over(before)).withColumn("__p", F.lag(px).over(before))
+    gaps = F.zip_with(F.zip_with(px, "__p", lambda a, b: F.abs(a - b)), F.zip_with(matte, "__m", lambda a, b: (a > solid) & (b > solid)), lambda g, s: F.when(s, g.cast("double")))
+    solid_gaps = F.filter(gaps, lambda g: g.isNotNull())
+    mean = F.when(F.size(solid_gaps) >= least, F.aggregate(solid_gaps, F.lit(0.0), lambda s, g: s + g) / F.size(solid_gaps))
+    return paired.select(*key, order, mean.alias("edge_motion"))

@@ -118,3 +118,42 @@ def publish(df: DataFrame, path: str, by: str | None = None) -> None:
 
 def publish_manifests(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", True).json(path)
+
+
+def selected(frames: DataFrame, indices: Sequence[int]) -> DataFrame:
+    """Frames of the given native indices; the list is a handful by contract and becomes a pushed-down predicate."""
+    return frames.where(F.col("frame").isin(*sorted(set(indices))))
+
+
+def missing_selected(frames: DataFrame, indices: Sequence[int]) -> DataFrame:
+    """(source, found) of clips that lack some of the indices."""
+    wanted = len(set(indices))
+    return selected(frames, indices).groupBy("source").agg(F.count_distinct("frame").alias("found")).where(F.col("found") < wanted)
+
+
+def frame_number(name: Column) -> Column:
+    """The number a frame file's name ends in: order of frames is order of numbers, not of names."""
+    return F.regexp_extract(name, r"(\d+)\.[A-Za-z0-9]+$", 1).cast("int")
+
+
+def matte_of(mattes: Column, frame: Column) -> Column:
+    """A sample's matte from a map keyed by source frame, null where there is none."""
+    return F.try_element_at(mattes, frame)
+
+
+def first_listed(options: Column, wanted: Column) -> Column:
+    """The first option that equals a wanted one without regard to case."""
+    return F.get(F.filter(options, lambda o: F.lower(o) == F.lower(wanted)), F.lit(0))
+
+
+def archive(inputs: DataFrame, path: str) -> None:
+    """Append exact input bytes under their digest; what is there already is not written again."""
+    rows = inputs.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("bytes"), "content").dropDuplicates(["sha256"])
+    spark = inputs.sparkSession
+    try:
+        known = spark.read.parquet(path).select("sha256")
+        rows = rows.join(known, "sha256", "left_anti")
+    except Exception as missing:  # no archive yet
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+    rows.write.mode("append").parquet(path)

@@ -31,12 +31,21 @@ class Gate:
     leave: float = 1.35
     vertical: float = 1.15
     hysteresis: float = 0.0
+    #: First and last degrees of an open arc, beyond which the pointer rests; None for a full ring.
+    arc: tuple[float, float] | None = None
 
 
 #: (resting, last accepted angle)
 REST: tuple[bool, float | None] = (True, None)
 
 
+def arc_degrees(angle: float, arc: tuple[float, float]) -> float | None:
+    """Degrees of an angle on an arc, None outside; ends count with a slack of 1e-7."""
+    at = math.degrees(angle) % 360
+    at = at + 360 if at < arc[0] - 1e-7 else at
+    return None if at > arc[1] + 1e-7 else min(max(at, arc[0]), arc[1])
+
+
 def point(state: tuple[bool, float | None], dx: float, dy: float, gate: Gate) -> tuple[tuple[bool, float | None], str]:
     """(state after an event, what it does): rest, snap, move or hold."""
     resting, last = state
@@ -47,9 +56,15 @@ def point(state: tuple[bool, float | None], dx: float, dy: float, gate: Gate) ->
     turn = 2 * math.pi
     angle = math.atan2(dx, -dy * gate.vertical)
     angle -= math.floor(angle / turn) * turn
+    degrees = arc_degrees(angle, gate.arc) if gate.arc else None
+    if gate.arc and degrees is None:
+        return REST, "rest"
     if resting:
         return (False, angle), "snap"
-    if last is not None and abs(math.atan2(math.sin(angle - last), math.cos(angle - last))) < gate.hysteresis:
+    way = math.atan2(math.sin(angle - last), math.cos(angle - last)) if last is not None else math.inf
+    if gate.arc and last is not None:
+        way = math.radians(degrees - arc_degrees(last, gate.arc))
+    if abs(way) < gate.hysteresis:
         return (False, last), "hold"
     return (False, angle), "move"
 
