@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -31,16 +30,32 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCRATCH: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name under ``spark.checkpoint.dir``, which driver and executors share.
+    """A fresh folder name that driver and executors share: under ``spark.checkpoint.dir`` or the context's checkpoint folder.
 
-    Where the cluster names no such folder (local tests) a temporary one is set once.
+    A cluster that names neither gets a folder in the warehouse, local mode (tests) a temporary one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("FRAMEQUILL_LOCAL_CHECKPOINTS")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = os.environ["FRAMEQUILL_LOCAL_CHECKPOINTS"] = tempfile.mkdtemp(prefix="framequill-")
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            base = tempfile.mkdtemp(prefix="framequill-")
+        else:
+            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_framequill_scratch"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/framequill-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{base.rstrip('/')}/framequill-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the scratch folders of this process; call it when the results that read them have been written."""
+    n = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def spool(df: DataFrame, name: str = "table") -> DataFrame:
