@@ -31,7 +31,7 @@ from framequill.session import Shared, load, ship, small_batches
 ship(__name__)
 
 ORDER = 4
-PARTS = 64
+PARTS = 256
 BINS = 24
 _LETTERS: list[np.ndarray] = []
 
