@@ -33,11 +33,13 @@ ship(__name__)
 ORDER = 4
 PARTS = 256
 BINS = 24
+#: Fixed value: no assigned letter lies at or beyond this code point.
+LETTERS_END = 0x323B0
 _LETTERS: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """Code point to lower-cased letter, 0 for what is no letter; beyond the table a code point stands for itself."""
+    """Code point to lower-cased letter, 0 for what is no letter; ideographs beyond the table stand for themselves."""
     if not _LETTERS:
         table = np.zeros(0x30000, np.uint32)
         for i in range(len(table)):
@@ -58,7 +60,7 @@ def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     table = letters()
     chars = table[np.minimum(points, len(table) - 1)]
     if len(points) and points.max() >= len(table):
-        chars = np.where(points >= len(table), points, chars)
+        chars = np.where(points >= len(table), np.where(points < LETTERS_END, points, 0), chars)
     # One break after the last letter of a word or text; other breaks go.
     last = np.zeros(len(chars) + 1, bool)
     last[begin] = True
