@@ -33,6 +33,8 @@ ship(__name__)
 ORDER = 4
 PARTS = 256
 BINS = 24
+#: Bytes of text looked at together; each takes about 150 bytes of arrays.
+PIECE = 1 << 19
 #: Fixed value: no assigned letter lies at or beyond this code point.
 LETTERS_END = 0x323B0
 _LETTERS: list[np.ndarray] = []
@@ -189,7 +191,7 @@ def length_bin(n: np.ndarray) -> np.ndarray:
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to counted 4-grams (lang, c3, c2, c1, c0), c0 the last character."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", PIECE):
         langs = np.asarray(batch.column(0).to_pylist(), object)
         chars, begin = characters(batch.column(1))
         columns = windows(chars)
@@ -300,7 +302,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Col
         given = Shared(spark, model)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", PIECE):
                 h, n = given.value.entropies(batch.column(1))
                 own = [h[i, given.value.langs.index(l)] if l in given.value.langs else np.nan for i, l in enumerate(batch.column(0).to_pylist())]
                 keep = np.isfinite(own) & (n > 0)
@@ -316,7 +318,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     given = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             lang, score, bits, accepted = given.value.decide(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(bits, pa.float64(), from_pandas=True), pa.array(accepted)],
@@ -333,7 +335,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, PIECE):
             yield batch.filter(pa.array(given.value.decide(batch.column(at))[3]))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
