@@ -1 +1 @@
-"""Framequill."""
+"""Column expressions."""

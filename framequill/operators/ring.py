@@ -66,9 +66,8 @@ def overview(df: DataFrame, key: Sequence[str], most: int = 24) -> DataFrame:
     """(key, frame): up to ``most`` evenly spread indices of each sequence, rounded half to even, each once."""
     n = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     k = F.least(F.lit(most), F.col("n")).cast("int")
-    picks = n.withColumn("k", k).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    at = F.when(F.col("k") == 1, F.lit(0.0)).otherwise(half_even(F.col("j") * (F.col("n") - 1) / (F.col("k") - 1)))
-    return picks.select(*key, at.cast("long").alias("frame")).distinct()
+    spread = F.transform(F.sequence(F.lit(0), k - 1), lambda j: half_even(j * (F.col("n") - 1) / (k - 1)).cast("long"))
+    return n.select(*key, F.explode(F.when(k == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(spread))).alias("frame"))
 
 
 def sweep(count: Column, kind: str) -> Column:

@@ -1 +1 @@
-"""Framequill."""
+"""Sources and sinks."""

@@ -1 +1 @@
-"""Framequill."""
+"""Stateful processing of events."""
