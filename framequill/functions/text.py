@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Prose that stands for a missing decision.
-PLACEHOLDER = r"(?i)^\s*(todo|tbd|\?+|n/?a|placeholder|lorem ipsum.*)\s*$"
+#: Fixed value: a template's unfinished places.
+PLACEHOLDER = r"(?i)\{\{[^}]+\}\}|\[(?:ACTUAL|ALLOWED|PATH|OBSERVABLE|DESIRED|TASK|SUBJECT|FIXED|ENDING|RELEVANT)[A-Z _-]*\]|replace-with-"
 
 
 def canonical(pairs: dict[str, Column]) -> Column:

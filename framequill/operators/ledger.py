@@ -5,31 +5,35 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framequill.session import ship
 
 ship(__name__)
 
 
-def admitted(requests: DataFrame, key: str, order: Sequence[str], seconds: str, fingerprint: str, most: int, total: float, per_request: float) -> DataFrame:
+def admitted(requests: DataFrame, key: str, order: Sequence[str], seconds: str, fingerprint: str, most: int, total: float, per_request: float, allowed: Column | None = None) -> DataFrame:
     """Each request with ``accepted``, ``reason`` and ``used`` seconds after it.
 
     Requests of a budget are sorted by Spark and folded in one pass; a task holds the state of one budget at a time, so neither a
-    long ledger nor many budgets need memory beyond the admitted fingerprints (at most ``most``).
+    long ledger nor many budgets need memory beyond the admitted fingerprints (at most ``most``). ``allowed`` says whether a request keeps to
+    the recorded models, resolutions and media; null counts as no.
     """
-    slim = requests.select(F.col(key).cast("long").alias("key"), *[F.col(c) for c in order], F.col(seconds).cast("double").alias("seconds"), F.col(fingerprint).cast("string").alias("fingerprint"))
+    slim = requests.select(F.col(key).cast("long").alias("key"), *[F.col(c) for c in order], F.col(seconds).cast("double").alias("seconds"), F.col(fingerprint).cast("string").alias("fingerprint"),
+                           F.coalesce(allowed, F.lit(False)).alias("allowed") if allowed is not None else F.lit(True).alias("allowed"))
     schema = "key long, id long, seconds double, accepted boolean, reason string, used double"
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, count, used, seen = None, 0, 0.0, set()
         for batch in batches:
             out = []
-            for k, i, s, f in zip(*(batch.column(j).to_pylist() for j in range(4))):
+            for k, i, s, f, ok in zip(*(batch.column(j).to_pylist() for j in range(5))):
                 if k != now:
                     now, count, used, seen = k, 0, 0.0, set()
                 if s is None or not 0 < s < float("inf"):
                     reason = "invalid"
+                elif not ok:
+                    reason = "not-allowed"
                 elif s > per_request:
                     reason = "per-request"
                 elif count >= most:
@@ -46,18 +50,27 @@ def admitted(requests: DataFrame, key: str, order: Sequence[str], seconds: str,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.float64()))],
                                              ["key", "id", "seconds", "accepted", "reason", "used"])
 
-    dealt = slim.repartition("key").sortWithinPartitions("key", *order).select("key", F.col(order[-1]).cast("long").alias("id"), "seconds", "fingerprint")
+    dealt = slim.repartition("key").sortWithinPartitions("key", *order).select("key", F.col(order[-1]).cast("long").alias("id"), "seconds", "fingerprint", "allowed")
     return dealt.mapInArrow(fold, schema)
 
 
+#: Stages of an attempt.
+STAGES = ("pilot", "repair", "segment", "expansion")
+
+
 def stage_problems(ledger: DataFrame, key: str, seq: str) -> DataFrame:
-    """(key, seq, problem): a pilot after any other attempt, or a stage other than pilot before there is one."""
-    from pyspark.sql import Window
+    """(key, seq, stage, problem) of attempts (stage, request, pilot_request) that their ledger does not allow.
 
+    A pilot may only be the first attempt. An expansion names the request of exactly one earlier pilot.
+    """
     before = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    earlier, pilots = F.count(F.lit(1)).over(before), F.count(F.when(F.col("stage") == "pilot", 1)).over(before)
-    problem = (F.when((F.col("stage") == "pilot") & (earlier > 0), "pilot-not-first").when((F.col("stage") != "pilot") & (pilots == 0), "no-pilot"))
-    return ledger.withColumn("problem", problem).where("problem is not null").select(key, F.col(seq).alias("seq"), "stage", "problem")
+    pilots = ledger.where("stage = 'pilot'").select(key, F.col("request").alias("pilot_request"), F.col(seq).alias("__pilot_seq"))
+    named = (ledger.where("stage = 'expansion'").join(pilots, [key, "pilot_request"], "left").groupBy(key, seq)
+             .agg(F.count_if(F.col("__pilot_seq") < F.col(seq)).alias("__pilots")))
+    problem = (F.when(~F.coalesce(F.col("stage").isin(*STAGES), F.lit(False)), "unknown-stage").when((F.col("stage") == "pilot") & (F.col("__earlier") > 0), "pilot-not-first")
+               .when((F.col("stage") == "expansion") & (F.col("__pilots") != 1), "no-single-pilot"))
+    counted = ledger.withColumn("__earlier", F.count(F.lit(1)).over(before)).join(named, [key, seq], "left")
+    return counted.withColumn("problem", problem).where("problem is not null").select(key, F.col(seq).alias("seq"), "stage", "problem")
 
 
 def limit_problems(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -10,8 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-DIRECTIONS = ("up", "up-right", "right", "down-right", "down", "down-left", "left", "up-left")
-
 
 def violations(df: DataFrame, key: Sequence[str], rules: dict[str, Column]) -> DataFrame:
     """(key, rule) for each rule a row breaks."""

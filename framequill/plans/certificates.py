@@ -228,14 +228,15 @@ def budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with s as (select user_id, event_id as seq, case event_type when 'click' then 'pilot' when 'view' then 'segment' else 'expansion' end as stage from events where event_id % 7 = 0),
-w as (select *, count(*) over p as earlier, count(*) filter (where stage = 'pilot') over p as pilots from s
-      window p as (partition by user_id order by seq rows between unbounded preceding and 1 preceding))
-select user_id, seq, stage, case when stage = 'pilot' then 'pilot-not-first' else 'no-pilot' end as problem from w
-where (stage = 'pilot' and earlier > 0) or (stage <> 'pilot' and pilots = 0)""")
+with s as (select user_id, event_id as seq, case event_type when 'click' then 'pilot' when 'view' then 'segment' else 'expansion' end as stage, event_id % 5 as request, event_id * 3 % 5 as pilot_request from events where event_id % 7 = 0),
+w as (select s.*, (select count(*) from s e where e.user_id = s.user_id and e.seq < s.seq) as earlier,
+  (select count(*) from s e where e.user_id = s.user_id and e.seq < s.seq and e.stage = 'pilot' and e.request = s.pilot_request) as pilots from s)
+select user_id, seq, stage, case when stage = 'pilot' then 'pilot-not-first' else 'no-single-pilot' end as problem from w
+where (stage = 'pilot' and earlier > 0) or (stage = 'expansion' and pilots <> 1)""")
 def stage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.when(F.col("event_type") == "click", "pilot").when(F.col("event_type") == "view", "segment").otherwise("expansion")
-    attempts = load(spark, sf_dir, "events").where("event_id % 7 = 0").select("user_id", F.col("event_id").alias("at"), stage.alias("stage"))
+    attempts = load(spark, sf_dir, "events").where("event_id % 7 = 0").select(
+        "user_id", F.col("event_id").alias("at"), stage.alias("stage"), (F.col("event_id") % 5).alias("request"), (F.col("event_id") * 3 % 5).alias("pilot_request"))
     return ledger.stage_problems(attempts, "user_id", "at")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framequill.functions import text
-from framequill.operators import requests, rules
+from framequill.operators import motion, requests, rules
 from framequill.plans.catalog import query
 from framequill.session import load
 
@@ -124,7 +124,7 @@ def scalar_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     colour = F.concat(F.lit("#"), *[F.lower(F.lpad(F.hex(c.cast("long")), 2, "0")) for c in (key % 256, size, key * 7 % 256)])
     rate = F.when(key % 9 == 0, "0/0").when(key % 2 == 0, F.concat((key % 60).cast("string"), F.lit("/1"))).otherwise(F.concat((key % 60).cast("string"), F.lit("/1001")))
     path = F.when(key % 4 == 1, F.lit("a/../../b")).otherwise(F.lit("a/b.png"))
-    said = F.when(key % 3 == 0, F.lit(" TODO ")).otherwise(F.lit("turn left"))
+    said = F.when(key % 3 == 0, F.lit("walk [SUBJECT NAME] in")).otherwise(F.lit("turn left"))
     layer = F.when(size % 2 == 0, F.lit("actor-1")).otherwise(F.lit("1Actor"))
     c = text.hex_colour(colour)
     return load(spark, sf_dir, "part").select(
@@ -189,3 +189,32 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linestatus", ((F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey")) * 2 + (F.col("l_linestatus") == "O").cast("long")).alias("at"))
     return lines.join(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderkey").agg(
         F.max_by("l_linestatus", "at").alias("state"), F.count(F.lit(1)).alias("polls"))
+
+
+KIND_SQL = "['closed-orbit', 'entry-orbit', 'upper-arc', 'diagnostic', 'reference-motion', 'segment'][p_partkey % 6 + 1]"
+
+
+@query(f"""
+select p_partkey, {KIND_SQL} as kind, case p_partkey % 6
+  when 0 then '0% up -> 12.5% upper-right -> 25% right -> 37.5% lower-right -> 50% down -> 62.5% lower-left -> 75% left -> 87.5% upper-left -> 100% up'
+  when 1 then '0% neutral -> 12% up -> 21.5% upper-right -> 31% right -> 40.5% lower-right -> 50% down -> 59.5% lower-left -> 69% left -> 78.5% upper-left -> 88% up -> 100% neutral'
+  when 2 then '0% upper-left -> 50% up -> 100% upper-right' when 5 then '0% ' || left(p_brand, 5) || ' -> 50% up -> 100% down' else '' end as path from part""")
+def motion_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(k) for k in motion.KINDS]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    none = F.lit(None).cast("double")
+    points = motion.checkpoints(kind, F.substring("p_brand", 1, 5), F.lit("up"), F.lit("down"), none, none)
+    return load(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), motion.path_text(points).alias("path"))
+
+
+@query("""
+with r as (select c_custkey, c_nationkey % 2 = 0 as has_first, c_nationkey % 3 = 0 as has_last, c_custkey % 5 = 0 as loop, c_custkey % 4 as refs, cast(c_acctbal as bigint) as chars from customer)
+select c_custkey, 'prompt-length' as rule from r where greatest(chars, 0) > 7000
+union all select c_custkey, 'loop-needs-first' from r where loop and not has_first
+union all select c_custkey, 'loop-or-last' from r where loop and has_last
+union all select c_custkey, 'last-needs-first' from r where has_last and not has_first
+union all select c_custkey, 'frames-or-references' from r where (has_first or has_last) and refs > 0""")
+def content_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, key = F.col("c_nationkey"), F.col("c_custkey")
+    chars = F.greatest(F.rint("c_acctbal").cast("int"), F.lit(0))
+    rules_ = motion.content_contract(F.repeat(F.lit("x"), chars), F.when(nation % 2 == 0, "a"), F.when(nation % 3 == 0, "b"), key % 5 == 0, F.array_repeat(F.lit("r"), (key % 4).cast("int")))
+    return rules.violations(load(spark, sf_dir, "customer"), ["c_custkey"], rules_)

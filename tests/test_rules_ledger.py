@@ -30,9 +30,17 @@ def test_refused_requests_consume_nothing(spark):
         "", "duplicate", "per-request", "invalid", "invalid", "", "", "count"]
 
 
-def test_pilot_comes_first_and_only_first(spark):
-    df = spark.createDataFrame([("a", 1, "pilot"), ("a", 2, "segment"), ("b", 1, "repair"), ("b", 2, "pilot")], "k string, n int, stage string")
-    assert sorted((r["k"], r["seq"], r["problem"]) for r in ledger.stage_problems(df, "k", "n").collect()) == [("b", 1, "no-pilot"), ("b", 2, "pilot-not-first")]
+def test_stages_follow_the_ledger(spark):
+    rows = [("a", 1, "pilot", "p", None), ("a", 2, "segment", "s", None), ("a", 3, "expansion", "e", "p"), ("a", 4, "expansion", "f", "q"), ("b", 1, "repair", "r", None), ("b", 2, "pilot", "p", None),
+            ("c", 1, "expansion", "e", "p"), ("c", 2, "else", "x", None)]
+    found = ledger.stage_problems(spark.createDataFrame(rows, "k string, n int, stage string, request string, pilot_request string"), "k", "n").collect()
+    assert sorted((r["k"], r["seq"], r["problem"]) for r in found) == [("a", 4, "no-single-pilot"), ("b", 2, "pilot-not-first"), ("c", 1, "no-single-pilot"), ("c", 2, "unknown-stage")]
+
+
+def test_requests_outside_the_recorded_models_are_refused(spark):
+    df = spark.createDataFrame([(1, i, 1.0, f"f{i}", m) for i, m in enumerate(["a", "b", None])], "k int, i int, s double, f string, m string")
+    found = ledger.admitted(df, "k", ["i"], "s", "f", most=3, total=8, per_request=5, allowed=F.col("m") == "a").orderBy("id").collect()
+    assert [r["reason"] for r in found] == ["", "not-allowed", "not-allowed"]
 
 
 def test_overlap_reports_each_pair_once(spark):
@@ -69,7 +77,7 @@ def test_text_helpers(spark):
     assert one(text.hex_colour(F.lit("#0f8"))) == [0, 255, 136] and one(text.hex_colour(F.lit("#12345"))) is None
     assert one(text.short_number(F.lit(2.50))) == "2.5" and one(text.short_number(F.lit(10.0))) == "10"
     assert not one(text.is_confined(F.lit("/a"))) and not one(text.is_confined(F.lit("a/../b"))) and one(text.is_confined(F.lit("a..b/c")))
-    assert not one(text.is_prose(F.lit(None).cast("string"))) and not one(text.is_prose(F.lit(" tbd ")))
+    assert not one(text.is_prose(F.lit(None).cast("string"))) and not one(text.is_prose(F.lit("a {{pose}}")))
     assert one(text.masked(F.lit("see https://x.y/z?q=1 ok"))) == "see [url] ok"
     assert one(text.canonical({"b": F.lit(1), "a": F.lit("x")})) == '{"a":"x","b":1}'
 
