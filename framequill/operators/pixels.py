@@ -34,8 +34,10 @@ def border_stability(pixels: DataFrame, clip: Sequence[str], frame: str, distanc
 
 def channel_offset(pixels: DataFrame, key: Sequence[str], reference: str, value: str, most: float = 12, worse: float = 0.05) -> DataFrame:
     """(key, shift, before, after, accepted): median shift of a channel, refused if large or if it makes things worse."""
-    shift = pixels.groupBy(*key).agg(F.percentile(F.col(reference) - F.col(value), F.lit(0.5)).alias("shift"))
-    joined = pixels.join(shift, list(key))
+    from pyspark.sql import Window
+
+    shift = F.percentile(F.col(reference) - F.col(value), F.lit(0.5)).over(Window.partitionBy(*key))
+    joined = pixels.withColumn("shift", shift)  # the aggregate below reuses the window's partitioning
     found = joined.groupBy(*key).agg(
         F.min("shift").alias("shift"), F.avg(F.abs(F.col(reference) - F.col(value))).alias("before"), F.avg(F.abs(F.col(reference) - F.col(value) - F.col("shift"))).alias("after"))
     return found.withColumn("accepted", (F.abs("shift") <= most) & (F.col("after") <= F.col("before") + worse))
