@@ -6,26 +6,37 @@ from pyspark.sql import DataFrame, functions as F
 
 from framequill.session import spool
 
-SALTS = 8
+#: A side is broadcast with at most so many rows (about 4 MB as a relation), or so many distinct keys of 8 bytes (about
+#: 40 MB); beyond, both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_KEYS = 100_000, 1_000_000
+
+
+def matching(rows: DataFrame, keys: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """Join wide rows with a spooled slim table, so that rows without a match don't travel while the keys are few enough."""
+    n = keys.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), on, how)
+    if how == "inner" and isinstance(on, str):
+        narrow = spool(keys.select(on).distinct(), "keys")
+        return (rows.join(F.broadcast(narrow), on, "left_semi") if narrow.count() <= BROADCAST_KEYS else rows).join(keys, on)
+    return rows.join(F.broadcast(keys) if n <= BROADCAST_KEYS and isinstance(on, str) else keys, on, how)
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b), component the least node reachable; least nodes left out.
 
-    Every step joins each edge with the least neighbour of one of its ends, a partial aggregate; no
-    neighbourhood is gathered. A node with a large share of all edges is dealt to ``SALTS`` tasks: edges carry a salt, least
-    neighbours come once for each. The number of steps grows with the logarithm of the longest path.
+    Every step joins each edge with the least neighbour of one of its ends, a partial aggregate written before the join, so
+    that a node with a large share of all edges can be split; no neighbourhood is gathered. The number of steps grows with the logarithm of
+    the longest path.
     """
-    salted = lambda edges: edges.withColumn("salt", F.pmod(F.xxhash64("u", "v"), F.lit(SALTS)).cast("int"))
-    for_all = lambda least: least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     stars = spool(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     before = None
     for _ in range(rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted(both).join(for_all(least), ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted(large).join(for_all(least), ["u", "salt"]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = spool(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = matching(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = spool(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = matching(large, least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = spool(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         now = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framequill.llm.graph import components
+from framequill.llm.graph import components, matching
 from framequill.llm.words import BASE, mix, powers, slices, text_bytes, word_hashes
 from framequill.session import load, ship, small_batches, spool
 
@@ -40,9 +40,6 @@ WIDTH = 5
 HASHES, ROWS, STEP = 128, 4, 32
 #: Members of a group that are compared in one task.
 BLOCK = 1024
-#: A side is broadcast with at most so many rows (about 4 MB as a relation), or so many distinct keys of 8 bytes (about
-#: 40 MB); beyond, both sides are shuffled.
-BROADCAST_ROWS, BROADCAST_KEYS = 100_000, 1_000_000
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -209,17 +206,6 @@ def by_set(percent: int, miss: float):
     return run
 
 
-def matching(rows: DataFrame, keys: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
-    """Join wide rows with a spooled slim table, so that rows without a match don't travel while the keys are few enough."""
-    n = keys.count()
-    if n <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(keys), on, how)
-    if how == "inner" and isinstance(on, str):
-        narrow = spool(keys.select(on).distinct(), "keys")
-        return (rows.join(F.broadcast(narrow), on, "left_semi") if narrow.count() <= BROADCAST_KEYS else rows).join(keys, on)
-    return rows.join(F.broadcast(keys) if n <= BROADCAST_KEYS and isinstance(on, str) else keys, on, how)
-
-
 def linked(groups: DataFrame, attach: Callable[[DataFrame], DataFrame], kernel, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect the members of each group (g, node) as far as ``kernel`` finds them alike.
 
