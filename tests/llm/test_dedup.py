@@ -158,7 +158,7 @@ def test_chunks_come_back_in_step_after_an_insertion():
 
     rng = random.Random(2)
     tail = prose(rng, 400)
-    _, _, _, words_, digest = substring_dedup.chunks(*text_bytes(pa.array([prose(rng, 31) + " " + tail, "insert " + tail])))
+    _, _, _, words_, digest, _, _ = substring_dedup.chunks(*text_bytes(pa.array([prose(rng, 31) + " " + tail, "insert " + tail])))
     split = np.flatnonzero(np.cumsum(words_) == 431)[0] + 1
     shared = set(digest[:split].tolist()) & set(digest[split:].tolist())
     assert len(shared) > 0.9 * (len(digest) - split)
