@@ -181,6 +181,23 @@ def by_signature(threshold: float, miss: float):
     return run
 
 
+def bitmaps(sets: list[np.ndarray], most: int = 32 << 20) -> np.ndarray | None:
+    """Rows of bits for the members that several sets have, which alone can be shared; None if they took more than ``most`` bytes."""
+    members, n = np.unique(np.concatenate(sets), return_counts=True)
+    members = members[n > 1]
+    width = -(-len(members) // 64) or 1
+    if len(sets) * width * 8 > most:
+        return None
+    bits = np.zeros((len(sets), width * 8), np.uint8)
+    for row, own in zip(bits, sets):
+        held = np.zeros(width * 64, bool)
+        if len(members) and len(own):
+            at = np.minimum(np.searchsorted(members, own), len(members) - 1)
+            held[at[members[at] == own]] = True
+        row[:] = np.packbits(held)
+    return bits.view(np.uint64)
+
+
 def by_set(percent: int, miss: float):
     rules = cutoffs(2 * HASHES, percent / 100, miss)
 
@@ -188,12 +205,16 @@ def by_set(percent: int, miss: float):
         for nodes, sets in grouped(slices(batches, "payload"), shingle_sets):
             table = np.stack([signature(own, 2 * HASHES) for own in sets])
             sizes = np.array([len(own) for own in sets])
+            bits = bitmaps(sets)
 
             def near(i: int, rest: np.ndarray) -> np.ndarray:
                 fits = np.flatnonzero(100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
                 fits = fits[alike(table[i], table[rest[fits]], rules)] if sizes[i] else fits[:0]
                 if not len(fits):
                     return fits
+                if bits is not None:
+                    shared = np.bitwise_count(bits[rest[fits]] & bits[i]).sum(axis=1, dtype=np.int64)
+                    return fits[100 * shared >= percent * (sizes[rest[fits]] + sizes[i] - shared)]
                 parts = [sets[j] for j in rest[fits].tolist()]
                 joined, base = np.concatenate(parts), sets[i]
                 hit = base[np.minimum(np.searchsorted(base, joined), len(base) - 1)] == joined
