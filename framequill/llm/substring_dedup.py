@@ -7,12 +7,11 @@ occurs in several documents, the one in the document with the smallest identifie
 document that point to one other document seed a passage; seeds with eight words or more are looked up in that
 document's text and extended byte by byte in both directions, so a passage found so is an exact and maximal match in whole words of both texts.
 
-The earliest document with a chunk may have less of a passage than a later one. In documents that got no passage so, runs of repeated chunks
+The earliest document with a chunk may have less of a passage than a later one. Runs of repeated chunks
 that could hold more than ``words`` words are therefore looked at once more: every window of ``words + 1`` words in
-them, and in the runs of other documents with the same chunks, is digested, and of equal windows the earliest document's stays;
-such passages are equal in words and may differ in white space.
-So no document with a passage of more than ``words`` words in an earlier one goes unreported; where one is reported already, a
-further passage that the earliest document has in pieces may be missing.
+them that is not whole in a passage found so, and those in the runs of other documents with the same chunks, is digested, and of equal windows
+the earliest document's stays; such passages are equal in words, may differ in white space and may overlap those found first.
+So the passages cover every word of a document that is in more than ``words`` words of an earlier one, but for passages without a whole chunk.
 
 Defined results
     null and empty texts have no passage; rows without identifier neither match nor are reported; rows that repeat an
@@ -187,8 +186,11 @@ def extender(words: int):
     return run
 
 
-def windower(words: int):
-    """(id, regions, text, open) to the windows of ``words`` words in the regions (a, b, before, after), bytes with words to either side."""
+def windower(words: int, side: bool):
+    """(id, regions, text, spans) to the windows of ``words`` words in the regions (a, b, before, after), bytes with words to either side.
+
+    Windows that lie whole in one of the spans (byte_start, byte_end) are left out. A side's windows need no places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -200,29 +202,37 @@ def windower(words: int):
             first[1:] &= ~black[:-1] | bound[1:-1]
             last[:-1] &= ~black[1:] | bound[1:-1]
             starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-            if not len(starts):
-                continue
-            weights = powers(int((ends - starts).max()))
-            place = np.where(black, np.arange(len(data)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(data)]]))), 0)
-            hashes = mix(np.add.reduceat(np.where(black, RAW[data] * weights[place], 0), starts))
-            n = len(hashes) - words + 1
-            digest = np.zeros(max(n, 0), np.uint64)
-            for j, w in enumerate(powers(words) if n > 0 else []):
-                digest += hashes[j : j + n] * w
-            digest = mix(digest)
-            heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             begin = np.searchsorted(starts, offsets)
-            for i, regions in enumerate(batch.column(1).to_pylist()):
-                picked = []
+            picks = []
+            for i, (regions, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())):
+                picked = [np.zeros(0, np.int64)]
                 for region in regions:
                     a = np.searchsorted(starts, offsets[i] + region["a"]) - region["before"]
                     b = np.searchsorted(ends, offsets[i] + region["b"], side="right") + region["after"]
                     picked.append(np.arange(max(a, begin[i]), min(b, begin[i + 1]) - words + 1))
                 own = np.unique(np.concatenate(picked))
-                chars = heads[offsets[i]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(digest[own].view(np.int64)), pa.array([batch.column(0)[i].as_py()] * len(own), pa.int64()), pa.array([batch.column(3)[i].as_py()] * len(own), pa.bool_()), pa.array(own - begin[i]),
-                    pa.array(heads[starts[own]] - chars), pa.array(heads[ends[own + words - 1]] - chars)], ["digest", "id", "open", "nth", "a", "b"])
+                if spans and len(own):
+                    spans = np.array(sorted((s["byte_start"], s["byte_end"]) for s in spans)) + offsets[i]
+                    upto = np.append(-1, np.maximum.accumulate(spans[:, 1]))
+                    own = own[ends[own + words - 1] > upto[np.searchsorted(spans[:, 0], starts[own], side="right")]]
+                picks.append(own)
+            own = np.concatenate([np.zeros(0, np.int64), *picks])
+            if not len(own):
+                continue
+            weights = powers(int((ends - starts).max()))
+            place = np.where(black, np.arange(len(data)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(data)]]))), 0)
+            hashes = mix(np.add.reduceat(np.where(black, RAW[data] * weights[place], 0), starts))
+            digest = np.zeros(len(own), np.uint64)
+            for j, w in enumerate(powers(words)):
+                digest += hashes[own + j] * w
+            text = np.repeat(np.arange(len(picks)), [len(x) for x in picks])
+            columns = [pa.array(mix(digest).view(np.int64)), batch.column(0).take(pa.array(text))]
+            if not side:
+                heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                at, upto = starts[own], ends[own + words - 1]
+                columns += map(pa.array, (own - begin[text], heads[at] - heads[offsets[text]], heads[upto] - heads[offsets[text]], at - offsets[text], upto - offsets[text]))
+            for k in range(0, len(own), 50_000):
+                yield pa.RecordBatch.from_arrays([c.slice(k, 50_000) for c in columns], ["digest", "id", *([] if side else ["nth", "a", "b", "at", "upto"])])
 
     return run
 
@@ -236,33 +246,44 @@ def placed(matched: DataFrame) -> DataFrame:
 
 
 def candidate_runs(chunk: DataFrame, words: int) -> DataFrame:
-    """(id, a, b, before, after, later) of runs of chunks (id, at, near, later) that a passage of more than ``words`` words can hold."""
+    """(id, a, b, before, after) of runs of chunks (id, at, near) that a passage of more than ``words`` words can hold."""
     along = Window.partitionBy("id").orderBy("at")
     gap = F.col("start") - F.lag(F.col("start") + F.col("size")).over(along)
     opens = F.coalesce(gap > 8, F.lit(True))
     runs = (placed(chunk).withColumn("run", F.sum(opens.cast("int")).over(along)).groupBy("id", "run").agg(
         F.sum(F.shiftright("near", 42)).alias("words"), F.min(F.struct("at", "near")).alias("first"), F.max(F.struct("at", "near")).alias("last"),
-        F.min("start").alias("a"), F.max(F.col("start") + F.col("size")).alias("b"), F.bool_or("later").alias("later")))
+        F.min("start").alias("a"), F.max(F.col("start") + F.col("size")).alias("b")))
     reach = runs.withColumn("before", F.shiftright("first.near", 21).bitwiseAND(NEAR)).withColumn("after", F.col("last.near").bitwiseAND(NEAR))
-    return reach.where(F.col("words") + F.col("before") + F.col("after") > words).select("id", "a", "b", "before", "after", "later")
+    return reach.where(F.col("words") + F.col("before") + F.col("after") > words).select("id", "a", "b", "before", "after")
+
+
+def regions(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("id").agg(F.collect_list(F.struct("a", "b", "before", "after")).alias("regions"))
 
 
 def missed(docs: DataFrame, matched: DataFrame, found: DataFrame, words: int) -> DataFrame:
-    """(id, keep_id, start, length, words) of passages in documents that ``found`` has none of, from their repeated chunks (id, digest, keeper, at, near)."""
-    later = (F.col("id") > F.col("keeper")).alias("later")
-    runs = candidate_runs(matched.select("id", "at", "near", later), words).where("later")
-    open_ = spool(runs.join(found.select("id").distinct(), "id", "left_anti").select("id", "a", "b"), "open")
+    """(id, keep_id, start, length, words) of passages outside the byte spans of ``found``, from repeated chunks (id, digest, keeper, at, near).
+
+    What an earlier document has too is made of chunks with an earlier keeper, so only runs of such chunks ask; documents that share
+    chunks with what they ask for answer.
+    """
+    spans_type = "array<struct<byte_start: bigint, byte_end: bigint>>"
+    one = docs.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where("texts = 1").select("id")  # else spans do not say of which text
+    spans = spool(found.join(one, "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("byte_start", "byte_end")).alias("spans")), "spans")
+    wanted = spool(regions(candidate_runs(matched.where("id > keeper").select("id", "at", "near"), words)).join(spans, "id", "left"), "wanted")
+    texts = matching(docs, spool(wanted.select("id"), "nodes"), "id", "left_semi").join(wanted, "id").select("id", "regions", "text", "spans")
+    asks = spool(texts.mapInArrow(windower(words + 1, False), "digest long, id long, nth long, a long, b long, at long, upto long"), "asks")
+    along = Window.partitionBy("id").orderBy("at")
+    parts = asks.select("id", "at", "upto").withColumn("part", F.sum(F.coalesce((F.col("at") > F.lag("upto").over(along)).cast("int"), F.lit(0))).over(along))
+    open_ = spool(parts.groupBy("id", "part").agg(F.min("at").alias("a"), F.max("upto").alias("b")).drop("part"), "open")
     inside = (F.col("start") >= F.col("a")) & (F.col("start") < F.col("b"))
-    shared = spool(matching(placed(matched).select("id", "digest", "start"), open_, "id").where(inside).select("digest").distinct(), "shared")
-    sides = candidate_runs(matching(matched, shared, "digest", "left_semi").select("id", "at", "near", later), words)
-    done = found.select("id").distinct().withColumn("done", F.lit(True))
-    wanted = spool(sides.groupBy("id").agg(F.collect_list(F.struct("a", "b", "before", "after")).alias("regions")).join(done, "id", "left"), "wanted")
-    texts = matching(docs, spool(wanted.select("id"), "nodes"), "id", "left_semi").join(wanted, "id").select("id", "regions", "text", F.col("done").isNull().alias("open"))
-    windows = spool(texts.mapInArrow(windower(words + 1), "digest long, id long, open boolean, nth long, a long, b long"), "windows")
-    latest = F.max(F.when(F.col("open"), F.col("id")))
-    firsts = spool(windows.groupBy("digest").agg(F.min("id").alias("keep_id"), latest.alias("other")).where("keep_id < other").select("digest", "keep_id"), "firsts")
+    shared = spool(matching(placed(matched.where("id > keeper")).select("id", "digest", "start"), open_, "id").where(inside).select("digest").distinct(), "shared")
+    sides = spool(regions(candidate_runs(matching(matched, shared, "digest", "left_semi").select("id", "at", "near"), words)), "sides")
+    texts = matching(docs, spool(sides.select("id"), "nodes"), "id", "left_semi").join(sides, "id").select("id", "regions", "text", F.lit(None).cast(spans_type).alias("spans"))
+    firsts = texts.mapInArrow(windower(words + 1, True), "digest long, id long").groupBy("digest").agg(F.min("id").alias("keep_id"))
     along = Window.partitionBy("id", "keep_id").orderBy("nth")
-    hits = matching(windows.where("open"), firsts, "digest").where("id > keep_id").withColumn("run", F.sum(F.coalesce((F.col("nth") - F.lag("nth").over(along) > 1).cast("int"), F.lit(1))).over(along))
+    hits = spool(firsts.join(asks.select("digest", "id", "nth", "a", "b"), "digest").where("keep_id < id").drop("digest"), "hits")
+    hits = hits.withColumn("run", F.sum(F.coalesce((F.col("nth") - F.lag("nth").over(along) > 1).cast("int"), F.lit(1))).over(along))
     return hits.groupBy("id", "keep_id", "run").agg(F.min("a").alias("start"), (F.max("b") - F.min("a")).alias("length"), (F.max("nth") - F.min("nth") + words + 1).alias("words")).drop("run")
 
 

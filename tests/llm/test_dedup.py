@@ -150,6 +150,47 @@ def test_a_passage_that_the_earliest_document_has_in_pieces_is_found(spark):
     assert found == {(3 * k + 2, 3 * k + 1): (0, 60) for k in range(12)}
 
 
+def covered(spark, rows, size=51):
+    """(words of each document that the reported passages cover, the same by all windows of ``size`` words)."""
+    found = {d: set() for d, _ in rows}
+    text = dict(rows)
+    for r in substring_dedup.repeats(table(spark, rows)).collect():
+        at = len(text[r["id"]][: r["start"]].split())
+        found[r["id"]] |= set(range(at, at + r["words"]))
+    want, seen = {d: set() for d, _ in rows}, set()
+    for d, t in sorted(rows):
+        w = t.split()
+        windows = [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+        want[d].update(*(range(i, i + size) for i, x in enumerate(windows) if x in seen))
+        seen |= set(windows)
+    return found, want
+
+
+def test_a_further_passage_in_pieces_is_found_in_a_reported_document(spark):
+    rng = random.Random(21)
+    rows, n = [], 0
+    for k in range(12):
+        whole, passage = prose(rng, 70, 10**6), prose(rng, 60, 10**6).split()
+        pieces = list(passage)
+        pieces[20 + k], pieces[40] = "other", "another"
+        both = f"{' '.join(passage)} {prose(rng, 3 * (k % 3))} {whole}".replace("  ", " ")
+        rows += [(n, f"{prose(rng, 40)} {' '.join(pieces)} {prose(rng, 20)} {whole}"), (n + 1, f"{prose(rng, 30)} {' '.join(passage)} {prose(rng, 50)}"), (n + 2, f"{both} {prose(rng, 50)}")]
+        n += 3
+    found, want = covered(spark, rows)
+    assert found == want and all(len(want[3 * k + 2]) == 130 for k in range(12))
+
+
+def test_a_passage_that_goes_on_in_another_document_is_found_whole(spark):
+    rng = random.Random(22)
+    rows = []
+    for k in range(12):
+        passage = prose(rng, 160, 10**6).split()
+        rows += [(4 * k, f"{prose(rng, 20)} {' '.join(passage[:100])} {prose(rng, 20)}"), (4 * k + 1, f"{prose(rng, 20)} {' '.join(passage[60 + k :])} {prose(rng, 9)}"),
+                 (4 * k + 2, f"{prose(rng, 9)} {' '.join(passage[30:130])} {prose(rng, 9)}"), (4 * k + 3, f"{prose(rng, 9)} {' '.join(passage)} {prose(rng, 9)}")]
+    found, want = covered(spark, rows)
+    assert found == want
+
+
 def test_chunks_come_back_in_step_after_an_insertion():
     import numpy as np
     import pyarrow as pa
