@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,14 +58,29 @@ def sweep(spark: SparkSession) -> int:
     return n
 
 
-def spool(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+def spool(df: DataFrame, name: str = "table", parts: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing.
+
+    ``parts`` bounds the tasks and files of a table that is known to be small.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spool_counted(df: DataFrame, name: str = "table", parts: int | None = None, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``spool`` and, from the same job, the rows written (``n``) and how many rows each of ``counts`` holds for.
+
+    Tasks that ran twice may count twice: the figures say whether there are rows, and bound how many.
+    """
+    seen = Observation()
+    whole = {"n": F.lit(True)} | counts
+    table = spool(df.observe(seen, *[F.count_if(c).alias(k) for k, c in whole.items()]), name, parts)
+    found = seen.get
+    return table, {k: found.get(k) or 0 for k in whole}
+
+
 def ship(module: str) -> None:
     """Send a module's functions to executors by value, so that they need no copy of the package."""
     import sys
