@@ -16,9 +16,9 @@ compared with all blocks. That keeps every link between texts that share a band,
 
 Defined results
     null and wordless text: an empty set, linked with nothing; fewer than five words: one shingle of them all; rows without
-    identifier take their class's component and are kept only if that has no identifier either; rows that repeat an
-    identifier count as one document, and of several texts one is compared; an empty table gives an empty result; further
-    columns are ignored.
+    identifier are compared like others and give a component its name only if none of its rows has one; rows that repeat an
+    identifier are documents of their own, each with the component of its own text; very long texts are signed and compared
+    whole, one at a time; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framequill.llm.graph import components, matching
+from framequill.llm.exact_dedup import located
+from framequill.llm.graph import LINKS, components, contract, matching
 from framequill.llm.words import BASE, mix, powers, slices, text_bytes, word_hashes
-from framequill.session import load, ship, small_batches, spool
+from framequill.session import load, ship, small_batches, spool, spool_counted
 
 ship(__name__)
 
@@ -86,13 +87,13 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in slices(batches, "text"):
         sizes, digests, signatures = [], [], []
-        for own in shingle_sets(batch.column(1)):
+        for own in shingle_sets(batch.column(3)):
             sizes.append(len(own))
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             signatures.append(signature(own, HASHES).tobytes() if len(own) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
-            ["id", "n", "digest", "sig"])
+            [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
+            ["id", "path", "row", "n", "digest", "sig"])
 
 
 def signature_matrix(column: pa.Array) -> np.ndarray:
@@ -107,7 +108,7 @@ def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = signature_matrix(batch.column(1)).reshape(-1, bands, ROWS).astype(np.uint64)
         keys = (held * powers(ROWS + 1)[1:]).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * BASE
         yield pa.RecordBatch.from_arrays(
-            [pa.array(mix(keys).ravel().view(np.int64)), pa.array(np.repeat(np.asarray(batch.column(0)), bands))], ["key", "rep"])
+            [pa.array(mix(keys).ravel().view(np.int64)), pa.array(np.repeat(np.asarray(batch.column(0)), bands))], ["key", "node"])
 
 
 def cutoffs(hashes: int, threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -227,67 +228,97 @@ def by_set(percent: int, miss: float):
     return run
 
 
-def linked(groups: DataFrame, attach: Callable[[DataFrame], DataFrame], kernel, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect the members of each group (g, node) as far as ``kernel`` finds them alike.
+def linked(groups: DataFrame, n: int, attach: Callable[[DataFrame], DataFrame], kernel, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """Spooled stars (u, v) that connect the members of each of the ``n`` rows (g, node) as far as ``kernel`` finds them
+    alike, and how many there are.
 
     ``attach`` adds what the kernel compares as ``payload`` to rows (g, block, node).
     """
-    def search(rows: DataFrame) -> DataFrame:
+    parts = max(1, -(-n // LINKS))
+
+    def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from contract(kernel(batches))
+
+    def search(rows: DataFrame, *also: DataFrame) -> tuple[DataFrame, int]:
         rows = attach(rows).select("g", "block", "node", "payload")
-        return spool(rows.repartition("g", "block").sortWithinPartitions("g", "block", "node").mapInArrow(kernel, "a long, b long"), "links")
+        found = rows.repartition("g", "block").sortWithinPartitions("g", "block", "node").mapInArrow(contracted, "u long, v long")
+        for more in also:
+            found = found.unionByName(more)
+        table, seen = spool_counted(found, "links")
+        return table, seen["n"]
 
     def part(of):
         return F.pmod(F.xxhash64("node"), of)
 
-    sizes = spool(groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
-                  .withColumn("blocks", F.ceil(F.col("n") / block)), "sizes")
+    def each(of: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block))
+    sizes, seen = spool_counted(sizes, "sizes", parts, large=F.col("blocks") > 1)
     large = sizes.where("blocks > 1")
-    leads = large.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("node"))
-    found = search(groups.join(sizes, "g").select("g", part(F.col("blocks")).alias("block"), "node").unionByName(leads))
-    if large.isEmpty():
-        return found
+    dealt = groups.join(sizes, "g").select("g", part(F.col("blocks")).alias("block"), "node")
+    if not seen["large"]:
+        return search(dealt)
+    found, links = search(dealt.unionByName(large.select("g", each("blocks").alias("block"), F.col("lead").alias("node"))))
     # Members of large groups that are not with their leader yet meet every block of their group.
-    labels = components(found)
-    held = groups.join(large, "g").join(labels, "node", "left").select("g", "node", "lead", "blocks", F.coalesce("component", "node").alias("component"))
-    lead_at = held.where("node = lead").select("g", F.col("component").alias("lead_component"))
-    held = spool(held.join(lead_at, "g").select("g", "node", "blocks", (F.col("component") != F.col("lead_component")).alias("apart")), "apart")
-    shares = held.where("apart").groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("shares"))
-    if shares.isEmpty():
-        return found
-    held = held.join(shares, "g")
-    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    mine = held.where("apart").withColumn("u", part(F.col("shares"))).withColumn("m", to("blocks"))
-    all_ = held.withColumn("m", part(F.col("blocks"))).withColumn("u", to("shares"))
-    cells = mine.unionByName(all_, allowMissingColumns=True).select("g", (F.col("u") * F.col("blocks") + F.col("m")).alias("block"), "node").distinct()
-    return found.unionByName(search(cells))
+    labels = components(found, links)
+    held = groups.join(large, "g").join(labels.select(F.col("u").alias("node"), "v"), "node", "left").select("g", "node", "lead", "blocks", F.coalesce("v", "node").alias("root"))
+    lead_at = large.join(labels, F.col("lead") == F.col("u"), "left").select("g", F.coalesce("v", "lead").alias("lead_root"))
+    held = held.join(lead_at, "g").select("g", "node", "blocks", (F.col("root") != F.col("lead_root")).alias("apart"))
+    held, seen = spool_counted(held, "apart", parts, apart=F.col("apart"))
+    if not seen["apart"]:
+        return labels, links
+    held = held.join(held.where("apart").groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("shares")), "g")
+    mine = held.where("apart").withColumn("x", part(F.col("shares"))).withColumn("y", each("blocks"))
+    others = held.withColumn("y", part(F.col("blocks"))).withColumn("x", each("shares"))
+    cells = mine.unionByName(others).select("g", (F.col("x") * F.col("blocks") + F.col("y")).alias("block"), "node").distinct()
+    return search(cells, labels)
 
 
 def near_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-5, block: int = BLOCK,
 ) -> DataFrame:
-    """(id, n, component) for each row of ``docs``."""
+    """(id, path, row, n, component, stays) for each row of ``docs``: n the size of its set, component the least identifier
+    of its component, path and row where it lies (as ``exact_dedup.located`` tells), stays for one row of each component."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = spool(docs.mapInArrow(sign, "id long, n long, digest binary, sig binary"), "signed")
-    classes = spool(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")).where("rep is not null"), "classes")
+    docs = located(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
+    signed = docs.select("id", "path", "row", "text").mapInArrow(sign, "id long, path string, row long, n long, digest binary, sig binary")
+    signed = spool(signed.withColumn("node", F.monotonically_increasing_id()), "signed")
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "path", "row", "node")
+    classes = (signed.where("n > 0").groupBy("digest").agg(F.min(first).alias("first"), F.first("sig").alias("sig"))
+               .select("digest", "first", "sig", F.col("first.node").alias("node")))
+    classes = spool(classes, "classes")
 
     # Buckets, each set of members once.
-    bands = classes.select("rep", "sig").mapInArrow(band_rows, "key long, rep long")
-    members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
+    bands = classes.select("node", "sig").mapInArrow(band_rows, "key long, node long")
+    members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     crowded = bands.groupBy("key").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    buckets = spool(bands.join(crowded, "key", "left_semi").select(F.col("key").alias("g"), F.col("rep").alias("node")), "buckets")
-    nodes = spool(buckets.select("node").distinct(), "nodes")
-    signatures = spool(matching(classes.select(F.col("rep").alias("node"), F.col("sig").alias("payload")), nodes, "node", "left_semi"), "signatures")
-    families = components(linked(buckets, lambda rows: rows.join(signatures, "node"), by_signature(percent / 100, miss), block))
-
-    families = spool(families.select(F.col("component").alias("g"), "node").unionByName(
-        families.select(F.col("component").alias("g"), F.col("component").alias("node")).distinct()), "families")
-    texts = docs.select(F.col("id").alias("node"), F.col("text").alias("payload"))
-    labels = components(linked(families, lambda rows: matching(texts, spool(rows, "rows"), "node"), by_set(percent, miss), block)).withColumnRenamed("node", "rep")
-
-    named = classes.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return (signed.select("id", "n", "digest").join(named, "digest", "left")
-            .select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component")))
+    buckets, seen = spool_counted(bands.join(crowded, "key", "left_semi").select(F.col("key").alias("g"), "node"), "buckets")
+    parts = max(1, -(-seen["n"] // LINKS))
+    nodes, several = spool_counted(buckets.select("node").distinct(), "nodes", parts)
+    signatures = spool(matching(classes.select("node", F.col("sig").alias("payload")), nodes, "node", "left_semi", several["n"]), "signatures")
+    families = components(*linked(buckets, seen["n"], lambda rows: rows.join(signatures, "node"), by_signature(percent / 100, miss), block))
+
+    families = families.select(F.col("v").alias("g"), F.col("u").alias("node")).unionByName(families.select(F.col("v").alias("g"), F.col("v").alias("node")).distinct())
+    members, seen = spool_counted(families.join(classes.select("node", "first.path", "first.row"), "node"), "families", parts)
+    place = F.xxhash64("path", "row").alias("place")
+    texts = docs.select(place, "path", "row", F.col("text").alias("payload"))
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        keys = rows.join(members, ["g", "node"]).select("g", "block", "node", F.col("path").alias("own_path"), F.col("row").alias("own_row"), place)
+        keys, n = spool_counted(keys, "rows")
+        return matching(texts, keys, "place", n=n["n"]).where("path = own_path and row = own_row")
+
+    labels = components(*linked(members.select("g", "node"), seen["n"], with_text, by_set(percent, miss), block))
+
+    grouped_ = labels.unionByName(labels.select(F.col("v").alias("u"), "v").distinct()).withColumnRenamed("u", "node")
+    grouped_ = spool(grouped_.join(classes.select("node", "first"), "node"), "grouped", parts)
+    leads = grouped_.groupBy("v").agg(F.min("first").alias("lead"))
+    named = (classes.select("digest", "node", "first").join(grouped_.select("node", "v").join(leads, "v").select("node", "lead"), "node", "left")
+             .select("digest", F.coalesce("lead", "first").alias("lead")))
+    return signed.select("id", "path", "row", "n", "digest").join(named, "digest", "left").select(
+        "id", "path", "row", "n", F.when(F.col("n") > 0, F.col("lead.id")).otherwise(F.col("id")).alias("component"),
+        ((F.col("n") == 0) | (F.col("path") == F.col("lead.path")) & (F.col("row") == F.col("lead.row"))).alias("stays"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from framequill.llm import exact_dedup, near_dedup, registry, substring_dedup
-from framequill.llm.graph import components
+from framequill.llm.graph import components, contract, starred
 from tests.llm.helpers import edge_rows, odd_columns, prose, table, words
 from tests.oracle import connect, same
 
@@ -112,13 +113,46 @@ def test_posterior_cutoffs():
     assert rules == sorted(rules) and near_dedup.cutoffs(128, 0.75, 1e-9)[3][1] < rules[3][1]
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("per_task", [5, 1 << 20])
+def test_components_of_a_path_and_a_star(spark, per_task):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (-5, 60)]
-    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "a long, b long"), per_task=per_task).collect()}
     assert found == {**{i: 0 for i in range(1, 41)}, **{100 + i: 100 for i in range(1, 30)}, 60: -5}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_that_do_not_settle_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long").repartition(8)
+    with pytest.raises(RuntimeError, match="not settled"):
+        components(edges, per_task=5, rounds=1)
+
+
+def test_contraction_keeps_the_components():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 400, (2, 300))
+    label = {int(n): int(n) for n in np.concatenate([a, b])}
+    for _ in range(400):
+        for x, y in zip(a.tolist(), b.tolist()):
+            label[x] = label[y] = min(label[x], label[y])
+    u, v = starred(a, b)
+    assert dict(zip(u.tolist(), v.tolist())) == {k: m for k, m in label.items() if k != m}
+    batches = [pa.RecordBatch.from_arrays([pa.array(a[i : i + 7]), pa.array(b[i : i + 7])], ["a", "b"]) for i in range(0, 300, 7)]
+    parts = list(contract(iter(batches), most=20))
+    again = starred(*(np.concatenate([p.column(j).to_numpy() for p in parts]) for j in (0, 1)))
+    assert len(parts) > 1 and dict(zip(again[0].tolist(), again[1].tolist())) == dict(zip(u.tolist(), v.tolist()))
+
+
+def test_rows_that_share_an_identifier_are_compared_each(spark):
+    rng = random.Random(31)
+    text, other = prose(rng, 100), prose(rng, 100)
+    rows = [(1, text), (2, text + " end"), (2, other), (None, text + " more"), (None, other + " more"), (None, prose(rng, 40))]
+    found = near_dedup.near_components(table(spark, rows).coalesce(1)).orderBy("row").collect()
+    assert [r["component"] for r in found] == [1, 1, 2, 1, 2, None]
+    assert [r["stays"] for r in found] == [True, False, True, False, False, True]
+
+
 def test_repeats_are_exact_and_maximal(spark):
     rng = random.Random(9)
     passage, short = prose(rng, 70, 10**6), prose(rng, 50, 10**6)
