@@ -105,6 +105,40 @@ def test_best_fit_takes_the_least_room_and_the_cheapest_length():
     assert cheap > 512 and sizes == [512]
 
 
+def spent(used, lengths):
+    return sum(packing.cost(min(c for c in lengths if c >= u)) for u in used)
+
+
+def test_opening_lengths_are_chosen_for_the_filled_bins():
+    rng = random.Random(8)
+    lengths, below, shrunk = list(packing.LENGTHS), 0, 0
+    for spread in (0.5, 0.9, 1.3):
+        sizes = sorted((min(4096, max(1, int(rng.lognormvariate(5.5, spread)))) for _ in range(3000)), reverse=True)
+        opens = packing.chosen_opens(sizes, lengths)
+        bins, _, used = packing.fill(sizes, lengths, opens)
+        first = {}
+        for size, b in zip(sizes, bins):
+            first.setdefault(b, opens[next(i for i, c in enumerate(lengths) if c >= size)])
+        held = packing.pack(sizes, lengths)[2]
+        assert held == [min(c for c in lengths if c >= u) for u in used]
+        shrunk += sum(final < first[b] for b, final in enumerate(held))
+        smallest = spent(packing.fill(sizes, lengths, lengths)[2], lengths)
+        assert opens != lengths and spent(used, lengths) <= smallest
+        below += spent(used, lengths) < 0.99 * smallest
+        for i, c in ((i, c) for i in range(4) for c in lengths[i:]):  # no single entry does better
+            assert spent(used, lengths) <= spent(packing.fill(sizes, lengths, opens[:i] + [c] + opens[i + 1 :])[2], lengths)
+    assert below and shrunk
+
+
+def test_packing_follows_from_the_rows_alone(spark):
+    rng = random.Random(15)
+    rows = [(i, prose(rng, rng.choice([3, 60, 300]))) for i in range(200)] + [(None, None)] * 90 + [(7, "the same")] * 50
+    docs = table(spark, rows)
+    as_rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    one = as_rows(packing.best_fit(docs, per_group=50, copies=16))
+    assert one == as_rows(packing.best_fit(docs.orderBy(F.desc("text")).repartition(5), per_group=50, copies=16)) and len(one) == len(rows)
+
+
 def test_best_fit_equals_a_plain_search():
     rng = random.Random(1)
     for _ in range(30):
