@@ -237,3 +237,23 @@ def test_chunks_come_back_in_step_after_an_insertion():
     split = np.flatnonzero(np.cumsum(words_) == 431)[0] + 1
     shared = set(digest[:split].tolist()) & set(digest[split:].tolist())
     assert len(shared) > 0.9 * (len(digest) - split)
+
+
+def test_exact_state_carries_over_to_a_later_call(spark, tmp_path):
+    first = [(1, "alpha"), (2, "beta"), (3, "alpha  ")]
+    second = [(4, "al pha and more"), (5, "b eta"), (6, "gamma"), (7, "gam ma"), (8, "alpha")]
+    for name, rows in {"a": first, "b": second}.items():
+        table(spark, rows).coalesce(1).write.parquet(str(tmp_path / name))
+    state = str(tmp_path / "state")
+    run = lambda name: {r["id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(spark.read.parquet(str(tmp_path / name)), state=state).collect()}
+    assert run("a") == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
+    assert run("b") == {4: (4, 1), 5: (5, 2), 6: (7, 2), 7: (7, 2), 8: (3, 3)}
+
+
+def test_exact_checks_the_bytes_of_an_earlier_keeper(spark, tmp_path):
+    weak = lambda t: F.substring(F.unhex(F.sha2(t, 256)), 1, 0)
+    for name, rows in {"a": [(1, "alpha")], "b": [(2, "beta"), (3, "alp ha")]}.items():
+        table(spark, rows).coalesce(1).write.parquet(str(tmp_path / name))
+    state = str(tmp_path / "state")
+    run = lambda name: {r["id"]: r["keep_id"] for r in exact_dedup.exact_dedup(spark.read.parquet(str(tmp_path / name)), digest=weak, state=state).collect()}
+    assert run("a") == {1: 1} and run("b") == {2: 2, 3: 3}
