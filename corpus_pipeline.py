@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framequill.llm.exact_dedup import exact_dedup
+from framequill.llm.exact_dedup import exact_dedup, on_files, without_rows
 from framequill.llm.language_id import identified, in_fold, train
 from framequill.llm.mixing import mix_documents
-from framequill.llm.near_dedup import matching, near_components
+from framequill.llm.near_dedup import near_components
 from framequill.llm.packing import best_fit
 from framequill.session import load, small_batches, spool
 
@@ -18,21 +18,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return identified(docs, train(docs, "doc_id", "text", "lang", in_fold("doc_id", 4) != 2))
 
 
-def without(docs: DataFrame, dropped: DataFrame, on: list[str] | str) -> DataFrame:
-    return matching(docs, spool(dropped, "dropped"), on, "left_anti")
-
-
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each set of texts that are equal without white space."""
-    dropped = exact_dedup(docs).where("not kept").select("path", "row")
-    placed = docs.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
-    return without(placed, dropped, ["path", "row"]).select(docs.columns)
+    placed = on_files(docs)
+    return without_rows(placed, exact_dedup(placed).where("not kept")).select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of each near-duplicate component."""
-    dropped = near_components(docs).where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return without(docs, dropped, "doc_id").select(docs.columns)
+    """One row of each near-duplicate component, the one with the smallest identifier; rows without words all stay."""
+    placed = on_files(docs)
+    return without_rows(placed, near_components(placed).where("not stays")).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
