@@ -1,27 +1,34 @@
-"""Language-model scores from a log-frequency Bloom filter.
+"""Trigram language-model scores from a log-frequency Bloom filter.
 
-Counts of words and of word pairs of the training documents are summed per hash, quantised to
-q(c) = 1 + floor(log2 c), and stored in a Bloom filter as the members (n-gram, 1) ... (n-gram, q). A lookup probes levels until
-one is missing. The filter is built in segments, one for each part of the hash space, on the executors; it is broadcast
-under a bound: beyond ``max_bytes`` every segment is folded in half as often as needed, which raises the error rate and loses
-no n-gram. Probabilities are
+Counts of word pairs and triples of the training documents are summed per hash, quantised to q(c) = 1 + floor(log2 c),
+and stored in a Bloom filter as the members (n-gram, 1) ... (n-gram, q); triples seen once are left out, as is usual for this order
+(``least``). A lookup probes levels until one is missing and so tells 2^(q-1) <= c < 2^q. Word counts are exact, from a sorted table.
+With u v the words before w, a the lower and A the upper count that the filter tells,
 
-    P1(w)   = (c(w) + a) / (N + a (V + 1)),        P(w | v) = (c(vw) + mu P1(w)) / (c(v) + mu)
+    P1(w)     = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    P2(w|v)   = (a(vw) + m2 P1(w)) / (c(v) + F2 + m2)
+    P3(w|uv)  = (a(uvw) + m3 P2(w|v)) / (A(uv) + F3 + m3)          if c(uv) may reach ``least``, else P2
 
-with the counts the filter tells. ``mu`` is the candidate with the best leave-one-out likelihood on a bounded sample of training
-documents. The base score takes exact counts: from a broadcast sorted array while the vocabulary has at most ``max_words``
-words, otherwise through a join of each document's distinct words with the counts.
+F2 and F3 are what false positives are expected to add over the whole vocabulary, with a margin, from the rate at which each
+built filter affirms n-grams that are not in it; so the probabilities of all words after a context sum to at most one. m2 and m3 are the pair
+with the best leave-one-out likelihood over a share of the training documents, an eighth of them at any size.
+
+The filter is built on the executors in segments of the hash space. How many there are follows from the bytes of training text, and bits per
+entry are fixed, so scores do not depend on partitions or size. While filter and word table stay under
+``max_bytes`` and ``max_words`` they are broadcast. Beyond, the segments stay a table: each batch of documents asks
+the segments for its distinct n-grams through a shuffle, and gets the same answers back.
 
 Defined results
-    null text counts as empty and has one token, its end; equal texts have equal scores; rows without identifier are scored,
-    not learned from, and not held out; without training tokens the base score is that of unknown tokens in an empty corpus;
+    null text counts as empty and has one token, its end; equal texts have equal scores; a very long text is hashed in pieces and
+    looked up whole; rows that repeat count and are scored as often as they occur; rows without identifier are scored,
+    not learned from, and not held out; without training tokens all words are unknown words of an empty corpus;
     an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +42,16 @@ ship(__name__)
 
 END = np.uint64(0x1B873593CC9E2D51)
 START = np.uint64(0x85EBCA6B27D4EB2F)
-PROBES = 3
-FLUSH = 2_000_000
+TRIPLE = np.uint64(0xA0761D6478BD642F)
+#: Each member sets so many bits in each of so many 64-bit words.
+PLACES, BITS = 2, 5
+FLUSH = 3_000_000
 ADD = 0.1
-STRENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0, 65536.0, 1048576.0)
+STRENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
+#: Random keys that each segment is asked for, to learn how often it is wrong.
+TRIALS = 4096
 ONE = np.uint64(1)
+DROP = np.uint64(8)  # keys have 56 bits
 
 
 def token_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,52 +66,77 @@ def token_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tokens, begin + np.arange(len(begin))
 
 
-def unigram_keys(tokens: np.ndarray) -> np.ndarray:
-    return tokens & ~ONE
+def before(values: np.ndarray, begin: np.ndarray, first) -> np.ndarray:
+    """The value one token back; ``first`` at the begin of each text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[begin[:-1]] = first
+    return out
 
 
-def bigram_keys(tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    left = np.empty_like(tokens)
-    left[1:] = tokens[:-1]
-    left[begin[:-1]] = START
-    return mix(left * BASE + tokens) | ONE
+def gram_keys(tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the word, the pair and the triple that end at each token; a text's first token has no triple (key 0)."""
+    left = before(tokens, begin, START)
+    pairs = mix(left * BASE + tokens)
+    triples = mix(before(pairs, begin, START) * BASE + tokens + TRIPLE) >> DROP
+    triples[begin[:-1]] = 0
+    return tokens >> DROP, pairs >> DROP, triples
 
 
-def context_keys(tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Unigram keys of what precedes each token; each text's start is counted as its end is."""
-    left = np.empty_like(tokens)
-    left[1:] = tokens[:-1]
-    left[begin[:-1]] = END
-    return left & ~ONE
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Rising with the key, so that sorted keys lie by segment."""
+    return (((keys >> np.uint64(24)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
+    """Sorted distinct keys and their summed counts."""
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def tight(values: np.ndarray) -> bytes:
+    """Bytes of the steps of a rising array, least bytes of all first: zeros of high bytes lie together and compress away."""
+    return np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def loosened(held: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def counter(segments: int):
+    """Texts to counted n-grams, a row for each order and segment that a part of the input has: (seg, kind, keys, counts)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = ([], [], []), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, n = merged(held)
-            for a in range(0, len(keys), 100_000):
-                part = keys[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(((part >> ONE) % np.uint64(segments)).astype(np.int32)), pa.array(part.view(np.int64)), pa.array(n[a : a + 100_000])],
-                    ["seg", "key", "n"])
+            for kind, parts in enumerate(held):
+                keys, n = merged(parts)
+                seg = segment_of(keys, segments)
+                cuts = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(seg)] if len(seg) else []
+                spans = list(zip(cuts, cuts[1:]))
+                for i in range(0, len(spans), 64):
+                    some = spans[i : i + 64]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(seg[[a for a, _ in some]].astype(np.int32)), pa.array([kind] * len(some), pa.int32()),
+                         pa.array([tight(keys[a:b]) for a, b in some], pa.binary()), pa.array([n[a:b].astype(np.int64).tobytes() for a, b in some], pa.binary())],
+                        ["seg", "kind", "keys", "counts"])
 
         for batch in slices(batches, "text"):
             tokens, begin = token_rows(batch.column(0))
-            for keys in (unigram_keys(tokens), bigram_keys(tokens, begin)):
-                keys, n = np.unique(keys, return_counts=True)
-                held.append((keys, n))
-                size += len(keys)
+            for parts, keys in zip(held, gram_keys(tokens, begin)):
+                own, n = np.unique(keys, return_counts=True)
+                if parts is held[2] and len(own) and own[0] == 0:
+                    own, n = own[1:], n[1:]
+                parts.append((own, n))
+                size += len(own)
             if size >= FLUSH:
                 yield from flush()
-                held, size = [], 0
-        if held:
+                held, size = ([], [], []), 0
+        if size:
             yield from flush()
 
     return run
@@ -109,235 +146,295 @@ def levels(n: np.ndarray) -> np.ndarray:
     return np.frexp(n.astype(float))[1]
 
 
-def bit_places(keys: np.ndarray, level: int, mask) -> list[np.ndarray]:
-    seed = np.uint64((level * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
-    first = mix(keys + seed)
-    second = (first >> np.uint64(32)) | ONE
-    return [(first + np.uint64(p) * second) & mask for p in range(PROBES)]
-
-
-def builder(bits_per_entry: float):
-    """Rows of whole segments, sorted by segment, to one row per segment: its bits, its words with their counts, its totals."""
-
-    def build(seg: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        q = levels(n)
-        size = 1 << max(10, int(np.floor(np.log2(max(1.0, bits_per_entry * q.sum())))))
-        bits, mask = np.zeros(size, bool), np.uint64(size - 1)
-        for level in range(1, int(q.max(initial=0)) + 1):
-            for places in bit_places(keys[q >= level], level, mask):
-                bits[places] = True
-        words = (keys & ONE) == 0
+def pattern(keys: np.ndarray, level: int, place: int, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bits in it) of the members (key, level) for one of PLACES, in filters of ``size`` words."""
+    seed = (level * 0xD6E8FEB86659FD93 + place * 0xE7037ED1A0B428DB) & 0xFFFFFFFFFFFFFFFF
+    h = mix(keys * BASE + np.uint64(seed))
+    bits = np.zeros(len(keys), np.uint64)
+    for i in range(BITS):
+        bits |= ONE << ((h >> np.uint64(6 * i)) & np.uint64(63))
+    return (((h >> np.uint64(32)) * np.asarray(size, np.uint64)) >> np.uint64(32)).astype(np.int64), bits
+
+
+def filled(keys: np.ndarray, q: np.ndarray, bits_per_entry: float) -> np.ndarray:
+    """The filter of members (key, 1) ... (key, q)."""
+    words = np.zeros(max(1, int(np.ceil(bits_per_entry * q.sum() / 64))), np.uint64)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        for place in range(PLACES):
+            np.bitwise_or.at(words, *pattern(keys[q >= level], level, place, len(words)))
+    return words
+
+
+def probed(keys: np.ndarray, words: np.ndarray, begin: np.ndarray | int = 0, size: np.ndarray | int | None = None) -> np.ndarray:
+    """The highest level at which all levels up to it are members; filters of ``size`` words begin at ``begin``."""
+    out, todo = np.zeros(len(keys), np.int8), np.arange(len(keys))
+    begin, size = np.broadcast_to(begin, len(keys)), np.broadcast_to(len(words) if size is None else size, len(keys))
+    for level in range(1, 65):
+        for place in range(PLACES):
+            at, bits = pattern(keys[todo], level, place, size[todo])
+            todo = todo[words[begin[todo] + at] & bits == bits]
+        if not len(todo):
+            break
+        out[todo] = level
+    return out
+
+
+SEGMENT = "seg int, bits binary, words binary, counts binary, entries long, vocabulary long, tokens long, documents long, wrong long"
+
+
+def builder(bits_per_entry: float, least: int):
+    """Rows (seg, kind, keys, counts) sorted by segment to one row per segment: its filter, its words with their counts, its totals."""
+
+    def build(seg: int, parts: tuple[list, ...]) -> pa.RecordBatch:
+        words, pairs, triples = (merged(p) if p else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for p in parts)
+        frequent = triples[1] >= least
+        keys = np.concatenate([pairs[0], triples[0][frequent]])
+        q = levels(np.concatenate([pairs[1], triples[1][frequent]]))
+        bits = filled(keys, q, bits_per_entry)
+        tried = mix(np.arange(TRIALS, dtype=np.uint64) + np.uint64(seg) * np.uint64(TRIALS) + BASE)
         return pa.RecordBatch.from_arrays([
-            pa.array([seg], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
-            pa.array([keys[words].tobytes()], pa.binary()), pa.array([n[words].astype(np.int64).tobytes()], pa.binary()),
-            pa.array([int(words.sum())], pa.int64()), pa.array([int(n[words].sum())], pa.int64()),
-        ], ["seg", "bits", "words", "counts", "vocabulary", "tokens"])
+            pa.array([seg], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([words[0].tobytes()], pa.binary()),
+            pa.array([words[1].astype(np.int64).tobytes()], pa.binary()), pa.array([int(q.sum())], pa.int64()), pa.array([len(words[0])], pa.int64()),
+            pa.array([int(words[1].sum())], pa.int64()), pa.array([int(words[1][words[0] == END >> DROP].sum())], pa.int64()),
+            pa.array([int((probed(tried, bits) > 0).sum())], pa.int64()),
+        ], [c.split()[0] for c in SEGMENT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg, held = None, []
+        now, parts = None, ([], [], [])
         for batch in batches:
-            segs = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(segs)) + 1).tolist(), len(segs)] if len(segs) else []
-            for a, b in zip(cuts, cuts[1:]):
-                if segs[a] != seg:
-                    if held:
-                        yield build(int(seg), np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-                    seg, held = segs[a], []
-                held.append((batch.column(1).to_numpy()[a:b].view(np.uint64), batch.column(2).to_numpy()[a:b]))
-        if held:
-            yield build(int(seg), np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+            for seg, kind, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if seg != now:
+                    if now is not None:
+                        yield build(now, parts)
+                    now, parts = seg, ([], [], [])
+                parts[kind].append((loosened(keys), np.frombuffer(counts, np.int64)))
+        if now is not None:
+            yield build(now, parts)
 
     return run
 
 
-def fold(times: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for value in batch.column(1).to_pylist():
-                bits = np.frombuffer(value, np.uint8)
-                for _ in range(times):
-                    if len(bits) > 128:
-                        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-                out.append(bits.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["seg", "bits"])
+@dataclass
+class Totals:
+    """What the formulas need besides looked-up counts."""
+
+    tokens: int
+    vocabulary: int
+    documents: int
+    wrong: float  # how often the filter affirms what is not in it
+    segments: int
+    least: int = 2
+    m2: float = 256.0
+    m3: float = 16.0
+
+    def false_counts(self, n: np.ndarray | float) -> np.ndarray | float:
+        """Bound on the counts that false positives add over n n-grams: their mean, levels above the first included, and a margin."""
+        mean = n * self.wrong / (1 - 2 * min(self.wrong, 0.25))
+        return mean + 2 * np.sqrt(mean)
+
+    def logs(self, seen: Lookups, taken: int = 0, m2: float | None = None, m3: float | None = None) -> np.ndarray:
+        """log10 P of each token; ``taken`` off all counts of n-grams for leave-one-out."""
+        m2, m3 = m2 or self.m2, m3 or self.m3
+        p = np.minimum((seen.word + ADD) / (self.tokens + ADD * (self.vocabulary + 1)), 1.0)
+        lower = lambda q: np.maximum(np.where(q > 0, np.exp2(q - 1.0), 0.0) - taken, 0)
+        pair = np.minimum(lower(seen.pair), np.minimum(seen.word, seen.left))
+        p = (pair + m2 * p) / (np.maximum(seen.left - taken, 0) + self.false_counts(float(self.vocabulary)) + m2)
+        known = seen.context >= self.least.bit_length()  # a rarer pair begins no triple of the filter
+        follow = np.minimum(seen.left, float(self.vocabulary)) + self.false_counts(float(self.vocabulary))
+        whole = np.where(known, np.maximum(np.exp2(seen.context.astype(float)) - 1 - taken, 0) + self.false_counts(follow), 0.0)
+        triple = np.where(known & (seen.pair > 0), np.minimum(lower(seen.triple), np.exp2(seen.context.astype(float)) - 1), 0.0)
+        return np.log10(np.where(known, (triple + m3 * p) / (whole + m3), p))
+
+
+@dataclass
+class Lookups:
+    word: np.ndarray  # exact count of each token
+    left: np.ndarray  # exact count of the one before
+    pair: np.ndarray  # levels
+    context: np.ndarray
+    triple: np.ndarray
 
-    return run
+
+def looked_up(held: Held | Answers, documents: int, tokens: np.ndarray, begin: np.ndarray) -> Lookups:
+    words, pairs, triples = gram_keys(tokens, begin)
+    each = lambda keys, f: (lambda distinct, inverse: f(distinct)[inverse])(*np.unique(keys, return_inverse=True))
+    word, pair = each(words, held.counted), each(pairs, held.level)
+    context = before(pair, begin, 0)
+    triple, worth = np.zeros(len(tokens), np.int8), (pair > 0) & (context > 0) & (triples != 0)
+    triple[worth] = each(triples[worth], held.level)
+    return Lookups(word, before(word, begin, documents), pair, context, triple)
 
 
 @dataclass
-class Filter:
+class Held:
+    """The whole filter and word table, as broadcast."""
+
     bits: np.ndarray
-    begin: np.ndarray  # first byte of each segment
-    masks: np.ndarray  # bits of each segment less one
-    tokens: int
-    vocabulary: int
-    mu: float = 1024.0
+    begin: np.ndarray  # first word of each segment
+    size: np.ndarray  # words of each segment
+    keys: np.ndarray
+    counts: np.ndarray
+
+    def counted(self, keys: np.ndarray) -> np.ndarray:
+        return found(self.keys, self.counts, keys)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised count of each key, 0 where there is none."""
-        out = np.zeros(len(keys), np.int8)
-        if not len(self.bits):
-            return out
-        seg = ((keys >> ONE) % np.uint64(len(self.begin))).astype(np.int64)
-        begin, masks = self.begin[seg], self.masks[seg]
-        todo = np.flatnonzero(masks > 0)
-        level = 0
-        while len(todo) and level < self.tokens.bit_length():
-            level += 1
-            for p in range(PROBES):
-                seed = np.uint64((level * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
-                first = mix(keys[todo] + seed)
-                places = (first + np.uint64(p) * ((first >> np.uint64(32)) | ONE)) & masks[todo]
-                hit = (self.bits[begin[todo] + (places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype(np.uint8)) & 1
-                todo = todo[hit.astype(bool)]
-            out[todo] = level
+        seg = segment_of(keys, len(self.begin))
+        out, there = np.zeros(len(keys), np.int8), self.size[seg] > 0
+        out[there] = probed(keys[there], self.bits, self.begin[seg[there]], self.size[seg[there]])
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Middle of the counts with the level the filter tells, for each key; equal keys are looked up once."""
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        q = self.level(distinct).astype(float)
-        return np.where(q > 0, 1.5 * np.exp2(q - 1) - 0.5, 0.0)[inverse]
 
-    def parts(self, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(c(vw), c(v), P1(w)) of each token."""
-        single = np.minimum((self.counts(unigram_keys(tokens)) + ADD) / (self.tokens + ADD * (self.vocabulary + 1)), 1.0)
-        return self.counts(bigram_keys(tokens, begin)), self.counts(context_keys(tokens, begin)), single
+@dataclass
+class Answers:
+    """Looked-up values of the keys of one batch of documents."""
 
-    def logs(self, tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        pair, left, single = self.parts(tokens, begin)
-        return np.log10((pair + self.mu * single) / (np.maximum(left, pair) + self.mu))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    levels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
 
-    def left_out(self, tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Log-likelihood with each token's own occurrence taken off, for each of STRENGTHS."""
-        pair, left, single = self.parts(tokens, begin)
-        pair, left = np.maximum(pair - 1, 0), np.maximum(np.maximum(left, pair) - 1, 0)
-        return np.array([np.log10((pair + m * single) / (left + m)).sum() for m in STRENGTHS])
+    def counted(self, keys: np.ndarray) -> np.ndarray:
+        return found(self.keys, self.counts, keys)
 
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        return found(self.grams, self.levels, keys)
 
-@dataclass
-class Vocabulary:
-    keys: np.ndarray
-    counts: np.ndarray
 
-    def counted(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
+def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of sorted keys, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
 
 
-def build_filter(docs: DataFrame, bits_per_entry: float, max_bytes: int) -> tuple[DataFrame, Filter]:
-    """The segments as a spooled table and the filter on the driver, at most ``max_bytes`` large."""
-    spark = docs.sparkSession
-    segments = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = (docs.select("text").mapInArrow(counter(segments), "seg int, key long, n long")
-               .repartition(segments, "seg").groupBy("seg", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("seg", "key"))
-    table = spool(counted.mapInArrow(builder(bits_per_entry), "seg int, bits binary, words binary, counts binary, vocabulary long, tokens long"), "segments")
-    size, vocabulary, tokens = table.agg(F.sum(F.octet_length("bits")), F.sum("vocabulary"), F.sum("tokens")).first()
-    times = 0
-    while (size or 0) >> times > max_bytes:
-        times += 1
-    bits = table.select("seg", "bits")
-    if times:
-        bits = spool(bits.mapInArrow(fold(times), "seg int, bits binary"), "folded")
-    begin, masks, held = np.zeros(segments, np.int64), np.zeros(segments, np.uint64), np.zeros((size or 0) >> max(0, times - 1), np.uint8)
-    at = 0
-    for row in bits.toLocalIterator():
-        own = np.frombuffer(row["bits"], np.uint8)
-        if at + len(own) > len(held):
-            held = np.concatenate([held, np.zeros(max(len(own), len(held) // 2), np.uint8)])
-        held[at : at + len(own)] = own
-        begin[row["seg"]], masks[row["seg"]] = at, len(own) * 8 - 1
-        at += len(own)
-    return table, Filter(held[:at], begin, masks, tokens or 0, vocabulary or 0)
-
-
-def tune(model: Filter, docs: DataFrame, sample: int) -> None:
-    """Choose mu on at most ``sample`` training documents, those with the least hashes."""
-    chosen = [r[0] for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    if not chosen or not model.tokens:
-        return
-    given = Shared(docs.sparkSession, model)
+def build(docs: DataFrame, bits_per_entry: float = 16.0, least: int = 2, segment_bytes: int = 8 << 20) -> tuple[DataFrame, Totals]:
+    """The segments as a spooled table, and the totals; a segment for each ``segment_bytes`` of training text."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    segments = max(1, -(-total // segment_bytes))
+    counted = docs.select("text").mapInArrow(counter(segments), "seg int, kind int, keys binary, counts binary")
+    table = spool(counted.repartition("seg").sortWithinPartitions("seg", "kind").mapInArrow(builder(bits_per_entry, least), SEGMENT), "segments")
+    vocabulary, tokens, documents, wrong, n = table.agg(F.sum("vocabulary"), F.sum("tokens"), F.sum("documents"), F.sum("wrong"), F.count("seg")).first()
+    return table, Totals(tokens or 0, vocabulary or 0, documents or 0, ((wrong or 0) + 1) / (n * TRIALS + 1) if n else 0.0, segments, least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def gathered(table: DataFrame, totals: Totals) -> Held:
+    """All segments on the driver, for a broadcast; the caller has checked their size."""
+    size = table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    begin, sizes, bits = np.zeros(totals.segments, np.int64), np.zeros(totals.segments, np.int64), np.zeros(size // 8, np.uint64)
+    keys, counts, at, word = np.empty(totals.vocabulary, np.uint64), np.empty(totals.vocabulary, np.int64), 0, 0
+    for row in table.select("seg", "bits", "words", "counts").toLocalIterator():
+        own, words = np.frombuffer(row["bits"], np.uint64), np.frombuffer(row["words"], np.uint64)
+        begin[row["seg"]], sizes[row["seg"]], bits[at : at + len(own)] = at, len(own), own
+        keys[word : word + len(words)], counts[word : word + len(words)] = words, np.frombuffer(row["counts"], np.int64)
+        at, word = at + len(own), word + len(words)
+    order = np.argsort(keys)
+    return Held(bits, begin, sizes, keys[order], counts[order].astype(np.int32 if totals.tokens < 1 << 31 else np.int64))
+
+
+def answered(rows: DataFrame, table: DataFrame, totals: Totals, result: Callable, schema: str) -> DataFrame:
+    """``result(looked up, tokens, begin, numbers, identifiers)`` for each batch of (nth, doc_id, text), looked up segment by segment.
+
+    Batches of texts are written as rows; each asks every segment for its distinct keys of that segment, once.
+    """
+    segments, documents = totals.segments, totals.documents
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array([given.value.left_out(*token_rows(batch.column(0))).tolist()])], ["likelihood"])
+            ends = pa.array([0, batch.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, c) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(0, 1), *lists], ["batch", "nths", "ids", "texts"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    bundles = spool(rows.mapInArrow(bundle, f"batch long, nths array<long>, ids array<{kind}>, texts array<string>"), "bundles")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tokens, begin = token_rows(batch.column(1).slice(i, 1).flatten())
+                words, pairs, triples = map(np.unique, gram_keys(tokens, begin))
+                parts = (words, np.union1d(pairs, triples[triples != 0]))
+                segs = [segment_of(p, segments) for p in parts]
+                for s in np.union1d(*segs).tolist():
+                    own = [p[slice(*np.searchsorted(seg, [s, s + 1]))].tobytes() for p, seg in zip(parts, segs)]
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), batch.column(0).slice(i, 1), *(pa.array([x], pa.binary()) for x in own)], ["seg", "batch", "words", "grams"])
+
+    def answer(segment: pa.Table, asks: pa.Table) -> pa.Table:
+        seg = segment.to_pylist()[0] if segment.num_rows else {"bits": b"", "words": b"", "counts": b""}
+        bits, keys, counts = np.frombuffer(seg["bits"], np.uint64), np.frombuffer(seg["words"], np.uint64), np.frombuffer(seg["counts"], np.int64)
+        n, q = [], []
+        for words, grams in zip(asks.column("asked_words").to_pylist(), asks.column("grams").to_pylist()):
+            grams = np.frombuffer(grams, np.uint64)
+            n.append(found(keys, counts, np.frombuffer(words, np.uint64)).tobytes())
+            q.append((probed(grams, bits) if len(bits) else np.zeros(len(grams), np.int8)).tobytes())
+        return pa.table({"batch": asks.column("batch"), "words": asks.column("asked_words"), "counts": pa.array(n, pa.binary()), "grams": asks.column("grams"), "levels": pa.array(q, pa.binary())})
+
+    asks = bundles.select("batch", "texts").mapInArrow(ask, "seg int, batch long, words binary, grams binary").withColumnRenamed("words", "asked_words")
+    answers = table.select("seg", "bits", "words", "counts").groupBy("seg").cogroup(asks.groupBy("seg")).applyInArrow(
+        answer, "batch long, words binary, counts binary, grams binary, levels binary")
+    joined = bundles.join(answers.groupBy("batch").agg(F.collect_list(F.struct("words", "counts", "grams", "levels")).alias("told")), "batch")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                told = batch.column(3).slice(i, 1).to_pylist()[0]
+                parts = [np.concatenate([np.frombuffer(t[k], kind) for t in told]) for k, kind in (("words", np.uint64), ("counts", np.int64), ("grams", np.uint64), ("levels", np.int8))]
+                w, g = np.argsort(parts[0]), np.argsort(parts[2])
+                held = Answers(parts[0][w], parts[1][w], parts[2][g], parts[3][g])
+                numbers, ids, texts = (batch.column(j).slice(i, 1).flatten() for j in range(3))
+                tokens, begin = token_rows(texts)
+                yield result(looked_up(held, documents, tokens, begin), tokens, begin, numbers, ids)
 
-    found = docs.where(F.col("doc_id").isin(chosen)).select("text").mapInArrow(run, "likelihood array<double>").collect()
-    model.mu = STRENGTHS[int(np.sum([r[0] for r in found], axis=0).argmax())]
-    given.unpersist()
+    return joined.select("nths", "ids", "texts", "told").mapInArrow(finish, schema)
 
 
 def score_text(
-    docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: float = 10.0,
-    max_bytes: int = 256 << 20, max_words: int = 12_000_000, sample: int = 256,
+    docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: float = 16.0, least: int = 2,
+    segment_bytes: int = 8 << 20, max_bytes: int = 256 << 20, max_words: int = 12_000_000, share: int = 8,
 ) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) of each row; ``learn`` says which rows are learned from."""
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row; ``learn`` says which rows are learned from."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     training = docs.where(learn)
-    table, model = build_filter(training, bits_per_entry, max_bytes)
-    tune(model, training, sample)
-    exact = model.vocabulary <= max_words
-    vocabulary = Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    if exact:
-        words, counts, at = np.empty(model.vocabulary, np.uint64), np.empty(model.vocabulary, np.int64), 0
-        for row in table.select("words", "counts").toLocalIterator():
-            own = np.frombuffer(row["words"], np.uint64)
-            words[at : at + len(own)], counts[at : at + len(own)] = own, np.frombuffer(row["counts"], np.int64)
-            at += len(own)
-        order = np.argsort(words)
-        vocabulary = Vocabulary(words[order], counts[order].astype(np.int32 if model.tokens < 1 << 31 else np.int64))
-    given = Shared(spark, (model, vocabulary))
-    whole = model.tokens + ADD * (model.vocabulary + 1)
+    table, totals = build(training, bits_per_entry, least, segment_bytes)
+    size = table.agg(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0
+    broadcast = size <= max_bytes and totals.vocabulary <= max_words
+    given = Shared(spark, gathered(table, totals)) if broadcast else None
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, vocabulary = given.value
-        for batch in slices(batches, "text"):
-            tokens, begin = token_rows(batch.column(2))
-            distinct, inverse = np.unique(unigram_keys(tokens), return_inverse=True)
-            counts = vocabulary.counted(distinct)[inverse]
-            at = begin[:-1]
-            columns = [np.add.reduceat(x, at) if len(at) else np.zeros(0) for x in (
-                (counts > 0).astype(np.int64), np.log10((counts + ADD) / whole), model.logs(tokens, begin))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(begin)), *map(pa.array, columns)],
-                ["nth", "doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("nth"), "doc_id", "text")
-    if not exact:
-        rows = spool(rows, "rows")  # each row keeps its number
-    scored = rows.mapInArrow(run, f"nth long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    if not exact:
-        scored = scored.drop("n_known", "base_score").join(joined_base(rows, table, whole), "nth")
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def joined_base(rows: DataFrame, table: DataFrame, whole: float) -> DataFrame:
-    """(nth, n_known, base_score) by joining each row's distinct words with their counts."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["key", "c"])
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            tokens, begin = token_rows(batch.column(1))
-            for nth, a, b in zip(batch.column(0).to_pylist(), begin, begin[1:]):
-                keys, n = np.unique(unigram_keys(tokens[a:b]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([nth] * len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.array(n)], ["nth", "key", "m"])
-
-    counts = table.select("words", "counts").mapInArrow(unpack, "key long, c long")
-    held = rows.select("nth", "text").mapInArrow(distinct, "nth long, key long, m long").join(counts, "key", "left")
-    c = F.coalesce("c", F.lit(0))
-    return held.groupBy("nth").agg(
-        F.sum(F.when(c > 0, F.col("m")).otherwise(F.lit(0))).alias("n_known"),
-        F.sum(F.col("m") * F.log10((c + F.lit(ADD)) / F.lit(whole))).alias("base_score"))
+    def over(rows: DataFrame, result: Callable, schema: str) -> DataFrame:
+        rows = rows.select(F.monotonically_increasing_id().alias("nth"), "doc_id", "text")
+        if not broadcast:
+            return answered(rows, table, totals, result, schema)
+        documents = totals.documents
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                tokens, begin = token_rows(batch.column(2))
+                yield result(looked_up(given.value, documents, tokens, begin), tokens, begin, batch.column(0), batch.column(1))
+
+        return rows.mapInArrow(run, schema)
+
+    def likelihoods(seen: Lookups, tokens: np.ndarray, begin: np.ndarray, *_) -> pa.RecordBatch:
+        sums = [float(totals.logs(seen, 1, m2, m3).sum()) for m2 in STRENGTHS for m3 in STRENGTHS]
+        return pa.RecordBatch.from_arrays([pa.array([sums])], ["sums"])
+
+    sums = over(training.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(share)) == 0), likelihoods, "sums array<double>")
+    tried = sums.agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(len(STRENGTHS) ** 2)]).first()
+    if totals.tokens and tried[0] is not None:
+        best = int(np.argmax(tried))
+        totals.m2, totals.m3 = STRENGTHS[best // len(STRENGTHS)], STRENGTHS[best % len(STRENGTHS)]
+    whole = totals.tokens + ADD * (totals.vocabulary + 1)
+
+    def scores(seen: Lookups, tokens: np.ndarray, begin: np.ndarray, numbers: pa.Array, ids: pa.Array) -> pa.RecordBatch:
+        columns = [np.add.reduceat(x, begin[:-1]) if len(tokens) else np.zeros(0) for x in (
+            (seen.word > 0).astype(np.int64), np.log10((seen.word + ADD) / whole), totals.logs(seen))]
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(begin)), *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = over(docs, scores, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

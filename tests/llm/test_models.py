@@ -47,29 +47,70 @@ def check_scores(found, rows):
         assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6
 
 
-def test_base_score_is_exact_by_array_and_by_join(spark):
+def test_scores_are_the_same_by_broadcast_and_by_asking_segments(spark):
     rng = random.Random(4)
-    rows = [(i, prose(rng, rng.randrange(1, 80), 300)) for i in range(150)] + [r[:2] for r in edge_rows()]
+    rows = [(i, prose(rng, rng.randrange(1, 80), 300)) for i in range(150)] + [r[:2] for r in edge_rows()] + [(3, prose(rng, 9))] * 3
     docs = odd_columns(table(spark, rows))
-    one, two = scored(docs), scored(docs, max_words=0)
+    one = scored(docs, segment_bytes=4000)
     check_scores(one, rows)
-    check_scores(two, rows)
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in one)
-
-
-def test_a_folded_filter_forgets_nothing(spark):
+    order = lambda found: sorted(tuple(r) for r in found if r["doc_id"] is not None)
+    for options in ({"max_words": 0}, {"max_bytes": 0}):
+        other = scored(docs.repartition(3), segment_bytes=4000, **options)
+        check_scores(other, rows)
+        assert np.allclose([r[-1] for r in order(one)], [r[-1] for r in order(other)], rtol=1e-12, atol=0)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(14)
+    docs = table(spark, [(i, prose(rng, 60, 200)) for i in range(120)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        found = []
+        for n in (3, 17):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({r["doc_id"]: r["score"] for r in scored(docs.repartition(n), segment_bytes=3000)})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys() and all(math.isclose(found[0][d], found[1][d], rel_tol=1e-12) for d in found[0])
+
+
+def brute_grams(texts):
+    grams = Counter()
+    for t in texts:
+        w = ["<s>", *words(t), None]
+        grams.update(tuple(w[i : i + 2]) for i in range(len(w) - 1))
+        grams.update(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    return grams
+
+
+def test_filter_tells_counts_and_probabilities_sum_to_at_most_one(spark):
     rng = random.Random(5)
-    rows = [(i, prose(rng, 40, 500)) for i in range(80)]
-    docs = table(spark, rows)
-    _, whole = ngram_lm.build_filter(docs, 10.0, 1 << 28)
-    _, small = ngram_lm.build_filter(docs, 10.0, 1 << 10)
-    assert len(small.bits) < len(whole.bits)
+    rows = [(i, " ".join(rng.choice([f"a{rng.randrange(9)} b{rng.randrange(30)}", prose(rng, 2, 900)]) for _ in range(40))) for i in range(120)]
+    segments, totals = ngram_lm.build(table(spark, rows), segment_bytes=20_000)
+    model = ngram_lm.gathered(segments, totals)
+    vocabulary = sorted({w for r in rows for w in words(r[1])})
+    assert totals.vocabulary == len(vocabulary) + 1 and totals.documents == 120 and 0 < totals.wrong < 0.02 and segments.count() > 1
+    grams = brute_grams(r[1] for r in rows)
     tokens, begin = ngram_lm.token_rows(pa.array([r[1] for r in rows]))
-    for keys in (ngram_lm.unigram_keys(tokens), ngram_lm.bigram_keys(tokens, begin)):
-        distinct, n = np.unique(keys, return_counts=True)
-        for model in (whole, small):
-            assert (model.level(distinct) >= ngram_lm.levels(n)).all()
-        assert (whole.level(distinct) == ngram_lm.levels(n)).mean() > 0.9
+    seen = ngram_lm.looked_up(model, totals.documents, tokens, begin)
+    flat = [(("<s>", *words(t), None), i) for _, t in rows for i in range(1, len(words(t)) + 2)]
+    q = lambda c: c.bit_length()
+    want = [(q(grams[w[i - 1 : i + 1]]), q(c) if i > 1 and (c := grams[w[i - 2 : i + 1]]) > 1 else 0) for w, i in flat]
+    assert (seen.pair >= [p for p, _ in want]).all() and (seen.triple >= [t for _, t in want]).all()
+    assert np.mean(seen.pair == [p for p, _ in want]) > 0.99 and np.mean(seen.triple == [t for _, t in want]) > 0.99
+    for m2, m3 in ((1.0, 1.0), (256.0, 16.0), (16.0, 4096.0)):
+        for context in ("", "a1", "a1 b2", "b2 a3", "a8", f"{vocabulary[0]} a1", "neverseen a1", "neverseen"):
+            follow = pa.array([f"{context} {w}" for w in [*vocabulary, "unknownword"]] + [context])
+            tokens, begin = ngram_lm.token_rows(follow)
+            logs = totals.logs(ngram_lm.looked_up(model, totals.documents, tokens, begin), 0, m2, m3)
+            total = (10 ** logs[begin[:-1] + len(context.split())]).sum()
+            assert (0.6 if m3 > 1 else 0.02) < total <= 1 + 1e-9, (context, m2, m3, total)
+
+
+def test_keys_survive_packing():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 56, 1000, dtype=np.uint64))
+    assert (ngram_lm.loosened(ngram_lm.tight(keys)) == keys).all() and len(ngram_lm.loosened(ngram_lm.tight(keys[:0]))) == 0
 
 
 def test_known_pairs_score_higher(spark):
