@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framequill.llm.language_id import in_fold
 from framequill.llm.words import BASE, mix, slices, text_bytes, word_hashes
-from framequill.session import Shared, load, ship, small_batches, spool
+from framequill.session import Shared, load, ship, small_batches, spool, tidy
 
 ship(__name__)
 
@@ -44,8 +44,8 @@ END = np.uint64(0x1B873593CC9E2D51)
 START = np.uint64(0x85EBCA6B27D4EB2F)
 TRIPLE = np.uint64(0xA0761D6478BD642F)
 #: Each member sets so many bits in each of so many 64-bit words.
-PLACES, BITS = 2, 5
-FLUSH = 3_000_000
+PLACES, BITS = 2, 4
+FLUSH = 2_000_000
 ADD = 0.1
 STRENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
 #: Random keys that each segment is asked for, to learn how often it is wrong.
@@ -309,7 +309,7 @@ def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[at] == wanted, values[at], 0)
 
 
-def build(docs: DataFrame, bits_per_entry: float = 16.0, least: int = 2, segment_bytes: int = 8 << 20) -> tuple[DataFrame, Totals]:
+def build(docs: DataFrame, bits_per_entry: float = 12.0, least: int = 2, segment_bytes: int = 8 << 20) -> tuple[DataFrame, Totals]:
     """The segments as a spooled table, and the totals; a segment for each ``segment_bytes`` of training text."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     segments = max(1, -(-total // segment_bytes))
@@ -320,17 +320,18 @@ def build(docs: DataFrame, bits_per_entry: float = 16.0, least: int = 2, segment
 
 
 def gathered(table: DataFrame, totals: Totals) -> Held:
-    """All segments on the driver, for a broadcast; the caller has checked their size."""
-    size = table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    begin, sizes, bits = np.zeros(totals.segments, np.int64), np.zeros(totals.segments, np.int64), np.zeros(size // 8, np.uint64)
-    keys, counts, at, word = np.empty(totals.vocabulary, np.uint64), np.empty(totals.vocabulary, np.int64), 0, 0
+    """All segments on the driver, for a broadcast; the caller has checked their size. Segments follow each other by key, so their words do."""
+    sizes = np.zeros((2, totals.segments + 1), np.int64)
+    for seg, *n in table.select("seg", F.octet_length("bits") / 8, "vocabulary").collect():
+        sizes[:, seg + 1] = n
+    word, entry = np.cumsum(sizes, axis=1)
+    bits, keys = np.empty(word[-1], np.uint64), np.empty(totals.vocabulary, np.uint64)
+    counts = np.empty(totals.vocabulary, np.int32 if totals.tokens < 1 << 31 else np.int64)
     for row in table.select("seg", "bits", "words", "counts").toLocalIterator():
-        own, words = np.frombuffer(row["bits"], np.uint64), np.frombuffer(row["words"], np.uint64)
-        begin[row["seg"]], sizes[row["seg"]], bits[at : at + len(own)] = at, len(own), own
-        keys[word : word + len(words)], counts[word : word + len(words)] = words, np.frombuffer(row["counts"], np.int64)
-        at, word = at + len(own), word + len(words)
-    order = np.argsort(keys)
-    return Held(bits, begin, sizes, keys[order], counts[order].astype(np.int32 if totals.tokens < 1 << 31 else np.int64))
+        at = row["seg"]
+        bits[word[at] : word[at + 1]] = np.frombuffer(row["bits"], np.uint64)
+        keys[entry[at] : entry[at + 1]], counts[entry[at] : entry[at + 1]] = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.int64)
+    return Held(bits, word[:-1], np.diff(word), keys, counts)
 
 
 def answered(rows: DataFrame, table: DataFrame, totals: Totals, result: Callable, schema: str) -> DataFrame:
@@ -390,7 +391,7 @@ def answered(rows: DataFrame, table: DataFrame, totals: Totals, result: Callable
 
 
 def score_text(
-    docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: float = 16.0, least: int = 2,
+    docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: float = 12.0, least: int = 2,
     segment_bytes: int = 8 << 20, max_bytes: int = 256 << 20, max_words: int = 12_000_000, share: int = 8,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row; ``learn`` says which rows are learned from."""
@@ -402,6 +403,7 @@ def score_text(
     size = table.agg(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0
     broadcast = size <= max_bytes and totals.vocabulary <= max_words
     given = Shared(spark, gathered(table, totals)) if broadcast else None
+    tidy()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def over(rows: DataFrame, result: Callable, schema: str) -> DataFrame:
