@@ -7,13 +7,15 @@ level, and only records in differing leaves are compared. No group is larger tha
 
 Defined results
     null content counts as empty, a null address as none; rows without identifier come last in their archive; rows
-    that repeat are separate records; a replica without records has no roots, so that all of the other are missing or extra;
-    an empty table gives an empty result; further columns are ignored.
+    that repeat are separate records; a very long content makes a record that fills its archive's ranges alone and
+    is hashed where it is read; a replica without records has no roots, so that all of the other are missing or extra;
+    an empty table gives an empty result; further columns are ignored. What is no record in a file that ``read_warc`` reads
+    becomes a row of kind ``unreadable`` with the bytes up to the next record.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -38,33 +40,67 @@ def record(identifier: Column, uri: Column, content: Column) -> Column:
     return F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
 
 
-def archived(pages: DataFrame, id_col: str, uri_col: str, content_col: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(id, archive, offset, record): records dealt round by identifier to archives of about ``archive_bytes``."""
+def archived(
+    pages: DataFrame, id_col: str, uri_col: str, content_col: str, archive_bytes: int = ARCHIVE_BYTES,
+    derived: Callable[[Column], dict[str, Column]] = lambda record: {"record": record},
+) -> DataFrame:
+    """(id, archive, offset, length, sha, ...): records dealt round by identifier to archives of about ``archive_bytes``.
+
+    Lengths, hashes and what ``derived`` makes of a record are computed where the page is read; only they are
+    written and shuffled, so the bytes of records stay behind unless they are asked for.
+    """
     rows = pages.select(F.col(id_col).alias("id"), record(F.col(id_col), F.col(uri_col), F.col(content_col)).alias("record"))
-    total = rows.agg(F.sum(F.octet_length("record").cast("long"))).first()[0] or 0
+    slim = spool(rows.select("id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha"),
+                             *[c.alias(k) for k, c in derived(F.col("record")).items()]), "records")
+    total = slim.agg(F.sum("length")).first()[0] or 0
     n = max(1, -(-total // archive_bytes))
-    order = Window.partitionBy("archive").orderBy(F.col("id").asc_nulls_last(), F.sha2("record", 256))
+    order = Window.partitionBy("archive").orderBy(F.col("id").asc_nulls_last(), "sha")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return (rows.withColumn("archive", F.coalesce(F.pmod("id", F.lit(n)), F.pmod(F.xxhash64("record"), F.lit(n))).cast("long"))
-            .withColumn("offset", F.coalesce(F.sum(F.octet_length("record").cast("long")).over(before), F.lit(0).cast("long"))))
+    return (slim.withColumn("archive", F.coalesce(F.pmod("id", F.lit(n)), F.pmod(F.xxhash64("sha"), F.lit(n))).cast("long"))
+            .withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))))
+
+
+def members(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset in the file, bytes) of the gzip members of a file; a plain file is one."""
+    import zlib
+
+    if content[:2] != b"\x1f\x8b":
+        yield 0, content
+        return
+    rest = memoryview(content)
+    while len(rest):
+        unpack = zlib.decompressobj(wbits=31)
+        try:
+            held = unpack.decompress(rest) + unpack.flush()
+        except zlib.error:
+            yield len(content) - len(rest), bytes(rest)
+            return
+        yield len(content) - len(rest), held
+        rest = rest[len(rest) - len(unpack.unused_data) :] if unpack.eof else rest[:0]
 
 
 def parse(content: bytes) -> Iterator[tuple[int, str, str, str, bytes]]:
-    """(offset, record id, type, address, block) of the records of a WARC file, plain or gzipped by record."""
-    import gzip
-
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    at = 0
-    while (begin := content.find(b"WARC/", at)) >= 0:
-        split = content.find(b"\r\n\r\n", begin)
-        if split < 0:
-            return
-        fields = dict(
-            (k.strip().lower(), v.strip()) for k, _, v in (line.partition(":") for line in content[begin:split].decode("utf-8", "replace").split("\r\n")[1:]))
-        size = int(fields.get("content-length", "0") or 0)
-        yield begin, fields.get("warc-record-id", ""), fields.get("warc-type", ""), fields.get("warc-target-uri", ""), content[split + 4 : split + 4 + size]
-        at = split + 4 + size
+    """(offset, record id, type, address, block) of the records of a WARC file, plain or gzipped by record.
+
+    A record in a gzip member lies where the member begins, as archive indexes have it.
+    """
+    for begin, held in members(content):
+        packed, at = held is not content, 0
+        while at < len(held):
+            split = held.find(b"\r\n\r\n", at) if held.startswith(b"WARC/", at) else -1
+            if split < 0:
+                upto = held.find(b"\r\n\r\nWARC/", at)
+                upto = upto + 4 if upto >= 0 else len(held)
+                yield begin if packed else at, "", "unreadable", "", held[at:upto]
+                at = upto
+                continue
+            lines = held[at:split].decode("utf-8", "replace").split("\r\n")[1:]
+            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+            size = fields.get("content-length", "")
+            size = int(size) if size.isdecimal() else 0
+            yield begin if packed else at, fields.get("warc-record-id", ""), fields.get("warc-type", ""), fields.get("warc-target-uri", ""), held[split + 4 : split + 4 + size]
+            at = split + 4 + size
+            at += 4 * held.startswith(b"\r\n\r\n", at)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -73,16 +109,26 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(frames):
         import pandas as pd
 
+        def table(rows):
+            return pd.DataFrame(rows, columns=["path", "offset", "record_id", "kind", "uri", "content"])
+
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"]):
-                rows = [(name, *row) for row in parse(bytes(content))]
-                yield pd.DataFrame(rows, columns=["path", "offset", "record_id", "kind", "uri", "content"])
+                rows, size = [], 0
+                for row in parse(bytes(content)):
+                    rows.append((name, *row))
+                    size += len(row[-1])
+                    if size > 4 << 20:
+                        yield table(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield table(rows)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, {SCHEMA}")
 
 
 def hashes(records: DataFrame) -> DataFrame:
-    return records.select("archive", "offset", F.sha2("record", 256).alias("sha"))
+    return records.select("archive", "offset", "sha")
 
 
 def leaves(records: DataFrame) -> DataFrame:
@@ -135,11 +181,10 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record, audited against a replica damaged by rule: page_id % 101 = 7 altered, page_id % 257 = 11 lost."""
-    records = archived(load(spark, sf_dir, "pages"), "page_id", "url", "html")
-    slim = spool(records.select("id", "archive", "offset", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha"),
-                                F.sha2(F.concat("record", F.encode(F.lit("!"), "UTF-8")), 256).alias("damaged")), "records")
+    damaged = lambda record: {"damaged": F.sha2(F.concat(record, F.encode(F.lit("!"), "UTF-8")), 256)}
+    slim = spool(archived(load(spark, sf_dir, "pages"), "page_id", "url", "html", derived=damaged), "placed")
     replica = slim.where("id is null or id % 257 <> 11").select("archive", "offset", F.when(F.expr("id % 101 = 7"), F.col("damaged")).otherwise(F.col("sha")).alias("sha"))
-    found = audit(slim.select("archive", "offset", "sha"), replica)
+    found = audit(hashes(slim), replica)
     return slim.join(found, ["archive", "offset"], "left").select(
         F.col("id").alias("page_id"), "archive", "offset", "length", F.col("sha").alias("record_sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
 
