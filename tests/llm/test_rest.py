@@ -185,6 +185,38 @@ def test_fingerprints_of_odd_tables(spark, tmp_path):
     assert only["edited_sha256"] == hashlib.sha256(edited(["only one row here to read"])[0].encode()).hexdigest()
 
 
+@pytest.mark.parametrize("far", [[10**15], [-(2**63), 2**63 - 1], [2**53 + i for i in range(5)] + [2**62 + i for i in range(5)]])
+def test_next_document_whatever_the_identifiers(spark, far):
+    rng = random.Random(17)
+    rows = sorted([(i, prose(rng, rng.choice([1, 9, 40]))) for i in range(0, 300, 3)] + [(d, prose(rng, 20)) for d in far])
+    docs = syncmers.with_links(table(spark, rows).select("doc_id", "text"), "text", "links").repartition(3)
+    found = {r["doc_id"]: r["next"]["text"] for r in syncmers.with_next(docs, per_block=8).collect()}
+    assert found == {d: rows[(i + 1) % len(rows)][1] for i, (d, _) in enumerate(rows)}
+    number, n = syncmers.blocks(docs, 8, 1000)
+    sizes = [r["count"] for r in docs.groupBy(number.alias("block")).count().collect()]
+    assert n > 8 and max(sizes) < 30
+
+
+def test_likeness_is_that_of_linked_anchors(spark, tmp_path):
+    rng = random.Random(18)
+    base = prose(rng, 400)
+    rows = [(1, base), (2, prose(rng, 50) + " " + base), (3, " ".join(sorted(base.split()))), (4, "a b c"), (5, "a b c"), (6, prose(rng, 6)), (7, ""), (8, None), (9, base)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted(syncmers.op4_closed_syncmers(spark, str(tmp_path)).collect(), key=lambda r: r["doc_id"])
+    texts = [r[1] or "" for r in rows]
+    pairs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + edited(texts))], "i int, text string")
+    held = pairs.select("i", "text", syncmers.word_hashes(F.col("text")).alias("h")).select("i", "text", syncmers.anchors(F.col("h")).alias("a")).collect()
+    links = {}
+    for r in held:
+        a = [(x["pos"], x["hash"]) for x in r["a"]]
+        links[r["i"]] = {(one[1], two[1], two[0] - one[0]) for one, two in zip(a, a[1:])} or {x[1] for x in a}
+    like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    for i, r in enumerate(found):
+        assert abs(r["near_edited"] - like(links[i], links[len(rows) + i])) < 0.01
+        assert abs(r["near_next"] - like(links[i], links[(i + 1) % len(rows)])) < 0.01
+    assert found[0]["near_next"] > 0.8 and found[1]["near_next"] < 0.1 and found[3]["near_next"] == found[6]["near_next"] == 1 and found[8]["fingerprint"] == found[0]["fingerprint"]
+
+
 def closed_by_hand(h, k):
     out = []
     for i in range(len(h) - k + 1):
@@ -209,6 +241,7 @@ def test_anchors_are_closed_syncmers_and_context_free(spark):
 def replicas(spark, change):
     pages = [(i, f"http://h/{i}", "x" * (i * 37 % 500)) for i in range(400)] + [(None, None, None)]
     records = warc.archived(spark.createDataFrame(pages, "page_id long, url string, html string"), "page_id", "url", "html", archive_bytes=60_000)
+    records = records.cache()
     a = warc.hashes(records).cache()
     return a, a.withColumn("sha", change), records
 
@@ -229,9 +262,34 @@ def test_warc_files_round_trip(spark, tmp_path, packed):
 
     _, _, records = replicas(spark, F.col("sha"))
     rows = records.where("archive = 0").orderBy("offset").collect()
-    content = b"".join(gzip.compress(bytes(r["record"])) if packed else bytes(r["record"]) for r in rows)
-    (tmp_path / "a.warc").write_bytes(content)
+    held = [gzip.compress(bytes(r["record"])) if packed else bytes(r["record"]) for r in rows]
+    (tmp_path / "a.warc").write_bytes(b"".join(held))
     found = warc.read_warc(spark, str(tmp_path)).orderBy("offset").collect()
-    assert [r["offset"] for r in found] == [r["offset"] for r in rows]
+    assert [r["offset"] for r in found] == [sum(map(len, held[:i])) for i in range(len(held))]
     for r, f in zip(rows, found):
         assert bytes(f["content"]) in bytes(r["record"]) and f["kind"] == "resource" and f["uri"] == ("" if r["id"] is None else f"http://h/{r['id']}")
+
+
+def test_what_is_no_record_becomes_a_row():
+    import gzip
+
+    one = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = list(warc.parse(one + b"torn off\r\n\r\n" + one + b"WARC/1.1 cut"))
+    assert [(r[0], r[2], r[4]) for r in rows] == [
+        (0, "metadata", b"abc"), (len(one), "unreadable", b"torn off\r\n\r\n"), (len(one) + 12, "metadata", b"abc"), (2 * len(one) + 12, "unreadable", b"WARC/1.1 cut")]
+    damaged = gzip.compress(one) + b"\x1f\x8bnot gzip"
+    assert [(r[0], r[2]) for r in warc.parse(damaged)] == [(0, "metadata"), (len(damaged) - 10, "unreadable")] and list(warc.parse(b"")) == []
+
+
+def test_archives_of_odd_pages(spark):
+    pages = [(1, "u", "same"), (1, "u", "same"), (None, None, None), (None, None, None), (2, "v", "x" * 3_000_000), (3, "", "")]
+    docs = odd_columns(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    for column in ("archive", "offset", "length", "sha", "record"):
+        docs = docs.withColumn(column, F.lit("x"))
+    rows = warc.archived(docs, "page_id", "url", "html", archive_bytes=1_000_000).collect()
+    assert len(rows) == len(pages) and all(r["length"] == len(r["record"]) and r["sha"] == hashlib.sha256(r["record"]).hexdigest() for r in rows)
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r["archive"], r["offset"])):
+        assert r["offset"] == ends.get(r["archive"], 0)
+        ends[r["archive"]] = r["offset"] + r["length"]
+    assert warc.archived(docs.limit(0), "page_id", "url", "html").count() == 0
