@@ -138,6 +138,8 @@ def counter(segments: int):
                 held, size = ([], [], []), 0
         if size:
             yield from flush()
+        held = tokens = keys = own = n = None
+        tidy()
 
     return run
 
@@ -206,10 +208,13 @@ def builder(bits_per_entry: float, least: int):
                 if seg != now:
                     if now is not None:
                         yield build(now, parts)
+                        tidy()
                     now, parts = seg, ([], [], [])
                 parts[kind].append((loosened(keys), np.frombuffer(counts, np.int64)))
         if now is not None:
             yield build(now, parts)
+        parts = batch = keys = counts = None
+        tidy()
 
     return run
 
@@ -416,6 +421,8 @@ def score_text(
             for batch in slices(batches, "text"):
                 tokens, begin = token_rows(batch.column(2))
                 yield result(looked_up(given.value, documents, tokens, begin), tokens, begin, batch.column(0), batch.column(1))
+            batch = tokens = begin = None
+            tidy()
 
         return rows.mapInArrow(run, schema)
 
