@@ -3,16 +3,22 @@
 One model of order 4 per language, over lower-cased letters, with everything else a word break; contexts end at the
 break, so a model is one of words. All languages share one sorted array of n-gram hashes for each order,
 with a row of log-probabilities, one for each language, already interpolated down; a prediction looks up the whole
-4-gram and goes to shorter ones only where no language has it. The language with the least cross-entropy per character
-wins. A text is rejected when its cross-entropy lies above what held-back training texts of that
-language and of about that length reached, plus a margin.
+4-gram and goes to shorter ones only where no language has it. As a model is one of words, each distinct word of a batch is scored
+once. The language with the least cross-entropy per character wins.
 
-Training uses a bounded sample, ``per_language`` documents of each language, chosen by hash of the identifier in salted parts; the counts
-of its 4-grams are all that reaches the driver.
+Rejection is calibrated to a chosen rate: in each language and range of lengths, held-back training texts give limits of the
+cross-entropy that one more such text passes with probability ``reject``, by Student's distribution (the fewer held-back texts, the
+wider) and by an exponential tail fitted to their upper fifth (the longer that tail, the wider); a text is rejected above both, and
+never within ``margin`` bits of what a held-back text of that range or a longer one reached: mixed and damaged texts are rarer than
+the sample can show, and stay. A language with fewer than two held-back texts rejects nothing.
+
+Training uses a bounded sample, ``per_language`` documents of each language, those with the least hashes of their identifier; the
+counts of its 4-grams are all that reaches the driver.
 
 Defined results
     null text or one without letters: ``und``, score 0, not accepted; equal cross-entropies: the first language in order; rows
-    without identifier or language are predicted, not learned from; without any labelled row all are ``und``;
+    without identifier or language are predicted, not learned from; of rows that repeat an identifier one is learned from and each
+    is predicted; a very long text counts whole, in batches of its own; without any labelled row all are ``und``;
     an empty table gives an empty result; further columns are ignored, or carried along by ``identified``.
 """
 
@@ -26,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from framequill.llm.words import mix, powers, slices, text_bytes
-from framequill.session import Shared, load, ship, small_batches
+from framequill.session import Shared, load, ship, small_batches, spool
 
 ship(__name__)
 
 ORDER = 4
 PARTS = 256
 BINS = 24
+UPPER = 0.2
 #: Bytes of text looked at together; each takes about 150 bytes of arrays.
 PIECE = 1 << 19
 #: Fixed value: no assigned letter lies at or beyond this code point.
@@ -100,35 +107,37 @@ def keys(columns: list[np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Table:
-    """Sorted hashes with a row of values each, and where the hashes with each leading 16 bits begin."""
+    """Sorted hashes with a row of values each."""
 
     hashes: np.ndarray
     values: np.ndarray
-    begin: np.ndarray = field(init=False)
-    longest: int = field(init=False)
 
     def __post_init__(self):
         order = np.argsort(self.hashes)
         self.hashes, self.values = self.hashes[order], self.values[order].astype(np.float32)
-        self.begin = np.searchsorted(self.hashes >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.int64)
-        self.longest = int(np.diff(self.begin).max(initial=0))
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Row of each hash, -1 where there is none."""
-        head = (wanted >> np.uint64(48)).astype(np.int64)
-        at, end = self.begin[head], self.begin[head + 1]
-        found = np.full(len(wanted), -1, np.int64)
-        todo = np.flatnonzero(at < end)
-        while len(todo):
-            here = at[todo]
-            hit = self.hashes[here] == wanted[todo]
-            found[todo[hit]] = here[hit]
-            todo = todo[~hit]
-            at[todo] += 1
-            todo = todo[at[todo] < end[todo]]
+        if not len(self.hashes):
+            return np.full(len(wanted), -1, np.int64)
+        order = np.argsort(wanted)  # rising look-ups stay within cached pages
+        at = np.minimum(np.searchsorted(self.hashes, wanted[order]), len(self.hashes) - 1)
+        found = np.empty(len(wanted), np.int64)
+        found[order] = np.where(self.hashes[at] == wanted[order], at, -1)
         return found
 
 
+def distinct_words(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of the distinct words, where each begins, the number of each word of ``chars``); words end with a 0."""
+    ends = np.flatnonzero(chars == 0) + 1
+    starts = np.append(0, ends[:-1])
+    size = ends - starts
+    hashes = np.add.reduceat((chars + np.uint64(1)) * powers(int(size.max()))[np.arange(len(chars)) - np.repeat(starts, size)], starts)
+    _, first, number = np.unique(mix(hashes), return_index=True, return_inverse=True)
+    size, begin = size[first], np.concatenate([[0], np.cumsum(size[first])[:-1]])
+    return chars[np.arange(size.sum()) + np.repeat(starts[first] - begin, size)], begin, number
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -166,8 +175,10 @@ class Model:
         out = np.full((len(n), len(self.langs)), np.nan)
         full = np.flatnonzero(n > 0)
         if len(full) and self.langs:
-            sums = np.add.reduceat(self.logs(chars), begin[full], axis=0, dtype=np.float64)
-            out[full] = -sums / n[full, None]
+            words, at, number = distinct_words(chars)
+            sums = np.add.reduceat(self.logs(words), at, axis=0, dtype=np.float64)[number]
+            first = np.concatenate([[0], np.cumsum(chars == 0)])[begin[full]]
+            out[full] = -np.add.reduceat(sums, first, axis=0) / n[full, None]
         return out, n
 
     def decide(self, column: pa.Array) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
@@ -261,24 +272,37 @@ def lookup_rows(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return place[where[len(table) :]]
 
 
-def calibrate(model: Model, langs: np.ndarray, lengths: np.ndarray, own: np.ndarray, margin: float) -> None:
-    """Limits for each language and bin of length: the highest cross-entropy held-back texts of it reached, and a margin.
+def student_quantile(tail: float, freedom: int) -> float:
+    """What a Student variable exceeds with probability ``tail``, by the angle substitution x = sqrt(freedom) tan(angle)."""
+    angle = np.linspace(-np.pi / 2, np.pi / 2, 200_001)
+    density = np.cos(angle) ** (freedom - 1)
+    upto = np.cumsum(density[::-1])[::-1]
+    at = int(np.searchsorted(-upto, -tail * upto[0]))
+    return float(np.sqrt(freedom) * np.tan(angle[min(at, len(angle) - 2)]))
 
-    A limit never falls towards shorter texts, of which there may be few.
+
+def calibrate(model: Model, langs: np.ndarray, lengths: np.ndarray, own: np.ndarray, reject: float, margin: float = 1.5, least: int = 8) -> None:
+    """Limits for each language and bin of length from the cross-entropies of held-back texts.
+
+    A bin with fewer than ``least`` texts takes the next longer ones in, and one that has no longer ones the next shorter. A limit
+    never falls towards shorter texts.
     """
-    limit = np.full((len(model.langs), BINS), -np.inf)
+    limit = np.full((len(model.langs), BINS), np.inf)
     bins = length_bin(lengths)
     for j, name in enumerate(model.langs):
         rows = langs == name
-        np.maximum.at(limit[j], bins[rows], own[rows])
+        if rows.sum() < 2:
+            continue
+        h, at = own[rows], bins[rows]
+        for b in range(BINS):
+            upto = next((u for u in range(b, BINS) if ((at >= b) & (at <= u)).sum() >= least), BINS - 1)
+            from_ = next((f for f in range(b, -1, -1) if ((at >= f) & (at <= upto)).sum() >= least), 0)
+            held = h[(at >= from_) & (at <= upto)]
+            n = len(held)
+            fifth = np.quantile(held, 1 - UPPER)
+            tail = fifth + (held[held >= fifth] - fifth).mean() * np.log(UPPER / reject)
+            limit[j, b] = max(held.mean() + student_quantile(reject, n - 1) * held.std(ddof=1) * np.sqrt(1 + 1 / n), tail, h[at >= from_].max() + margin)
         limit[j] = np.maximum.accumulate(limit[j][::-1])[::-1]
-        top = limit[j][np.isfinite(limit[j])].max(initial=-np.inf)
-        limit[j] = np.where(np.isfinite(limit[j]), limit[j], np.where(np.arange(BINS) > 0, limit[j], top))
-        last = -np.inf
-        for b in range(BINS - 1, -1, -1):
-            last = limit[j, b] = max(last, limit[j, b])
-        least = limit[j][np.isfinite(limit[j])].min(initial=np.inf)
-        limit[j] = np.where(np.isfinite(limit[j]), limit[j], least) + margin
     model.limit = limit
 
 
@@ -286,15 +310,25 @@ def in_fold(id_col: str, of: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of))
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, per_language: int = 2048, margin: float = 1.5) -> Model:
+def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, per_language: int) -> DataFrame:
+    """(id, lang, text) of the ``per_language`` identifiers of each language with the least hashes, one row of each.
+
+    Each of PARTS parts of a language gives up more than its share first, so no task ranks a whole language.
+    """
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    slim = rows.select("id", "lang").distinct().withColumn("drawn", F.xxhash64("id", F.lit(11))).withColumn("part", F.pmod("drawn", F.lit(PARTS)))
+    parts = Window.partitionBy("lang", "part").orderBy("drawn", "id")
+    whole = Window.partitionBy("lang").orderBy("drawn", "id")
+    chosen = (slim.withColumn("nth", F.row_number().over(parts)).where(F.col("nth") <= 16 + 4 * -(-per_language // PARTS))
+              .withColumn("nth", F.row_number().over(whole)).where(F.col("nth") <= per_language).select("id", "lang"))
+    return rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, per_language: int = 2048, reject: float = 1e-5, margin: float = 1.5) -> Model:
     """The model of a sample with at most ``per_language`` documents of each language, an eighth of them held back for the limits."""
     spark = docs.sparkSession
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    drawn = F.xxhash64(F.col(id_col), F.lit(11))
-    slim = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), drawn.alias("drawn")).withColumn("part", F.pmod("drawn", F.lit(PARTS)))
-    order = Window.partitionBy("lang", "part").orderBy("drawn", "id")
-    chosen = slim.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language // PARTS).select("id").distinct()
-    sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
+    sample = spool(sampled(docs, id_col, text_col, lang_col, learn, per_language), "sample")
     held = F.pmod(F.xxhash64("id", F.lit(12)), F.lit(8)) == 0
     counted = sample.where(~held).select("lang", "text").mapInArrow(count_grams, "lang string, c3 int, c2 int, c1 int, c0 int, n long")
     model = fit(counted.groupBy("lang", "c3", "c2", "c1", "c0").agg(F.sum("n").alias("n")).toArrow())
@@ -309,7 +343,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Col
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.asarray(own, float))], ["lang", "n", "h"]).filter(pa.array(keep))
 
         seen = sample.where(held).select("lang", "text").mapInArrow(measure, "lang string, n long, h double").toArrow()
-        calibrate(model, np.asarray(seen.column("lang").to_pylist(), object), seen.column("n").to_numpy(), seen.column("h").to_numpy(), margin)
+        calibrate(model, np.asarray(seen.column("lang").to_pylist(), object), seen.column("n").to_numpy(), seen.column("h").to_numpy(), reject, margin)
     return model
 
 
