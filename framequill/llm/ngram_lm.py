@@ -44,8 +44,8 @@ END = np.uint64(0x1B873593CC9E2D51)
 START = np.uint64(0x85EBCA6B27D4EB2F)
 TRIPLE = np.uint64(0xA0761D6478BD642F)
 #: Each member sets so many bits in each of so many 64-bit words.
-PLACES, BITS = 2, 4
-FLUSH = 2_000_000
+PLACES, BITS = 2, 3
+FLUSH = 1_500_000
 ADD = 0.1
 STRENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
 #: Random keys that each segment is asked for, to learn how often it is wrong.
@@ -314,7 +314,7 @@ def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[at] == wanted, values[at], 0)
 
 
-def build(docs: DataFrame, bits_per_entry: float = 12.0, least: int = 2, segment_bytes: int = 8 << 20) -> tuple[DataFrame, Totals]:
+def build(docs: DataFrame, bits_per_entry: float = 10.0, least: int = 2, segment_bytes: int = 8 << 20) -> tuple[DataFrame, Totals]:
     """The segments as a spooled table, and the totals; a segment for each ``segment_bytes`` of training text."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     segments = max(1, -(-total // segment_bytes))
@@ -396,7 +396,7 @@ def answered(rows: DataFrame, table: DataFrame, totals: Totals, result: Callable
 
 
 def score_text(
-    docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: float = 12.0, least: int = 2,
+    docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: float = 10.0, least: int = 2,
     segment_bytes: int = 8 << 20, max_bytes: int = 256 << 20, max_words: int = 12_000_000, share: int = 8,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row; ``learn`` says which rows are learned from."""
@@ -418,7 +418,7 @@ def score_text(
         documents = totals.documents
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", 1 << 19):
                 tokens, begin = token_rows(batch.column(2))
                 yield result(looked_up(given.value, documents, tokens, begin), tokens, begin, batch.column(0), batch.column(1))
             batch = tokens = begin = None
