@@ -108,3 +108,34 @@ def test_quality_query_keeps_good_and_drops_toxic(spark, sf_dir):
     labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in load(spark, sf_dir, "labels").collect()}
     found = {r["doc_id"]: r["selected"] for r in QUERIES["op8_ordinal_quality"](spark, sf_dir).collect()}
     assert np.mean([found[d] == (label == (1, 0)) for d, label in labels.items()]) > 0.97
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def test_stages_take_odd_rows_and_columns(spark, sf_dir):
+    from tests.llm.helpers import edge_rows, odd_columns, table
+
+    rows = edge_rows() + [(20 + i, f"plain english words that say number {i} of the same kind of thing over and over", "en", "a") for i in range(20)]
+    docs = odd_columns(table(spark, rows))
+    for name, run in corpus_pipeline.STAGES[:-1]:
+        kept = run(spark, docs, sf_dir)
+        assert kept.columns == docs.columns and kept.count() <= 2 * len(rows), name
+        assert run(spark, docs.limit(0), sf_dir).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= len(rows)
+
+
+def test_copies_go_by_row_whatever_their_identifiers(spark, sf_dir):
+    import random
+
+    from tests.llm.helpers import prose, table
+
+    rng = random.Random(41)
+    one, two, three = prose(rng, 80), prose(rng, 80), prose(rng, 80)
+    rows = [(1, one), (2, one + " end"), (2, two), (None, two + " end"), (None, three), (None, three + " end"), (7, ""), (8, None)]
+    kept = stage("near_dedup")(spark, table(spark, rows), sf_dir).collect()
+    texts = Counter(r["text"] for r in kept)
+    assert texts == Counter([one, two, "", None, *({three, three + " end"} & set(texts))]) and len(kept) == 5
+    exact = stage("exact_dedup")(spark, table(spark, [(1, "a b"), (1, "ab"), (None, "a b"), (None, None), (3, " ")]), sf_dir).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in exact) == [(1, "a b"), (3, " ")]
