@@ -167,8 +167,8 @@ def extender(words: int):
                 whole = text.tobytes()
                 for seed in sorted(seeds) if hub == h else []:
                     start, size = seed >> 31, seed & ((1 << 31) - 1)
-                    if any(a <= start and start + size <= b for a, b in done):
-                        continue
+                    if start + size > len(whole) or any(a <= start and start + size <= b for a, b in done):
+                        continue  # a seed of another text of the identifier, or found already
                     for base in bases:
                         seed_bytes, pos, upto = whole[start : start + size], -1, 0
                         while (pos := base.find(seed_bytes, pos + 1)) >= 0:
