@@ -30,20 +30,34 @@ def key_channels(key: Sequence[int]) -> list[int]:
     return [i for i, k in enumerate(key) if top >= 128 and k >= 128 and top - k <= 16]
 
 
-def dominance(pixel: Sequence[Column], channels: Sequence[int]) -> Column:
-    """How far the key channels stand above the others, 0 where they don't."""
-    keyed = [pixel[i] for i in channels]
-    rest = [p for i, p in enumerate(pixel) if i not in channels]
-    low = F.least(*keyed) if len(keyed) > 1 else keyed[0]
-    high = F.greatest(*rest) if len(rest) > 1 else rest[0]
-    return F.greatest(F.lit(0), low - high)
-
-
-def despilled(pixel: Sequence[Column], channels: Sequence[int]) -> list[Column]:
-    """Key channels held down to the largest other channel."""
-    rest = [p for i, p in enumerate(pixel) if i not in channels]
-    high = F.greatest(*rest) if len(rest) > 1 else rest[0]
-    return [F.least(p, high) if i in channels else p for i, p in enumerate(pixel)]
+def _least(columns: Sequence[Column]) -> Column:
+    return F.least(*columns) if len(columns) > 1 else columns[0]
+
+
+def _most(columns: Sequence[Column]) -> Column:
+    return F.greatest(*columns) if len(columns) > 1 else columns[0]
+
+
+def dominance_alpha(pixel: Sequence[Column], key: Sequence[int]) -> Column | None:
+    """Alpha 0..255, cut to an integer, from how far the key's channels stand above the others, as a share of what they could; None
+    for a key whose channels all dominate, or none."""
+    channels = key_channels(key)
+    if not 0 < len(channels) < 3:
+        return None
+    rest = _most([p for i, p in enumerate(pixel) if i not in channels])
+    above = F.greatest(F.lit(0), _least([pixel[i] for i in channels]) - rest)
+    return ((F.lit(1.0) - F.least(F.lit(1.0), above / F.greatest(F.lit(1), F.lit(max(key)) - rest))) * 255).cast("int")
+
+
+def keyed(pixel: Sequence[Column], key: Sequence[int], low: float = 12, high: float = 220) -> tuple[Column, list[Column]]:
+    """(alpha, channels) of a keyed pixel: the lesser of distance and dominance alpha; where that is below 252, the key's channels
+    are held down to the largest other one."""
+    alpha, by_share = distance_alpha(pixel, key, low, high), dominance_alpha(pixel, key)
+    if by_share is None:
+        return alpha, list(pixel)
+    alpha, channels = F.least(alpha, by_share), key_channels(key)
+    rest = _most([p for i, p in enumerate(pixel) if i not in channels])
+    return alpha, [F.when(alpha < 252, F.least(p, rest)).otherwise(p) if i in channels else p for i, p in enumerate(pixel)]
 
 
 def feather_alpha(x: Column, y: Column, width: int, height: int, left: float, top: float, right: float, bottom: float) -> Column:

@@ -8,15 +8,29 @@ from pyspark.sql import Column, functions as F
 PLACEHOLDER = r"(?i)\{\{[^}]+\}\}|\[(?:ACTUAL|ALLOWED|PATH|OBSERVABLE|DESIRED|TASK|SUBJECT|FIXED|ENDING|RELEVANT)[A-Z _-]*\]|replace-with-"
 
 
-def canonical(pairs: dict[str, Column]) -> Column:
-    """JSON object with sorted keys; null fields are left out."""
-    return F.to_json(F.struct(*[pairs[k].alias(k) for k in sorted(pairs)]))
+def canonical(pairs: dict, ascii_only: bool = False) -> Column:
+    """JSON object with sorted keys, nested dictionaries too; null fields are left out. ``ascii_only`` writes other characters as \\uXXXX units."""
+    def struct(d: dict) -> Column:
+        return F.struct(*[(struct(d[k]) if isinstance(d[k], dict) else d[k]).alias(k) for k in sorted(d)])
+
+    text = F.to_json(struct(pairs))
+    if not ascii_only:
+        return text
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    at = lambda i: F.substring(units, i * 4 + 1, F.lit(4))
+    one = lambda u: F.when(u < "0080", F.decode(F.unhex(F.substring(u, 3, 2)), "UTF-8")).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+    return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(units) / 4).cast("int") - 1), lambda i: one(at(i))), "")
 
 
 def data_uri(mime: Column, content: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
 
 
+def media_uri(value: Column, mime: Column, content: Column) -> Column:
+    """Addresses and inline media as they are, anything else as the inline form of its content; a type that is not known is a plain stream."""
+    return F.when(value.rlike(r"^(https?://|data:)"), value).otherwise(data_uri(F.coalesce(mime, F.lit("application/octet-stream")), content))
+
+
 def uri_mime(uri: Column) -> Column:
     return F.regexp_extract(uri, r"^data:([^;,]+);base64,", 1)
 

@@ -42,13 +42,19 @@ def phases(samples: Column, directions: Column) -> dict[str, Column]:
     }
 
 
-def preview(mode: Column, samples: Column, notes: Column, certified: Column) -> dict[str, Column]:
-    """Samples are array<struct<deg, frame>>. A phase spans exactly 0 to 360, an arc less than a turn; none carries a certificate."""
+def preview(mode: Column, samples: Column, notes: Column, certified: Column, count: Column | None = None) -> dict[str, Column]:
+    """Samples are array<struct<deg, frame>>. A phase spans exactly 0 to 360, an arc less than a turn; both begin within the first turn and have
+    two samples at least, with rising frames (below ``count`` if given); none carries a certificate."""
     degrees = F.transform(samples, lambda s: s["deg"].cast("double"))
-    first, last = F.get(degrees, F.lit(0)), F.element_at(degrees, -1)
+    frames = F.transform(samples, lambda s: s["frame"].cast("double"))
+    first, last = F.get(degrees, F.lit(0)), F.try_element_at(degrees, F.lit(-1))
+    within = F.forall(frames, lambda f: (f >= 0) & (f < count)) if count is not None else F.forall(frames, lambda f: f >= 0)
     return {
         "preview-mode": mode.isin("phase", "arc"),
-        "preview-increasing": increasing(degrees),
+        "preview-count": F.size(samples) >= 2,
+        "preview-increasing": increasing(degrees) & increasing(frames) & F.forall(degrees, lambda d: ~F.isnan(d)),
+        "preview-frames": within,
+        "preview-start": (first >= 0) & (first < 360),
         "preview-span": F.when(mode == "phase", (first == 0) & (last == 360)).otherwise((last - first > 0) & (last - first < 360)),
         "preview-notes": F.trim(notes) != "",
         "preview-uncertified": ~certified,
@@ -90,6 +96,20 @@ def background(owner: Column, mode: Column, clean: Column, contact: Column) -> d
     return {"background-page": (owner != "page") | (clean.isNotNull() & contact.isNotNull()), "background-mode": mode.isNotNull()}
 
 
+#: Owners of a background and the modes each may have.
+MODES_OF = {"page": ("preserve", "chroma-key"), "scene": ("preserve", "replace-edge-light", "fit-edge-light")}
+
+
+def background_pair(owner: Column, mode: Column, key: Column, report_passed: Column) -> dict[str, Column]:
+    """Owner and mode go together; keying needs a colour and a report that passed."""
+    allowed = F.create_map(*[x for o, modes in MODES_OF.items() for x in (F.lit(o), F.array(*[F.lit(m) for m in modes]))])
+    return {
+        "background-owner": owner.isin(*MODES_OF),
+        "background-pair": F.array_contains(F.try_element_at(allowed, owner), mode),
+        "background-key": (mode != "chroma-key") | (F.coalesce(key != "", F.lit(False)) & F.coalesce(report_passed, F.lit(False))),
+    }
+
+
 def seam(sources: Column, frames: Column) -> dict[str, Column]:
     """An upper seam comes from one source at both ends and runs backwards in it."""
     return {"seam-source": F.get(sources, F.lit(0)) == F.element_at(sources, -1), "seam-order": F.get(frames, F.lit(0)) > F.element_at(frames, -1)}

@@ -61,24 +61,79 @@ STAGES = ("pilot", "repair", "segment", "expansion")
 def stage_problems(ledger: DataFrame, key: str, seq: str) -> DataFrame:
     """(key, seq, stage, problem) of attempts (stage, request, pilot_request) that their ledger does not allow.
 
-    A pilot may only be the first attempt. An expansion names the request of exactly one earlier pilot.
+    A pilot may only be the first attempt. An expansion names the request of exactly one earlier pilot: pilots are counted per request
+    first, at most two of them with their places, so that a ledger with most of all attempts is no group of its own.
     """
-    before = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    pilots = ledger.where("stage = 'pilot'").select(key, F.col("request").alias("pilot_request"), F.col(seq).alias("__pilot_seq"))
-    named = (ledger.where("stage = 'expansion'").join(pilots, [key, "pilot_request"], "left").groupBy(key, seq)
-             .agg(F.count_if(F.col("__pilot_seq") < F.col(seq)).alias("__pilots")))
-    problem = (F.when(~F.coalesce(F.col("stage").isin(*STAGES), F.lit(False)), "unknown-stage").when((F.col("stage") == "pilot") & (F.col("__earlier") > 0), "pilot-not-first")
-               .when((F.col("stage") == "expansion") & (F.col("__pilots") != 1), "no-single-pilot"))
-    counted = ledger.withColumn("__earlier", F.count(F.lit(1)).over(before)).join(named, [key, seq], "left")
-    return counted.withColumn("problem", problem).where("problem is not null").select(key, F.col(seq).alias("seq"), "stage", "problem")
+    firsts = ledger.groupBy(key).agg(F.min(seq).alias("__first"))
+    pilots = ledger.where("stage = 'pilot'").groupBy(key, F.col("request").alias("pilot_request")).agg(F.min(seq).alias("__one"), F.count(F.lit(1)).alias("__n"))
+    later = (ledger.where("stage = 'pilot'").select(key, F.col("request").alias("pilot_request"), F.col(seq).alias("__at")).join(pilots.where("__n > 1"), [key, "pilot_request"])
+             .where("__at > __one").groupBy(key, "pilot_request").agg(F.min("__at").alias("__two")))
+    pilots = pilots.join(later, [key, "pilot_request"], "left").select(key, "pilot_request", "__one", "__two")
+    single = F.coalesce(F.col("__one") < F.col(seq), F.lit(False)) & ~F.coalesce(F.col("__two") < F.col(seq), F.lit(False))
+    problem = (F.when(~F.coalesce(F.col("stage").isin(*STAGES), F.lit(False)), "unknown-stage").when((F.col("stage") == "pilot") & (F.col(seq) > F.col("__first")), "pilot-not-first")
+               .when((F.col("stage") == "expansion") & ~single, "no-single-pilot"))
+    joined = ledger.join(firsts, key).join(pilots, [key, "pilot_request"], "left")
+    return joined.withColumn("problem", problem).where("problem is not null").select(key, F.col(seq).alias("seq"), "stage", "problem")
+
+
+#: Input policies of a repair.
+POLICIES = ("source-frames", "reviewed-replacement")
+
+
+def stage_evidence(attempts: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, rule): what an attempt of each later stage must show and does not.
+
+    Attempts have stage, scene_id, manifest_scene, manifest_ready, video_sha256 (of the recorded pilot's video), source_hashes (map of the
+    approved manifest), source_exists, evidence_bytes, input_policy, change_reason, reviewed (an input review bound to the request),
+    frames_match (inputs equal the declared source frames), first_frames and last_frames (numbers of such inputs).
+    """
+    from framequill.operators.rules import violations
+
+    c = F.col
+    said = lambda name: F.trim(F.coalesce(c(name), F.lit(""))) != ""
+    policy = F.coalesce(c("input_policy"), F.lit(POLICIES[0]))
+    only = lambda stage, ok: (c("stage") != stage) | F.coalesce(ok, F.lit(False))
+    return violations(attempts, key, {
+        "stage": c("stage").isin(*STAGES),
+        "expansion-manifest": only("expansion", c("manifest_ready")),
+        "expansion-video": only("expansion", F.array_contains(F.map_values("source_hashes"), c("video_sha256"))),
+        "expansion-scene": only("expansion", said("scene_id") & (c("scene_id") == c("manifest_scene"))),
+        "repair-source": only("repair", c("source_exists")),
+        "repair-evidence": only("repair", c("evidence_bytes") > 0),
+        "repair-policy": only("repair", policy.isin(*POLICIES)),
+        "repair-frames": only("repair", (policy != POLICIES[0]) | c("frames_match")),
+        "repair-review": only("repair", (policy != POLICIES[1]) | (said("change_reason") & c("reviewed"))),
+        "segment-source": only("segment", c("source_exists") & c("reviewed")),
+        "segment-frames": only("segment", (c("first_frames") == 1) & (c("last_frames") >= 1) & c("frames_match")),
+    })
+
+
+#: Models, resolutions and seconds of a request for which no reason need be recorded.
+USUAL_MODELS, USUAL_RESOLUTIONS, USUAL_SECONDS = ("minimax/minimax-h3-max",), ("768p",), 5
 
 
 def limit_problems(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key, rule): widened limits (per_request, total, most, models, change_reason) without a reason."""
+    """(key, rule) of budgets with a request: per_request, total, models and resolutions (null: the usual ones), most, change_reason,
+    allow_reference_media; seconds, model, resolution, used seconds so far, and reference_media (a count)."""
     from framequill.operators.rules import violations
 
-    widened = (F.col("per_request") > 5) | (F.col("total") > 5 * F.col("most")) | (F.size("models") > 1)
+    c = F.col
+    usual = lambda name, values: F.coalesce(c(name), F.array(*[F.lit(v) for v in values]))
+    per, total = F.coalesce("per_request", F.lit(USUAL_SECONDS)), F.coalesce("total", USUAL_SECONDS * c("most"))
+    models, resolutions = usual("models", USUAL_MODELS), usual("resolutions", USUAL_RESOLUTIONS)
+    finite = lambda v: (v > 0) & (v < float("inf"))
+    named = lambda v: (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (x != ""))
+    same = lambda v, values: F.coalesce(v == F.array(*[F.lit(x) for x in values]), F.lit(False))
+    widened = (per > USUAL_SECONDS) | (total > USUAL_SECONDS * c("most")) | ~same(models, USUAL_MODELS) | ~same(resolutions, USUAL_RESOLUTIONS)
+    reason = F.trim(F.coalesce("change_reason", F.lit(""))) != ""
     return violations(df, key, {
-        "limits-positive": (F.col("per_request") > 0) & (F.col("total") > 0) & (F.col("most") > 0),
-        "change-reason": ~widened | (F.trim(F.coalesce("change_reason", F.lit(""))) != ""),
+        "limits-positive": finite(per) & finite(total) & (c("most") > 0),
+        "limits-named": named(models) & named(resolutions),
+        "seconds": finite(c("seconds")),
+        "model": F.array_contains(models, c("model")),
+        "resolution": F.array_contains(resolutions, c("resolution")),
+        "per-request": c("seconds") <= per,
+        "total": c("used") + c("seconds") <= total,
+        "change-reason": ~widened | reason,
+        "reference-media": (c("reference_media") == 0) | (F.coalesce(c("allow_reference_media"), F.lit(False)) & reason),
     })

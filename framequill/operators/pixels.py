@@ -8,16 +8,53 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from framequill.functions.pixels import is_light
 from framequill.session import ship
 
 ship(__name__)
 
 
-def residuals(pixels: DataFrame, key: Sequence[str], gap: str, edge: str) -> DataFrame:
-    """(key, mae, p95, edge_error, passed) of pixels with an absolute difference and an edge flag; limits 5, 15 and 5."""
-    found = pixels.groupBy(*key).agg(
-        F.avg(gap).alias("mae"), F.percentile(gap, F.lit(0.95)).alias("p95"), F.coalesce(F.avg(F.when(F.col(edge), F.col(gap))), F.lit(0.0)).alias("edge_error"))
-    return found.withColumn("passed", (F.col("mae") <= 5) & (F.col("p95") <= 15) & (F.col("edge_error") <= 5))
+def residuals(pixels: DataFrame, key: Sequence[str], x: str, y: str, value: str, reference: str, static: str, width: int, channel: str | None = None) -> DataFrame:
+    """(key, mae, p95, edge_error, edge_cells, passed) over the static pixels of complete frames; limits 5, 15 and 5.
+
+    ``edge_error`` compares local gradients, the sum of the absolute steps to the right and lower neighbour, of frame and reference, over
+    cells that are static together with both neighbours: shifted texture shows there, whatever the mean colour. Fewer
+    than 8 such cells decide nothing, and the frame does not pass.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*key).orderBy(*[c for c in (channel, y, x) if c])  # the aggregate below reuses its partitioning
+
+    def near(c: str, step: int) -> Column:
+        return F.lead(c, step).over(order)
+
+    def gradient(c: str) -> Column:
+        return F.abs(near(c, width) - F.col(c)) + F.abs(near(c, 1) - F.col(c))
+
+    last = F.max(y).over(Window.partitionBy(*key))
+    inner = (F.col(x) < width - 1) & (F.col(y) < last) & F.col(static) & near(static, 1) & near(static, width)
+    rows = pixels.select(*key, F.col(static).alias("__static"), F.abs(F.col(value) - F.col(reference)).cast("double").alias("__gap"),
+                         F.when(inner, F.abs(gradient(value) - gradient(reference))).cast("double").alias("__edge"))
+    gap = F.when(F.col("__static"), F.col("__gap"))
+    found = rows.groupBy(*key).agg(F.avg(gap).alias("mae"), F.percentile(gap, F.lit(0.95)).alias("p95"), F.avg("__edge").alias("edge_error"), F.count("__edge").alias("edge_cells"))
+    passed = (F.col("mae") <= 5) & (F.col("p95") <= 15) & (F.col("edge_error") <= 5) & (F.col("edge_cells") >= 8)
+    return found.withColumn("passed", F.coalesce(passed, F.lit(False)))
+
+
+def background_masks(pixels: DataFrame, key: Sequence[str], x: str, y: str, static: str, motion: str, width: int, padding: int = 2) -> DataFrame:
+    """(key, covered, overlap, edge_cells, moving, usable): may a static mask certify the background beside a motion mask?
+
+    It has to keep off the motion grown by ``padding`` on all sides, cover max(16, 2 %), and hold 8 cells together with
+    their right and lower neighbours; the motion mask may not be empty.
+    """
+    at = F.col(y) * width + F.col(x)
+    grids = pixels.groupBy(*key).agg(*[F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(c).alias("on")))), lambda p: p["on"]).alias(name) for c, name in ((static, "s"), (motion, "m"))])
+    grids = dilated(grids.withColumn("w", F.lit(width)), "w", "m", padding, "grown")
+    n = lambda cells: F.size(F.filter(cells, lambda c: c))
+    edge = F.transform("s", lambda s, i: s & (i % width < width - 1) & F.coalesce(F.get("s", i + 1), F.lit(False)) & F.coalesce(F.get("s", i + width), F.lit(False)))
+    found = grids.select(*key, F.size("s").alias("cells"), n(F.col("s")).alias("covered"), n(F.zip_with("s", "grown", lambda s, g: s & g)).alias("overlap"), n(edge).alias("edge_cells"), n(F.col("m")).alias("moving"))
+    usable = (F.col("overlap") == 0) & (F.col("covered") >= F.greatest(F.lit(16.0), F.col("cells") * 0.02)) & (F.col("edge_cells") >= 8) & (F.col("moving") > 0)
+    return found.withColumn("usable", usable).drop("cells")
 
 
 def matches_source(pixels: DataFrame, key: Sequence[str], gap: str) -> DataFrame:
@@ -32,15 +69,21 @@ def border_stability(pixels: DataFrame, clip: Sequence[str], frame: str, distanc
     return shares.groupBy(*clip).agg(F.min("share").alias("stability")).withColumn("stable", F.col("stability") >= least)
 
 
-def channel_offset(pixels: DataFrame, key: Sequence[str], reference: str, value: str, most: float = 12, worse: float = 0.05) -> DataFrame:
-    """(key, shift, before, after, accepted): median shift of a channel, refused if large or if it makes things worse."""
+def channel_offset(pixels: DataFrame, key: Sequence[str], reference: str, value: str, sample: str, most: float = 12, worse: float = 0.05, least: int = 16) -> DataFrame:
+    """(key, shift, samples, before, after, accepted): median shift of a channel over its sample pixels (static and opaque).
+
+    The corrected value is rounded half to even and held within 0..255 before its error is taken again. Refused with fewer than ``least``
+    samples, beyond ``most``, or if it makes things worse.
+    """
     from pyspark.sql import Window
 
-    shift = F.percentile(F.col(reference) - F.col(value), F.lit(0.5)).over(Window.partitionBy(*key))
-    joined = pixels.withColumn("shift", shift)  # the aggregate below reuses the window's partitioning
-    found = joined.groupBy(*key).agg(
-        F.min("shift").alias("shift"), F.avg(F.abs(F.col(reference) - F.col(value))).alias("before"), F.avg(F.abs(F.col(reference) - F.col(value) - F.col("shift"))).alias("after"))
-    return found.withColumn("accepted", (F.abs("shift") <= most) & (F.col("after") <= F.col("before") + worse))
+    taken = F.when(F.col(sample), (F.col(reference) - F.col(value)).cast("double"))
+    joined = pixels.withColumn("shift", F.percentile(taken, F.lit(0.5)).over(Window.partitionBy(*key)))  # the aggregate below reuses the window's partitioning
+    fixed = F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint(F.col(value) + F.col("shift"))))
+    off = lambda c: F.avg(F.when(F.col(sample), F.abs(F.col(reference) - c)))
+    found = joined.groupBy(*key).agg(F.min("shift").alias("shift"), F.count_if(F.col(sample)).alias("samples"), off(F.col(value)).alias("before"), off(fixed).alias("after"))
+    accepted = (F.col("samples") >= least) & (F.abs("shift") <= most) & (F.col("after") <= F.col("before") + worse)
+    return found.withColumn("accepted", F.coalesce(accepted, F.lit(False)))
 
 
 def plane(points: DataFrame, key: Sequence[str], x: str, y: str, z: str) -> DataFrame:
@@ -64,6 +107,29 @@ def mask_problems(masks: DataFrame, key: Sequence[str], mask: str) -> DataFrame:
         (covered >= F.greatest(F.lit(16.0), F.size(mask) * 0.02)).alias("enough"))
 
 
+def mask_metrics(masks: DataFrame, key: Sequence[str], width: str, mask: str, solid: int = 128) -> DataFrame:
+    """(key, area, edge_pixels, clipped) of row-major mattes: solid pixels, those of the four border lines (corners count for both), and
+    whether any touches the top or a side; the bottom may be cut."""
+    w, on = F.col(width), F.transform(mask, lambda v: v > solid)
+    masks = masks.withColumn("__on", on).withColumn("__rows", F.expr(f"size(`{mask}`) div `{width}`"))
+    count = lambda where: F.size(F.filter(F.transform("__on", lambda v, i: v & where(i)), lambda v: v))
+    top, bottom = count(lambda i: i < w), count(lambda i: i >= (F.col("__rows") - 1) * w)
+    left, right = count(lambda i: i % w == 0), count(lambda i: i % w == w - 1)
+    return masks.select(*key, count(lambda i: F.lit(True)).alias("area"), (top + bottom + left + right).alias("edge_pixels"), (top + left + right > 0).alias("clipped"))
+
+
+def cell_problems(cells: DataFrame, key: Sequence[str], alpha: str, page: Column) -> DataFrame:
+    """(key, low, high, problem) of active cells by the extrema of their alpha: empty ones, and opaque ones on a page."""
+    found = cells.select(*key, F.array_min(alpha).alias("low"), F.array_max(alpha).alias("high"), page.alias("__page"))
+    return found.withColumn("problem", F.when(~F.coalesce(F.col("high") > 0, F.lit(False)), "empty").when(F.col("__page") & (F.col("low") >= 255), "opaque")).drop("__page")
+
+
+def composite_problems(front_alpha: Column, matte: Column, entered: int = 16, opaque: int = 250) -> dict[str, Column]:
+    """Rules of a composite over a clean plate: the matte has both foreground and background, and stays off what its source feathers or lacks."""
+    pairs = F.zip_with(front_alpha, matte, lambda a, m: (m > entered) & (a < opaque))
+    return {"matte-both": (F.array_max(matte) > 0) & (F.array_min(matte) < 255), "matte-size": F.size(front_alpha) == F.size(matte), "matte-source": ~F.exists(pairs, lambda p: F.coalesce(p, F.lit(True)))}
+
+
 def _grid(values, width: int) -> np.ndarray:
     return np.asarray(values).reshape(-1, width)
 
@@ -75,19 +141,17 @@ def flood(frames: DataFrame, width: str, mask: str, name: str = "reached") -> Da
     def reach(widths: pd.Series, masks: pd.Series) -> pd.Series:
         out = []
         for w, m in zip(widths, masks):
-            open_ = _grid(m, int(w)).astype(bool)
-            seen = np.zeros_like(open_)
-            seen[[0, -1]], seen[:, [0, -1]] = open_[[0, -1]], open_[:, [0, -1]]
-            while True:
-                grown = seen.copy()
-                grown[1:] |= seen[:-1]
-                grown[:-1] |= seen[1:]
-                grown[:, 1:] |= seen[:, :-1]
-                grown[:, :-1] |= seen[:, 1:]
-                grown &= open_
-                if (grown == seen).all():
-                    break
-                seen = grown
+            # A frame of closed cells, so that steps never leave the grid; each cell joins the frontier once.
+            open_ = np.pad(_grid(m, int(w)).astype(bool), 1)
+            wide, todo, seen = open_.shape[1], open_.ravel().copy(), np.zeros(open_.size, bool)
+            border = np.zeros_like(open_)
+            border[[1, -2], 1:-1], border[1:-1, [1, -2]] = True, True
+            front = np.flatnonzero(border.ravel() & todo)
+            while len(front):
+                seen[front], todo[front] = True, False
+                front = np.unique(np.concatenate([front - 1, front + 1, front - wide, front + wide]))
+                front = front[todo[front]]
+            seen = seen.reshape(open_.shape)[1:-1, 1:-1]
             out.append(seen.ravel().tolist())
         return pd.Series(out)
 
@@ -109,32 +173,43 @@ def dilated(frames: DataFrame, width: str, mask: str, radius: int = 2, name: str
     return frames.withColumn(name, grow(F.col(width), F.col(mask)))
 
 
-def map_inspection(maps: DataFrame, key: str, width: str, map_x: str, map_y: str, region: Sequence[int]) -> DataFrame:
-    """(key, folded, outside, least_det, most_moved) of inverse pixel maps, within a region (x0, y0, x1, y1).
+def map_inspection(maps: DataFrame, key: str, width: str, map_x: str, map_y: str, region: str, protected: str | None = None, least_det: float = 0.2) -> DataFrame:
+    """(key, folded, outside, least_det, most_moved, protected_moved, passed) of inverse pixel maps given as row-major arrays.
 
-    ``folded`` counts cells whose Jacobian is not positive, ``outside`` those that read beyond the frame; a map that is empty
-    or not finite is an error row with null figures.
+    ``folded`` counts the cells of the boolean array ``region`` whose Jacobian determinant, from central differences, one-sided at the border, is at most
+    ``least_det``; ``outside`` those that read beyond the frame. Protected cells may not move by more than 1e-5. A map that is
+    empty, not finite, of another size than its masks, or narrower than two cells, and an empty region, give an error row: null figures, not passed.
     """
-    x0, y0, x1, y1 = region
-    kind = maps.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for k, w, mx, my in part.itertuples(index=False):
-                if not len(mx) or not (np.isfinite(mx).all() and np.isfinite(my).all()):
-                    rows.append((k, None, None, None, None))
-                    continue
-                gx, gy = _grid(mx, int(w)), _grid(my, int(w))
-                h = len(gx)
-                (xy, xx), (yy, yx) = np.gradient(gx), np.gradient(gy)
-                det = (xx * yy - xy * yx)[y0:y1, x0:x1]
-                off = ((gx < 0) | (gx > w - 1) | (gy < 0) | (gy > h - 1))[y0:y1, x0:x1]
-                moved = np.hypot(gx - np.arange(w)[None, :], gy - np.arange(h)[:, None])[y0:y1, x0:x1]
-                rows.append((k, int((det <= 0).sum()), int(off.sum()), float(det.min()), float(moved.max())))
-            yield pd.DataFrame(rows, columns=["key", "folded", "outside", "least_det", "most_moved"]).astype({"folded": "Int64", "outside": "Int64"})
-
-    return maps.select(key, width, map_x, map_y).mapInPandas(run, f"key {kind}, folded long, outside long, least_det double, most_moved double").withColumnRenamed("key", key)
+    w, n = F.col(width), F.size(map_x)
+    rows = F.expr(f"size(`{map_x}`) div `{width}`")
+    fits = (n > 0) & (n == F.size(map_y)) & (n == F.size(region)) & (w >= 2) & (rows >= 2) & (n == rows * w)
+    if protected:
+        fits = fits & (n == F.size(protected))
+    finite = lambda c: F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    fits = fits & finite(map_x) & finite(map_y) & F.exists(region, lambda c: c)
+
+    def slope(c: str, i: Column, step: Column, first: Column, last: Column) -> Column:
+        at = lambda j: F.get(F.col(c), j)
+        return (F.when(first, at(i + step) - at(i)).when(last, at(i) - at(i - step)).otherwise((at(i + step) - at(i - step)) / 2.0))
+
+    def cell(px: Column, i: Column) -> Column:
+        col, row, one = i % w, F.floor(i / w).cast("int"), F.lit(1)
+        py = F.get(F.col(map_y), i)
+        across, down = (one, col == 0, col == w - 1), (w, row == 0, row == rows - 1)
+        det = slope(map_x, i, *across) * slope(map_y, i, *down) - slope(map_x, i, *down) * slope(map_y, i, *across)
+        off = (px < 0) | (px > w - 1) | (py < 0) | (py > rows - 1)
+        return F.struct(det.alias("det"), off.alias("off"), F.hypot(px - col, py - row).alias("moved"), F.get(F.col(region), i).alias("inside"),
+                        (F.get(F.col(protected), i) if protected else F.lit(False)).alias("held"))
+
+    found = maps.withColumn("__cells", F.when(fits, F.transform(map_x, cell)))
+    inside = F.filter("__cells", lambda c: c["inside"])
+    most = lambda cells, name: F.array_max(F.transform(cells, lambda c: c[name]))
+    found = found.select(
+        key, F.size(F.filter(inside, lambda c: c["det"] <= least_det)).cast("long").alias("folded"), F.size(F.filter(inside, lambda c: c["off"])).cast("long").alias("outside"),
+        F.array_min(F.transform(inside, lambda c: c["det"])).alias("least_det"), most(inside, "moved").alias("most_moved"),
+        F.when(F.col("__cells").isNotNull(), F.coalesce(most(F.filter("__cells", lambda c: c["held"]), "moved"), F.lit(0.0))).alias("protected_moved"))
+    passed = (F.col("folded") == 0) & (F.col("outside") == 0) & (F.col("protected_moved") <= 1e-5)
+    return found.withColumn("folded", F.when(F.col("folded") >= 0, F.col("folded"))).withColumn("outside", F.when(F.col("outside") >= 0, F.col("outside"))).withColumn("passed", F.coalesce(passed, F.lit(False)))
 
 
 def registration(pairs: DataFrame, key: str, width: str, reference: str, moved: str, most: int = 3, texture: float = 1.0) -> DataFrame:
@@ -163,8 +238,8 @@ def registration(pairs: DataFrame, key: str, width: str, reference: str, moved:
 
 
 def flow_gate(flows: DataFrame, key: Sequence[str], roundtrip: str, residual: str, moved: str, least_side: Column) -> DataFrame:
-    """(key, p95, residual, moved, passed): limits of an interpolated bridge on its own flow figures."""
-    found = flows.groupBy(*key).agg(F.percentile(roundtrip, F.lit(0.95)).alias("p95"), F.avg(residual).alias("residual"), F.max(moved).alias("moved"), F.min(least_side).alias("side"))
+    """(key, p95, residual, moved, passed): limits of an interpolated bridge on its own flow figures, 95th percentiles of round trip and displacement."""
+    found = flows.groupBy(*key).agg(F.percentile(roundtrip, F.lit(0.95)).alias("p95"), F.avg(residual).alias("residual"), F.percentile(moved, F.lit(0.95)).alias("moved"), F.min(least_side).alias("side"))
     return found.withColumn("passed", (F.col("p95") <= 1.5) & (F.col("residual") <= 12) & (F.col("moved") <= F.col("side") * 0.08)).drop("side")
 
 
@@ -179,10 +254,26 @@ def composite(front: Column, back: Column, matte: Column) -> Column:
     return F.zip_with(both, matte, lambda p, m: F.rint(p["f"] * (m / 255) + p["b"] * (1 - m / 255)).cast("int"))
 
 
-def patched(front: Column, base: Column, mode: Column, edge: Column, light: Column, alpha: Column) -> Column:
-    """One channel of a frame's patch: kept as it is, edge-connected light replaced by the base, or keyed over the base by alpha 0..255."""
-    return (F.when(mode == "preserve", front).when(mode == "replace-edge-light", F.when(edge & light, base).otherwise(front))
-            .when(mode == "chroma-key", F.rint(front * (alpha / 255) + base * (1 - alpha / 255))).cast("int"))
+MODES = ("preserve", "replace-edge-light", "fit-edge-light", "chroma-key")
+
+
+def patched(front: Column, base: Column, fitted: Column, mode: Column, edge: Column, light: Column, keyed: Column, alpha: Column) -> Column:
+    """One channel of a frame's patch: kept as it is; edge-connected light replaced by the base image, or by the plane fitted to its light
+    backdrop; or the despilled value ``keyed`` over the base by alpha 0..255. Null for a mode that is none of ``MODES``."""
+    lit = edge & light
+    plane_ = F.least(F.lit(255), F.greatest(F.lit(0), fitted.cast("int")))
+    return (F.when(mode == "preserve", front).when(mode == "replace-edge-light", F.when(lit, base).otherwise(front)).when(mode == "fit-edge-light", F.when(lit, plane_).otherwise(front))
+            .when(mode == "chroma-key", F.rint(keyed * (alpha / 255) + base * (1 - alpha / 255))).cast("int"))
+
+
+def backdrop(pixels: DataFrame, key: Sequence[str], x: str, y: str, channels: Sequence[str], light: Column | None = None) -> DataFrame:
+    """(key, channel, c0, c1, c2): planes through a base image's light cells; null where they span none.
+
+    Light by default is a least of three channels above 215 with a spread below 30.
+    """
+    cells = pixels.where(is_light(*[F.col(c) for c in channels], above=215) if light is None else light)
+    cells = cells.select(*key, x, y, F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in channels])).alias("__c"))
+    return plane(cells.select(*key, "__c.channel", x, y, "__c.value"), [*key, "channel"], x, y, "value")
 
 
 def matte_motion(df: DataFrame, key: Sequence[str], order: str, matte: str, px: str, solid: int = 192, least: int = 64) -> DataFrame:

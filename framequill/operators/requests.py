@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framequill.functions.text import masked
 
-#: Most media of each role, the most of all together, and the most seconds of timed roles.
+#: Most media of each role, the most references of all together, and the most seconds of timed roles.
 ROLE_LIMITS = {"image": 9, "video": 3, "audio": 3}
 MOST_MEDIA, MOST_SECONDS = 12, 15.001
+#: Types that a medium of each kind may have, and the most bytes of one.
+TYPES = {"image": ("image/jpeg", "image/png", "image/webp", "image/heif", "image/heic"), "video": ("video/mp4", "video/quicktime"),
+         "audio": ("audio/wav", "audio/x-wav", "audio/vnd.wave", "audio/mpeg", "audio/mp3")}
+MOST_BYTES = {"image": 30 << 20, "video": 50 << 20, "audio": 15 << 20}
 #: Limits of one medium.
 SIDES, RATIOS, SECONDS, RATES = (256, 5760), (0.4, 2.5), (2.0, 15.0), (23.975, 60.0)
 #: Controls that need no medium.
@@ -40,6 +44,25 @@ def medium_rules(width: Column, height: Column, seconds: Column, rate: Column) -
     }
 
 
+def file_rules(kind: Column, mime: Column, size: Column) -> dict[str, Column]:
+    """A medium's declared type and bytes against its kind: image, video or audio."""
+    table = lambda d, lit: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), lit(v))])
+    types = table(TYPES, lambda v: F.array(*[F.lit(t) for t in v]))
+    return {
+        "mime": F.array_contains(F.try_element_at(types, kind), F.lower(mime)),
+        "bytes": size <= F.try_element_at(table(MOST_BYTES, lambda v: F.lit(v).cast("long")), kind),
+    }
+
+
+def request_rules(found: DataFrame, key: Sequence[str], role: str = "role") -> DataFrame:
+    """(key, rule) of whole requests from their ``inventory``: at most MOST_MEDIA references together, no sound without a picture."""
+    from framequill.operators.rules import violations
+
+    n = lambda *roles: F.coalesce(F.sum(F.when(F.col(role).isin(*roles), F.col("n"))), F.lit(0))
+    whole = found.groupBy(*key).agg(F.sum("n").alias("media"), n("audio").alias("audio"), n("image", "video").alias("seen"), F.bool_and("within").alias("within"))
+    return violations(whole, key, {"media-total": F.col("media") <= MOST_MEDIA, "media-roles": F.col("within"), "audio-alone": (F.col("audio") == 0) | (F.col("seen") > 0)})
+
+
 def requirement_gaps(requirements: DataFrame, key: str, controls: str, media: DataFrame, role: str) -> DataFrame:
     """(key, control): required controls that are neither constant nor a role the request has media of."""
     asked = requirements.select(key, F.explode(F.array_distinct(F.array_except(F.col(controls), F.array(*[F.lit(c) for c in CONSTANT_CONTROLS])))).alias("control"))
@@ -88,6 +111,11 @@ def single_match(df: DataFrame, candidates: DataFrame, on: Sequence[str]) -> Dat
     return df.join(alone, list(on))
 
 
+def bound_match(df: DataFrame, candidates: DataFrame, on: Sequence[str], sha: str, sources: DataFrame, owner: Sequence[str]) -> DataFrame:
+    """Rows of ``single_match`` whose candidate's file is among the approved ``sources`` (owner..., sha256) of the row."""
+    return single_match(df, candidates, on).join(sources.select(*owner, F.col("sha256").alias(sha)).distinct(), [*owner, sha], "left_semi")
+
+
 def repeated(df: DataFrame, key: Sequence[str], fingerprint: str, order: str) -> DataFrame:
     """Requests whose fingerprint an earlier one of the key had."""
     return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*key, fingerprint).orderBy(order))).where("__nth > 1").drop("__nth")

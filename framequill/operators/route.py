@@ -84,11 +84,12 @@ def bridged(df: DataFrame, key: Sequence[str], frame: str, phase: str, count: Co
         (F.col("__j") > 0).alias("synthesized"), F.when(F.col("__j") > 0, share).alias("fraction"), (F.col(phase) + F.col("__gap") * share).alias("phase_raw"), F.col(phase).alias("own_phase"))
 
 
-def boundaries(df: DataFrame, key: Sequence[str], frame: str, source: str) -> DataFrame:
-    """(key, edge): frames after which the source changes, and the last one."""
+def boundaries(df: DataFrame, key: Sequence[str], frame: str, source: str, suspects: DataFrame | None = None) -> DataFrame:
+    """(key, edge): frames after which the source changes, the last one, and the ``suspects`` (key, edge), each once."""
     order = Window.partitionBy(*key).orderBy(frame)
     after = F.lead(source).over(order)
-    return df.withColumn("__end", F.lead(F.lit(1)).over(order).isNull()).withColumn("__differs", ~F.col(source).eqNullSafe(after)).where("__end or __differs").select(*key, F.col(frame).alias("edge"))
+    found = df.withColumn("__end", F.lead(F.lit(1)).over(order).isNull()).withColumn("__differs", ~F.col(source).eqNullSafe(after)).where("__end or __differs").select(*key, F.col(frame).alias("edge"))
+    return found if suspects is None else found.unionByName(suspects.select(*key, "edge")).distinct()
 
 
 def neighbours(edges: DataFrame, key: Sequence[str], counts: DataFrame, offsets: Sequence[int] = (-1, 0, 1, 2)) -> DataFrame:

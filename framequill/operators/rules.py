@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def violations(df: DataFrame, key: Sequence[str], rules: dict[str, Column]) -> DataFrame:
@@ -36,8 +36,10 @@ def uncovered(required: DataFrame, available: DataFrame, on: Sequence[str]) -> D
     return required.join(available, list(on), "left_anti")
 
 
-def exactly_one(df: DataFrame, key: Sequence[str]) -> Column:
-    return F.count(F.lit(1)).over(Window.partitionBy(*key)) == 1
+def resolved(entries: DataFrame, on: Sequence[str], status: str, evidence: str, notes: str) -> DataFrame:
+    """(on...) of entries that resolve something: passed, with evidence and a note on it."""
+    sound = (F.col(status) == "pass") & (F.size(evidence) > 0) & (F.trim(F.col(notes)) != "")
+    return entries.where(F.coalesce(sound, F.lit(False))).select(*on).distinct()
 
 
 def rectangle_inside(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
@@ -75,3 +77,9 @@ def grade(ring_covered: Column, arc_width: Column, continuous: Column) -> Column
     """What a candidate may serve as: unknown coverage is never more than playback."""
     return (F.when(F.coalesce(ring_covered == 8, F.lit(False)), "diagnostic").when(F.coalesce(arc_width >= 45, F.lit(False)), "arc")
             .when(F.coalesce(continuous, F.lit(False)), "phase").otherwise("playback"))
+
+
+def follows(mode: Column, degrees: Column, start: Column, end: Column) -> Column:
+    """Whether a candidate may follow a direction: a ring any, an arc those of its accepted interval, a phase or anything else none."""
+    at = F.pmod(degrees - start, F.lit(360.0))
+    return F.coalesce(F.when(mode == "ring", F.lit(True)).when(mode == "arc", at <= end - start), F.lit(False))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framequill.operators import ledger, lineage, route, rules
+from framequill.operators import contracts, ledger, lineage, route, rules
 from framequill.plans.catalog import query
 from framequill.plans.sequences import FRAMES, frames, steps
 from framequill.session import load
@@ -94,10 +94,13 @@ def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select d.doc_id, d.source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = 1)""")
+select d.doc_id, d.source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = 1 and l.toxic = 0 and l.doc_id % 7 <> 0)""")
 def unresolved_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = load(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return rules.uncovered(load(spark, sf_dir, "documents").select("doc_id", "source"), resolved, ["doc_id"])
+    """Documents whose label does not resolve them: it has to pass, with evidence (none if toxic) and a note."""
+    entries = load(spark, sf_dir, "labels").select(
+        "doc_id", F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("status"), F.when(F.col("toxic") == 0, F.array(F.lit("seen.png"))).otherwise(F.array().cast("array<string>")).alias("evidence"),
+        F.when(F.col("doc_id") % 7 != 0, "looked at").otherwise(" ").alias("notes"))
+    return rules.uncovered(load(spark, sf_dir, "documents").select("doc_id", "source"), rules.resolved(entries, ["doc_id"], "status", "evidence", "notes"), ["doc_id"])
 
 
 @query("""
@@ -199,13 +202,16 @@ def candidate_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with a(mode, status) as (values ('A', 'F'), ('R', 'F'), ('N', 'O'))
-select l_returnflag as mode, l_linestatus as status, count(*) as n from lineitem l
-where not exists (select 1 from a where a.mode = l.l_returnflag and a.status = l.l_linestatus) group by 1, 2""")
+with m as (select p_partkey, ['page', 'scene', 'window', null][1 + p_partkey % 4] as owner, ['preserve', 'chroma-key', 'replace-edge-light', 'fit-edge-light', 'blur'][1 + p_size % 5] as mode, p_partkey % 3 <> 0 as keyed, p_partkey % 7 <> 0 as passed from part),
+a(owner, mode) as (values ('page', 'preserve'), ('page', 'chroma-key'), ('scene', 'preserve'), ('scene', 'replace-edge-light'), ('scene', 'fit-edge-light'))
+select p_partkey, 'background-owner' as rule from m where coalesce(owner, '') not in ('page', 'scene')
+union all select p_partkey, 'background-pair' from m where not exists (select 1 from a where a.owner = m.owner and a.mode = m.mode)
+union all select p_partkey, 'background-key' from m where mode = 'chroma-key' and not (keyed and passed)""")
 def background_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = spark.createDataFrame([("A", "F"), ("R", "F"), ("N", "O")], "mode string, status string")
-    used = load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("mode"), F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    return rules.uncovered(used, F.broadcast(allowed), ["mode", "status"])
+    pick = lambda names, k: F.get(F.array(*[F.lit(n) for n in names]), k.cast("int"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    owner, mode = pick(["page", "scene", "window", None], key % 4), pick(["preserve", "chroma-key", "replace-edge-light", "fit-edge-light", "blur"], size % 5)
+    return rules.violations(load(spark, sf_dir, "part"), ["p_partkey"], contracts.background_pair(owner, mode, F.when(key % 3 != 0, "#00ff00"), key % 7 != 0))
 
 
 @query("""
@@ -229,24 +235,35 @@ def budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with s as (select user_id, event_id as seq, case event_type when 'click' then 'pilot' when 'view' then 'segment' else 'expansion' end as stage, event_id % 5 as request, event_id * 3 % 5 as pilot_request from events where event_id % 7 = 0),
-w as (select s.*, (select count(*) from s e where e.user_id = s.user_id and e.seq < s.seq) as earlier,
-  (select count(*) from s e where e.user_id = s.user_id and e.seq < s.seq and e.stage = 'pilot' and e.request = s.pilot_request) as pilots from s)
-select user_id, seq, stage, case when stage = 'pilot' then 'pilot-not-first' else 'no-single-pilot' end as problem from w
-where (stage = 'pilot' and earlier > 0) or (stage = 'expansion' and pilots <> 1)""")
+with s as (select user_id, event_id as seq, case event_type when 'click' then 'pilot' when 'view' then 'segment' else 'expansion' end as stage, event_id % 5 as request, event_id * 3 % 5 as pilot_request from events),
+w as (select *, row_number() over (partition by user_id order by seq) as nth from s),
+p as (select e.user_id, e.seq, count(*) as pilots from s e join s p on p.user_id = e.user_id and p.stage = 'pilot' and p.request = e.pilot_request and p.seq < e.seq where e.stage = 'expansion' group by e.user_id, e.seq)
+select w.user_id, w.seq, stage, case when stage = 'pilot' then 'pilot-not-first' else 'no-single-pilot' end as problem from w left join p on p.user_id = w.user_id and p.seq = w.seq
+where (stage = 'pilot' and nth > 1) or (stage = 'expansion' and coalesce(pilots, 0) <> 1)""")
 def stage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.when(F.col("event_type") == "click", "pilot").when(F.col("event_type") == "view", "segment").otherwise("expansion")
-    attempts = load(spark, sf_dir, "events").where("event_id % 7 = 0").select(
+    attempts = load(spark, sf_dir, "events").select(
         "user_id", F.col("event_id").alias("at"), stage.alias("stage"), (F.col("event_id") % 5).alias("request"), (F.col("event_id") * 3 % 5).alias("pilot_request"))
     return ledger.stage_problems(attempts, "user_id", "at")
 
 
 @query("""
-with l as (select c_custkey, c_nationkey as per_request, c_acctbal as total, 3 as most, c_nationkey % 3 as models, case when c_custkey % 4 = 0 then c_mktsegment else ' ' end as why from customer)
-select c_custkey, 'limits-positive' as rule from l where not (per_request > 0 and total > 0 and most > 0)
-union all select c_custkey, 'change-reason' from l where (per_request > 5 or total > 5 * most or models > 1) and trim(why) = ''""")
+with l as (select c_custkey, case when c_nationkey % 5 <> 0 then c_nationkey % 9 end as per_request, case when c_custkey % 3 = 0 then c_acctbal end as total, 3 as most,
+  case c_nationkey % 3 when 0 then null when 1 then ['minimax/minimax-h3-max'] else ['other/model', 'minimax/minimax-h3-max'] end as models, case when c_custkey % 7 = 0 then ['1080p'] end as resolutions,
+  case when c_custkey % 4 = 0 then c_mktsegment else ' ' end as why, c_custkey % 11 = 0 as allow, c_custkey % 8 as seconds, case when c_custkey % 5 = 0 then 'other/model' else 'minimax/minimax-h3-max' end as model,
+  '768p' as resolution, c_custkey % 13 as used, c_custkey % 2 as refs from customer),
+f as (select *, coalesce(per_request, 5) as per, coalesce(total, 15) as whole, coalesce(models, ['minimax/minimax-h3-max']) as ms, coalesce(resolutions, ['768p']) as rs, trim(why) <> '' as reason from l)
+select c_custkey, 'limits-positive' as rule from f where not (per > 0 and whole > 0)
+union all select c_custkey, 'seconds' from f where seconds <= 0 union all select c_custkey, 'model' from f where not list_contains(ms, model) union all select c_custkey, 'resolution' from f where not list_contains(rs, resolution)
+union all select c_custkey, 'per-request' from f where seconds > per union all select c_custkey, 'total' from f where used + seconds > whole
+union all select c_custkey, 'change-reason' from f where (per > 5 or whole > 15 or len(ms) > 1 or rs <> ['768p']) and not reason
+union all select c_custkey, 'reference-media' from f where refs > 0 and not (allow and reason)""")
 def budget_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    usual, other = (F.lit(m) for m in ("minimax/minimax-h3-max", "other/model"))
     limits = load(spark, sf_dir, "customer").select(
-        "c_custkey", F.col("c_nationkey").alias("per_request"), F.col("c_acctbal").alias("total"), F.lit(3).alias("most"),
-        F.array_repeat(F.lit("m"), F.col("c_nationkey") % 3).alias("models"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).otherwise(" ").alias("change_reason"))
+        "c_custkey", F.when(nation % 5 != 0, (nation % 9).cast("double")).alias("per_request"), F.when(key % 3 == 0, F.col("c_acctbal")).alias("total"), F.lit(3).alias("most"),
+        F.when(nation % 3 == 1, F.array(usual)).when(nation % 3 == 2, F.array(other, usual)).alias("models"), F.when(key % 7 == 0, F.array(F.lit("1080p"))).alias("resolutions"),
+        F.when(key % 4 == 0, F.col("c_mktsegment")).otherwise(" ").alias("change_reason"), (key % 11 == 0).alias("allow_reference_media"), (key % 8).cast("double").alias("seconds"),
+        F.when(key % 5 == 0, other).otherwise(usual).alias("model"), F.lit("768p").alias("resolution"), (key % 13).cast("double").alias("used"), (key % 2).alias("reference_media"))
     return ledger.limit_problems(limits, ["c_custkey"])

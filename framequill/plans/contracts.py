@@ -34,19 +34,20 @@ def anchor_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with k as (select user_id, list(i order by i) as keep from {STEPS} where i < 16 and (event_id % 5 <> 0 or i = 1) group by user_id)
+with k as (select user_id, list(i order by i) as keep from {STEPS} where value >= 60 or i = 1 group by user_id)
 select user_id, 'keep-first' as rule from k where not list_contains(keep, 0)
 union all select user_id, 'keep-anchors' from k where not (list_contains(keep, 0) and list_contains(keep, 4) and list_contains(keep, 8) and list_contains(keep, 12))""")
 def keep_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = steps(spark, sf_dir).where("i < 16 and (event_id % 5 <> 0 or i = 1)")
+    """Frames that keep: those whose score reaches 60, and the second in any case."""
+    rows = steps(spark, sf_dir).where("value >= 60 or i = 1")
     held = rows.groupBy("user_id").agg(F.sort_array(F.collect_list("i")).alias("keep"))
     anchors = F.array(*[F.lit(a).cast("long") for a in (0, 4, 8, 12)])
     return rules.violations(held, ["user_id"], contracts.trims(F.col("keep"), anchors))
 
 
 @query("""
-with l as (select l_orderkey % 500 as scene, l_linenumber as z, case when l_quantity > 25 then 'subject' else 'underlay' end as kind, case when l_partkey % 50 = 0 then 'Bad' else 'layer-' || l_partkey || '-' || l_linenumber end as id,
-  l_partkey % 60 as x, l_suppkey % 40 as y, l_partkey % 30 as w, 20 as h from lineitem where l_orderkey < 2000),
+with l as (select l_orderkey as scene, l_linenumber as z, case when l_quantity > 25 then 'subject' else 'underlay' end as kind, case when l_partkey % 50 = 0 then 'Bad' else 'layer-' || l_partkey || '-' || l_linenumber end as id,
+  l_partkey % 60 as x, l_suppkey % 40 as y, l_partkey % 30 as w, 20 as h from lineitem),
 g as (select scene, max(case when kind = 'underlay' then z end) as top, min(case when kind = 'subject' then z end) as low, count(*) filter (where kind = 'subject') as subjects, count(distinct id) = count(*) as uniq from l group by scene)
 select distinct scene, 'layer-id' as rule from l where id = 'Bad'
 union all select distinct scene, 'layer-rect' from l where not (w > 0 and x + w <= 80 and y + h <= 50)
@@ -55,8 +56,8 @@ union all select scene, 'scene-order' from g where top is not null and not coale
 union all select scene, 'scene-unique' from g where not uniq""")
 def scene_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    layers = load(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select(
-        (c("l_orderkey") % 500).alias("scene"), c("l_linenumber").alias("z"), F.when(c("l_quantity") > 25, "subject").otherwise("underlay").alias("kind"),
+    layers = load(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("scene"), c("l_linenumber").alias("z"), F.when(c("l_quantity") > 25, "subject").otherwise("underlay").alias("kind"),
         F.when(c("l_partkey") % 50 == 0, "Bad").otherwise(F.concat(F.lit("layer-"), c("l_partkey").cast("string"), F.lit("-"), c("l_linenumber").cast("string"))).alias("id"),
         (c("l_partkey") % 60).alias("x"), (c("l_suppkey") % 40).alias("y"), (c("l_partkey") % 30).alias("w"), F.lit(20).alias("h"), F.lit(80).alias("width"), F.lit(50).alias("height"))
     return contracts.scene_layers(layers, "scene")
@@ -110,9 +111,9 @@ def matte_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with e as (select user_id, event_id, value / 100.0 as ts, lead(value / 100.0) over w as nxt from (select *, row_number() over (partition by user_id order by ts, event_id) as nth from events) where event_id % 3 = 0 window w as (partition by user_id order by value)),
+with e as (select user_id, event_id, value / 100.0 as ts, lead(value / 100.0) over w as nxt from (select *, row_number() over (partition by user_id order by ts, event_id) as nth from events) window w as (partition by user_id order by value)),
 s as (select user_id, event_id, cast(ceil(ts * 4 - 1e-9) as bigint) as a, coalesce(cast(ceil(nxt * 4 - 1e-9) as bigint) - 1, cast(ceil(ts * 4 - 1e-9) as bigint)) as b from e)
 select user_id as source, event_id as frame, unnest(range(a, b + 1)) as sample from s where b >= a""")
 def sampled_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("source"), F.col("event_id").alias("frame"), (F.col("value") / 100.0).alias("ts"))
+    rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("frame"), (F.col("value") / 100.0).alias("ts"))
     return sources.nearest_samples(rows, 4).select("source", "frame", "sample")

@@ -30,13 +30,30 @@ REF = f"(select *, first_value(v) over (partition by clip, pos order by vec_id)
 
 
 @query(f"""
-with g as (select clip, vec_id, abs(v - ref) as gap, x in (0, 7) or y in (0, 7) as edge from {REF}),
-m as (select clip, vec_id, avg(gap) as mae, quantile_cont(gap, 0.95) as p95, coalesce(avg(case when edge then gap end), 0) as edge_error from g group by clip, vec_id)
-select clip, vec_id, round(mae, 6) as mae, round(p95, 6) as p95, round(edge_error, 6) as edge_error, mae <= 5 and p95 <= 15 and edge_error <= 5 as passed from m""")
+with p as (select *, x < 5 as static, abs(v - ref) as gap from {REF}),
+e as (select p.clip, p.vec_id, abs((abs(d.v - p.v) + abs(r.v - p.v)) - (abs(d.ref - p.ref) + abs(r.ref - p.ref))) as edge
+  from p join p r on r.vec_id = p.vec_id and r.y = p.y and r.x = p.x + 1 join p d on d.vec_id = p.vec_id and d.x = p.x and d.y = p.y + 1 where p.static and r.static and d.static),
+m as (select clip, vec_id, avg(gap) as mae, quantile_cont(gap, 0.95) as p95 from p where static group by clip, vec_id),
+n as (select clip, vec_id, avg(edge) as edge_error, count(*) as edge_cells from e group by clip, vec_id)
+select m.clip, m.vec_id, round(mae, 6) as mae, round(p95, 6) as p95, round(edge_error, 6) as edge_error, edge_cells, mae <= 5 and p95 <= 15 and edge_error <= 5 and edge_cells >= 8 as passed
+from m join n on n.vec_id = m.vec_id""")
 def residual_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = against_first(spark, sf_dir).withColumn("gap", F.abs(F.col("v") - F.col("ref"))).withColumn("edge", F.col("x").isin(0, 7) | F.col("y").isin(0, 7))
-    found = pixels.residuals(rows, ["clip", "vec_id"], "gap", "edge")
-    return found.select("clip", "vec_id", *[F.round(c, 6).alias(c) for c in ("mae", "p95", "edge_error")], "passed")
+    rows = against_first(spark, sf_dir).withColumn("static", F.col("x") < 5)
+    found = pixels.residuals(rows, ["clip", "vec_id"], "x", "y", "v", "ref", "static", 8)
+    return found.select("clip", "vec_id", *[F.round(c, 6).alias(c) for c in ("mae", "p95", "edge_error")], "edge_cells", "passed")
+
+
+@query(f"""
+with p as (select *, v < 200 and x < 6 as static, v > 220 and x > 5 as motion from {CELLS}),
+g as (select s.vec_id, s.pos from p s join p m on m.vec_id = s.vec_id and m.motion and abs(m.x - s.x) <= 2 and abs(m.y - s.y) <= 2 where s.static group by s.vec_id, s.pos),
+e as (select p.vec_id, p.pos from p join p r on r.vec_id = p.vec_id and r.y = p.y and r.x = p.x + 1 join p d on d.vec_id = p.vec_id and d.x = p.x and d.y = p.y + 1 where p.static and r.static and d.static),
+n as (select clip, vec_id, count(*) filter (where static) as covered, count(*) filter (where motion) as moving, count(*) as cells from p group by clip, vec_id),
+k as (select n.*, (select count(*) from g where g.vec_id = n.vec_id) as overlap, (select count(*) from e where e.vec_id = n.vec_id) as edge_cells from n)
+select clip, vec_id, cast(covered as integer) as covered, cast(overlap as integer) as overlap, cast(edge_cells as integer) as edge_cells, cast(moving as integer) as moving,
+       overlap = 0 and covered >= greatest(16.0, cells * 0.02) and edge_cells >= 8 and moving > 0 as usable from k""")
+def background_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cells(spark, sf_dir).withColumn("static", (F.col("v") < 200) & (F.col("x") < 6)).withColumn("motion", (F.col("v") > 220) & (F.col("x") > 5))
+    return pixels.background_masks(rows, ["clip", "vec_id"], "x", "y", "static", "motion", 8)
 
 
 @query(f"""
@@ -56,13 +73,14 @@ def border_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with s as (select clip, vec_id, median(ref - v) as shift from {REF} group by clip, vec_id),
-j as (select r.*, s.shift from {REF} r join s on s.clip = r.clip and s.vec_id = r.vec_id),
-m as (select clip, vec_id, min(shift) as shift, avg(abs(ref - v)) as before, avg(abs(ref - v - shift)) as after from j group by clip, vec_id)
-select clip, vec_id, shift, round(before, 6) as before, round(after, 6) as after, abs(shift) <= 12 and after <= before + 0.05 as accepted from m""")
+with p as (select * from {REF} where v < 180),
+s as (select clip, vec_id, median(ref - v) as shift, count(*) as samples from p group by clip, vec_id),
+j as (select p.*, s.shift, s.samples, least(255.0, greatest(0.0, round_even(p.v + s.shift, 0))) as fixed from p join s on s.clip = p.clip and s.vec_id = p.vec_id),
+m as (select clip, vec_id, min(shift) as shift, min(samples) as samples, avg(abs(ref - v)) as before, avg(abs(ref - fixed)) as after from j group by clip, vec_id)
+select clip, vec_id, shift, samples, round(before, 6) as before, round(after, 6) as after, samples >= 16 and abs(shift) <= 12 and after <= before + 0.05 as accepted from m""")
 def channel_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pixels.channel_offset(against_first(spark, sf_dir), ["clip", "vec_id"], "ref", "v")
-    return found.withColumn("before", F.round("before", 6)).withColumn("after", F.round("after", 6))
+    found = pixels.channel_offset(against_first(spark, sf_dir).withColumn("opaque", F.col("v") < 180), ["clip", "vec_id"], "ref", "v", "opaque")
+    return found.withColumn("before", F.round("before", 6)).withColumn("after", F.round("after", 6)).where("samples > 0")
 
 
 @query(f"""
@@ -76,18 +94,35 @@ def plane_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-select l_orderkey, l_linenumber, greatest(0, least(g, least(r, b) + 300) - greatest(r, b)) as dominance, least(g, greatest(r, b)) as despilled, least(r, g, b) > 210 and greatest(r, g, b) - least(r, g, b) < 30 as light,
-       cast(trunc(t * t * (3.0 - 2.0 * t) * 255) as integer) as alpha,
-       cast(round_even(r * (b / 255.0) + 40 * (1.0 - b / 255.0), 0) as integer) as blended
-from (select *, greatest(0.0, least(1.0, (greatest(abs(r - 0), abs(g - 255), abs(b - 0)) - 12.0) / 208.0)) as t from {SAMPLES})""")
+with t as (select *, greatest(0.0, least(1.0, (greatest(abs(r - 0), abs(g - 255), abs(b - 0)) - 12.0) / 208.0)) as t, greatest(r, b) as other from {SAMPLES}),
+a as (select *, least(cast(trunc(t * t * (3.0 - 2.0 * t) * 255) as integer), cast(trunc((1.0 - least(1.0, greatest(0, g - other) / greatest(1, 255 - other)::double)) * 255) as integer)) as alpha from t)
+select l_orderkey, l_linenumber, alpha, case when alpha < 252 then least(g, other) else g end as despilled, least(r, g, b) > 210 and greatest(r, g, b) - least(r, g, b) < 30 as light,
+       cast(round_even(r * (b / 255.0) + 40 * (1.0 - b / 255.0), 0) as integer) as blended from a""")
 def key_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (0, 255, 0)
     rows = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.col("l_partkey") % 256).alias("r"), (F.col("l_suppkey") * 7 % 256).alias("g"), (F.col("l_orderkey") % 256).alias("b"))
     rgb = [F.col(c) for c in "rgb"]
-    channels = px.key_channels(key)
-    return rows.select("l_orderkey", "l_linenumber", px.dominance(rgb, channels).alias("dominance"), px.despilled(rgb, channels)[1].alias("despilled"), px.is_light(*rgb).alias("light"),
-                       px.distance_alpha(rgb, key).alias("alpha"), px.over(F.col("r"), F.lit(40), F.col("b") / 255.0).alias("blended"))
+    alpha, held = px.keyed(rgb, (0, 255, 0))
+    return rows.select("l_orderkey", "l_linenumber", alpha.alias("alpha"), held[1].alias("despilled"), px.is_light(*rgb).alias("light"), px.over(F.col("r"), F.lit(40), F.col("b") / 255.0).alias("blended"))
+
+
+@query(f"""
+with c as (select *, 216 + v % 40 as base, v % 5 = 0 as lit, ['preserve', 'replace-edge-light', 'fit-edge-light', 'chroma-key', 'other'][1 + vec_id % 5] as mode from {CELLS}),
+s as (select clip, vec_id, count(*)::double as n, sum(x)::double as sx, sum(y)::double as sy, sum(base)::double as sz, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy, sum(x * base) as sxz, sum(y * base) as syz from c group by clip, vec_id),
+k as (select *, sxx - sx * sx / n as xx, sxy - sx * sy / n as xy, syy - sy * sy / n as yy, sxz - sx * sz / n as xz, syz - sy * sz / n as yz from s),
+f as (select vec_id, (xz * yy - yz * xy) / (xx * yy - xy * xy) as c1, (yz * xx - xz * xy) / (xx * yy - xy * xy) as c2, sx, sy, sz, n from k),
+q as (select c.*, round((sz - c1 * sx - c2 * sy) / n + c1 * x + c2 * y, 6) as fitted from c join f on f.vec_id = c.vec_id)
+select clip, vec_id, cast(pos as bigint) as pos, mode, cast(case mode when 'preserve' then v when 'replace-edge-light' then case when lit then base else v end
+  when 'fit-edge-light' then case when lit then least(255, greatest(0, trunc(fitted))) else v end
+  when 'chroma-key' then round_even(least(v, 90) * (v / 255.0) + base * (1 - v / 255.0), 0) end as integer) as shown from q""")
+def patch_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mode of a patch over a light backdrop, with the plane fitted to it; a mode that is none shows nothing."""
+    modes = F.array(*[F.lit(m) for m in (*pixels.MODES, "other")])
+    rows = cells(spark, sf_dir).withColumn("base", F.lit(216) + F.col("v") % 40).withColumn("mode", F.get(modes, (F.col("vec_id") % 5).cast("int")))
+    planes = pixels.backdrop(rows, ["clip", "vec_id"], "x", "y", ["base"], F.col("base") > 215).drop("channel")
+    fitted = F.round(F.col("c0") + F.col("c1") * F.col("x") + F.col("c2") * F.col("y"), 6)
+    shown = pixels.patched(F.col("v"), F.col("base"), fitted, F.col("mode"), F.lit(True), F.col("v") % 5 == 0, F.least("v", F.lit(90)), F.col("v"))
+    return rows.join(planes, ["clip", "vec_id"]).select("clip", "vec_id", F.col("pos").cast("long").alias("pos"), "mode", shown.alias("shown"))
 
 
 @query("""
@@ -137,20 +172,32 @@ def edge_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with m as (select clip, vec_id, quantile_cont(v / 100.0, 0.95) as p95, avg(v) as residual, max(v) / 100.0 as moved from {CELLS} group by clip, vec_id)
+with m as (select clip, vec_id, quantile_cont(v / 100.0, 0.95) as p95, avg(v) as residual, quantile_cont((v + x) / 100.0, 0.95) as moved from {CELLS} group by clip, vec_id)
 select clip, vec_id, round(p95, 6) as p95, residual, round(moved, 6) as moved, p95 <= 1.5 and residual <= 12 and moved <= 30 * 0.08 as passed from m""")
 def bridge_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cells(spark, sf_dir).select("clip", "vec_id", (F.col("v") / 100.0).alias("trip"), F.col("v").alias("residual"), (F.col("v") / 100.0).alias("moved"))
+    rows = cells(spark, sf_dir).select("clip", "vec_id", (F.col("v") / 100.0).alias("trip"), F.col("v").alias("residual"), ((F.col("v") + F.col("x")) / 100.0).alias("moved"))
     found = pixels.flow_gate(rows, ["clip", "vec_id"], "trip", "residual", "moved", F.lit(30.0))
     return found.select("clip", "vec_id", F.round("p95", 6).alias("p95"), "residual", F.round("moved", 6).alias("moved"), "passed")
 
 
-@query()
+@query("""
+with c as (select vec_id, p - 1 as i, (p - 1) % 8 as x, (p - 1) // 8 as y, (p - 1) % 8 + embedding[p]::double * 0.5 as mx, (p - 1) // 8 + embedding[p]::double * 0.5 as my, embedding[p]::double as e from (select vec_id, embedding, unnest(range(1, 65)) as p from embeddings)),
+g as (select vec_id, i, x, y, mx, my, e,
+  case x when 0 then lead(mx) over r - mx when 7 then mx - lag(mx) over r else (lead(mx) over r - lag(mx) over r) / 2 end as xx, case x when 0 then lead(my) over r - my when 7 then my - lag(my) over r else (lead(my) over r - lag(my) over r) / 2 end as yx,
+  case y when 0 then lead(mx) over d - mx when 7 then mx - lag(mx) over d else (lead(mx) over d - lag(mx) over d) / 2 end as xy, case y when 0 then lead(my) over d - my when 7 then my - lag(my) over d else (lead(my) over d - lag(my) over d) / 2 end as yy
+  from c window r as (partition by vec_id, y order by x), d as (partition by vec_id, x order by y)),
+k as (select *, xx * yy - xy * yx as det, x between 1 and 6 and y between 1 and 6 as inside, sqrt((mx - x) * (mx - x) + (my - y) * (my - y)) as moved from g),
+f as (select vec_id, count(*) filter (where inside and det <= 0.2) as folded, count(*) filter (where inside and (mx < 0 or mx > 7 or my < 0 or my > 7)) as outside, min(det) filter (where inside) as least_det,
+  max(moved) filter (where inside) as most_moved, coalesce(max(moved) filter (where i < vec_id % 3), 0) as protected_moved from k group by vec_id)
+select vec_id, folded, outside, round(least_det, 6) as least_det, round(most_moved, 6) as most_moved, round(protected_moved, 6) as protected_moved, folded = 0 and outside = 0 and protected_moved <= 1e-5 as passed from f""")
 def map_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverse maps made of a frame's values; a kernel without SQL form, tested on fixed maps."""
+    """Inverse maps made of a frame's values, inspected inside their border, with none to two protected cells."""
     at = lambda f: F.transform("embedding", lambda e, i: f(i).cast("double") + e.cast("double") * 0.5)
-    maps = load(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("w"), at(lambda i: i % 8).alias("mx"), at(lambda i: F.floor(i / 8)).alias("my"))
-    return pixels.map_inspection(maps, "vec_id", "w", "mx", "my", (1, 1, 7, 7))
+    maps = load(spark, sf_dir, "embeddings").select(
+        "vec_id", F.lit(8).alias("w"), at(lambda i: i % 8).alias("mx"), at(lambda i: F.floor(i / 8)).alias("my"),
+        F.transform("embedding", lambda e, i: (i % 8).between(1, 6) & F.floor(i / 8).between(1, 6)).alias("inside"), F.transform("embedding", lambda e, i: i < F.col("vec_id") % 3).alias("held"))
+    found = pixels.map_inspection(maps, "vec_id", "w", "mx", "my", "inside", "held")
+    return found.select("vec_id", "folded", "outside", *[F.round(c, 6).alias(c) for c in ("least_det", "most_moved", "protected_moved")], "passed")
 
 
 @query()

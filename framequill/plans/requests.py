@@ -85,10 +85,10 @@ def duplicate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select o_custkey, max(o_orderkey) as pilot, count(*) as n from orders where o_orderstatus = 'F' and o_orderkey % 5 = 0 group by o_custkey)
+with p as (select o_custkey, max(o_orderkey) as pilot, count(*) as n from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT' group by o_custkey)
 select c.c_custkey, p.pilot from customer c join p on p.o_custkey = c.c_custkey where p.n = 1""")
 def pilot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pilots = load(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("pilot"))
+    pilots = load(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("pilot"))
     return requests.single_match(load(spark, sf_dir, "customer").select("c_custkey"), pilots, ["c_custkey"])
 
 
@@ -158,9 +158,9 @@ def plan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with t as (select doc_id, unnest({list(CHECKS)!r}) as "check" from documents where doc_id % 10 = 0) select doc_id, "check", 'unreviewed' as status from t""")
+with t as (select doc_id, unnest({list(CHECKS)!r}) as "check" from documents) select doc_id, "check", 'unreviewed' as status from t""")
 def review_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.template(load(spark, sf_dir, "documents").where("doc_id % 10 = 0"), "doc_id", CHECKS)
+    return requests.template(load(spark, sf_dir, "documents"), "doc_id", CHECKS)
 
 
 @query("""

@@ -12,10 +12,10 @@ from framequill.operators import ring, route, series
 from framequill.plans.catalog import query
 from framequill.session import load
 
-ANCHORS = (0, 12, 20, 33, 40, 48, 62, 70)
-COUNT = 80
-PHASES = ((0, 0.0), (3, 30.0), (12, 45.0), (20, 90.0), (33, 135.0), (40, 180.0), (48, 225.0), (62, 270.0), (70, 315.0))
-ARC = ((315.0, 0), (360.0, 3), (405.0, 7))
+ANCHORS = (0, 9, 22, 30, 44, 53, 61, 78)
+COUNT = 90
+PHASES = ((0, 0.0), (5, 20.0), (9, 45.0), (22, 90.0), (30, 135.0), (44, 180.0), (53, 225.0), (61, 270.0), (78, 315.0))
+ARC = ((300.0, 0), (350.0, 6), (420.0, 11))
 FRAMES = "(select label as clip, vec_id, embedding, row_number() over (partition by label order by vec_id) - 1 as frame from embeddings)"
 STEPS = "(select user_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as i from events)"
 GAP = "list_avg(list_transform(list_zip({a}, {b}), lambda z: abs(cast(z[1] as double) - cast(z[2] as double))))"
@@ -105,11 +105,10 @@ def drawn_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select *, lag(value) over w as before, row_number() over w as nth from (select * from events where event_id % 5 = 0) window w as (partition by user_id order by ts, event_id))
+with p as (select *, lag(value) over w as before, row_number() over w as nth from events window w as (partition by user_id order by ts, event_id))
 select user_id, count(*) as n, min(case when nth = 1 then value end) as first, bool_and(coalesce(value > before, true)) as increasing from p group by user_id""")
 def anchor_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "events").where("event_id % 5 = 0")
-    return series.strictly_increasing(rows, ["user_id"], ["ts", "event_id"], "value")
+    return series.strictly_increasing(load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
 
 
 @query(f"""
@@ -137,9 +136,9 @@ def phase_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with v as (select event_id, value - floor(value / 360.0) * 360.0 as d from events),
-a as (select event_id, case when d < 315 - 1e-7 then d + 360.0 else d end as d from v),
-c as (select event_id, d <= 405 + 1e-7 as inside, least(greatest(d, 315.0), 405.0) as d from a)
-select event_id, case when inside then cast(floor(case when d <= 360 then 0 + 3 * ((d - 315.0) / 45.0) else 3 + 4 * ((d - 360.0) / 45.0) end + 0.5) as double) end as frame from c""")
+a as (select event_id, case when d < 300 - 1e-7 then d + 360.0 else d end as d from v),
+c as (select event_id, d <= 420 + 1e-7 as inside, least(greatest(d, 300.0), 420.0) as d from a)
+select event_id, case when inside then cast(floor(case when d <= 350 then 0 + 6 * ((d - 300.0) / 50.0) else 6 + 5 * ((d - 350.0) / 70.0) end + 0.5) as double) end as frame from c""")
 def arc_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", ring.frame_at_arc(F.col("value"), ARC).cast("double").alias("frame"))
 
@@ -163,8 +162,8 @@ def pointer_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 with s as (select user_id, i, value, case when i >= 35 then null when i >= 30 then 6 when i >= 25 then 5 when i >= 20 then 4 when i >= 15 then 3 when i >= 10 then 2 when i >= 5 then 1 else 0 end as sector from {STEPS}),
 m as (select *, greatest(value, greatest(0.1 * median(value) over (partition by user_id, sector), 1e-6)) as step from s where sector is not null)
 select user_id, i as frame, cast(sector as integer) as sector,
-       round(45.0 * sector + 45.0 * (coalesce(sum(step) over (partition by user_id, sector order by i rows between unbounded preceding and 1 preceding), 0)
-       / sum(step) over (partition by user_id, sector)), 6) as phase from m
+       case when count(*) over (partition by user_id) = 35 then round(45.0 * sector + 45.0 * (coalesce(sum(step) over (partition by user_id, sector order by i rows between unbounded preceding and 1 preceding), 0)
+       / sum(step) over (partition by user_id, sector)), 6) end as phase from m
 union all select user_id, i, 7, 315.0 from {STEPS} where i = 35""")
 def phase_retiming(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ring.retime(steps(spark, sf_dir), ["user_id"], "i", "value", tuple(range(0, 40, 5)))
@@ -227,14 +226,14 @@ def densify_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with p as (select user_id, i, i * 7.5 + (value - floor(value)) as phase, case when event_id % 4 = 0 then event_id % 11 else 0 end as k from {STEPS} where i < 40),
+with p as (select user_id, i, i * 7.5 + (value - floor(value)) as phase, case when event_id % 4 = 0 then event_id % 11 else 0 end as k from {STEPS}),
 g as (select *, lead(i) over w as t, lead(phase) over w - phase as gap from p window w as (partition by user_id order by i)),
 a as (select *, case when gap > 0 and gap <= 30 and k between 1 and 8 then k else 0 end as kk from g),
 j as (select *, unnest(range(0, kk + 1)) as j from a)
 select user_id, row_number() over (partition by user_id order by i, j) - 1 as new_frame, i as from_frame, cast(case when j > 0 then t end as double) as to_frame,
        j > 0 as synthesized, case when j > 0 then j / (kk + 1)::double end as fraction, round(case when j > 0 then phase + gap * (j / (kk + 1)::double) else phase end, 6) as phase from j""")
 def bridge_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = steps(spark, sf_dir).where("i < 40").withColumn("phase", F.col("i") * 7.5 + (F.col("value") - F.floor("value")))
+    rows = steps(spark, sf_dir).withColumn("phase", F.col("i") * 7.5 + (F.col("value") - F.floor("value")))
     found = route.bridged(rows, ["user_id"], "i", "phase", F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 11).otherwise(0))
     return found.select("user_id", F.col("new_frame").cast("long").alias("new_frame"), "from_frame", F.col("to_frame").cast("double").alias("to_frame"), "synthesized", "fraction",
                         F.round(F.when(F.col("synthesized"), F.col("phase_raw")).otherwise(F.col("own_phase")), 6).alias("phase"))
@@ -242,13 +241,13 @@ def bridge_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with s as (select user_id, i, event_id % 3 as src, lead(event_id % 3) over w as nxt, lead(1) over w is null as final from {STEPS} window w as (partition by user_id order by i)),
-e as (select user_id, i as edge from s where i < 30 and (final or src <> nxt)),
+e as (select user_id, i as edge from s where final or src <> nxt union select user_id, i from {STEPS} where value > 480),
 n as (select user_id, count(*) as n from events group by user_id)
 select distinct e.user_id, ((e.edge + d.d) % n.n + n.n) % n.n as frame from e, (values (-1), (0), (1), (2)) d(d), n where n.user_id = e.user_id""")
 def neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = steps(spark, sf_dir).withColumn("src", F.col("event_id") % 3)
     counts = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return route.neighbours(route.boundaries(rows, ["user_id"], "i", "src").where("edge < 30"), ["user_id"], counts)
+    return route.neighbours(route.boundaries(rows, ["user_id"], "i", "src", rows.where("value > 480").withColumnRenamed("i", "edge")), ["user_id"], counts)
 
 
 @query(f"""select user_id, i // 12 as page, count(*) as n, min(i) as first, max(i) as last from {STEPS} group by user_id, i // 12""")

@@ -49,11 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _SCRATCH[-1]
 
 
-def sweep(spark: SparkSession) -> int:
-    """Delete the scratch folders of this process; call it when the results that read them have been written."""
+def scratch_mark() -> int:
+    """What ``sweep`` takes as ``since`` to spare all scratch folders that exist now."""
+    return len(_SCRATCH)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the scratch folders of this process, those after the mark ``since`` but for the last ``keep``; call it when the results that read
+    them have been written."""
+    gone = _SCRATCH[since : len(_SCRATCH) - keep]
+    del _SCRATCH[since : len(_SCRATCH) - keep]
     n = 0
-    while _SCRATCH:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    for folder in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return n
 

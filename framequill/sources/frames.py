@@ -90,13 +90,17 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), "content")
 
 
-def unpacked(sheets: DataFrame, count: int, columns: int, per_sheet: int, width: int, height: int) -> DataFrame:
-    """Atlas frames with sheet and place, joined to their sheets (sheet, ...)."""
+def placed_frames(frames: DataFrame, columns: int, per_sheet: int, width: int, height: int) -> DataFrame:
+    """``frames`` with the sheet, cell and place (x, y) at which each frame lies in its atlas."""
     from framequill.operators.route import cells
 
-    spark = sheets.sparkSession
-    index = spark.range(count).withColumnRenamed("id", "frame")
-    return index.select("frame", *[c.alias(n) for n, c in cells(F.col("frame"), columns, per_sheet, width, height).items()]).join(sheets, "sheet")
+    return frames.select("*", *[c.alias(n) for n, c in cells(F.col("frame"), columns, per_sheet, width, height).items()])
+
+
+def unpacked(sheets: DataFrame, count: int, columns: int, per_sheet: int, width: int, height: int) -> DataFrame:
+    """Atlas frames with sheet and place, joined to their sheets (sheet, ...)."""
+    index = sheets.sparkSession.range(count).withColumnRenamed("id", "frame")
+    return placed_frames(index, columns, per_sheet, width, height).join(sheets, "sheet")
 
 
 def packed(frames: DataFrame, columns: int, per_sheet: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Stateful pointer processing: the same step over a sorted batch and over a stream.
 
 An event moves a (session) state: resting in the neutral ellipse until it leaves the wider one, the first angle
-outside snaps, later ones move the target only if they differ from the last accepted angle by the hysteresis. A second fold smooths a
-position towards its target, critically damped.
+outside snaps, later ones move the target only if they differ from the last accepted angle by the hysteresis. A pointer that leaves the page puts
+the state back to rest. A second fold lets a position follow its target on a critically damped spring.
 """
 
 from __future__ import annotations
@@ -46,8 +46,10 @@ def arc_degrees(angle: float, arc: tuple[float, float]) -> float | None:
     return None if at > arc[1] + 1e-7 else min(max(at, arc[0]), arc[1])
 
 
-def point(state: tuple[bool, float | None], dx: float, dy: float, gate: Gate) -> tuple[tuple[bool, float | None], str]:
-    """(state after an event, what it does): rest, snap, move or hold."""
+def point(state: tuple[bool, float | None], dx: float, dy: float, gate: Gate, left: bool = False) -> tuple[tuple[bool, float | None], str]:
+    """(state after an event, what it does): rest, snap, move or hold; ``left`` says that the pointer left, which is a rest wherever it was."""
+    if left:
+        return REST, "rest"
     resting, last = state
     scale = gate.leave if resting else 1.0
     x, y = dx / (gate.rx * scale), dy / (gate.ry * scale)
@@ -69,33 +71,38 @@ def point(state: tuple[bool, float | None], dx: float, dy: float, gate: Gate) ->
     return (False, angle), "move"
 
 
-def damped(position: float, velocity: float, target: float, dt: float, smooth: float, most_speed: float) -> tuple[float, float]:
-    """(position, velocity) after dt: a critically damped spring that never overshoots."""
-    time = max(1e-4, smooth)
-    omega = 2 / time
-    x = omega * dt
-    decay = 1 / (1 + x + 0.48 * x * x + 0.235 * x * x * x)
-    change = min(max(position - target, -most_speed * time), most_speed * time)
-    limited = position - change
-    pull = (velocity + omega * change) * dt
-    after = limited + (change + pull) * decay
-    if (target - position > 0) == (after > target):
-        return target, 0.0
-    return after, (velocity - omega * pull) * decay
+#: What stands for exp(wt) in 1 + wt + SQUARE (wt)^2 + CUBE (wt)^3, the first and the longest step in seconds, and the way from its goal at
+#: which a position has arrived.
+SQUARE, CUBE = 0.48, 0.235
+FIRST_STEP, LONGEST_STEP, ARRIVED = 1 / 60, 1 / 30, 0.002
+
+
+def spring(way: float, speed: float, t: float, smooth: float, most_speed: float) -> tuple[float, float]:
+    """(way still to go, speed) of a critically damped spring after t seconds; ``way`` is counted from the goal.
+
+    The motion is x(t) = (x + (v + w x) t) e^(-wt) with w = 2 / smooth. Of a long way only what is covered at ``most_speed`` pulls, the rest
+    comes along unchanged. A spring that reaches its goal within the step stays there.
+    """
+    smooth = max(smooth, 1e-4)
+    w, reach = 2 / smooth, most_speed * smooth
+    e = 1 / sum(c * (w * t) ** k for k, c in enumerate((1, 1, SQUARE, CUBE)))
+    x = max(-reach, min(reach, way))
+    impulse = (speed + w * x) * t
+    rest = way - x + (x + impulse) * e
+    if (rest <= 0) if way >= 0 else (rest > 0):
+        return 0.0, 0.0
+    return rest, (speed - w * impulse) * e
 
 
 def follow(state: tuple[float, float] | None, target: float, seconds: float | None, count: int, smooth: float) -> tuple[float, float]:
-    """(position, velocity) on a ring of ``count`` steps after an event; the way is the shorter one."""
-    position, velocity = state or (0.0, 0.0)
-    way = target - position
-    way -= math.floor(way / count) * count
-    way = way - count if way > count / 2 else way
-    dt = 1 / 60 if seconds is None else min(max(seconds, 0.0), 1 / 30)
-    goal = position + way
-    position, velocity = damped(position, velocity, goal, dt, smooth, 2.0 * count)
-    if abs(position - goal) < 0.002:
-        position, velocity = goal, 0.0
-    return position - math.floor(position / count) * count, velocity
+    """(position, speed) on a ring of ``count`` steps after an event; the way is the shorter one."""
+    position, speed = state or (0.0, 0.0)
+    ahead = (target - position) % count
+    goal = position + (ahead if ahead <= count / 2 else ahead - count)
+    rest, speed = spring(position - goal, speed, FIRST_STEP if seconds is None else max(0.0, min(seconds, LONGEST_STEP)), smooth, 2.0 * count)
+    if abs(rest) < ARRIVED:
+        rest, speed = 0.0, 0.0
+    return (goal + rest) % count, speed
 
 
 def folded(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], schema: str, begin: Callable, step: Callable) -> DataFrame:
@@ -124,17 +131,18 @@ def folded(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]
 
 
 def pointer_batch(events: DataFrame, key: str, order: Sequence[str], gate: Gate = Gate(), carry: str = "event_id") -> DataFrame:
-    """(key, id, action, resting, angle) for events with dx, dy; touch events are filtered by the caller."""
+    """(key, id, action, resting, angle) for events with dx, dy and perhaps ``left``; touch events are filtered by the caller."""
 
-    def step(state, i, dx, dy):
-        state, action = point(state, dx, dy, gate)
+    def step(state, i, dx, dy, left=False):
+        state, action = point(state, dx, dy, gate, bool(left))
         return state, (i, action, state[0], state[1])
 
-    return folded(events, key, order, [carry, "dx", "dy"], "id long, action string, resting boolean, angle double", lambda: REST, step)
+    columns = [carry, "dx", "dy", *(["left"] if "left" in events.columns else [])]
+    return folded(events, key, order, columns, "id long, action string, resting boolean, angle double", lambda: REST, step)
 
 
 def pointer_stream(events: DataFrame, key: str, gate: Gate = Gate()) -> DataFrame:
-    """The same over a stream with columns key, ts, id, dx, dy, pointer_type: (key, id, action, resting, angle) in update mode.
+    """The same over a stream with columns key, ts, id, dx, dy, pointer_type and perhaps left: (key, id, action, resting, angle) in update mode.
 
     The state of a key is two values, kept without expiry.
     """
@@ -144,7 +152,7 @@ def pointer_stream(events: DataFrame, key: str, gate: Gate = Gate()) -> DataFram
         rows = []
         for frame in frames:
             for r in frame.sort_values(["ts", "id"]).itertuples():
-                now, action = point(now, r.dx, r.dy, gate)
+                now, action = point(now, r.dx, r.dy, gate, bool(getattr(r, "left", False)))
                 rows.append((keys[0], r.id, action, now[0], now[1]))
         state.update((now[0], float("nan") if now[1] is None else now[1]))
         yield pd.DataFrame(rows, columns=["key", "id", "action", "resting", "angle"])
@@ -163,3 +171,23 @@ def smooth_batch(events: DataFrame, key: str, order: Sequence[str], count: int,
         return state, (i, *state)
 
     return folded(events, key, order, [carry, "target", "seconds"], "id long, position double, velocity double", lambda: None, step)
+
+
+def smooth_stream(events: DataFrame, key: str, count: int, smooth: float = 0.14) -> DataFrame:
+    """The same over a stream with columns key, ts (seconds), id, target: (key, id, position, velocity) in update mode.
+
+    The state of a key is its position, speed and last time, kept without expiry; times that go back take no time.
+    """
+    def advance(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, last = (state.get[:2], state.get[2]) if state.exists else (None, None)
+        rows = []
+        for frame in frames:
+            for r in frame.sort_values(["ts", "id"]).itertuples():
+                held, last = follow(held, r.target, None if last is None else r.ts - last, count, smooth), r.ts
+                rows.append((keys[0], r.id, *held))
+        state.update((*held, last))
+        yield pd.DataFrame(rows, columns=["key", "id", "position", "velocity"])
+
+    kind = events.schema[key].dataType.simpleString()
+    return events.groupBy(key).applyInPandasWithState(
+        advance, f"key {kind}, id long, position double, velocity double", "position double, velocity double, last double", "update", GroupStateTimeout.NoTimeout)

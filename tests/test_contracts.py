@@ -49,8 +49,9 @@ def test_selection_fields_sheets_seams_and_bridges(spark):
 
 
 def test_patch_modes_and_motion(spark):
-    df = spark.createDataFrame([("preserve",), ("replace-edge-light",), ("chroma-key",)], "mode string")
-    assert [r[0] for r in df.select(pixels.patched(F.lit(240), F.lit(10), F.col("mode"), F.lit(True), F.lit(True), F.lit(51))).collect()] == [240, 10, 56]
+    df = spark.createDataFrame([("preserve",), ("replace-edge-light",), ("fit-edge-light",), ("chroma-key",), ("none of these",)], "mode string")
+    found = df.select(pixels.patched(F.lit(240), F.lit(10), F.lit(300.7), F.col("mode"), F.lit(True), F.lit(True), F.lit(200), F.lit(51)), pixels.patched(F.lit(9), F.lit(1), F.lit(7.9), F.col("mode"), F.lit(True), F.lit(False), F.lit(9), F.lit(255)))
+    assert [tuple(r) for r in found.collect()] == [(240, 9), (10, 9), (255, 9), (48, 9), (None, None)]
     rows = [("k", i, [255] * 80, [10 * i] * 80) for i in range(3)] + [("t", i, [255] * 8, [i] * 8) for i in range(2)]
     found = pixels.matte_motion(spark.createDataFrame(rows, "k string, i int, m array<int>, p array<int>"), ["k"], "i", "m", "p").collect()
     assert sorted((r["k"], r["i"], r["edge_motion"]) for r in found if r["edge_motion"] is not None) == [("k", 1, 10.0), ("k", 2, 10.0)]
