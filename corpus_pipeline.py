@@ -9,7 +9,7 @@ from framequill.llm.language_id import identified, in_fold, train
 from framequill.llm.mixing import mix_documents
 from framequill.llm.near_dedup import near_components
 from framequill.llm.packing import best_fit
-from framequill.session import load, small_batches, spool
+from framequill.session import load, scratch_mark, small_batches, spool, sweep
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order; what a stage wrote on its way goes when its result is there, and so does the result before it."""
     docs = load(spark, sf_dir, "documents")
+    mark = scratch_mark()
     for name, stage in STAGES:
         docs = spool(stage(spark, docs, sf_dir), name)
+        sweep(spark, mark, keep=1)
     return docs
