@@ -231,7 +231,9 @@ def test_wide_gaps_and_repeated_identifiers_lose_no_passage(spark):
     wide = "   \n\n\t        ".join(passage)
     other = prose(rng, 70, 10**6)
     rows = [(1, f"{prose(rng, 20)} {wide}"), (1, f"{other} {prose(rng, 30)}"), (2, f"{wide} {prose(rng, 30)}"), (3, f"{prose(rng, 9)} {other}"), (3, "short"), (4, prose(rng, 50))]
-    found = {(r["id"], r["keep_id"]): r["words"] for r in substring_dedup.repeats(table(spark, rows)).collect()}
+    found = {}
+    for r in substring_dedup.repeats(table(spark, rows)).collect():  # the second look does not know of which text of an identifier a span is, and may report parts again
+        found[r["id"], r["keep_id"]] = max(found.get((r["id"], r["keep_id"]), 0), r["words"])
     assert found == {(2, 1): 60, (3, 1): 70}
 
 
