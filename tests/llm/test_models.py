@@ -369,3 +369,19 @@ def test_quality_on_labels_it_has_not_seen(spark):
     assert len(held) > 30 and np.mean([found[r["doc_id"]]["selected"] == (r["grade"] == 2) for r in held]) > 0.85
     means = [np.mean([found[r["doc_id"]]["expected_grade"] for r in held if r["grade"] == g]) for g in sorted({r["grade"] for r in held})]
     assert means == sorted(means)
+
+
+def test_quality_of_unseen_toxic_texts_and_repeats(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = load(spark, sf, "documents").join(load(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    labels = load(spark, sf, "labels").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("grade")
+    seen = labels.where("part > 0").select(F.col("doc_id").alias("id"), grade)
+    held = {r["doc_id"]: r["grade"] for r in labels.where("part = 0").select("doc_id", grade).collect()}
+    found = {r["id"]: r for r in quality.rate(docs, seen).where(F.pmod(F.xxhash64("id"), F.lit(4)) == 0).collect()}
+    kept = {g: np.mean([found[d]["selected"] for d, own in held.items() if own == g]) for g in (0, 1, 2)}
+    assert kept[0] < 0.1 and kept[1] < 0.1 and kept[2] > 0.95
+    few = docs.limit(40)
+    twice = quality.rate(few, seen.unionByName(seen)).collect()
+    assert len(twice) == 40 and all(0 <= r["tail_probability"] <= 1 for r in twice)
+    assert quality.rate(docs.limit(0), seen).count() == 0 and quality.rate(docs.limit(0), seen.limit(0)).count() == 0
