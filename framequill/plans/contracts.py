@@ -111,7 +111,7 @@ def matte_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with e as (select user_id, event_id, value / 100.0 as ts, lead(value / 100.0) over w as nxt from (select *, row_number() over (partition by user_id order by ts, event_id) as nth from events) window w as (partition by user_id order by value)),
+with e as (select user_id, event_id, value / 100.0 as ts, lead(value / 100.0) over w as nxt from events window w as (partition by user_id order by value, event_id)),
 s as (select user_id, event_id, cast(ceil(ts * 4 - 1e-9) as bigint) as a, coalesce(cast(ceil(nxt * 4 - 1e-9) as bigint) - 1, cast(ceil(ts * 4 - 1e-9) as bigint)) as b from e)
 select user_id as source, event_id as frame, unnest(range(a, b + 1)) as sample from s where b >= a""")
 def sampled_times(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,10 +71,13 @@ def frame_count(counted: Column, duration: Column, fps: Column) -> Column:
 
 
 def nearest_samples(frames: DataFrame, fps: float) -> DataFrame:
-    """Constant-rate samples: for each sample time the last frame at or before it, by bucket rather than by range join."""
+    """Constant-rate samples: for each sample time the last frame at or before it, by bucket rather than by range join.
+
+    Of frames with the same time the one with the highest number is shown.
+    """
     from pyspark.sql import Window
 
-    after = F.lead("ts").over(Window.partitionBy("source").orderBy("ts"))
+    after = F.lead("ts").over(Window.partitionBy("source").orderBy("ts", "frame"))
     first = F.ceil(F.col("ts") * fps - 1e-9)
     last = F.coalesce(F.ceil(F.col("__after") * fps - 1e-9) - 1, first)
     return (frames.withColumn("__after", after).where(last >= first).withColumn("sample", F.explode(F.sequence(first, last))).drop("__after"))

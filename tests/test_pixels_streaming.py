@@ -242,3 +242,10 @@ def test_manifests_that_do_not_parse_are_kept(spark, tmp_path):
 def test_samples_take_the_frame_shown_at_that_time(spark):
     df = spark.createDataFrame([("a", 0.0, 0), ("a", 0.3, 1), ("a", 1.0, 2)], "source string, ts double, frame int")
     assert sorted((r["sample"], r["frame"]) for r in frames.nearest_samples(df, 4).collect()) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)]
+
+
+def test_sampled_times_with_equal_times_show_the_highest_number(spark):
+    df = spark.createDataFrame([("c", 5, 0.25), ("c", 2, 0.25), ("c", 9, 0.25), ("c", 1, 0.0), ("c", 4, 0.75), ("c", 3, 0.75)], "source string, frame int, ts double")
+    for parts in (1, 3):
+        found = frames.nearest_samples(df.repartition(parts), 4)
+        assert sorted((r["sample"], r["frame"]) for r in found.collect()) == [(0, 1), (1, 9), (2, 9), (3, 4)]
