@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL; __spark_entry__ adds them if the subpackage is there."""
 
-from framequill.llm import exact_dedup, language_id, mixing, near_dedup, ngram_lm, packing, quality, substring_dedup, syncmers, warc
+from framequill.llm import exact_dedup, language_id, mixing, near_dedup, ngram_lm, packing, quality, simhash, substring_dedup, syncmers, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_ordinal_quality": quality.op8_ordinal_quality,
     "op9_language_id": language_id.op9_language_id,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "op11_golay_simhash": simhash.op11_golay_simhash,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
