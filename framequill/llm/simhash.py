@@ -9,8 +9,9 @@
    segment and of its neighbours (at most six different ones) share one. For errors of exactly one bit, the two words have different
    parity: an even one gives its own number, an odd one those of its neighbours.
 4. A key is a pair of segments with either the bits of one and a number of the other, or a number of each, about sixty keys a
-   fingerprint. Within a key's group a breadth-first walk compares whole fingerprints, so that only verified links leave
-   it, one for each member; large groups are dealt into blocks (``near_dedup.linked``). Links give the components.
+   fingerprint. Keys are shuffled once and sorted; within a key's group a breadth-first walk compares whole fingerprints, so that only
+   verified links leave it, one for each member. Groups beyond a block, which a count with partial sums finds first, are dealt
+   into blocks (``near_dedup.linked``). Links give the components.
 
 Nothing is lost: any two fingerprints at a distance of four or less share a key.
 
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framequill.llm.graph import LINKS, components
+from framequill.llm.graph import LINKS, components, contract, matching
 from framequill.llm.near_dedup import BLOCK, edges, grouped, linked, spanned
 from framequill.llm.words import SPACES, slices, text_bytes
 from framequill.session import load, ship, small_batches, spool, spool_counted
@@ -208,6 +209,38 @@ def within(most: int):
     return run
 
 
+def compared(most: int):
+    """Links of the rows (g, node) of a partition sorted by both: single rows go at once, pairs are compared by column, larger groups walked."""
+
+    def links(g: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        size = np.diff(np.append(start, len(g)))
+        prints, two = nodes.view(np.uint64), start[size == 2]
+        near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= most]
+        found = [(nodes[near], nodes[near + 1])]
+        for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+            own = prints[at : at + n]
+            pairs = np.array(list(spanned(n, lambda i, rest: np.flatnonzero(np.bitwise_count(own[rest] ^ own[i]) <= most))), np.int64).reshape(-1, 2)
+            found.append((nodes[at + pairs[:, 0]], nodes[at + pairs[:, 1]]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            g, nodes = np.concatenate([g, np.asarray(batch.column(0))]), np.concatenate([nodes, np.asarray(batch.column(1))])
+            cut = int(np.searchsorted(g, g[-1])) if len(g) else 0
+            if cut:
+                yield links(g[:cut], nodes[:cut])
+                g, nodes = g[cut:], nodes[cut:]
+        if len(g):
+            yield links(g, nodes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from contract(walk(batches))
+
+    return run
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, fp, component) for each row of ``docs``: its fingerprint and the least identifier of its component."""
     small_batches(docs.sparkSession)
@@ -215,10 +248,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     rows = spool(rows.mapInArrow(printed, "id long, fp long"), "prints")
     classes = spool(rows.groupBy("fp").agg(F.min("id").alias("first")).select(F.col("fp").alias("node"), "first"), "classes")
     held = classes.select("node").mapInArrow(key_rows, "g long, node long")
-    shared = held.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    groups, n = spool_counted(held.join(shared, "g", "left_semi"), "groups")
-    labels = components(*linked(groups, n["n"], lambda rows: rows.withColumn("payload", F.col("node")), within(MOST), block))
-    parts = max(1, -(-n["n"] // LINKS))
+    heavy, n = spool_counted(held.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("g"), "heavy")
+    rest = matching(held, heavy, "g", "left_anti", n["n"]) if n["n"] else held
+    links, seen = spool_counted(rest.repartition("g").sortWithinPartitions("g", "node").mapInArrow(compared(MOST), "u long, v long"), "links")
+    total = seen["n"]
+    if n["n"]:  # groups beyond a block are dealt
+        groups, members = spool_counted(matching(held, heavy, "g", "left_semi", n["n"]), "groups")
+        more, seen = linked(groups, members["n"], lambda rows: rows.withColumn("payload", F.col("node")), within(MOST), block)
+        links, total = links.unionByName(more), total + seen
+    labels = components(links, total)
+    parts = max(1, -(-total // LINKS))
     named = spool(labels.unionByName(labels.select(F.col("v").alias("u"), "v").distinct()).join(classes, F.col("u") == F.col("node")).select("node", "v", "first"), "named", parts)
     leads = named.groupBy("v").agg(F.min("first").alias("lead"))
     found = classes.join(named.join(leads, "v").select("node", "lead"), "node", "left").select(F.col("node").alias("fp"), F.coalesce("lead", "first").alias("component"))
