@@ -6,9 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framequill.functions.pixels import is_light
+from framequill.functions.pixels import is_light, keyed
+from framequill.operators.images import stacks
 from framequill.session import ship
 
 ship(__name__)
@@ -215,26 +217,28 @@ def map_inspection(maps: DataFrame, key: str, width: str, map_x: str, map_y: str
 def registration(pairs: DataFrame, key: str, width: str, reference: str, moved: str, most: int = 3, texture: float = 1.0) -> DataFrame:
     """(key, dx, dy, accepted): whole-pixel translation by phase correlation, refused beyond ``most`` or without texture.
 
-    This is another algorithm than iterative intensity alignment and gives whole pixels only.
+    This gives whole pixels only, however far; ``alignment.aligned`` finds parts of a pixel.
     """
     kind = pairs.schema[key].dataType.simpleString()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for k, w, a, b in part.itertuples(index=False):
-                a, b = _grid(a, int(w)).astype(float), _grid(b, int(w)).astype(float)
-                if a.std() < texture or b.std() < texture:
-                    rows.append((k, 0, 0, False))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dx, dy, accepted = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            for rows, held in stacks(batch, width, {reference: 1, moved: 1}):
+                if held[reference] is None:
                     continue
+                a, b = held[reference].astype(float), held[moved].astype(float)
                 cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
                 peak = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-9)).real
-                dy, dx = (int(v) for v in np.unravel_index(peak.argmax(), peak.shape))
-                dy, dx = dy - len(a) * (dy > len(a) // 2), dx - a.shape[1] * (dx > a.shape[1] // 2)
-                rows.append((k, dx, dy, max(abs(dx), abs(dy)) <= most))
-            yield pd.DataFrame(rows, columns=["key", "dx", "dy", "accepted"])
+                h, w = a.shape[1:]
+                down, across = np.divmod(peak.reshape(len(a), -1).argmax(axis=1), w)
+                down, across = down - h * (down > h // 2), across - w * (across > w // 2)
+                rough = (a.std(axis=(1, 2)) >= texture) & (b.std(axis=(1, 2)) >= texture)
+                dx[rows], dy[rows] = np.where(rough, across, 0), np.where(rough, down, 0)
+                accepted[rows] = rough & (np.maximum(np.abs(across), np.abs(down)) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dx), pa.array(dy), pa.array(accepted)], ["key", "dx", "dy", "accepted"])
 
-    return pairs.select(key, width, reference, moved).mapInPandas(run, f"key {kind}, dx long, dy long, accepted boolean").withColumnRenamed("key", key)
+    return pairs.select(key, width, reference, moved).mapInArrow(run, f"key {kind}, dx long, dy long, accepted boolean").withColumnRenamed("key", key)
 
 
 def flow_gate(flows: DataFrame, key: Sequence[str], roundtrip: str, residual: str, moved: str, least_side: Column) -> DataFrame:
@@ -266,6 +270,31 @@ def patched(front: Column, base: Column, fitted: Column, mode: Column, edge: Col
             .when(mode == "chroma-key", F.rint(keyed * (alpha / 255) + base * (1 - alpha / 255))).cast("int"))
 
 
+def patches(frames: DataFrame, width: str, px: str, base: str, mode: str, key_color: Sequence[int], fitted: str | None = None, name: str = "patch") -> DataFrame:
+    """Adds ``name``: the RGBA frame ``px`` made a patch over the RGB array ``base`` by the mode in column ``mode``.
+
+    ``preserve`` keeps it; ``replace-edge-light`` and ``fit-edge-light`` put the base, or the array ``fitted`` of a plane, where light
+    cells are connected to the border; both keep the frame's alpha. ``chroma-key`` keys and despills by ``key_color``, its alpha times the
+    frame's in whole 255ths. Null for a mode that is none of ``MODES``.
+    """
+    cells = F.sequence(F.lit(0), F.expr(f"size(`{px}`) div 4 - 1"))
+    at = lambda c, i: F.get(F.col(c), i)
+    rgb = lambda i: [at(px, i * 4 + c) for c in range(3)]
+    frames = flood(frames.withColumn("__light", F.transform(cells, lambda i: is_light(*rgb(i)))), width, "__light", "__edge")
+    how, under = F.col(mode), F.when(F.col(mode) == "fit-edge-light", F.col(fitted or base)).otherwise(F.col(base))
+
+    def cell(i: Column) -> Column:
+        own, alpha = rgb(i), at(px, i * 4 + 3)
+        cover, held = keyed(own, key_color)
+        edge = at("__edge", i)
+        shown = [F.when(how == "chroma-key", h).when(edge & how.endswith("edge-light"), F.get(F.col("__under"), i * 3 + c)).otherwise(v).cast("int") for c, (v, h) in enumerate(zip(own, held))]
+        product = cover * alpha
+        return F.array(*shown, F.when(how == "chroma-key", (product - product % 255) / 255).otherwise(alpha).cast("int"))
+
+    found = frames.withColumn("__under", under).withColumn(name, F.when(how.isin(*MODES), F.flatten(F.transform(cells, cell))))
+    return found.drop("__light", "__edge", "__under")
+
+
 def backdrop(pixels: DataFrame, key: Sequence[str], x: str, y: str, channels: Sequence[str], light: Column | None = None) -> DataFrame:
     """(key, channel, c0, c1, c2): planes through a base image's light cells; null where they span none.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from framequill.functions import pixels as px
-from framequill.operators import pixels
+from framequill.operators import alignment, flow, pixels, resample, series
 from framequill.plans.catalog import query
 from framequill.session import load
 
@@ -107,30 +107,44 @@ def key_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with c as (select *, 216 + v % 40 as base, v % 5 = 0 as lit, ['preserve', 'replace-edge-light', 'fit-edge-light', 'chroma-key', 'other'][1 + vec_id % 5] as mode from {CELLS}),
+with recursive c as (select *, v as r, least(255, v + v % 3 * 20) as g, v - v % 7 as b, 255 - v % 5 * 20 as a, 216 + v % 40 as base, ['preserve', 'replace-edge-light', 'fit-edge-light', 'chroma-key', 'other'][1 + vec_id % 5] as mode from {CELLS}),
+l as (select vec_id, x, y from c where least(r, g, b) > 210 and greatest(r, g, b) - least(r, g, b) < 30),
+e as (select vec_id, x, y from l where x in (0, 7) or y in (0, 7) union select l.vec_id, l.x, l.y from e join l on l.vec_id = e.vec_id and abs(l.x - e.x) + abs(l.y - e.y) = 1),
 s as (select clip, vec_id, count(*)::double as n, sum(x)::double as sx, sum(y)::double as sy, sum(base)::double as sz, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy, sum(x * base) as sxz, sum(y * base) as syz from c group by clip, vec_id),
 k as (select *, sxx - sx * sx / n as xx, sxy - sx * sy / n as xy, syy - sy * sy / n as yy, sxz - sx * sz / n as xz, syz - sy * sz / n as yz from s),
 f as (select vec_id, (xz * yy - yz * xy) / (xx * yy - xy * xy) as c1, (yz * xx - xz * xy) / (xx * yy - xy * xy) as c2, sx, sy, sz, n from k),
-q as (select c.*, round((sz - c1 * sx - c2 * sy) / n + c1 * x + c2 * y, 6) as fitted from c join f on f.vec_id = c.vec_id)
-select clip, vec_id, cast(pos as bigint) as pos, mode, cast(case mode when 'preserve' then v when 'replace-edge-light' then case when lit then base else v end
-  when 'fit-edge-light' then case when lit then least(255, greatest(0, trunc(fitted))) else v end
-  when 'chroma-key' then round_even(least(v, 90) * (v / 255.0) + base * (1 - v / 255.0), 0) end as integer) as shown from q""")
+q as (select c.*, e.x is not null as edge, cast(least(255, greatest(0, trunc(round((sz - c1 * sx - c2 * sy) / n + c1 * c.x + c2 * c.y, 6)))) as integer) as fitted
+  from c join f on f.vec_id = c.vec_id left join e on e.vec_id = c.vec_id and e.x = c.x and e.y = c.y),
+t as (select *, greatest(0.0, least(1.0, (greatest(r, 255 - g, b) - 12.0) / 208.0)) as t from q),
+h as (select *, least(cast(trunc(t * t * (3.0 - 2.0 * t) * 255) as integer), cast(trunc((1.0 - least(1.0, greatest(0, g - greatest(r, b)) / greatest(1, 255 - greatest(r, b))::double)) * 255) as integer)) as cover from t)
+select clip, vec_id, cast(pos as bigint) as pos, mode,
+  cast(case when mode like '%edge-light' and edge then case when mode like 'fit%' then fitted else base end else r end as integer) as r,
+  cast(case when mode = 'chroma-key' then case when cover < 252 then least(g, greatest(r, b)) else g end when mode like '%edge-light' and edge then case when mode like 'fit%' then fitted else base end else g end as integer) as g,
+  cast(case when mode like '%edge-light' and edge then case when mode like 'fit%' then fitted else base end else b end as integer) as b,
+  cast(case when mode = 'chroma-key' then cover * a // 255 else a end as integer) as a from h where mode <> 'other'""")
 def patch_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every mode of a patch over a light backdrop, with the plane fitted to it; a mode that is none shows nothing."""
+    """Every mode of a patch: edge-connected light found by its flood, keyed values by the key; a mode that is none shows nothing."""
     modes = F.array(*[F.lit(m) for m in (*pixels.MODES, "other")])
-    rows = cells(spark, sf_dir).withColumn("base", F.lit(216) + F.col("v") % 40).withColumn("mode", F.get(modes, (F.col("vec_id") % 5).cast("int")))
-    planes = pixels.backdrop(rows, ["clip", "vec_id"], "x", "y", ["base"], F.col("base") > 215).drop("channel")
-    fitted = F.round(F.col("c0") + F.col("c1") * F.col("x") + F.col("c2") * F.col("y"), 6)
-    shown = pixels.patched(F.col("v"), F.col("base"), fitted, F.col("mode"), F.lit(True), F.col("v") % 5 == 0, F.least("v", F.lit(90)), F.col("v"))
-    return rows.join(planes, ["clip", "vec_id"]).select("clip", "vec_id", F.col("pos").cast("long").alias("pos"), "mode", shown.alias("shown"))
+    base = cells(spark, sf_dir).withColumn("base", F.lit(216) + F.col("v") % 40)
+    planes = pixels.backdrop(base, ["clip", "vec_id"], "x", "y", ["base"], F.col("base") > 215).drop("channel")
+    value = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("int"))
+    rows = load(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id", F.lit(8).alias("w"), value.alias("v"), F.get(modes, (F.col("vec_id") % 5).cast("int")).alias("mode"))
+    plane = F.transform("v", lambda v, i: F.least(F.lit(255), F.greatest(F.lit(0), F.round(F.col("c0") + F.col("c1") * (i % 8) + F.col("c2") * F.floor(i / 8), 6).cast("int"))))
+    thrice = lambda c: F.flatten(F.transform(c, lambda v: F.array(v, v, v)))
+    rows = rows.join(planes, ["clip", "vec_id"]).select(
+        "clip", "vec_id", "w", "mode", thrice(F.transform("v", lambda v: F.lit(216) + v % 40)).alias("base"), thrice(plane).alias("fitted"),
+        F.flatten(F.transform("v", lambda v: F.array(v, F.least(F.lit(255), v + v % 3 * 20), v - v % 7, F.lit(255) - v % 5 * 20))).alias("px"))
+    shown = pixels.patches(rows, "w", "px", "base", "mode", (0, 255, 0), "fitted").where("patch is not null")
+    shown = shown.select("clip", "vec_id", "mode", "patch", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
+    return shown.select("clip", "vec_id", F.col("pos").cast("long").alias("pos"), "mode", *[F.get("patch", F.col("pos") * 4 + c).alias(n) for c, n in enumerate("rgba")])
 
 
-@query("""
-with g as (select i % 64 as x, i // 64 as y from range(0, 3072) t(i))
-select x, y, cast(trunc(greatest(0.0, least(1.0, x / 6.0, (63 - x) / 10.0, (47 - y) / 4.0)) * 255) as integer) as alpha from g""")
+@query(f"""
+select clip, vec_id, cast(pos as bigint) as pos, v, cast(trunc(greatest(0.0, least(1.0, x / 2.0, (7 - x) / 3.0, (7 - y) / 1.0)) * 255) as integer) as alpha from {CELLS}""")
 def feather_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(64 * 48).select((F.col("id") % 64).alias("x"), F.expr("id div 64").alias("y"))
-    return grid.withColumn("alpha", px.feather_alpha(F.col("x"), F.col("y"), 64, 48, 6, 0, 10, 4))
+    """The frames' cells with the alpha of a feathered edge."""
+    grid = cells(spark, sf_dir)
+    return grid.select("clip", "vec_id", F.col("pos").cast("long").alias("pos"), "v", px.feather_alpha(F.col("x"), F.col("y"), 8, 8, 2, 0, 3, 1).alias("alpha"))
 
 
 @query(f"""
@@ -200,9 +214,85 @@ def map_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "folded", "outside", *[F.round(c, 6).alias(c) for c in ("least_det", "most_moved", "protected_moved")], "passed")
 
 
+def enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, vec_id, w, grey, dx, dy, moved): each embedding as a smooth 32 x 32 frame, and the same frame moved by a known way."""
+    side = 32
+    at = lambda c, x, y: F.get(F.col(c), (y * side + x).cast("int"))
+    near = lambda v: F.greatest(F.lit(0), F.least(F.lit(side - 1), v))
+
+    def cell(i: Column) -> Column:
+        x, y = i % side - F.col("dx"), F.floor(i / side) - F.col("dy")
+        left, top = F.floor(x), F.floor(y)
+        fx, fy = x - left, y - top
+        corner = lambda a, b: at("grey", near(left + a), near(top + b))
+        return F.rint((corner(0, 0) * (1 - fx) + corner(1, 0) * fx) * (1 - fy) + (corner(0, 1) * (1 - fx) + corner(1, 1) * fx) * fy).cast("int")
+
+    value = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("int"))
+    rows = load(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id", F.lit(8).alias("w"), value.alias("px"))
+    rows = resample.signals(rows, "w", "px", most=side, scale="bilinear", enlarge=True, name="grey")
+    rows = rows.select("clip", "vec_id", F.col("grey_width").alias("w"), "grey", ((F.col("vec_id") % 9 - 4) * 0.6).alias("dx"), ((F.col("vec_id") % 5 - 2) * 0.7).alias("dy"))
+    return rows.withColumn("moved", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), cell))
+
+
+def channels(grey: str, alpha: int | None = None) -> Column:
+    return F.flatten(F.transform(grey, lambda v: F.array(*[v] * 3, *([F.lit(alpha)] if alpha else []))))
+
+
 @query()
 def frame_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Translation of each frame to the one before it in its clip; a kernel without SQL form, tested on shifted frames."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    pairs = load(spark, sf_dir, "embeddings").withColumn("before", F.coalesce(F.lag("embedding").over(order), F.col("embedding"))).withColumn("w", F.lit(8))
-    return pixels.registration(pairs, "vec_id", "w", "before", "embedding", texture=0.0)
+    """The way by which each frame was moved, found again, and whether it may be taken back; a kernel without SQL form, tested on exactly moved frames."""
+    inner = F.transform("grey", lambda v, i: (i % 32).between(12, 19) & F.floor(i / 32).between(12, 19))
+    pairs = enlarged(spark, sf_dir).select("clip", "vec_id", "w", "dx", "dy", channels("moved", 255).alias("px"), channels("grey").alias("reference"), inner.alias("motion"))
+    pairs = pairs.withColumn("static", F.transform("motion", lambda m: ~m)).withColumnsRenamed({"dx": "way_x", "dy": "way_y"})
+    return alignment.aligned(pairs, ["clip", "vec_id", "way_x", "way_y"]).drop("aligned")
+
+
+@query("""
+with f as (select l_orderkey, l_linenumber, case when l_partkey % 11 > 0 then l_orderkey % 300 end as samples, l_suppkey % 50 / 1000.0 as texture, l_partkey % 13 > 0 as settled,
+  (l_partkey % 81 - 40) / 10.0 as dx, (l_suppkey % 71 - 35) / 10.0 as dy, greatest(0, l_orderkey % 9 - 6) as exposed, l_quantity / 10.0 as "before", (l_quantity + l_linenumber - 4) / 10.0 as "after" from lineitem)
+select l_orderkey, l_linenumber, case when samples is null then 'input' when samples < 32 then 'samples' when texture < 0.01 then 'texture' when not settled then 'diverged'
+  when greatest(abs(dx), abs(dy)) > 3 then 'far' when exposed > 0 then 'exposed' when "after" > "before" + 0.05 then 'worse' end as problem from f""")
+def registration_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accept rules of an alignment over figures of any source."""
+    figures = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 11 > 0, F.col("l_orderkey") % 300).alias("samples"), (F.col("l_suppkey") % 50 / 1000.0).alias("texture"),
+        (F.col("l_partkey") % 13 > 0).alias("settled"), ((F.col("l_partkey") % 81 - 40) / 10.0).alias("dx"), ((F.col("l_suppkey") % 71 - 35) / 10.0).alias("dy"),
+        F.greatest(F.lit(0), F.col("l_orderkey") % 9 - 6).alias("exposed"), (F.col("l_quantity") / 10.0).alias("before"), ((F.col("l_quantity") + F.col("l_linenumber") - 4) / 10.0).alias("after"))
+    return alignment.accepted(figures, F.lit(3.0)).select("l_orderkey", "l_linenumber", "problem")
+
+
+@query()
+def flow_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three frames between each frame and its moved copy, by dense flow; without SQL form, tested on exactly moved frames."""
+    inner = F.transform("grey", lambda v, i: (i % 32).between(8, 23) & F.floor(i / 32).between(8, 23))
+    pairs = enlarged(spark, sf_dir).select("clip", "vec_id", "w", channels("grey", 255).alias("left"), channels("moved", 255).alias("right"), inner.alias("motion"))
+    found = flow.bridges(pairs, ["clip", "vec_id"], 3)
+    shown = F.aggregate("px", F.lit(0).cast("long"), lambda s, v: s + v)
+    return found.select("clip", "vec_id", "step", "share", *[F.round(c, 6).alias(c) for c in ("trip", "residual", "moved")], "folded", "outside", "problem", shown.alias("shown"))
+
+
+@query(f"""
+with w as (select i, j, greatest(0.0::double, 1.0 - abs((j + 0.5 - (i + 0.5) * 1.6::double) / 1.6::double)) as u from range(0, 5) a(i), range(0, 8) b(j)
+  where j >= greatest(cast(trunc((i + 0.5) * 1.6::double - 1.1) as bigint), 0) and j < least(cast(trunc((i + 0.5) * 1.6::double + 2.1) as bigint), 8)),
+k as (select i, j, cast(floor(u / sum(u) over (partition by i) * 4194304 + 0.5) as bigint) as w from w),
+c as (select * from {CELLS}),
+r as (select clip, vec_id, y, i as x, (sum(w * v) + 2097152) // 4194304 as v from c join k on k.j = c.x group by clip, vec_id, y, i)
+select clip, vec_id, cast(k.i * 5 + r.x as bigint) as pos, cast((sum(w * v) + 2097152) // 4194304 as bigint) as v from r join k on k.j = r.y group by clip, vec_id, k.i, r.x""")
+def thumbnail_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame reduced to five cells a side."""
+    value = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("int"))
+    rows = load(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id", F.lit(8).alias("w"), value.alias("px"))
+    found = resample.signals(rows, "w", "px", most=5).select("clip", "vec_id", F.posexplode("signal").alias("pos", "v"))
+    return found.select("clip", "vec_id", F.col("pos").cast("long").alias("pos"), F.col("v").cast("long").alias("v"))
+
+
+@query(f"""
+with v as (select clip, vec_id, y // 2 as y, x // 2 as x, (sum(v) + 2) // 4 as v from {CELLS} group by clip, vec_id, y // 2, x // 2),
+p as (select *, lag(v) over (partition by clip, y, x order by vec_id) as before from v)
+select clip, vec_id, round(coalesce(avg(abs(v - before)), 0.0), 6) as score from p group by clip, vec_id""")
+def thumbnail_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Motion between the frames of a clip, measured on block means."""
+    value = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("int"))
+    rows = load(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id", F.lit(8).alias("w"), value.alias("px"))
+    small = resample.signals(rows, "w", "px", most=4, blocks=2)
+    return series.lag_difference(small, ["clip"], ["vec_id"], "signal").select("clip", "vec_id", F.round("score", 6).alias("score"))
