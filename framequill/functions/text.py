@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from framequill.session import ship
+
+ship(__name__)
+
 #: Fixed value: a template's unfinished places.
 PLACEHOLDER = r"(?i)\{\{[^}]+\}\}|\[(?:ACTUAL|ALLOWED|PATH|OBSERVABLE|DESIRED|TASK|SUBJECT|FIXED|ENDING|RELEVANT)[A-Z _-]*\]|replace-with-"
 
@@ -22,6 +27,35 @@ def canonical(pairs: dict, ascii_only: bool = False) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(units) / 4).cast("int") - 1), lambda i: one(at(i))), "")
 
 
+def canonical_document(document: Column) -> Column:
+    """A JSON document of any shape with the keys of every object sorted by code point, compact and in ASCII; null for what is no JSON.
+
+    VARIANT sorts keys too, but writes 1.0 as 1 and 1e22 as 1.0E22, so hashes of documents with such numbers would differ.
+    """
+    @F.pandas_udf("string")
+    def run(documents: pd.Series) -> pd.Series:
+        import json
+
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+            except (ValueError, RecursionError):
+                return None
+
+        return documents.map(one)
+
+    return run(document)
+
+
+def document_sha256(document: Column) -> Column:
+    return F.sha2(canonical_document(document), 256)
+
+
+def unknown_keys(document: Column, allowed: list[str]) -> Column:
+    """Keys of the outermost object that are none of ``allowed``."""
+    return F.array_except(F.json_object_keys(document), F.array(*[F.lit(k) for k in allowed]))
+
+
 def data_uri(mime: Column, content: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
 

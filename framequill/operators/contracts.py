@@ -96,6 +96,17 @@ def background(owner: Column, mode: Column, clean: Column, contact: Column) -> d
     return {"background-page": (owner != "page") | (clean.isNotNull() & contact.isNotNull()), "background-mode": mode.isNotNull()}
 
 
+def plate_problems(manifests: DataFrame, assets: DataFrame, key: str) -> DataFrame:
+    """(key, problem) of page-owned backgrounds: manifests (key, owner, plate, plate_sha256, width, height, contact) against ``assets`` (path, sha256, width, height)."""
+    at = assets.select(F.col("path").alias("plate"), F.col("sha256").alias("__sha"), F.col("width").alias("__w"), F.col("height").alias("__h"))
+    pages = manifests.where("owner = 'page'").join(at, "plate", "left").join(assets.select(F.col("path").alias("contact"), F.lit(True).alias("__contact")), "contact", "left")
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    problems = F.array_compact(F.array(
+        F.when(F.col("__sha").isNull(), "plate-missing").when(~same("__sha", "plate_sha256"), "plate-changed").when(~(same("__w", "width") & same("__h", "height")), "plate-size"),
+        F.when(F.col("__contact").isNull(), "contact-missing")))
+    return pages.select(key, F.explode(problems).alias("problem"))
+
+
 #: Owners of a background and the modes each may have.
 MODES_OF = {"page": ("preserve", "chroma-key"), "scene": ("preserve", "replace-edge-light", "fit-edge-light")}
 

@@ -17,8 +17,11 @@ TYPES = {"image": ("image/jpeg", "image/png", "image/webp", "image/heif", "image
 MOST_BYTES = {"image": 30 << 20, "video": 50 << 20, "audio": 15 << 20}
 #: Limits of one medium.
 SIDES, RATIOS, SECONDS, RATES = (256, 5760), (0.4, 2.5), (2.0, 15.0), (23.975, 60.0)
-#: Controls that need no medium.
-CONSTANT_CONTROLS = ("prompt", "duration", "resolution", "seed")
+#: Controls that need no medium; what a plan must state; what a reviewer must look at, and the states that let a request pass.
+CONSTANT_CONTROLS = ("prompt", "compositing", "runtime", "not-requested")
+REQUIREMENTS = ("identity", "motion", "range", "gaze", "fixedParts", "loop", "rest")
+CHECKS = ("subjectIsolation", "identity", "inputPose", "motionRange", "featureVisibility", "framing", "fixedParts", "promptImageAgreement", "endpointCompatibility", "motionReference")
+STATES = ("pass", "limited", "not-applicable")
 
 
 def role_index(df: DataFrame, key: Sequence[str], role: str, position: str) -> DataFrame:
@@ -69,6 +72,32 @@ def requirement_gaps(requirements: DataFrame, key: str, controls: str, media: Da
     return asked.join(media.select(key, F.col(role).alias("control")).distinct(), [key, "control"], "left_anti")
 
 
+def blank(c: Column) -> Column:
+    return c.isNull() | (F.trim(c) == "")
+
+
+def requirement_problems(plans: DataFrame, key: str, requirements: str, media: DataFrame, role: str) -> DataFrame:
+    """(key, name, rule, detail) of what is wrong with plans' ``requirements``, map<name, struct<expected, verify, controls array>>.
+
+    ``missing`` and ``unknown`` names; ``expected`` and ``verify`` without text; no ``controls``; an ``unavailable`` control; and, as a warning
+    that refuses nothing, ``text-only`` where the prompt is the one control.
+    """
+    held = F.coalesce(F.map_keys(requirements), F.array().cast("array<string>"))
+    known = F.array(*[F.lit(r) for r in REQUIREMENTS])
+    names = plans.select(key, F.explode(F.concat(
+        F.transform(F.array_except(known, held), lambda n: F.struct(n.alias("name"), F.lit("missing").alias("rule"))),
+        F.transform(F.array_except(held, known), lambda n: F.struct(n.alias("name"), F.lit("unknown").alias("rule"))))).alias("p")).select(key, "p.*", F.lit(None).cast("string").alias("detail"))
+    each = plans.select(key, F.explode(requirements).alias("name", "r")).where(F.col("name").isin(*REQUIREMENTS)).select(key, "name", "r.*")
+    controls = F.coalesce(F.col("controls"), F.array().cast("array<string>"))
+    rule = F.array_compact(F.array(
+        F.when(blank(F.col("expected")), "expected"), F.when(blank(F.col("verify")), "verify"), F.when(F.size(controls) == 0, "controls"),
+        F.when(F.coalesce(controls == F.array(F.lit("prompt")), F.lit(False)), "text-only")))
+    own = each.select(key, "name", F.explode(rule).alias("rule"), F.lit(None).cast("string").alias("detail"))
+    gaps = each.select(key, "name", F.explode(F.array_distinct(F.array_except(controls, F.array(*[F.lit(c) for c in CONSTANT_CONTROLS])))).alias("detail"))
+    gaps = gaps.join(media.select(key, F.col(role).alias("detail")).distinct(), [key, "detail"], "left_anti").select(key, "name", F.lit("unavailable").alias("rule"), "detail")
+    return names.unionByName(own).unionByName(gaps)
+
+
 def content(roles: DataFrame, key: str, role: str, value: str, order: Sequence[str]) -> DataFrame:
     """(key, content): media in the fixed order of their roles, then by position, as one array."""
     rank = F.array_position(F.array(*[F.lit(r) for r in order]), F.col(role))
@@ -96,13 +125,38 @@ def template(subjects: DataFrame, key: str, checks: Sequence[str]) -> DataFrame:
     return subjects.select(key, F.explode(F.array(*[F.lit(c) for c in checks])).alias("check")).withColumn("status", F.lit("unreviewed"))
 
 
-def review_outcome(reviews: DataFrame, key: str, must_pass: str) -> DataFrame:
-    """(key, checks, passed, limited, accepted): limited is surfaced, never counted as a pass."""
+def review_outcome(reviews: DataFrame, key: str, must_pass: str, checks: Sequence[str] | None = None) -> DataFrame:
+    """(key, checks, passed, limited, accepted): limited is surfaced, never counted as a pass.
+
+    A review is accepted if each of its checks has one of ``STATES`` and, where the column ``notes`` is there, an observation, if ``must_pass``
+    is a pass, and if all of ``checks`` are among them.
+    """
     state = F.col("status")
+    noted = ~blank(F.col("notes")) if "notes" in reviews.columns else F.lit(True)
     found = reviews.groupBy(key).agg(
         F.count(F.lit(1)).alias("checks"), F.count_if(state == "pass").alias("passed"), F.count_if(state == "limited").alias("limited"),
+        F.bool_and(F.coalesce(state.isin(*STATES), F.lit(False)) & noted).alias("sound"), F.collect_set("check").alias("seen"),
         F.coalesce(F.bool_and(F.when(F.col("check") == must_pass, state == "pass")), F.lit(False)).alias("must"))
-    return found.withColumn("accepted", F.col("must") & (F.col("passed") + F.col("limited") == F.col("checks"))).drop("must")
+    whole = F.size(F.array_except(F.array(*[F.lit(c) for c in checks]), "seen")) == 0 if checks else F.lit(True)
+    return found.withColumn("accepted", F.col("must") & F.col("sound") & whole).drop("must", "sound", "seen")
+
+
+def binding_problem(bound: dict[str, tuple[Column, Column]]) -> Column:
+    """The first name whose recorded value isn't the one at hand, null if all are; nulls never agree."""
+    return F.coalesce(*[F.when(F.coalesce(a != b, F.lit(True)), F.lit(name)) for name, (a, b) in bound.items()])
+
+
+def review_decision(reviews: DataFrame, bindings: DataFrame, key: str) -> DataFrame:
+    """(key, stale, passed, limited, accepted): the ten checks of a review, which counts only for the request, plan, identity and media it was made for.
+
+    ``bindings`` has for each key what the review recorded and what is there now: request and request_now, plan and plan_now, identity and
+    identity_now, media and media_now. A request without a review is not accepted.
+    """
+    stale = binding_problem({n: (F.col(n), F.col(f"{n}_now")) for n in ("request", "plan", "identity", "media")})
+    found = review_outcome(reviews, key, "subjectIsolation", CHECKS)
+    joined = bindings.select(key, stale.alias("stale")).join(found, key, "left")
+    return joined.select(key, "stale", F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("limited", F.lit(0)).alias("limited"),
+                         (F.col("stale").isNull() & F.coalesce("accepted", F.lit(False))).alias("accepted"))
 
 
 def single_match(df: DataFrame, candidates: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -83,3 +83,20 @@ def follows(mode: Column, degrees: Column, start: Column, end: Column) -> Column
     """Whether a candidate may follow a direction: a ring any, an arc those of its accepted interval, a phase or anything else none."""
     at = F.pmod(degrees - start, F.lit(360.0))
     return F.coalesce(F.when(mode == "ring", F.lit(True)).when(mode == "arc", at <= end - start), F.lit(False))
+
+
+def observation_problems(seen: DataFrame, anchors: DataFrame, key: Sequence[str], evidence: str = "evidence") -> DataFrame:
+    """(key, ord, problem) of reviews' observations (key, ord, frame, head, gaze, evidence) against ``anchors`` (key, ord, frame, direction).
+
+    A review needs exactly as many observations as it has anchors, else its one problem is ``count``; then frame, head and gaze of each must
+    be the anchor's frame and direction, with evidence.
+    """
+    held = seen.select(*key, "ord", F.col("frame").alias("__frame"), "head", "gaze", F.col(evidence).alias("__evidence"))
+    sizes = anchors.groupBy(*key).agg(F.count(F.lit(1)).alias("__want")).join(held.groupBy(*key).agg(F.count(F.lit(1)).alias("__have")), list(key), "left")
+    sizes = sizes.withColumn("__whole", F.col("__want").eqNullSafe(F.col("__have")))
+    count = sizes.where("not __whole").select(*key, F.lit(None).cast("long").alias("ord"), F.lit("count").alias("problem"))
+    pairs = anchors.join(sizes.where("__whole").select(*key), list(key), "left_semi").join(held, [*key, "ord"], "left")
+    ok = lambda a, b: F.coalesce(a == b, F.lit(False))
+    problem = (F.when(~ok(F.col("__frame"), F.col("frame")), "frame").when(~ok(F.col("head"), F.col("direction")), "head").when(~ok(F.col("gaze"), F.col("direction")), "gaze")
+               .when(~F.coalesce(F.col("__evidence"), F.lit(False)), "evidence"))
+    return count.unionByName(pairs.select(*key, F.col("ord").cast("long").alias("ord"), problem.alias("problem")).where("problem is not null"))

@@ -122,16 +122,25 @@ def certificate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("issues", ",").alias("issues"), "status", "circular")
 
 
-@query("""
-with o as (select label as clip, vec_id, (row_number() over (partition by label order by vec_id) - 1) % 8 as ord, embedding[1] > 0 as head, embedding[2] > 0 as gaze from embeddings),
-d as (select clip, ord, count(*) as n, bool_and(head = (ord < 4)) as heads, bool_and(gaze = (ord % 2 = 0)) as gazes from o group by clip, ord)
-select clip, ord, n, heads, gazes, heads and gazes as passed from d""")
+DIRECTIONS = ("up", "up-right", "right", "down-right", "down", "down-left", "left", "up-left")
+
+
+@query(f"""
+with o as (select label as clip, row_number() over (partition by label order by vec_id) - 1 as i, vec_id, embedding from embeddings),
+x as (select clip, i // 8 as review, i % 8 as ord, i + cast(vec_id % 9 = 0 as int) as frame, {list(DIRECTIONS)!r} as d, embedding[1] > 0.15 as h, embedding[2] > 0.15 as g, vec_id % 11 > 0 as evidence, i from o),
+n as (select clip, review, count(*) as n from x group by clip, review),
+p as (select x.clip, x.review, x.ord, case when frame <> i then 'frame' when h then 'head' when g then 'gaze' when not evidence then 'evidence' end as problem from x join n on n.clip = x.clip and n.review = x.review and n.n = 8)
+select clip, review, ord, problem from p where problem is not null union all select clip, review, null, 'count' from n where n < 8""")
 def direction_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = frames(spark, sf_dir).select("clip", (F.col("frame") % 8).alias("ord"), (F.get("embedding", F.lit(0)) > 0).alias("head"), (F.get("embedding", F.lit(1)) > 0).alias("gaze"))
-    anchors = spark.range(8).select(F.col("id").alias("ord"), (F.col("id") < 4).alias("want_head"), (F.col("id") % 2 == 0).alias("want_gaze"))
-    found = seen.join(F.broadcast(anchors), "ord").groupBy("clip", "ord").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("head") == F.col("want_head")).alias("heads"), F.bool_and(F.col("gaze") == F.col("want_gaze")).alias("gazes"))
-    return found.withColumn("passed", F.col("heads") & F.col("gazes"))
+    """Each eight frames of a clip as a review of eight directions: frame, head and gaze against the anchors."""
+    names = F.array(*[F.lit(d) for d in DIRECTIONS])
+    at = frames(spark, sf_dir).select("clip", F.col("frame").cast("long").alias("i"), "vec_id", "embedding")
+    at = at.select("*", F.expr("i div 8").alias("review"), (F.col("i") % 8).alias("ord"))
+    off = lambda j: F.get(names, ((F.col("ord") + (F.get("embedding", F.lit(j)) > 0.15).cast("int")) % 8).cast("int"))
+    seen = at.select("clip", "review", "ord", (F.col("i") + (F.col("vec_id") % 9 == 0).cast("int")).alias("frame"), off(0).alias("head"), off(1).alias("gaze"), (F.col("vec_id") % 11 > 0).alias("evidence"))
+    reviews = at.select("clip", "review").distinct().withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    anchors = reviews.select("clip", "review", F.col("ord").cast("long").alias("ord"), (F.col("review") * 8 + F.col("ord")).alias("frame"), F.get(names, F.col("ord")).alias("direction"))
+    return rules.observation_problems(seen, anchors, ["clip", "review"])
 
 
 @query("""

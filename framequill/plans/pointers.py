@@ -45,7 +45,7 @@ r as (
   lateral (select greatest(-1008.0, least(1008.0, -d.d)) as x, 2 / 0.14::double * g.dt as y) x,
   lateral (select 1 / (1 + x.y + 0.48 * x.y * x.y + 0.235 * x.y * x.y * x.y) as decay, (g.vel + 2 / 0.14::double * x.x) * g.dt as push) k,
   lateral (select -d.d - x.x + (x.x + k.push) * k.decay as rest0) q,
-  lateral (select (-d.d >= 0 and q.rest0 <= 0) or (-d.d < 0 and q.rest0 > 0) or abs(q.rest0) < 0.002 as there) t,
+  lateral (select (-d.d >= 0 and q.rest0 <= 0) or (-d.d < 0 and q.rest0 > 0) or (abs(q.rest0) <= 0.002 and abs((g.vel - 2 / 0.14::double * k.push) * k.decay) <= 0.002) as there) t,
   lateral (select g.pos + d.d as goal, case when t.there then 0 else q.rest0 end as rest, case when t.there then 0 else (g.vel - 2 / 0.14::double * k.push) * k.decay end as speed) p)
 select user_id, event_id, round(pos, 4) as position, round(vel, 3) as velocity from r where nth > 0""")
 def smooth_position(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framequill.functions import text
-from framequill.operators import motion, requests, rules
+from framequill.operators import contracts, motion, requests, rules
 from framequill.plans.catalog import query
 from framequill.session import load
 
-CHECKS = ("alignment", "anchors", "background", "continuity", "edges", "exposure", "identity", "isolation", "resolution", "timing")
+CHECKS = requests.CHECKS
 MEDIA_SQL = "(select conv_id, turn, case turn % 3 when 0 then 'image' when 1 then 'video' else 'audio' end as role, case when turn % 3 = 0 then null else length(text) % 100 / 10.0 end as seconds, length(text) as chars from conversations)"
 
 
@@ -51,7 +51,7 @@ def media_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with q as (select conv_id, unnest(case conv_id % 3 when 0 then ['image', 'prompt', 'depth'] when 1 then ['audio', 'seed', 'video'] else ['audio', 'image', 'audio'] end) as control from (select distinct conv_id from conversations))
-select distinct q.conv_id, q.control from q where q.control not in ('prompt', 'duration', 'resolution', 'seed')
+select distinct q.conv_id, q.control from q where q.control not in ('prompt', 'compositing', 'runtime', 'not-requested')
 and not exists (select 1 from {MEDIA_SQL} m where m.conv_id = q.conv_id and m.role = q.control)""")
 def requirement_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = media(spark, sf_dir)
@@ -163,6 +163,34 @@ def review_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.template(load(spark, sf_dir, "documents"), "doc_id", CHECKS)
 
 
+@query(f"""
+with c as (select distinct conv_id as k from conversations),
+n as (select k, unnest(range(0, 8)) as i from c),
+r as (select k, i, {list((*requests.REQUIREMENTS, "extra"))!r}[i + 1] as name, case when (k + i) % 6 = 0 then ' ' else 'seen' end as expected, case when (k + 2 * i) % 9 > 0 then 'look' end as verify,
+  case when (k + i) % 11 = 0 then [] when (k + i) % 4 = 0 then [l[1 + (k * 3 + i) % 8], l[1 + (k + i * 5) % 8]] else [l[1 + (k * 3 + i) % 8]] end as controls
+  from n, (select ['prompt', 'image', 'audio', 'runtime', 'seed', 'compositing', 'not-requested', 'video'] as l) where not (i = 6 and k % 5 = 0) and not (i = 7 and k % 7 > 0)),
+g as (select distinct k, name, unnest(controls) as control from r where i < 7)
+select k as conv_id, 'rest' as name, 'missing' as rule, cast(null as varchar) as detail from c where k % 5 = 0
+union all select k, 'extra', 'unknown', null from r where i = 7
+union all select k, name, 'expected', null from r where i < 7 and trim(expected) = ''
+union all select k, name, 'verify', null from r where i < 7 and verify is null
+union all select k, name, 'controls', null from r where i < 7 and len(controls) = 0
+union all select k, name, 'text-only', null from r where i < 7 and controls = ['prompt']
+union all select g.k, g.name, 'unavailable', g.control from g where g.control not in ('prompt', 'compositing', 'runtime', 'not-requested')
+  and not exists (select 1 from {MEDIA_SQL} m where m.conv_id = g.k and m.role = g.control)""")
+def requirement_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans whose requirements differ by their number, against the media of their request."""
+    held, k, i = media(spark, sf_dir), F.col("conv_id"), F.col("i")
+    kinds = F.array(*[F.lit(c) for c in ("prompt", "image", "audio", "runtime", "seed", "compositing", "not-requested", "video")])
+    kind = lambda n: F.get(kinds, (n % 8).cast("int"))
+    controls = F.when((k + i) % 11 == 0, F.array().cast("array<string>")).when((k + i) % 4 == 0, F.array(kind(k * 3 + i), kind(k + i * 5))).otherwise(F.array(kind(k * 3 + i)))
+    each = held.select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).where(~((i == 6) & (k % 5 == 0)) & ~((i == 7) & (k % 7 > 0)))
+    each = each.select("conv_id", F.get(F.array(*[F.lit(n) for n in (*requests.REQUIREMENTS, "extra")]), i).alias("name"), F.struct(
+        F.when((k + i) % 6 == 0, F.lit(" ")).otherwise("seen").alias("expected"), F.when((k + 2 * i) % 9 > 0, F.lit("look")).alias("verify"), controls.alias("controls")).alias("r"))
+    plans = each.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "r"))).alias("requirements"))
+    return requests.requirement_problems(plans, "conv_id", "requirements", held, "role")
+
+
 @query("""
 with r as (select user_id, case event_id % 3 when 0 then 'isolation' when 1 then 'identity' else 'timing' end as "check", case when value > 480 then 'fail' when value > 450 then 'limited' when value > 440 then 'unknown' else 'pass' end as status from events),
 g as (select user_id, count(*) as checks, count(*) filter (where status = 'pass') as passed, count(*) filter (where status = 'limited') as limited,
@@ -174,6 +202,54 @@ def input_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.review_outcome(load(spark, sf_dir, "events").select("user_id", check.alias("check"), status.alias("status")), "user_id", "isolation")
 
 
+@query(f"""
+with d as (select doc_id as k, sha256(coalesce(text, '')) as sha, coalesce(source, '') as source from documents),
+c as (select k, i, {list(requests.CHECKS)!r}[i + 1] as "check", case when (k + i) % 31 = 0 then 'limited' when (k * 7 + i) % 43 = 0 then 'not-applicable' when (k * 5 + i) % 61 = 0 then 'fail' when (k * 3 + i) % 71 = 0 then 'unreviewed' else 'pass' end as status,
+  case when (k + i) % 57 = 0 then '  ' else 'seen' end as notes from (select k, unnest(range(0, 10)) as i from d) where not (i = 9 and k % 13 = 0) and k % 17 > 0),
+g as (select k, count(*) filter (where status = 'pass') as passed, count(*) filter (where status = 'limited') as limited, count(distinct "check") = 10 as whole,
+  bool_and(status in ('pass', 'limited', 'not-applicable') and trim(notes) <> '') as sound, bool_and(status = 'pass') filter (where i = 0) as must from c group by k),
+b as (select k, case when k % 19 = 0 then 'request' when k % 23 = 0 then 'plan' when k % 29 = 0 then 'identity' when k % 37 = 0 then 'media' end as stale from d)
+select b.k as doc_id, b.stale, coalesce(passed, 0) as passed, coalesce(limited, 0) as limited, b.stale is null and coalesce(must and sound and whole, false) as accepted from b left join g on g.k = b.k""")
+def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of documents by the ten checks, bound to hashes of what they were made for; some are stale, some have gaps."""
+    k, i = F.col("doc_id"), F.col("i")
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("request_now"), F.sha2(F.coalesce("source", F.lit("")).cast("binary"), 256).alias("plan_now"))
+    docs = docs.withColumn("identity_now", F.col("plan_now")).withColumn("media_now", F.col("request_now"))
+    bound = {"request": 19, "plan": 23, "identity": 29, "media": 37}
+    bindings = docs.select("*", *[F.when(k % n > 0, F.col(f"{name}_now")).otherwise(F.lit("older") if name != "media" else F.lit(None)).alias(name) for name, n in bound.items()])
+    status = (F.when((k + i) % 31 == 0, "limited").when((k * 7 + i) % 43 == 0, "not-applicable").when((k * 5 + i) % 61 == 0, "fail").when((k * 3 + i) % 71 == 0, "unreviewed").otherwise("pass"))
+    each = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).where(~((i == 9) & (k % 13 == 0)) & (k % 17 > 0))
+    each = each.select("doc_id", F.get(F.array(*[F.lit(c) for c in requests.CHECKS]), i).alias("check"), status.alias("status"), F.when((k + i) % 57 == 0, F.lit("  ")).otherwise("seen").alias("notes"))
+    return requests.review_decision(each, bindings, "doc_id")
+
+
+@query("""
+select event_id, sha256('{"event":{"id":' || event_id || ',"type":"' || event_type || '"},"list":[' || user_id || ',{"a":null,"b":true}],"props":{"k":' || json_extract_string(props, '$.k') || '}}') as sha256, 'list,props' as unknown from events""")
+def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of documents of any shape whose keys come in another order, and keys that nobody declared."""
+    body = F.concat(F.lit('{ "props": '), "props", F.lit(', "list": ['), F.col("user_id").cast("string"), F.lit(', {"b": true, "a": null}],\n "event": {"type": "'), "event_type", F.lit('", "id": '), F.col("event_id").cast("string"), F.lit("}}"))
+    events = load(spark, sf_dir, "events").select("event_id", body.alias("document"))
+    return events.select("event_id", text.document_sha256(F.col("document")).alias("sha256"), F.array_join(F.array_sort(text.unknown_keys(F.col("document"), ["event"])), ",").alias("unknown"))
+
+
+@query("""
+with a as (select cast(doc_id as varchar) as path, sha256(coalesce(text, '')) as sha, coalesce(length(text), 0) % 50 as w, coalesce(length(text), 0) % 40 as h from documents),
+m as (select d.doc_id, case when d.doc_id % 4 = 0 then 'scene' else 'page' end as owner, cast(d.doc_id + d.doc_id % 3 as varchar) as plate, coalesce(length(d.text), 0) % 50 as width, coalesce(length(d.text), 0) % 40 as height,
+  case when d.doc_id % 7 = 0 then 'old' else sha256(coalesce(t.text, '')) end as plate_sha, case when d.doc_id % 5 > 0 then cast(d.doc_id as varchar) end as contact from documents d left join documents t on t.doc_id = d.doc_id + d.doc_id % 3)
+select doc_id, case when a.path is null then 'plate-missing' when a.sha <> plate_sha then 'plate-changed' else 'plate-size' end as problem from m left join a on a.path = m.plate
+where owner = 'page' and (a.path is null or a.sha <> plate_sha or a.w <> width or a.h <> height)
+union all select doc_id, 'contact-missing' from m where owner = 'page' and contact is null""")
+def plate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean plates and contact sheets of page-owned backgrounds: present, unchanged, of the source's size."""
+    docs, k = load(spark, sf_dir, "documents"), F.col("doc_id")
+    n, sha = F.coalesce(F.length("text"), F.lit(0)), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    assets = docs.select(k.cast("string").alias("path"), sha.alias("sha256"), (n % 50).alias("width"), (n % 40).alias("height"))
+    manifests = docs.select("doc_id", F.when(k % 4 == 0, "scene").otherwise("page").alias("owner"), (k + k % 3).cast("string").alias("plate"), (n % 50).alias("width"), (n % 40).alias("height"), F.when(k % 5 > 0, k.cast("string")).alias("contact"))
+    bound = assets.select(F.col("path").alias("plate"), F.col("sha256").alias("plate_sha256"))
+    manifests = manifests.join(bound, "plate", "left").withColumn("plate_sha256", F.when(k % 7 == 0, "old").otherwise(F.col("plate_sha256")))
+    return contracts.plate_problems(manifests, assets, "doc_id")
+
+
 @query("""
 with a as (select distinct label as clip, least(greatest(unnest([0, 12, 33, 70]), 0), 40) as frame from embeddings)
 select a.clip, b.name as background, a.frame from a, (values ('white'), ('black'), ('grey'), ('checker')) b(name)""")

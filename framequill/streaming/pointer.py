@@ -71,8 +71,8 @@ def point(state: tuple[bool, float | None], dx: float, dy: float, gate: Gate, le
     return (False, angle), "move"
 
 
-#: What stands for exp(wt) in 1 + wt + SQUARE (wt)^2 + CUBE (wt)^3, the first and the longest step in seconds, and the way from its goal at
-#: which a position has arrived.
+#: What stands for exp(wt) in 1 + wt + SQUARE (wt)^2 + CUBE (wt)^3, the first and the longest step in seconds, and the way from its goal, and
+#: the speed, below which a position has arrived.
 SQUARE, CUBE = 0.48, 0.235
 FIRST_STEP, LONGEST_STEP, ARRIVED = 1 / 60, 1 / 30, 0.002
 
@@ -100,7 +100,7 @@ def follow(state: tuple[float, float] | None, target: float, seconds: float | No
     ahead = (target - position) % count
     goal = position + (ahead if ahead <= count / 2 else ahead - count)
     rest, speed = spring(position - goal, speed, FIRST_STEP if seconds is None else max(0.0, min(seconds, LONGEST_STEP)), smooth, 2.0 * count)
-    if abs(rest) < ARRIVED:
+    if abs(rest) <= ARRIVED and abs(speed) <= ARRIVED:
         rest, speed = 0.0, 0.0
     return (goal + rest) % count, speed
 
