@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from framequill.sources.clips import FRAME, RawClips  # noqa: F401
 from framequill.session import ship
 
 ship(__name__)
 
-FRAME = ("source string, frame int, ts double, h int, w int, channels int, px array<smallint>")
 #: Schema of a version 3 manifest.
 MANIFEST = (
     "schemaVersion int, sceneId string, baseImage string, baseImageSha256 string, sourceSize array<int>, crop array<int>, eye array<double>, frameCount int, columns int,"
@@ -24,41 +23,6 @@ MANIFEST = (
     " background struct<owner: string, mode: string, keyColor: string>, quality struct<status: string, circular: boolean>, _corrupt string")
 
 
-class RawClips(DataSource):
-    """``raw-clips``: decoded clips in NumPy files, one partition per clip; ``step`` keeps every n-th frame.
-
-    Options: path (folder of <source>.npy, uint8 [n, h, w, c]), fps, step. Files must be in a folder that all executors see.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "raw-clips"
-
-    def schema(self) -> str:
-        return FRAME
-
-    def reader(self, schema) -> DataSourceReader:
-        return RawClipReader(self.options)
-
-
-class RawClipReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.fps, self.step = options["path"], float(options.get("fps", 25)), int(options.get("step", 1))
-
-    def partitions(self) -> Sequence[InputPartition]:
-        import os
-
-        return [InputPartition(f) for f in sorted(os.listdir(self.path)) if f.endswith(".npy")]
-
-    def read(self, partition: InputPartition):
-        import numpy as np
-
-        clip = np.load(f"{self.path}/{partition.value}", mmap_mode="r")
-        for i in range(0, len(clip), self.step):
-            h, w, c = clip[i].shape
-            yield (partition.value[:-4], i // self.step, i / self.fps, h, w, c, clip[i].ravel().astype(int).tolist())
-
-
 def probe(frames: DataFrame, fps: float) -> DataFrame:
     """(source, w, h, fps, duration, frame_count) of each clip."""
     return frames.groupBy("source").agg(F.first("w").alias("w"), F.first("h").alias("h"), F.count(F.lit(1)).alias("frame_count")).select(
