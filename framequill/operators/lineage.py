@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from framequill.session import spool, spool_counted
+
 
 def annotated(frames: DataFrame, lineage: DataFrame, on: Sequence[str]) -> DataFrame:
     """Frames with the lineage row of their (source, frame); others stay as they are."""
@@ -51,3 +53,33 @@ def latest_entries(*tables: DataFrame) -> DataFrame:
 def without_field(manifest: Column, field: str = "quality") -> Column:
     """A manifest struct less one field: what a binding covers."""
     return manifest.dropFields(field)
+
+
+def ancestors(manifests: DataFrame, key: str, sha: str, parent: str) -> tuple[DataFrame, DataFrame]:
+    """((key, ancestor, distance) of each manifest's chain, itself included at 0; (key) of manifests whose chain runs into a cycle).
+
+    ``parent`` holds the ``sha`` of the manifest that one was made from; a parent that isn't there ends the chain. Each step joins chains
+    of up to 2^i links with themselves, so there are as many steps as the longest chain's length has binary digits; a manifest that is
+    its own ancestor is refused with all that lead to it. Of manifests with the same sha one stands for all.
+    """
+    of = manifests.groupBy(F.col(sha).alias("at")).agg(F.min(key).alias("node"))
+    links = manifests.where(F.col(parent).isNotNull()).select(F.col(key).alias("node"), F.col(parent).alias("at")).join(of.withColumnRenamed("node", "ancestor"), "at")
+    pairs, n = spool_counted(links.select("node", "ancestor", F.lit(1).cast("long").alias("distance")), "links")
+    length, cyclic = 1, spool(pairs.where("node = ancestor").select("node"), "cyclic")
+    while n["n"]:
+        ends = pairs.where(F.col("distance") == length).join(cyclic.select(F.col("node").alias("ancestor")), "ancestor", "left_anti")
+        tail = pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("distance").alias("more")).where(F.col("more") <= length)
+        longer, n = spool_counted(ends.join(tail, "ancestor").select("node", F.col("further").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance")), "chains")
+        if n["n"]:
+            pairs = spool(pairs.unionByName(longer), "links")
+            cyclic = spool(pairs.where("node = ancestor").select("node").distinct(), "cyclic")
+            length *= 2
+    bad = pairs.join(cyclic.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node").distinct()
+    own = manifests.select(F.col(key).alias("node"), F.col(key).alias("ancestor"), F.lit(0).cast("long").alias("distance"))
+    return own.unionByName(pairs).join(bad, "node", "left_anti").withColumnRenamed("node", key), bad.withColumnRenamed("node", key)
+
+
+def inherited(chains: DataFrame, entries: DataFrame, key: str, name: str = "path", value: str = "sha256") -> DataFrame:
+    """(key, name, value, distance): the entries (key, name, value) of a manifest and of its ancestors; the nearest wins."""
+    held = chains.join(entries.select(F.col(key).alias("ancestor"), name, value), "ancestor")
+    return held.groupBy(key, name).agg(F.min(F.struct("distance", value)).alias("m")).select(key, name, F.col(f"m.{value}").alias(value), F.col("m.distance").alias("distance"))

@@ -34,6 +34,66 @@ def checkpoints(kind: Column, start: Column, via: Column, end: Column, entry_end
             .when(kind.isin("reference-motion", "diagnostic"), F.array().cast(POINT)))
 
 
+def timing_problem(kind: Column, entry_end: Column, cycle_end: Column) -> Column:
+    """Whether a plan's timing contradicts it: only an entry has one, and its ends rise within 0 < entry < cycle <= 1."""
+    a, b = F.coalesce(entry_end, F.lit(ENTRY_END)), F.coalesce(cycle_end, F.lit(CYCLE_END))
+    given = entry_end.isNotNull() | cycle_end.isNotNull()
+    return F.when(given & (kind != "entry-orbit"), "timing-kind").when((kind == "entry-orbit") & ~F.coalesce((a > 0) & (a < b) & (b <= 1), F.lit(False)), "timing-order")
+
+
+#: The sentences of an assembled prompt, by what they are for; {} is filled in. A caller may give others.
+WORDING = {
+    "opening": "A single unbroken shot from a fixed camera; only {} moves.", "start": "At the start: {}.", "motion": "Permitted movement: {}. Frame: {}.", "context": "Everything else in view keeps still: {}.",
+    "path": "The way of the movement: {}. The marks are approximate and passed without a stop.", "reference": "{} Take over the movement shown, not who shows it.", "requirement": "{}: {}.",
+    "scene-preserve": "Background: the given scene and light stay as they are. {}", "alpha-matte": "Background: borders between figure and background stay clean for cutting out. {}",
+    "chroma-key": "Background: the even {} screen stays even. {}", "end": "At the end: {}.", "closed-orbit": "One whole turn, from the first pose back to it.", "entry-orbit": "The entry from rest is not part of the turn.",
+    "upper-arc": "One sweep over the top, and no way back.", "segment": "This stretch only, in one go.",
+}
+
+
+def assembled(spec: Column, points: Column, wording: dict[str, str] = WORDING) -> Column:
+    """struct(prompt, included, not_sent, problem) of a plan: its sentences in order, one a line.
+
+    ``spec`` has kind, subject, start_pose, end_pose, allowed_motion, framing, background struct<mode, description, key_color>,
+    static_context, reference_roles, entry_end, cycle_end and requirements, an array of struct<name, expected, controls> in the plan's order.
+    Requirements that the prompt is to control are included, the others named as not sent. A text that is blank or holds an unfinished
+    placeholder, a key colour that isn't #rrggbb or stands beside another mode, a mode or a timing that is none: the prompt is null and ``problem`` says why.
+    """
+    from framequill.functions.text import is_prose
+
+    def say(name: str, *values: Column) -> Column:
+        parts = wording[name].split("{}")
+        return F.concat(*[c for i, p in enumerate(parts) for c in ([F.trim(values[i - 1])] if i else []) + [F.lit(p)]])
+
+    kind, ground = spec["kind"], spec["background"]
+    asked = F.coalesce(spec["requirements"], F.array().cast("array<struct<name:string,expected:string,controls:array<string>>>"))
+    sent = F.filter(asked, lambda r: F.array_contains(r["controls"], "prompt"))
+    has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    mode, colour = ground["mode"], ground["key_color"]
+    problem = F.coalesce(
+        *[F.when(~F.coalesce(is_prose(spec[f]), F.lit(False)), f) for f in ("subject", "start_pose", "end_pose", "allowed_motion", "framing")],
+        F.when(~F.coalesce(mode.isin("scene-preserve", "chroma-key", "alpha-matte"), F.lit(False)), "background-mode"),
+        F.when(~F.coalesce(is_prose(ground["description"]), F.lit(False)), "background-description"),
+        F.when(F.coalesce(mode == "chroma-key", F.lit(False)) != F.coalesce(colour.rlike("^#[0-9a-fA-F]{6}$"), F.lit(False)), "key-color"),
+        F.when((mode != "chroma-key") & colour.isNotNull(), "key-color"),
+        F.when(has(spec["static_context"]) & ~is_prose(spec["static_context"]), "static_context"),
+        F.when((kind == "reference-motion") & ~F.coalesce(is_prose(spec["reference_roles"]), F.lit(False)), "reference_roles"),
+        F.when(F.size(F.filter(asked, lambda r: r["controls"].isNull())) > 0, "controls"),
+        F.when(F.size(F.filter(sent, lambda r: ~F.coalesce(is_prose(r["expected"]), F.lit(False)))) > 0, "expected"),
+        F.when(~F.coalesce(kind.isin(*KINDS), F.lit(False)), "kind"), timing_problem(kind, spec["entry_end"], spec["cycle_end"]))
+    lines = F.concat(
+        F.array(say("opening", spec["subject"]), say("start", spec["start_pose"]), say("motion", spec["allowed_motion"], spec["framing"]),
+                F.when(has(spec["static_context"]), say("context", spec["static_context"])),
+                F.when(kind == "reference-motion", say("reference", spec["reference_roles"])).when(F.size(points) > 0, say("path", path_text(points))),
+                *[F.when(kind == k, F.lit(wording[k])) for k in ("closed-orbit", "entry-orbit", "upper-arc", "segment")]),
+        F.transform(sent, lambda r: say("requirement", r["name"], r["expected"])),
+        F.array(F.when(mode == "chroma-key", say("chroma-key", colour, ground["description"])).when(mode == "alpha-matte", say("alpha-matte", ground["description"])).otherwise(say("scene-preserve", ground["description"])),
+                say("end", spec["end_pose"])))
+    names = lambda rows: F.transform(rows, lambda r: r["name"])
+    return F.struct(F.when(problem.isNull(), F.array_join(F.array_compact(lines), "\n")).alias("prompt"), names(sent).alias("included"),
+                    names(F.filter(asked, lambda r: ~F.coalesce(F.array_contains(r["controls"], "prompt"), F.lit(False)))).alias("not_sent"), problem.alias("problem"))
+
+
 def path_text(points: Column) -> Column:
     """"0% up -> 12.5% upper-right -> ..."; percentages to six digits without trailing zeros."""
     from framequill.functions.text import short_number

@@ -223,6 +223,26 @@ def background_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.violations(load(spark, sf_dir, "part"), ["p_partkey"], contracts.background_pair(owner, mode, F.when(key % 3 != 0, "#00ff00"), key % 7 != 0))
 
 
+@query("""
+with recursive m as (select p_partkey as k, case when p_partkey = 3 then 6 when p_partkey % 5 > 0 then p_partkey // 2 end as up from part),
+r as (select k, k as anc, 0 as d, [k] as way, false as bad from m union all
+  select r.k, m.up, r.d + 1, list_append(r.way, m.up), list_contains(r.way, m.up) from r join m on m.k = r.anc where m.up is not null and not r.bad),
+c as (select distinct k from r where bad),
+e as (select k, 'a' || k % 3 as path, 'x' || k as sha256 from m union all select k, 'b' || k % 4, 'y' || k from m),
+h as (select r.k, e.path, e.sha256, r.d from r join e on e.k = r.anc where r.k not in (select k from c))
+select k as p_partkey, path, min_by(sha256, d) as sha256, cast(min(d) as bigint) as distance from h group by k, path""")
+def inherited_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes that a manifest has from itself or the nearest ancestor; each part was made from the one of half its number, but for a cycle."""
+    k = F.col("p_partkey")
+    up = F.when(k == 3, F.lit(6).cast("long")).when(k % 5 > 0, F.expr("p_partkey div 2"))
+    manifests = load(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("m"), k.cast("string")).alias("sha"), F.concat(F.lit("m"), up.cast("string")).alias("parent"))
+    entries = manifests.select("p_partkey", F.explode(F.array(
+        F.struct(F.concat(F.lit("a"), (k % 3).cast("string")).alias("path"), F.concat(F.lit("x"), k.cast("string")).alias("sha256")),
+        F.struct(F.concat(F.lit("b"), (k % 4).cast("string")).alias("path"), F.concat(F.lit("y"), k.cast("string")).alias("sha256")))).alias("e")).select("p_partkey", "e.*")
+    chains, _ = lineage.ancestors(manifests, "p_partkey", "sha", "parent")
+    return lineage.inherited(chains, entries, "p_partkey")
+
+
 @query("""
 with recursive e as (
   select user_id, event_id, value / 50.0 as seconds, cast(event_id % 23 as varchar) as fp, row_number() over (partition by user_id order by ts, event_id) as nth from events),

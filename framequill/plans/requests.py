@@ -142,6 +142,33 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", requests.prompt(kind, subject, points, F.col("p_size").cast("double")).alias("prompt"))
 
 
+@query("""
+with p as (select p_partkey as k, p_name as name, p_size as size, ['closed-orbit', 'entry-orbit', 'upper-arc', 'segment', 'diagnostic', 'spin'][1 + p_partkey % 6] as kind, case when p_partkey % 7 = 0 then 'chroma-key' else 'scene-preserve' end as mode,
+  case when p_partkey % 14 = 0 then '#00ff00' when p_partkey % 21 = 0 then 'green' end as colour, case when p_partkey % 11 = 0 then ' ' else 'slow turn' end as motion, case when p_partkey % 12 = 1 then p_size / 64.0 end as entry_end from part),
+q as (select *, case when trim(motion) = '' then 'allowed_motion' when (mode = 'chroma-key') <> (coalesce(colour, '') = '#00ff00') then 'key-color' when mode <> 'chroma-key' and colour is not null then 'key-color'
+  when kind = 'spin' then 'kind' when kind <> 'entry-orbit' and entry_end is not null then 'timing-kind' when kind = 'entry-orbit' and not (coalesce(entry_end, 0.12) > 0 and coalesce(entry_end, 0.12) < 0.88) then 'timing-order' end as problem from p),
+w as (select *, case kind when 'closed-orbit' then '0% up -> 12.5% upper-right -> 25% right -> 37.5% lower-right -> 50% down -> 62.5% lower-left -> 75% left -> 87.5% upper-left -> 100% up' when 'upper-arc' then '0% upper-left -> 50% up -> 100% upper-right'
+  when 'segment' then '0% left -> 50% up -> 100% right' end as way from q)
+select k as p_partkey, problem, case when size % 2 = 0 then 'gaze,motion' else 'gaze' end as included, case when size % 2 = 0 then 'rest' else 'motion,rest' end as not_sent,
+  case when problem is null and kind <> 'entry-orbit' then concat_ws(chr(10), 'A single unbroken shot from a fixed camera; only ' || name || ' moves.', 'At the start: upright.', 'Permitted movement: slow turn. Frame: whole.',
+    case when size % 5 = 0 then 'Everything else in view keeps still: chair.' end, 'The way of the movement: ' || way || '. The marks are approximate and passed without a stop.',
+    case kind when 'closed-orbit' then 'One whole turn, from the first pose back to it.' when 'upper-arc' then 'One sweep over the top, and no way back.' when 'segment' then 'This stretch only, in one go.' end,
+    'gaze: follows ' || size || '.', case when size % 2 = 0 then 'motion: smooth.' end, case when mode = 'chroma-key' then 'Background: the even ' || colour || ' screen stays even. wall' else 'Background: the given scene and light stay as they are. wall' end, 'At the end: upright.') end as prompt from w""")
+def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of plans of all kinds with what they include; those of an entry are tested apart."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.get(F.array(*[F.lit(v) for v in ("closed-orbit", "entry-orbit", "upper-arc", "segment", "diagnostic", "spin")]), (k % 6).cast("int"))
+    need = lambda name, expected, *controls: F.struct(F.lit(name).alias("name"), expected.alias("expected"), F.array(*controls).alias("controls"))
+    requirements = F.array(need("gaze", F.concat(F.lit("follows "), size.cast("string")), F.lit("prompt"), F.lit("image")), need("motion", F.lit("smooth"), F.when(size % 2 == 0, "prompt").otherwise("runtime")), need("rest", F.lit("still"), F.lit("runtime")))
+    ground = F.struct(F.when(k % 7 == 0, "chroma-key").otherwise("scene-preserve").alias("mode"), F.lit("wall").alias("description"), F.when(k % 14 == 0, "#00ff00").when(k % 21 == 0, "green").alias("key_color"))
+    spec = F.struct(kind.alias("kind"), F.col("p_name").alias("subject"), F.lit("upright").alias("start_pose"), F.lit("upright").alias("end_pose"), F.when(k % 11 == 0, F.lit(" ")).otherwise("slow turn").alias("allowed_motion"), F.lit("whole").alias("framing"),
+                    ground.alias("background"), F.when(size % 5 == 0, "chair").alias("static_context"), F.lit(None).cast("string").alias("reference_roles"), F.when(k % 12 == 1, size / 64.0).alias("entry_end"), F.lit(None).cast("double").alias("cycle_end"), requirements.alias("requirements"))
+    rows = load(spark, sf_dir, "part").select("p_partkey", spec.alias("spec"))
+    points = motion.checkpoints(F.col("spec.kind"), F.lit("left"), F.lit("up"), F.lit("right"), F.col("spec.entry_end"), F.col("spec.cycle_end"))
+    found = rows.select("p_partkey", F.col("spec.kind").alias("kind"), motion.assembled(F.col("spec"), points).alias("p"))
+    return found.select("p_partkey", "p.problem", F.array_join("p.included", ",").alias("included"), F.array_join("p.not_sent", ",").alias("not_sent"), F.when(F.col("kind") != "entry-orbit", F.col("p.prompt")).alias("prompt"))
+
+
 @query("""
 with p as (select conv_id, count(*) filter (where role = 'user') as users, count(*) filter (where turn = 0) as firsts, sum(length(text)) as chars, count(distinct role) as roles from conversations group by conv_id)
 select conv_id, 'one-opening' as rule from p where firsts <> 1
