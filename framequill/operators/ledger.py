@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -12,6 +12,21 @@ from framequill.session import ship
 ship(__name__)
 
 
+def refusal(seconds: float | None, allowed: bool, known: Callable[[], bool], count: int, used: float, most: int, total: float, per_request: float) -> str:
+    """Why a request is not admitted to a budget that has admitted ``count`` with ``used`` seconds; empty if it is."""
+    if seconds is None or not 0 < seconds < float("inf"):
+        return "invalid"
+    if not allowed:
+        return "not-allowed"
+    if seconds > per_request:
+        return "per-request"
+    if count >= most:
+        return "count"
+    if known():
+        return "duplicate"
+    return "total" if used + seconds > total else ""
+
+
 def admitted(requests: DataFrame, key: str, order: Sequence[str], seconds: str, fingerprint: str, most: int, total: float, per_request: float, allowed: Column | None = None) -> DataFrame:
     """Each request with ``accepted``, ``reason`` and ``used`` seconds after it.
 
@@ -30,20 +45,9 @@ def admitted(requests: DataFrame, key: str, order: Sequence[str], seconds: str,
             for k, i, s, f, ok in zip(*(batch.column(j).to_pylist() for j in range(5))):
                 if k != now:
                     now, count, used, seen = k, 0, 0.0, set()
-                if s is None or not 0 < s < float("inf"):
-                    reason = "invalid"
-                elif not ok:
-                    reason = "not-allowed"
-                elif s > per_request:
-                    reason = "per-request"
-                elif count >= most:
-                    reason = "count"
-                elif f in seen:
-                    reason = "duplicate"
-                elif used + s > total:
-                    reason = "total"
-                else:
-                    reason, count, used = "", count + 1, used + s
+                reason = refusal(s, ok, lambda: f in seen, count, used, most, total, per_request)
+                if not reason:
+                    count, used = count + 1, used + s
                     seen.add(f)
                 out.append((k, i, s, reason == "", reason, used))
             columns = list(zip(*out)) or [()] * 6
