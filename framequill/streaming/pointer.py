@@ -94,15 +94,15 @@ def spring(way: float, speed: float, t: float, smooth: float, most_speed: float)
     return rest, (speed - w * impulse) * e
 
 
-def follow(state: tuple[float, float] | None, target: float, seconds: float | None, count: int, smooth: float) -> tuple[float, float]:
-    """(position, speed) on a ring of ``count`` steps after an event; the way is the shorter one."""
+def follow(state: tuple[float, float] | None, target: float, seconds: float | None, count: int, smooth: float, ring: bool = True) -> tuple[float, float]:
+    """(position, speed) on a ring of ``count`` steps after an event; the way is the shorter one. An open arc has ends that nothing passes."""
     position, speed = state or (0.0, 0.0)
     ahead = (target - position) % count
-    goal = position + (ahead if ahead <= count / 2 else ahead - count)
+    goal = position + (ahead if ahead <= count / 2 else ahead - count) if ring else min(max(target, 0.0), count - 1.0)
     rest, speed = spring(position - goal, speed, FIRST_STEP if seconds is None else max(0.0, min(seconds, LONGEST_STEP)), smooth, 2.0 * count)
     if abs(rest) <= ARRIVED and abs(speed) <= ARRIVED:
         rest, speed = 0.0, 0.0
-    return (goal + rest) % count, speed
+    return ((goal + rest) % count if ring else goal + rest), speed
 
 
 def folded(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], schema: str, begin: Callable, step: Callable) -> DataFrame:
