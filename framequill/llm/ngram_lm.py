@@ -118,8 +118,8 @@ def counter(segments: int):
                 seg = segment_of(keys, segments)
                 cuts = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(seg)] if len(seg) else []
                 spans = list(zip(cuts, cuts[1:]))
-                for i in range(0, len(spans), 64):
-                    some = spans[i : i + 64]
+                for i in range(0, len(spans), 1024):
+                    some = spans[i : i + 1024]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(seg[[a for a, _ in some]].astype(np.int32)), pa.array([kind] * len(some), pa.int32()),
                          pa.array([tight(keys[a:b]) for a, b in some], pa.binary()), pa.array([n[a:b].astype(np.int64).tobytes() for a, b in some], pa.binary())],
@@ -272,19 +272,21 @@ def looked_up(held: Held | Answers, documents: int, tokens: np.ndarray, begin: n
 
 @dataclass
 class Held:
-    """The whole filter and word table, as broadcast."""
+    """The filter and word table of segments that follow each other: of all, as broadcast, or of one bucket."""
 
     bits: np.ndarray
     begin: np.ndarray  # first word of each segment
     size: np.ndarray  # words of each segment
     keys: np.ndarray
     counts: np.ndarray
+    segments: int  # of all
+    first: int = 0
 
     def counted(self, keys: np.ndarray) -> np.ndarray:
         return found(self.keys, self.counts, keys)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        seg = segment_of(keys, len(self.begin))
+        seg = segment_of(keys, self.segments) - self.first
         out, there = np.zeros(len(keys), np.int8), self.size[seg] > 0
         out[there] = probed(keys[there], self.bits, self.begin[seg[there]], self.size[seg[there]])
         return out
@@ -336,15 +338,98 @@ def gathered(table: DataFrame, totals: Totals) -> Held:
         at = row["seg"]
         bits[word[at] : word[at + 1]] = np.frombuffer(row["bits"], np.uint64)
         keys[entry[at] : entry[at + 1]], counts[entry[at] : entry[at + 1]] = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.int64)
-    return Held(bits, word[:-1], np.diff(word), keys, counts)
+    return Held(bits, word[:-1], np.diff(word), keys, counts, totals.segments)
 
 
-def answered(rows: DataFrame, table: DataFrame, totals: Totals, result: Callable, schema: str) -> DataFrame:
-    """``result(looked up, tokens, begin, numbers, identifiers)`` for each batch of (nth, doc_id, text), looked up segment by segment.
+def spread(keys: np.ndarray, cuts: np.ndarray, unit: int = 8) -> pa.Array:
+    """The parts of an array between cuts as a column of bytes, without a step for each."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * unit).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys))])
 
-    Batches of texts are written as rows; each asks every segment for its distinct keys of that segment, once.
+
+def flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of bytes one after another, and where those of each row begin (one more than rows)."""
+    size = np.dtype(kind).itemsize
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // size
+    values = np.frombuffer(column.buffers()[2], kind) if column.buffers()[2] is not None else np.zeros(0, kind)
+    return values[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+ASK = "bucket int, kind int, seg int, batch long, a binary, b binary, c binary"
+TOLD = "batch long, words binary, counts binary, grams binary, levels binary"
+
+
+def asked(per: int, segments: int):
+    """Bundles (batch, texts) to questions: a row for each bucket that a batch has keys of, some thousand to a record batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tokens, begin = token_rows(batch.column(1).slice(i, 1).flatten())
+                words, pairs, triples = map(np.unique, gram_keys(tokens, begin))
+                grams = np.union1d(pairs, triples[triples != 0])
+                own = [segment_of(p, segments) // per for p in (words, grams)]
+                buckets = np.union1d(*own)
+                cuts = [np.append(np.searchsorted(o, buckets), len(o)) for o in own]
+                for at in range(0, len(buckets), 4096):
+                    to = min(at + 4096, len(buckets))
+                    columns = [spread(p[c[at] : c[to]], c[at : to + 1] - c[at]) for p, c in zip((words, grams), cuts)]
+                    n, whole = to - at, lambda v, t: pa.array(np.full(to - at, v), t)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(buckets[at:to], pa.int32()), whole(1, pa.int32()), whole(0, pa.int32()), whole(batch.column(0)[i].as_py(), pa.int64()), *columns, pa.nulls(n, pa.binary())],
+                        [c.split()[0] for c in ASK.split(", ")])
+        tidy()
+
+    return run
+
+
+def told(per: int, segments: int):
+    """Rows of ASK sorted by bucket, kind and segment, a bucket's segments before the questions to them, which stream past."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, held = None, [], None
+        for batch in batches:
+            head = np.asarray(batch.column(0)).astype(np.int64) * 2 + np.asarray(batch.column(1))
+            cuts = [0, *(np.flatnonzero(np.diff(head)) + 1).tolist(), len(head)] if len(head) else []
+            for a, b in zip(cuts, cuts[1:]):
+                rows, bucket, kind = batch.slice(a, b - a), int(head[a] // 2), int(head[a] % 2)
+                if bucket != now:
+                    now, parts, held = bucket, [], None
+                if kind == 0:
+                    parts += zip(rows.column(2).to_pylist(), *(rows.column(j).to_pylist() for j in (4, 5, 6)))
+                    continue
+                if held is None:
+                    held, parts = gathered_bucket(parts, bucket * per, per, segments), []
+                (words, w), (grams, g) = flat(rows.column(4), np.uint64), flat(rows.column(5), np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(3), rows.column(4), spread(held.counted(words).astype(np.int64), w), rows.column(5), spread(held.level(grams), g, 1)],
+                    [c.split()[0] for c in TOLD.split(", ")])
+        held = parts = None
+        tidy()
+
+    return run
+
+
+def gathered_bucket(parts: list[tuple], first: int, per: int, segments: int) -> Held:
+    """The segments (seg, bits, words, counts) of a bucket, some of which may be missing, as one."""
+    size = np.zeros(per, np.int64)
+    for seg, bits, *_ in parts:
+        size[seg - first] = len(bits) // 8
+    whole = lambda j, kind: np.concatenate([np.frombuffer(p[j], kind) for p in parts]) if parts else np.zeros(0, kind)
+    return Held(whole(1, np.uint64), np.cumsum(size) - size, size, whole(2, np.uint64), whole(3, np.int64), segments, first)
+
+
+def answered(rows: DataFrame, table: DataFrame, totals: Totals, result: Callable, schema: str, size: int = 0, bucket_bytes: int = 64 << 20) -> DataFrame:
+    """``result(looked up, tokens, begin, numbers, identifiers)`` for each batch of (nth, doc_id, text), looked up bucket by bucket.
+
+    Batches of texts are written as rows; each asks every bucket for its distinct keys of that bucket, once. A bucket is a run of segments
+    of about ``bucket_bytes`` at most (all have ``size``), and there are no more buckets than shuffle partitions as long as that holds; a
+    task holds one bucket, and questions stream past it.
     """
     segments, documents = totals.segments, totals.documents
+    spark = rows.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = max(1, (size + 16 * totals.vocabulary) // segments)
+    per = max(1, min(-(-segments // partitions), bucket_bytes // each))
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -354,31 +439,9 @@ def answered(rows: DataFrame, table: DataFrame, totals: Totals, result: Callable
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     bundles = spool(rows.mapInArrow(bundle, f"batch long, nths array<long>, ids array<{kind}>, texts array<string>"), "bundles")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tokens, begin = token_rows(batch.column(1).slice(i, 1).flatten())
-                words, pairs, triples = map(np.unique, gram_keys(tokens, begin))
-                parts = (words, np.union1d(pairs, triples[triples != 0]))
-                segs = [segment_of(p, segments) for p in parts]
-                for s in np.union1d(*segs).tolist():
-                    own = [p[slice(*np.searchsorted(seg, [s, s + 1]))].tobytes() for p, seg in zip(parts, segs)]
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), batch.column(0).slice(i, 1), *(pa.array([x], pa.binary()) for x in own)], ["seg", "batch", "words", "grams"])
-
-    def answer(segment: pa.Table, asks: pa.Table) -> pa.Table:
-        seg = segment.to_pylist()[0] if segment.num_rows else {"bits": b"", "words": b"", "counts": b""}
-        bits, keys, counts = np.frombuffer(seg["bits"], np.uint64), np.frombuffer(seg["words"], np.uint64), np.frombuffer(seg["counts"], np.int64)
-        n, q = [], []
-        for words, grams in zip(asks.column("asked_words").to_pylist(), asks.column("grams").to_pylist()):
-            grams = np.frombuffer(grams, np.uint64)
-            n.append(found(keys, counts, np.frombuffer(words, np.uint64)).tobytes())
-            q.append((probed(grams, bits) if len(bits) else np.zeros(len(grams), np.int8)).tobytes())
-        return pa.table({"batch": asks.column("batch"), "words": asks.column("asked_words"), "counts": pa.array(n, pa.binary()), "grams": asks.column("grams"), "levels": pa.array(q, pa.binary())})
-
-    asks = bundles.select("batch", "texts").mapInArrow(ask, "seg int, batch long, words binary, grams binary").withColumnRenamed("words", "asked_words")
-    answers = table.select("seg", "bits", "words", "counts").groupBy("seg").cogroup(asks.groupBy("seg")).applyInArrow(
-        answer, "batch long, words binary, counts binary, grams binary, levels binary")
+    asks = bundles.select("batch", "texts").mapInArrow(asked(per, segments), ASK)
+    parts = table.select(F.expr(f"cast(seg div {per} as int)").alias("bucket"), F.lit(0).alias("kind"), "seg", F.lit(None).cast("long").alias("batch"), F.col("bits").alias("a"), F.col("words").alias("b"), F.col("counts").alias("c"))
+    answers = parts.unionByName(asks).repartition("bucket").sortWithinPartitions("bucket", "kind", "seg").mapInArrow(told(per, segments), TOLD)
     joined = bundles.join(answers.groupBy("batch").agg(F.collect_list(F.struct("words", "counts", "grams", "levels")).alias("told")), "batch")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +460,7 @@ def answered(rows: DataFrame, table: DataFrame, totals: Totals, result: Callable
 
 def score_text(
     docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: float = 10.0, least: int = 2,
-    segment_bytes: int = 8 << 20, max_bytes: int = 256 << 20, max_words: int = 12_000_000, share: int = 8,
+    segment_bytes: int = 8 << 20, max_bytes: int = 256 << 20, max_words: int = 12_000_000, share: int = 8, bucket_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row; ``learn`` says which rows are learned from."""
     spark = docs.sparkSession
@@ -414,7 +477,7 @@ def score_text(
     def over(rows: DataFrame, result: Callable, schema: str) -> DataFrame:
         rows = rows.select(F.monotonically_increasing_id().alias("nth"), "doc_id", "text")
         if not broadcast:
-            return answered(rows, table, totals, result, schema)
+            return answered(rows, table, totals, result, schema, size, bucket_bytes)
         documents = totals.documents
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

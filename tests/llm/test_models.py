@@ -55,7 +55,7 @@ def test_scores_are_the_same_by_broadcast_and_by_asking_segments(spark):
     check_scores(one, rows)
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in one)
     order = lambda found: sorted(tuple(r) for r in found if r["doc_id"] is not None)
-    for options in ({"max_words": 0}, {"max_bytes": 0}):
+    for options in ({"max_words": 0}, {"max_bytes": 0}, {"max_bytes": 0, "bucket_bytes": 1}):
         other = scored(docs.repartition(3), segment_bytes=4000, **options)
         check_scores(other, rows)
         assert np.allclose([r[-1] for r in order(one)], [r[-1] for r in order(other)], rtol=1e-12, atol=0)
@@ -385,3 +385,41 @@ def test_quality_of_unseen_toxic_texts_and_repeats(spark):
     twice = quality.rate(few, seen.unionByName(seen)).collect()
     assert len(twice) == 40 and all(0 <= r["tail_probability"] <= 1 for r in twice)
     assert quality.rate(docs.limit(0), seen).count() == 0 and quality.rate(docs.limit(0), seen.limit(0)).count() == 0
+
+
+def test_questions_of_a_batch_do_not_grow_with_the_segments():
+    rng = random.Random(15)
+    texts = pa.array([[prose(rng, 4000, 10**6)]])
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), texts], ["batch", "texts"])
+    sizes = {}
+    for segments in (8, 10_000, 1_000_000):
+        per = -(-segments // 8)
+        asked = list(ngram_lm.asked(per, segments)([batch]))
+        sizes[segments] = sum(b.nbytes for b in asked)
+        assert len(asked) == 1 and asked[0].num_rows == 8
+        words = np.concatenate([ngram_lm.flat(b.column(4), np.uint64)[0] for b in asked])
+        assert len(words) == len(set(words.tolist())) and (np.diff(words.astype(float)) >= 0).all()
+        for bucket, own in zip(asked[0].column(0).to_pylist(), asked[0].column(5).to_pylist()):
+            assert set((ngram_lm.segment_of(np.frombuffer(own, np.uint64), segments) // per).tolist()) == {bucket}
+    assert len(set(sizes.values())) == 1
+    fine = list(ngram_lm.asked(1, 10_000)([batch]))  # a bucket for each segment
+    assert len(fine) < 5 and sum(b.nbytes for b in fine) < 4 * sizes[8]
+
+
+def test_filter_scores_are_close_to_those_of_exact_counts(spark):
+    rng = random.Random(16)
+    texts = [prose(rng, 300, 400) for _ in range(60)]
+    docs = table(spark, list(enumerate(texts)))
+    off = {}
+    for bits in (6.0, 10.0, 16.0):
+        segments, totals = ngram_lm.build(docs.where("doc_id >= 10"), bits, segment_bytes=20_000)
+        held = ngram_lm.gathered(segments, totals)
+        learned = ngram_lm.gram_keys(*ngram_lm.token_rows(pa.array(texts[10:])))
+        words, pairs, triples = (np.unique(k, return_counts=True) for k in learned)
+        kept = (triples[0] != 0) & (triples[1] >= totals.least)
+        grams, n = ngram_lm.merged([(pairs[0], pairs[1]), (triples[0][kept], triples[1][kept])])
+        exact = ngram_lm.Answers(words[0], words[1], grams, ngram_lm.levels(n).astype(np.int8))
+        tokens, begin = ngram_lm.token_rows(pa.array(texts))
+        sums = [np.add.reduceat(totals.logs(ngram_lm.looked_up(h, totals.documents, tokens, begin)), begin[:-1]) for h in (held, exact)]
+        off[bits] = np.abs(sums[0] - sums[1]).max() / 301
+    assert off[16.0] < off[6.0] and off[16.0] < 0.005 and off[10.0] < 0.03, off
