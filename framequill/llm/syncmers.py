@@ -5,8 +5,8 @@ least inner hash lies at its first or last word. Whether a k-mer is chosen depen
 disturbs only the k-mers it touches and the others stay anchors in both texts. Matching is positional: what two texts are
 said to share are links, two anchors that follow each other together with the distance of their positions, which
 stays the same wherever the passage lies. Likeness is the share of links that both texts have among the links of
-either, over whole texts; ``matches`` tells at which shifts two texts agree. The fingerprint shown is the
-``SKETCH`` least links of the whole text.
+either, over whole texts; ``matches`` tells at which shifts two texts agree. The fingerprint is the whole set of links, rising, eight
+hexadecimal digits each, so that likeness can be had from two fingerprints alone.
 
 Defined results
     null text counts as empty; a text without words has an empty fingerprint; one with fewer than k words has
@@ -23,7 +23,6 @@ from framequill.session import load, spool
 
 SPACE = r"[\x20\x09-\x0D]+"
 K = 5
-SKETCH = 64
 LOW32 = (1 << 32) - 1
 
 
@@ -72,9 +71,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def as_text(links: Column, size: int = SKETCH) -> Column:
-    """The least links as hexadecimal digits."""
-    return F.array_join(F.transform(F.slice(F.sort_array(links), 1, size), lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(LOW32))), 8, "0")), "")
+def as_text(links: Column) -> Column:
+    """The links as hexadecimal digits, in order."""
+    return F.array_join(F.transform(F.sort_array(links), lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(LOW32))), 8, "0")), "")
 
 
 def matches(left: DataFrame, right: DataFrame, on: str, k: int = K) -> DataFrame:
@@ -100,7 +99,8 @@ def blocks(docs: DataFrame, per_block: int, most: int) -> tuple[Column, int]:
     wanted = max(1, min(most, -(-n // per_block)))
     marks = []
     if wanted > 1:
-        found = docs.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], F.lit(4 * wanted))).first()[0]
+        shares = F.split(F.lit(",".join(repr(i / wanted) for i in range(1, wanted))), ",").cast("array<double>")
+        found = docs.agg(F.percentile_approx("doc_id", shares, F.lit(4 * wanted))).first()[0]
         marks = sorted({int(m) for m in found})
     if not marks:
         return F.lit(0), 1
@@ -110,12 +110,12 @@ def blocks(docs: DataFrame, per_block: int, most: int) -> tuple[Column, int]:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(reached(at + step), at + step).otherwise(at)), len(marks) + 1
 
 
-def with_next(docs: DataFrame, per_block: int = 256, most: int = 16384) -> DataFrame:
+def with_next(docs: DataFrame, per_block: int = 256, most: int = 1 << 17) -> DataFrame:
     """Adds ``next``, a struct of the text and links of the row that follows by identifier, the first after the last.
 
-    Identifiers fall into blocks of about ``per_block`` rows (more when ``most`` blocks don't suffice); within a block the next
-    row is a lead, and the last row of a block gets the first of the next filled block through a join of one row per
-    block. Rows without identifier get null.
+    Identifiers fall into blocks of about ``per_block`` rows, or of 1 / ``most`` of the rows where that is more: below 1 GB of a table of
+    100 TB, sorted with spill. The bounds take 1 MB at most. Within a block the next row is a lead, and the last row of a block gets the
+    first of the next filled block through a join of one row per block. Rows without identifier get null.
     """
     number, n = blocks(docs, per_block, most)
     order = Window.partitionBy("block").orderBy("doc_id", "text")

@@ -174,6 +174,11 @@ def test_fingerprints(spark, tmp_path):
         if len(t) > 500:
             assert r["near_edited"] > 0.3 > r["near_next"]
     assert all(len(p) == 1 for p in prints.values()) and prints[""] == {""}
+    sets = lambda f: {f[i : i + 8] for i in range(0, len(f), 8)}
+    for r, after in zip(found, found[1:] + found[:1]):  # likeness is that of the fingerprints shown
+        for name, other in (("near_edited", r["edited_fingerprint"]), ("near_next", after["fingerprint"])):
+            a, b = sets(r["fingerprint"]), sets(other)
+            assert r[name] == (len(a & b) / len(a | b) if a | b else 1.0)
 
 
 def test_fingerprints_of_odd_tables(spark, tmp_path):
