@@ -160,3 +160,32 @@ def option_contract(resolution: Column, resolutions: Column, duration: Column, l
         "duration": duration.between(least, most),
         "expansion": F.when(expands, F.coalesce(expansion.isin("disabled", "balanced", "quality"), F.lit(False))).otherwise(expands.isNotNull() & expansion.isNull()),
     }
+
+
+#: What a request may choose of prompt expansion, and the one option that ``extra`` may hold.
+EXPANSIONS, EXTRA = ("disabled", "balanced", "quality"), "prompt_expansion_mode"
+
+
+def spec_options(document: Column, resolutions: Column, least: Column, most: Column, expands: Column) -> dict[str, Column]:
+    """Option rules of a request as a JSON document, by the types that its fields really have: 5.0, "5" and true are no whole numbers.
+
+    No frames; a duration that is a whole number within the profile's limits; a seed that is one or nothing; a resolution of the profile,
+    whatever its case; ``extra`` an object with no key but the expansion, which must be chosen where the profile expands and be absent where it
+    doesn't. What is no JSON breaks all rules.
+    """
+    held = F.try_parse_json(document)
+    at = lambda path: F.try_variant_get(held, path, "variant")
+    kind = lambda path: F.coalesce(F.schema_of_variant(at(path)), F.lit("VOID"))
+    number = lambda path: F.try_variant_get(held, path, "long")
+    keys = F.json_object_keys(F.get_json_object(document, "$.extra"))
+    mode = F.when(kind(f"$.extra.{EXTRA}") == "STRING", F.try_variant_get(held, f"$.extra.{EXTRA}", "string"))
+    known = F.coalesce(F.array_contains(F.transform(resolutions, lambda r: F.lower(r)), F.lower(F.when(kind("$.resolution") == "STRING", F.try_variant_get(held, "$.resolution", "string")))), F.lit(False))
+    there = held.isNotNull()
+    return {
+        "frames": there & (kind("$.frames") == "VOID"),
+        "duration": there & (kind("$.duration") == "BIGINT") & F.coalesce(number("$.duration").between(least, most), F.lit(False)),
+        "seed": there & kind("$.seed").isin("VOID", "BIGINT"),
+        "resolution": there & known,
+        "extra": there & (at("$.extra").isNull() | F.coalesce(kind("$.extra").startswith("OBJECT") & (F.size(F.array_except(keys, F.array(F.lit(EXTRA)))) == 0), F.lit(False))),
+        "expansion": there & F.when(expands, F.coalesce(mode.isin(*EXPANSIONS), F.lit(False))).otherwise(F.coalesce(F.size(keys) == 0, F.lit(True))),
+    }

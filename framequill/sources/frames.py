@@ -118,13 +118,18 @@ def first_listed(options: Column, wanted: Column) -> Column:
 
 
 def archive(inputs: DataFrame, path: str) -> None:
-    """Append exact input bytes under their digest; what is there already is not written again."""
+    """Append exact input bytes under their digest; what is there already is not written again.
+
+    Two that append at once may both write the same bytes; ``archived`` gives each once.
+    """
     rows = inputs.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("bytes"), "content").dropDuplicates(["sha256"])
     spark = inputs.sparkSession
-    try:
-        known = spark.read.parquet(path).select("sha256")
-        rows = rows.join(known, "sha256", "left_anti")
-    except Exception as missing:  # no archive yet
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        rows = rows.join(spark.read.schema(rows.schema).parquet(path).select("sha256"), "sha256", "left_anti")
     rows.write.mode("append").parquet(path)
+
+
+def archived(spark: SparkSession, path: str) -> DataFrame:
+    """(sha256, bytes, content) of an archive, each once."""
+    return spark.read.schema("sha256 string, bytes int, content binary").parquet(path).dropDuplicates(["sha256"])

@@ -106,3 +106,27 @@ def test_a_failing_task_leaves_nothing_behind(spark, tmp_path, spoil):
     with pytest.raises(Exception):
         clips.publish_atlas(spoil(df), str(tmp_path / "atlas"), 3, 8)
     assert os.listdir(tmp_path) == []
+
+
+def test_images_manifests_and_archives(spark, tmp_path):
+    import hashlib
+
+    from framequill.sources import frames
+
+    (tmp_path / "images").mkdir()
+    for name, raw in {"a.png": b"\x89PNG", "b.bin": b"\0"}.items():
+        (tmp_path / "images" / name).write_bytes(raw)
+    found = {os.path.basename(r["path"]): (r["sha256"], r["bytes"], bytes(r["content"])) for r in frames.read_images(spark, str(tmp_path / "images")).collect()}
+    assert found == {"a.png": (hashlib.sha256(b"\x89PNG").hexdigest(), 4, b"\x89PNG"), "b.bin": (hashlib.sha256(b"\0").hexdigest(), 1, b"\0")}
+    frames.publish_manifests(spark.createDataFrame([("s", 4, None)], "sceneId string, columns int, eye array<double>"), str(tmp_path / "m"))
+    back = frames.read_manifests(spark, str(tmp_path / "m" / "*.json")).first()
+    assert (back["sceneId"], back["columns"], back["eye"], back["_corrupt"]) == ("s", 4, None, None)
+    with pytest.raises(Exception, match="(?i)exists"):
+        frames.publish_manifests(spark.createDataFrame([("s",)], "sceneId string"), str(tmp_path / "m"))
+    inputs = spark.createDataFrame([(bytearray(b"x"),), (bytearray(b"y"),), (bytearray(b"x"),)], "content binary")
+    target = str(tmp_path / "archive")
+    frames.archive(inputs, target)
+    frames.archive(inputs.union(spark.createDataFrame([(bytearray(b"z"),)], "content binary")), target)
+    assert spark.read.parquet(target).count() == 3
+    spark.read.parquet(target).limit(1).write.mode("append").parquet(target)  # another one wrote at the same time
+    assert sorted(bytes(r["content"]) for r in frames.archived(spark, target).collect()) == [b"x", b"y", b"z"]

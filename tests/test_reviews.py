@@ -84,3 +84,17 @@ def test_a_fast_position_is_not_at_rest_beside_its_goal():
     position, after = pointer.follow(((500.0 + way) % 3600, speed), 500.0, dt, 3600, 0.14)
     assert abs(position - 500.001) < 1e-6 and abs(after) > 100
     assert pointer.follow((500.0001, 0.0001), 500.0, dt, 3600, 0.14) == (pytest.approx(500.0, abs=1e-9), 0.0)
+
+
+@pytest.mark.parametrize("text_,broken", [
+    ('{"duration": 5, "resolution": "768P"}', set()), ('{"duration": 5.0, "resolution": "768p"}', {"duration"}), ('{"duration": true, "resolution": "768p"}', {"duration"}), ('{"duration": 99, "resolution": "768p"}', {"duration"}),
+    ('{"resolution": 768}', {"duration", "resolution"}), ('{"duration": 5, "resolution": "768p", "frames": 0, "seed": 1.5}', {"frames", "seed"}), ('{"duration": 5, "resolution": "768p", "frames": null, "seed": null}', set()),
+    ('{"duration": 5, "resolution": "768p", "extra": {"prompt_expansion_mode": "quality"}}', {"expansion"}), ('{"duration": 5, "resolution": "768p", "extra": {"a": 1}}', {"extra", "expansion"}), ('{"duration": 5, "resolution": "768p", "extra": null}', {"extra"}),
+    ("{oops", {"frames", "duration", "seed", "resolution", "extra", "expansion"}),
+])
+def test_options_keep_their_types(spark, text_, broken):
+    from framequill.operators import motion
+
+    found = motion.spec_options(F.lit(text_), F.array(F.lit("768p")), F.lit(4), F.lit(15), F.lit(False))
+    row = spark.range(1).select(*[c.alias(n) for n, c in found.items()]).first()
+    assert {n for n in found if not row[n]} == broken
