@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from framequill.operators.images import bell, filtered, grey, lists_of, mirrored, sampled, stacks
 from framequill.operators.pixels import map_inspection
-from framequill.session import ship
+from framequill.session import ship, spool
 
 ship(__name__)
 
@@ -180,7 +180,7 @@ def gated(found: DataFrame, key: list[str], width: str) -> DataFrame:
     from pyspark.sql import Window
 
     spot = F.struct(*[F.col(k) for k in key], "step")
-    found = found.withColumn("spot", spot)
+    found = spool(found.withColumn("spot", spot), "bridges")  # both sides of the join read it
     maps = map_inspection(found, "spot", width, "map_x", "map_y", "inside").select("spot", "folded", "outside", F.col("passed").alias("sound"))
     found = found.join(maps, "spot").drop("spot")
     own = (F.when(F.col("uncovered").isNull(), "input").when(F.col("uncovered") > 0, "covered").when(F.col("trip") > TRIP, "trip").when(F.col("residual") > RESIDUAL, "residual")

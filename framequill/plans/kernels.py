@@ -128,7 +128,7 @@ def patch_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = cells(spark, sf_dir).withColumn("base", F.lit(216) + F.col("v") % 40)
     planes = pixels.backdrop(base, ["clip", "vec_id"], "x", "y", ["base"], F.col("base") > 215).drop("channel")
     value = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("int"))
-    rows = load(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id", F.lit(8).alias("w"), value.alias("v"), F.get(modes, (F.col("vec_id") % 5).cast("int")).alias("mode"))
+    rows = load(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id").select(F.col("label").alias("clip"), "vec_id", F.lit(8).alias("w"), value.alias("v"), F.get(modes, (F.col("vec_id") % 5).cast("int")).alias("mode"))
     plane = F.transform("v", lambda v, i: F.least(F.lit(255), F.greatest(F.lit(0), F.round(F.col("c0") + F.col("c1") * (i % 8) + F.col("c2") * F.floor(i / 8), 6).cast("int"))))
     thrice = lambda c: F.flatten(F.transform(c, lambda v: F.array(v, v, v)))
     rows = rows.join(planes, ["clip", "vec_id"]).select(
@@ -228,7 +228,8 @@ def enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.rint((corner(0, 0) * (1 - fx) + corner(1, 0) * fx) * (1 - fy) + (corner(0, 1) * (1 - fx) + corner(1, 1) * fx) * fy).cast("int")
 
     value = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("int"))
-    rows = load(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id", F.lit(8).alias("w"), value.alias("px"))
+    rows = load(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id")  # much work for few bytes
+    rows = rows.select(F.col("label").alias("clip"), "vec_id", F.lit(8).alias("w"), value.alias("px"))
     rows = resample.signals(rows, "w", "px", most=side, scale="bilinear", enlarge=True, name="grey")
     rows = rows.select("clip", "vec_id", F.col("grey_width").alias("w"), "grey", ((F.col("vec_id") % 9 - 4) * 0.6).alias("dx"), ((F.col("vec_id") % 5 - 2) * 0.7).alias("dy"))
     return rows.withColumn("moved", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), cell))
