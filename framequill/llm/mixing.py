@@ -16,7 +16,9 @@ cell with a third of all rows is no task of its own.
 
 Defined results
     null text has size 0 and is never taken; the null source is a source of its own and the last; null or repeated
-    identifiers are rows like others; a source without words has target 0; an empty table gives an empty result;
+    identifiers are rows like others; a very long text is one cell of its size, whose words alone are counted, and is taken whole or
+    not at all; rows of equal size tie and are taken in the order of their hashes, copies with equal hashes in any order, which gives
+    the same counts; a source without words has target 0; an empty table gives an empty result;
     further columns are carried along by ``mix_rows`` and ignored by the query.
 """
 
