@@ -18,3 +18,8 @@ def test_long_media_are_one_line(spark, tmp_path):
     same(registry.QUERIES["media_passthrough"](spark, at), connect(at), registry.SQL["media_passthrough"])
     uri = spark.range(1).select(text.data_uri(F.lit("a/b"), F.lit("x" * 500).cast("binary"))).first()[0]
     assert "\r" not in uri and "\n" not in uri
+
+
+def test_long_media_come_back_whole(spark, tmp_path):
+    at = pages(tmp_path, [LONG[: 40 + 9 * i] for i in range(14)])
+    same(registry.QUERIES["media_uris"](spark, at), connect(at), registry.SQL["media_uris"])
