@@ -21,10 +21,10 @@ def canonical(pairs: dict, ascii_only: bool = False) -> Column:
     text = F.to_json(struct(pairs))
     if not ascii_only:
         return text
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    at = lambda i: F.substring(units, i * 4 + 1, F.lit(4))
-    one = lambda u: F.when(u < "0080", F.decode(F.unhex(F.substring(u, 3, 2)), "UTF-8")).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
-    return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(units) / 4).cast("int") - 1), lambda i: one(at(i))), "")
+    other = r"[^\x00-\x7F]+"
+    units = lambda run: F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), "(....)", r"\\u$1")
+    plain, runs = F.split(text, other, -1), F.regexp_extract_all(text, F.lit(other), F.lit(0))
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.array_join(F.zip_with(plain, runs, lambda p, r: F.concat(p, F.coalesce(units(r), F.lit("")))), ""))
 
 
 def canonical_document(document: Column) -> Column:

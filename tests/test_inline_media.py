@@ -23,3 +23,13 @@ def test_long_media_are_one_line(spark, tmp_path):
 def test_long_media_come_back_whole(spark, tmp_path):
     at = pages(tmp_path, [LONG[: 40 + 9 * i] for i in range(14)])
     same(registry.QUERIES["media_uris"](spark, at), connect(at), registry.SQL["media_uris"])
+
+
+def test_escapes_cost_by_the_runs_that_need_them(spark):
+    import json
+
+    said = ["", "a", "aéb\U0001f600\U0001f601c", "\x80", '\t"q"\\ü\n', "$1日本"]
+    body = text.canonical({"b": F.col("v"), "a": F.lit(1)}, ascii_only=True)
+    found = spark.createDataFrame([(v,) for v in said], "v string").select("v", body.alias("c"))
+    assert [r["c"] for r in found.collect()] == [json.dumps({"a": 1, "b": v}, separators=(",", ":")) for v in said]
+    assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no step for each character
