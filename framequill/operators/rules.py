@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from framequill.session import spool
+
 
 def violations(df: DataFrame, key: Sequence[str], rules: dict[str, Column]) -> DataFrame:
     """(key, rule) for each rule a row breaks."""
@@ -51,20 +53,32 @@ def point_inside(px: Column, py: Column, x: Column, y: Column, w: Column, h: Col
     return (px >= x) & (px < x + w) & (py >= y) & (py < y + h)
 
 
-def overlapping(rects: DataFrame, group: Sequence[str], cell: int) -> DataFrame:
+def overlapping(rects: DataFrame, group: Sequence[str], cell: int, block: int = 512, pairs: int = 1 << 22) -> DataFrame:
     """Pairs (group, a, b) of rectangles (id, x, y, w, h) of a group that overlap.
 
     Rectangles are dealt to the grid cells they touch, an equi join finds the pairs in a cell, and the cell of the
-    overlap's own corner reports a pair once; far apart rectangles never meet.
+    overlap's own corner reports a pair once; far apart rectangles never meet. A cell's rectangles are cut into blocks of about ``block``,
+    and each two blocks meet under a key of their own, so no task holds a full cell against itself; there is a task for about
+    every ``pairs`` that are looked at, however few bytes they come from.
     """
     span = lambda lo, size: F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(lo) + F.col(size) - 1) / cell))
-    placed = rects.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
-    a, b = (placed.select(*group, "cx", "cy", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "x", "y", "w", "h")]) for s in "ab")
+    spot = [*group, "cx", "cy"]
+    placed = rects.where("id is not null").select(*group, "id", "x", "y", "w", "h").withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
+    held = placed.groupBy(*spot).agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.ceil(F.col("n") / block)
+    placed = spool(placed.join(held, spot).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "rectangles")
+    spark = rects.sparkSession
+    looked_at = placed.agg(F.sum(F.col("n") * (F.col("blocks") + 1) / (2 * F.col("blocks")))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(looked_at // pairs) + 1, 1 << 14))
+    one = placed.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    two = placed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block")))).withColumn("j", F.col("block"))
+    on = [*spot, "i", "j"]
+    a, b = (t.select(*on, *[F.col(c).alias(f"{s}_{c}") for c in ("id", "x", "y", "w", "h")]).repartition(tasks, *on) for s, t in (("a", one), ("b", two)))
     left, top = F.greatest("a_x", "b_x"), F.greatest("a_y", "b_y")
-    both = a.join(b, [*group, "cx", "cy"]).where(
-        (F.col("a_id") < F.col("b_id")) & (left < F.least(F.col("a_x") + F.col("a_w"), F.col("b_x") + F.col("b_w"))) & (top < F.least(F.col("a_y") + F.col("a_h"), F.col("b_y") + F.col("b_h")))
-        & (F.floor(left / cell) == F.col("cx")) & (F.floor(top / cell) == F.col("cy")))
-    return both.select(*group, F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    both = a.join(b, on).where(
+        ((F.col("i") < F.col("j")) | (F.col("a_id") < F.col("b_id"))) & (left < F.least(F.col("a_x") + F.col("a_w"), F.col("b_x") + F.col("b_w")))
+        & (top < F.least(F.col("a_y") + F.col("a_h"), F.col("b_y") + F.col("b_h"))) & (F.floor(left / cell) == F.col("cx")) & (F.floor(top / cell) == F.col("cy")))
+    return both.select(*group, F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
 def nearest(value: Column, choices: Sequence[tuple[str, float]]) -> Column:
