@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framequill.operators.images import bell, filtered, grey, lists_of, sampled, stacks
-from framequill.session import ship
+from framequill.operators.images import bell, filtered, grey, lists_of, pieces, sampled, stacks
+from framequill.session import ship, small_batches
 
 ship(__name__)
 
@@ -110,7 +110,7 @@ def aligned(
     schema = ", ".join([*(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in key), *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, frame):
             out: dict[str, list] = {name: [None] * batch.num_rows for name in names}
             for rows, held in stacks(batch, width, {frame: 4, reference: 3, static: 1, motion: 1}):
                 if held[frame] is None:
@@ -140,6 +140,7 @@ def aligned(
             types = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(out[name], t) for name, t in zip(names, types)), lists_of(out["aligned"], pa.int32())], [*key, *names])
 
+    small_batches(pairs.sparkSession)
     return accepted(pairs.select(*key, width, frame, reference, static, motion).mapInArrow(run, schema), F.lit(float(most)))
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-from framequill.session import ship
+from framequill.session import ship, tidy
 
 ship(__name__)
 
@@ -60,6 +60,19 @@ def stacks(batch: pa.RecordBatch, width: str, columns: dict[str, int], pixels: i
             yield own, held
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIXELS) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the arrays of a piece have about ``most`` values in ``column`` together, however many rows a batch has."""
+    try:
+        for batch in batches:
+            lengths = batch.column(batch.schema.get_field_index(column)).value_lengths().fill_null(0)
+            group = np.cumsum(np.asarray(lengths, dtype=np.int64)) // most
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)] if len(group) else []
+            for a, b in zip(cuts, cuts[1:]):
+                yield batch.slice(a, b - a)
+    finally:
+        tidy()
+
+
 def lists_of(rows: Sequence[np.ndarray | None], kind: pa.DataType) -> pa.ListArray:
     """A column of flattened arrays, null for None."""
     flat = [np.zeros(0) if r is None else r.ravel() for r in rows]

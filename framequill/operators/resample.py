@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from framequill.operators.images import grey, lists_of, stacks
-from framequill.session import ship
+from framequill.operators.images import grey, lists_of, pieces, stacks
+from framequill.session import ship, small_batches
 
 ship(__name__)
 
@@ -110,7 +110,7 @@ def signals(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + ", " + kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, px):
             shown: list[np.ndarray | None] = [None] * batch.num_rows
             wide: list[int | None] = [None] * batch.num_rows
             for rows, held in stacks(batch, width, {px: channels}):
@@ -133,4 +133,38 @@ def signals(
                     shown[r], wide[r] = image, image.shape[1]
             yield pa.RecordBatch.from_arrays([*batch.columns, lists_of(shown, pa.int32()), pa.array(wide, pa.int32())], [*batch.schema.names, name, f"{name}_width"])
 
+    small_batches(frames.sparkSession)
+    return frames.mapInArrow(run, schema)
+
+
+def displaced(images: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    """Integer images [n, h, w], each moved by its own way, between pixels by their distance; edges go on outwards."""
+    n, h, w = images.shape
+    x, y = np.arange(w) - dx[:, None], np.arange(h) - dy[:, None]
+    left, top = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
+    fx, fy = (x - left)[:, None, :], (y - top)[:, :, None]
+
+    def corner(a: int, b: int) -> np.ndarray:
+        return images[np.arange(n)[:, None, None], np.clip(top + b, 0, h - 1)[:, :, None], np.clip(left + a, 0, w - 1)[:, None, :]]
+
+    return np.rint((corner(0, 0) * (1 - fx) + corner(1, 0) * fx) * (1 - fy) + (corner(0, 1) * (1 - fx) + corner(1, 1) * fx) * fy).astype(np.int64)
+
+
+def moved(frames: DataFrame, width: str, px: str, dx: str, dy: str, name: str = "moved") -> DataFrame:
+    """Adds ``name`` (array<int>): the grey frame moved by the doubles ``dx`` and ``dy``; null for a frame or a way that is null or has nulls."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + f", {name} array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, px):
+            shown: list[np.ndarray | None] = [None] * batch.num_rows
+            way_x, way_y = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in (dx, dy))
+            for rows, held in stacks(batch, width, {px: 1}):
+                if held[px] is None:
+                    continue
+                known = np.isfinite(way_x[rows]) & np.isfinite(way_y[rows])
+                for r, image in zip(rows[known], displaced(held[px][known].astype(np.int64), way_x[rows[known]], way_y[rows[known]])):
+                    shown[r] = image
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists_of(shown, pa.int32())], [*batch.schema.names, name])
+
+    small_batches(frames.sparkSession)
     return frames.mapInArrow(run, schema)

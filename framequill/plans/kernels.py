@@ -217,22 +217,12 @@ def map_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(clip, vec_id, w, grey, dx, dy, moved): each embedding as a smooth 32 x 32 frame, and the same frame moved by a known way."""
     side = 32
-    at = lambda c, x, y: F.get(F.col(c), (y * side + x).cast("int"))
-    near = lambda v: F.greatest(F.lit(0), F.least(F.lit(side - 1), v))
-
-    def cell(i: Column) -> Column:
-        x, y = i % side - F.col("dx"), F.floor(i / side) - F.col("dy")
-        left, top = F.floor(x), F.floor(y)
-        fx, fy = x - left, y - top
-        corner = lambda a, b: at("grey", near(left + a), near(top + b))
-        return F.rint((corner(0, 0) * (1 - fx) + corner(1, 0) * fx) * (1 - fy) + (corner(0, 1) * (1 - fx) + corner(1, 1) * fx) * fy).cast("int")
-
     value = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("int"))
     rows = load(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id")  # much work for few bytes
     rows = rows.select(F.col("label").alias("clip"), "vec_id", F.lit(8).alias("w"), value.alias("px"))
     rows = resample.signals(rows, "w", "px", most=side, scale="bilinear", enlarge=True, name="grey")
     rows = rows.select("clip", "vec_id", F.col("grey_width").alias("w"), "grey", ((F.col("vec_id") % 9 - 4) * 0.6).alias("dx"), ((F.col("vec_id") % 5 - 2) * 0.7).alias("dy"))
-    return rows.withColumn("moved", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), cell))
+    return resample.moved(rows, "w", "grey", "dx", "dy")
 
 
 def channels(grey: str, alpha: int | None = None) -> Column:
