@@ -17,11 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from framequill.operators.images import bell, filtered, grey, lists_of, mirrored, sampled, stacks
-from framequill.operators.pixels import map_inspection
-from framequill.session import ship, spool
+from framequill.operators.images import bell, filtered, grey, lists_of, mirrored, pieces, sampled, stacks
+from framequill.session import ship, small_batches
 
 ship(__name__)
 
@@ -115,36 +114,52 @@ def percentile(values: np.ndarray, mask: np.ndarray, share: float) -> float:
     return float(np.percentile(values[mask], 100 * share)) if mask.any() else 0.0
 
 
+def inspected(map_x: np.ndarray, map_y: np.ndarray, region: np.ndarray, least_det: float = 0.2) -> tuple[int, int] | None:
+    """(folded, outside) cells of a region of one inverse map [h, w], as ``pixels.map_inspection`` counts them; None for its error rows."""
+    h, w = map_x.shape
+    if min(h, w) < 2 or not region.any() or not (np.isfinite(map_x).all() and np.isfinite(map_y).all()):
+        return None
+    (down_x, across_x), (down_y, across_y) = np.gradient(map_x), np.gradient(map_y)
+    off = (map_x < 0) | (map_x > w - 1) | (map_y < 0) | (map_y > h - 1)
+    return int((region & (across_x * down_y - down_x * across_y <= least_det)).sum()), int((region & off).sum())
+
+
+FIGURES = {"step": pa.int32(), "share": pa.float64(), "trip": pa.float64(), "residual": pa.float64(), "moved": pa.float64(), "exposed": pa.int64(), "folded": pa.int64(), "outside": pa.int64(),
+           "problem": pa.string()}
+
+
+def refusal(step: dict, uncovered: int, side: int) -> str | None:
+    """The first limit that a step of a bridge breaks; what is not a number breaks its limit."""
+    within = {"covered": uncovered <= 0, "trip": step["trip"] <= TRIP, "residual": step["residual"] <= RESIDUAL, "far": step["moved"] <= FAR * side,
+              "map": step["folded"] == 0 and step["outside"] == 0, "exposed": step["exposed"] <= 0}
+    return next((name for name, ok in within.items() if not ok), None)
+
+
 def bridges(pairs: DataFrame, key: list[str], count: int, width: str = "w", left: str = "left", right: str = "right", motion: str = "motion") -> DataFrame:
     """(key, step, share, trip, residual, moved, exposed, folded, outside, problem, px): ``count`` frames between RGBA ``left`` and ``right``.
 
-    A row for each step 1..count, refused ones with their figures and null pixels. The geometry of each map is looked at by ``map_inspection``.
+    A row for each step 1..count, refused ones with their figures and null pixels. One refused step refuses the whole bridge of its pair,
+    by the first step's reason. All of a pair is made in one place: nothing is shuffled.
     """
     if isinstance(count, bool) or not 1 <= count <= MOST_FRAMES:
         raise ValueError(f"a bridge has 1 to {MOST_FRAMES} frames")
-    kinds = ["step int", "share double", "uncovered long", "trip double", "residual double", "moved double", "side int", "exposed long", "map_x array<double>", "map_y array<double>", "inside array<boolean>", "px array<int>"]
-    names = [k.split()[0] for k in kinds]
-    types = [pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int64()]
-    schema = ", ".join([*(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in key), f"`{width}` int", *kinds])
+    names = list(FIGURES)
+    kinds = ["step int", "share double", "trip double", "residual double", "moved double", "exposed long", "folded long", "outside long", "problem string", "px array<int>"]
+    schema = ", ".join([*(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in key), *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, left):
             for rows, held in stacks(batch, width, {left: 4, right: 4, motion: 1}, pixels=1 << 18):
-                out: dict[str, list] = {name: [] for name in names}
-                for name, values in made(held, len(rows)).items():
-                    out[name] = values
-                keys = [batch.column(batch.schema.get_field_index(k)).take(pa.array(np.repeat(rows, count))) for k in [*key, width]]
-                keys[-1] = keys[-1].cast(pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*keys, *(pa.array(out[name], t) for name, t in zip(names, types)), lists_of(out["map_x"], pa.float64()), lists_of(out["map_y"], pa.float64()),
-                     lists_of(out["inside"], pa.bool_()), lists_of(out["px"], pa.int32())], [*key, width, *names])
-
-    def made(held: dict, n: int) -> dict[str, list]:
-        """The columns of ``count`` steps of each of n pairs, in order."""
-        out: dict[str, list] = {name: [None] * (n * count) for name in names}
-        out["step"], out["share"] = list(range(1, count + 1)) * n, [i / (count + 1) for i in range(1, count + 1)] * n
+                steps, shown = made(held, len(rows))
+                keys = [batch.column(batch.schema.get_field_index(k)).take(pa.array(np.repeat(rows, count))) for k in key]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array([s.get(n) for s in steps], FIGURES[n]) for n in names), lists_of(shown, pa.int32())], [*key, *names, "px"])
+
+    def made(held: dict, n: int) -> tuple[list[dict], list]:
+        """The figures and the pixels of ``count`` steps of each of n pairs, in order."""
+        steps: list[dict] = [{"step": j + 1, "share": (j + 1) / (count + 1), "problem": "input"} for _ in range(n) for j in range(count)]
+        pixels: list = [None] * (n * count)
         if held[left] is None:
-            return out
+            return steps, pixels
         ends, moving = (held[left].astype(float), held[right].astype(float)), held[motion].astype(bool)
         uncovered = (moving & ((ends[0][..., 3] < OPAQUE) | (ends[1][..., 3] < OPAQUE))).sum(axis=(1, 2))
         h, w = moving.shape[1:]
@@ -154,6 +169,7 @@ def bridges(pairs: DataFrame, key: list[str], count: int, width: str = "w", left
         trip = np.linalg.norm(there + sampled(back, x + there[..., 0], y + there[..., 1]), axis=-1)
         warped = sampled(ends[1][..., :3], x + there[..., 0], y + there[..., 1])
         gap, way = np.abs(ends[0][..., :3] - warped).mean(axis=-1), np.linalg.norm(there, axis=-1)
+        whole = [{"trip": percentile(trip[i], own, 0.95), "moved": percentile(way[i], own, 0.95), "residual": float(gap[i][own].mean()) if own.any() else 0.0} for i, own in enumerate(moving)]
         for j in range(count):
             share = (j + 1) / (count + 1)
             source, field, part = (ends[0], there, share) if share <= 0.5 else (ends[1], back, 1 - share)
@@ -161,30 +177,19 @@ def bridges(pairs: DataFrame, key: list[str], count: int, width: str = "w", left
             for _ in range(FIXED_POINT):
                 step = sampled(field, map_x, map_y)
                 map_x, map_y = x - part * step[..., 0], y - part * step[..., 1]
-            shown = np.clip(np.rint(sampled(source, map_x, map_y)), 0, 255).astype(np.int64)
-            for i in range(n):
-                at, own = i * count + j, moving[i]
-                out["uncovered"][at], out["side"][at] = int(uncovered[i]), min(h, w)
-                out["trip"][at], out["moved"][at] = percentile(trip[i], own, 0.95), percentile(way[i], own, 0.95)
-                out["residual"][at] = float(gap[i][own].mean()) if own.any() else 0.0
-                out["exposed"][at] = int((own & (shown[i, ..., 3] < OPAQUE)).sum())
-                out["map_x"][at], out["map_y"][at], out["inside"][at], out["px"][at] = map_x[i], map_y[i], own, shown[i]
-        return out
-
-    found = pairs.select(*key, width, left, right, motion).mapInArrow(run, schema)
-    return gated(found, key, width)
-
-
-def gated(found: DataFrame, key: list[str], width: str) -> DataFrame:
-    """Adds ``problem`` by the limits of a bridge, and takes pixels of refused steps away; one refused step refuses its whole bridge."""
-    from pyspark.sql import Window
-
-    spot = F.struct(*[F.col(k) for k in key], "step")
-    found = spool(found.withColumn("spot", spot), "bridges")  # both sides of the join read it
-    maps = map_inspection(found, "spot", width, "map_x", "map_y", "inside").select("spot", "folded", "outside", F.col("passed").alias("sound"))
-    found = found.join(maps, "spot").drop("spot")
-    own = (F.when(F.col("uncovered").isNull(), "input").when(F.col("uncovered") > 0, "covered").when(F.col("trip") > TRIP, "trip").when(F.col("residual") > RESIDUAL, "residual")
-           .when(F.col("moved") > FAR * F.col("side"), "far").when(~F.col("sound"), "map").when(F.col("exposed") > 0, "exposed"))
-    first = F.min(F.when(own.isNotNull(), F.struct("step", own.alias("why")))).over(Window.partitionBy(*key))
-    found = found.withColumn("problem", first["why"])
-    return found.select(*key, "step", "share", "trip", "residual", "moved", "exposed", "folded", "outside", "problem", F.when(F.col("problem").isNull(), F.col("px")).alias("px"))
+            shown = np.clip(np.rint(sampled(source, map_x, map_y)), 0, 255).astype(np.int32)
+            for i, own in enumerate(moving):
+                folded, outside = inspected(map_x[i], map_y[i], own) or (None, None)
+                at = steps[i * count + j]
+                at |= whole[i] | {"exposed": int((own & (shown[i, ..., 3] < OPAQUE)).sum()), "folded": folded, "outside": outside}
+                at["problem"], pixels[i * count + j] = refusal(at, int(uncovered[i]), min(h, w)), shown[i]
+        for i in range(n):
+            own = range(i * count, (i + 1) * count)
+            problem = next((steps[k]["problem"] for k in own if steps[k]["problem"]), None)
+            for k in own:
+                steps[k]["problem"] = problem
+                pixels[k] = None if problem else pixels[k]
+        return steps, pixels
+
+    small_batches(pairs.sparkSession)
+    return pairs.select(*key, width, left, right, motion).mapInArrow(run, schema)
