@@ -9,9 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framequill.functions.pixels import is_light, keyed
-from framequill.operators.images import stacks
-from framequill.session import ship
+from framequill.functions.pixels import is_light, key_channels
+from framequill.operators.images import pieces, stacks
+from framequill.session import ship, small_batches
 
 ship(__name__)
 
@@ -136,26 +136,27 @@ def _grid(values, width: int) -> np.ndarray:
     return np.asarray(values).reshape(-1, width)
 
 
+def reached(masks: np.ndarray) -> np.ndarray:
+    """Which true cells of masks [n, h, w] are connected to the border of their own through four neighbours."""
+    # A frame of closed cells, so that steps never leave a grid; each cell joins the frontier once.
+    open_ = np.pad(masks.astype(bool), ((0, 0), (1, 1), (1, 1)))
+    wide, todo, seen = open_.shape[2], open_.ravel().copy(), np.zeros(open_.size, bool)
+    border = np.zeros_like(open_)
+    border[:, [1, -2], 1:-1], border[:, 1:-1, [1, -2]] = True, True
+    front = np.flatnonzero(border.ravel() & todo)
+    while len(front):
+        seen[front], todo[front] = True, False
+        front = np.unique(np.concatenate([front - 1, front + 1, front - wide, front + wide]))
+        front = front[todo[front]]
+    return seen.reshape(open_.shape)[:, 1:-1, 1:-1]
+
+
 def flood(frames: DataFrame, width: str, mask: str, name: str = "reached") -> DataFrame:
     """Adds, per frame, which true cells of a row-major mask are connected to its border through four neighbours."""
 
     @F.pandas_udf("array<boolean>")
     def reach(widths: pd.Series, masks: pd.Series) -> pd.Series:
-        out = []
-        for w, m in zip(widths, masks):
-            # A frame of closed cells, so that steps never leave the grid; each cell joins the frontier once.
-            open_ = np.pad(_grid(m, int(w)).astype(bool), 1)
-            wide, todo, seen = open_.shape[1], open_.ravel().copy(), np.zeros(open_.size, bool)
-            border = np.zeros_like(open_)
-            border[[1, -2], 1:-1], border[1:-1, [1, -2]] = True, True
-            front = np.flatnonzero(border.ravel() & todo)
-            while len(front):
-                seen[front], todo[front] = True, False
-                front = np.unique(np.concatenate([front - 1, front + 1, front - wide, front + wide]))
-                front = front[todo[front]]
-            seen = seen.reshape(open_.shape)[1:-1, 1:-1]
-            out.append(seen.ravel().tolist())
-        return pd.Series(out)
+        return pd.Series([reached(_grid(m, int(w))[None])[0].ravel().tolist() for w, m in zip(widths, masks)])
 
     return frames.withColumn(name, reach(F.col(width), F.col(mask)))
 
@@ -270,29 +271,70 @@ def patched(front: Column, base: Column, fitted: Column, mode: Column, edge: Col
             .when(mode == "chroma-key", F.rint(keyed * (alpha / 255) + base * (1 - alpha / 255))).cast("int"))
 
 
+def keyed_cells(rgb: np.ndarray, key: Sequence[int], low: float = 12, high: float = 220) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha [...], channels [..., 3]) of keyed pixels, as ``functions.pixels.keyed`` has them."""
+    t = np.clip((np.abs(rgb - np.array(key)).max(axis=-1) - float(low)) / float(high - low), 0.0, 1.0)
+    alpha, channels = np.trunc(t * t * (3.0 - 2.0 * t) * 255).astype(np.int64), key_channels(key)
+    if not 0 < len(channels) < 3:
+        return alpha, rgb
+    rest = rgb[..., [i for i in range(3) if i not in channels]].max(axis=-1)
+    above = np.maximum(0, rgb[..., channels].min(axis=-1) - rest)
+    alpha = np.minimum(alpha, np.trunc((1.0 - np.minimum(1.0, above / np.maximum(1, max(key) - rest))) * 255).astype(np.int64))
+    held = rgb.copy()
+    for i in channels:
+        held[..., i] = np.where(alpha < 252, np.minimum(rgb[..., i], rest), rgb[..., i])
+    return alpha, held
+
+
 def patches(frames: DataFrame, width: str, px: str, base: str, mode: str, key_color: Sequence[int], fitted: str | None = None, name: str = "patch") -> DataFrame:
     """Adds ``name``: the RGBA frame ``px`` made a patch over the RGB array ``base`` by the mode in column ``mode``.
 
     ``preserve`` keeps it; ``replace-edge-light`` and ``fit-edge-light`` put the base, or the array ``fitted`` of a plane, where light
-    cells are connected to the border; both keep the frame's alpha. ``chroma-key`` keys and despills by ``key_color``, its alpha times the
-    frame's in whole 255ths. Null for a mode that is none of ``MODES``.
+    cells are connected to the border, null where that has none; both keep the frame's alpha. ``chroma-key`` keys and despills by ``key_color``,
+    its alpha times the frame's in whole 255ths. Null for a mode that is none of ``MODES``, and for a frame that is null, has nulls or doesn't fit its width.
     """
-    cells = F.sequence(F.lit(0), F.expr(f"size(`{px}`) div 4 - 1"))
-    at = lambda c, i: F.get(F.col(c), i)
-    rgb = lambda i: [at(px, i * 4 + c) for c in range(3)]
-    frames = flood(frames.withColumn("__light", F.transform(cells, lambda i: is_light(*rgb(i)))), width, "__light", "__edge")
-    how, under = F.col(mode), F.when(F.col(mode) == "fit-edge-light", F.col(fitted or base)).otherwise(F.col(base))
-
-    def cell(i: Column) -> Column:
-        own, alpha = rgb(i), at(px, i * 4 + 3)
-        cover, held = keyed(own, key_color)
-        edge = at("__edge", i)
-        shown = [F.when(how == "chroma-key", h).when(edge & how.endswith("edge-light"), F.get(F.col("__under"), i * 3 + c)).otherwise(v).cast("int") for c, (v, h) in enumerate(zip(own, held))]
-        product = cover * alpha
-        return F.array(*shown, F.when(how == "chroma-key", (product - product % 255) / 255).otherwise(alpha).cast("int"))
-
-    found = frames.withColumn("__under", under).withColumn(name, F.when(how.isin(*MODES), F.flatten(F.transform(cells, cell))))
-    return found.drop("__light", "__edge", "__under")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + f", `{name}` array<int>"
+    unders = {"replace-edge-light": base, "fit-edge-light": fitted or base}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, px):
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            how, out, absent = np.array(column(mode).to_pylist(), object), [None] * batch.num_rows, [None] * batch.num_rows
+            for rows, held in stacks(batch, width, {px: 4}):
+                if held[px] is None:
+                    continue
+                shown = held[px].astype(np.int64)
+                lost = np.zeros(shown.shape, bool)
+                own = how[rows]
+                key = own == "chroma-key"
+                if key.any():
+                    alpha, channels = keyed_cells(shown[key][..., :3], key_color)
+                    product = alpha * shown[key][..., 3]
+                    shown[key] = np.concatenate([channels, ((product - np.fmod(product, 255)) // 255)[..., None]], axis=-1)
+                edged = np.flatnonzero(np.isin(own, list(unders)))
+                rgb = shown[edged][..., :3]
+                lit = reached((rgb.min(axis=-1) > 210) & (rgb.max(axis=-1) - rgb.min(axis=-1) < 30))
+                for i, cells in zip(edged, lit):
+                    at = np.flatnonzero(cells.ravel())
+                    under = column(unders[own[i]]).slice(rows[i], 1).flatten()
+                    want = (at[:, None] * 3 + np.arange(3)).ravel()
+                    values = under.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    gone = np.asarray(under.is_null())
+                    there = want < len(values)
+                    got, lack = np.zeros(len(want), np.int64), np.ones(len(want), bool)
+                    got[there], lack[there] = values[want[there]], gone[want[there]]
+                    shown[i].reshape(-1, 4)[at, :3], lost[i].reshape(-1, 4)[at, :3] = got.reshape(-1, 3), lack.reshape(-1, 3)
+                for i, r in enumerate(rows):
+                    if own[i] in MODES:
+                        out[r], absent[r] = shown[i].ravel(), lost[i].ravel()
+            ends = np.concatenate([[0], np.cumsum([0 if o is None else len(o) for o in out])]).astype(np.int32)
+            flat, nulls = ([x for x in a if x is not None] for a in (out, absent))
+            values = pa.array(np.concatenate(flat).astype(np.int32), mask=np.concatenate(nulls)) if flat else pa.array([], pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.array([*(o is None for o in out), False])), values)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, name])
+
+    small_batches(frames.sparkSession)
+    return frames.mapInArrow(run, schema)
 
 
 def backdrop(pixels: DataFrame, key: Sequence[str], x: str, y: str, channels: Sequence[str], light: Column | None = None) -> DataFrame:

@@ -128,7 +128,8 @@ def patch_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = cells(spark, sf_dir).withColumn("base", F.lit(216) + F.col("v") % 40)
     planes = pixels.backdrop(base, ["clip", "vec_id"], "x", "y", ["base"], F.col("base") > 215).drop("channel")
     value = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("int"))
-    rows = load(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id").select(F.col("label").alias("clip"), "vec_id", F.lit(8).alias("w"), value.alias("v"), F.get(modes, (F.col("vec_id") % 5).cast("int")).alias("mode"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # much work for few bytes, done where the join is
+    rows = load(spark, sf_dir, "embeddings").withColumnRenamed("label", "clip").repartition(tasks, "clip", "vec_id").select("clip", "vec_id", F.lit(8).alias("w"), value.alias("v"), F.get(modes, (F.col("vec_id") % 5).cast("int")).alias("mode"))
     plane = F.transform("v", lambda v, i: F.least(F.lit(255), F.greatest(F.lit(0), F.round(F.col("c0") + F.col("c1") * (i % 8) + F.col("c2") * F.floor(i / 8), 6).cast("int"))))
     thrice = lambda c: F.flatten(F.transform(c, lambda v: F.array(v, v, v)))
     rows = rows.join(planes, ["clip", "vec_id"]).select(

@@ -49,3 +49,10 @@ def test_registration_yields_by_pieces(spark):
                                     F.array_repeat(F.lit(True), side * side).alias("static"), F.array_repeat(F.lit(False), side * side).alias("motion"))
     alignment.aligned(rows.coalesce(1), ["id"]).count()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+
+
+def test_patches_are_made_in_many_tasks(spark, sf_dir):
+    from framequill.plans import registry
+
+    found = registry.QUERIES["patch_modes"](spark, sf_dir)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() >= 4  # before: as few as the bytes of the join asked for
