@@ -50,6 +50,8 @@ ADD = 0.1
 STRENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
 #: Random keys that each segment is asked for, to learn how often it is wrong.
 TRIALS = 4096
+#: Members that are put into a filter at a time.
+STEP = 1 << 17
 ONE = np.uint64(1)
 DROP = np.uint64(8)  # keys have 56 bits
 
@@ -161,9 +163,11 @@ def pattern(keys: np.ndarray, level: int, place: int, size: np.ndarray | int) ->
 def filled(keys: np.ndarray, q: np.ndarray, bits_per_entry: float) -> np.ndarray:
     """The filter of members (key, 1) ... (key, q)."""
     words = np.zeros(max(1, int(np.ceil(bits_per_entry * q.sum() / 64))), np.uint64)
-    for level in range(1, int(q.max(initial=0)) + 1):
-        for place in range(PLACES):
-            np.bitwise_or.at(words, *pattern(keys[q >= level], level, place, len(words)))
+    for at in range(0, len(keys), STEP):
+        own, most = keys[at : at + STEP], q[at : at + STEP]
+        for level in range(1, int(most.max(initial=0)) + 1):
+            for place in range(PLACES):
+                np.bitwise_or.at(words, *pattern(own[most >= level], level, place, len(words)))
     return words
 
 
@@ -188,7 +192,12 @@ def builder(bits_per_entry: float, least: int):
     """Rows (seg, kind, keys, counts) sorted by segment to one row per segment: its filter, its words with their counts, its totals."""
 
     def build(seg: int, parts: tuple[list, ...]) -> pa.RecordBatch:
-        words, pairs, triples = (merged(p) if p else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for p in parts)
+        def drained(held: list) -> tuple[np.ndarray, np.ndarray]:
+            found = merged(held) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            held.clear()  # the next order's arrays come into their place
+            return found
+
+        words, pairs, triples = map(drained, parts)
         frequent = triples[1] >= least
         keys = np.concatenate([pairs[0], triples[0][frequent]])
         q = levels(np.concatenate([pairs[1], triples[1][frequent]]))
@@ -204,7 +213,8 @@ def builder(bits_per_entry: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, ([], [], [])
         for batch in batches:
-            for seg, kind, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(batch.num_rows):  # one row's bytes at a time
+                seg, kind, keys, counts = (c[i].as_py() for c in batch.columns)
                 if seg != now:
                     if now is not None:
                         yield build(now, parts)
@@ -483,8 +493,11 @@ def score_text(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", 1 << 19):
                 tokens, begin = token_rows(batch.column(2))
-                yield result(looked_up(given.value, documents, tokens, begin), tokens, begin, batch.column(0), batch.column(1))
-            batch = tokens = begin = None
+                out = result(looked_up(given.value, documents, tokens, begin), tokens, begin, batch.column(0), batch.column(1))
+                batch = tokens = begin = None  # not held while the next batch comes in
+                yield out
+                tidy()
+            out = None
             tidy()
 
         return rows.mapInArrow(run, schema)
