@@ -16,7 +16,8 @@ with the best leave-one-out likelihood over a share of the training documents, a
 The filter is built on the executors in segments of the hash space. How many there are follows from the bytes of training text, and bits per
 entry are fixed, so scores do not depend on partitions or size. While filter and word table stay under
 ``max_bytes`` and ``max_words`` they are broadcast. Beyond, the segments stay a table: each batch of documents asks
-the segments for its distinct n-grams through a shuffle, and gets the same answers back.
+the segments for its distinct n-grams through a shuffle, and gets the same answers back. This is done in ``rounds`` of documents, each written
+and its shuffles deleted before the next begins, so the disk holds the questions of one round.
 
 Defined results
     null text counts as empty and has one token, its end; equal texts have equal scores; a very long text is hashed in pieces and
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framequill.llm.language_id import in_fold
 from framequill.llm.words import BASE, mix, slices, text_bytes, word_hashes
-from framequill.session import Shared, load, ship, small_batches, spool, tidy
+from framequill.session import Shared, load, scratch_mark, ship, shuffles_freed, small_batches, spool, sweep, tidy
 
 ship(__name__)
 
@@ -364,8 +366,19 @@ def flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def distinct(tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct words and n-grams of a batch: what it asks for, and in which order it is answered."""
+    def once(keys: np.ndarray) -> np.ndarray:  # np.unique hashes where it is not asked for counts, and takes ten times as long
+        keys = np.sort(keys)
+        return keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+
+    words, pairs, triples = gram_keys(tokens, begin)
+    return once(words), once(np.concatenate([pairs, triples[triples != 0]]))
+
+
 ASK = "bucket int, kind int, seg int, batch long, a binary, b binary, c binary"
-TOLD = "batch long, words binary, counts binary, grams binary, levels binary"
+#: Answers come without the keys, in their order.
+TOLD = "batch long, bucket int, counts binary, levels binary"
 
 
 def asked(per: int, segments: int):
@@ -374,9 +387,7 @@ def asked(per: int, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                tokens, begin = token_rows(batch.column(1).slice(i, 1).flatten())
-                words, pairs, triples = map(np.unique, gram_keys(tokens, begin))
-                grams = np.union1d(pairs, triples[triples != 0])
+                words, grams = distinct(*token_rows(batch.column(1).slice(i, 1).flatten()))
                 own = [segment_of(p, segments) // per for p in (words, grams)]
                 buckets = np.union1d(*own)
                 cuts = [np.append(np.searchsorted(o, buckets), len(o)) for o in own]
@@ -411,7 +422,7 @@ def told(per: int, segments: int):
                     held, parts = gathered_bucket(parts, bucket * per, per, segments), []
                 (words, w), (grams, g) = flat(rows.column(4), np.uint64), flat(rows.column(5), np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(3), rows.column(4), spread(held.counted(words).astype(np.int64), w), rows.column(5), spread(held.level(grams), g, 1)],
+                    [rows.column(3), rows.column(0), spread(held.counted(words).astype(np.int64), w), spread(held.level(grams), g, 1)],
                     [c.split()[0] for c in TOLD.split(", ")])
         held = parts = None
         tidy()
@@ -428,18 +439,20 @@ def gathered_bucket(parts: list[tuple], first: int, per: int, segments: int) ->
     return Held(whole(1, np.uint64), np.cumsum(size) - size, size, whole(2, np.uint64), whole(3, np.int64), segments, first)
 
 
-def answered(rows: DataFrame, table: DataFrame, totals: Totals, result: Callable, schema: str, size: int = 0, bucket_bytes: int = 64 << 20) -> DataFrame:
+def answered(rows: DataFrame, table: DataFrame, totals: Totals, result: Callable, schema: str, size: int = 0, bucket_bytes: int = 64 << 20, rounds: int = 6) -> DataFrame:
     """``result(looked up, tokens, begin, numbers, identifiers)`` for each batch of (nth, doc_id, text), looked up bucket by bucket.
 
     Batches of texts are written as rows; each asks every bucket for its distinct keys of that bucket, once. A bucket is a run of segments
     of about ``bucket_bytes`` at most (all have ``size``), and there are no more buckets than shuffle partitions as long as that holds; a
-    task holds one bucket, and questions stream past it.
+    task holds one bucket, and questions stream past it. Questions take several times the space of the texts, so the batches are dealt to
+    ``rounds``, and the results of each are written.
     """
     segments, documents = totals.segments, totals.documents
     spark = rows.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = max(1, (size + 16 * totals.vocabulary) // segments)
     per = max(1, min(-(-segments // partitions), bucket_bytes // each))
+    mark = scratch_mark()
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -449,77 +462,87 @@ def answered(rows: DataFrame, table: DataFrame, totals: Totals, result: Callable
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     bundles = spool(rows.mapInArrow(bundle, f"batch long, nths array<long>, ids array<{kind}>, texts array<string>"), "bundles")
-    asks = bundles.select("batch", "texts").mapInArrow(asked(per, segments), ASK)
     parts = table.select(F.expr(f"cast(seg div {per} as int)").alias("bucket"), F.lit(0).alias("kind"), "seg", F.lit(None).cast("long").alias("batch"), F.col("bits").alias("a"), F.col("words").alias("b"), F.col("counts").alias("c"))
-    answers = parts.unionByName(asks).repartition("bucket").sortWithinPartitions("bucket", "kind", "seg").mapInArrow(told(per, segments), TOLD)
-    joined = bundles.join(answers.groupBy("batch").agg(F.collect_list(F.struct("words", "counts", "grams", "levels")).alias("told")), "batch")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                told = batch.column(3).slice(i, 1).to_pylist()[0]
-                parts = [np.concatenate([np.frombuffer(t[k], kind) for t in told]) for k, kind in (("words", np.uint64), ("counts", np.int64), ("grams", np.uint64), ("levels", np.int8))]
-                w, g = np.argsort(parts[0]), np.argsort(parts[2])
-                held = Answers(parts[0][w], parts[1][w], parts[2][g], parts[3][g])
+                told = sorted(batch.column(3).slice(i, 1).to_pylist()[0], key=lambda t: t["bucket"])  # as keys rise
+                counts, levels = (np.concatenate([np.frombuffer(t[k], kind) for t in told]) for k, kind in (("counts", np.int64), ("levels", np.int8)))
                 numbers, ids, texts = (batch.column(j).slice(i, 1).flatten() for j in range(3))
                 tokens, begin = token_rows(texts)
-                yield result(looked_up(held, documents, tokens, begin), tokens, begin, numbers, ids)
+                words, grams = distinct(tokens, begin)
+                yield result(looked_up(Answers(words, counts, grams, levels), documents, tokens, begin), tokens, begin, numbers, ids)
 
-    return joined.select("nths", "ids", "texts", "told").mapInArrow(finish, schema)
+    found = []
+    for nth in range(rounds):
+        own = bundles.where(F.pmod(F.xxhash64("batch"), F.lit(rounds)) == nth)
+        asks = own.select("batch", "texts").mapInArrow(asked(per, segments), ASK)
+        answers = parts.unionByName(asks).repartition("bucket").sortWithinPartitions("bucket", "kind", "seg").mapInArrow(told(per, segments), TOLD)
+        joined = own.join(answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "counts", "levels")).alias("told")), "batch")
+        found.append(spool(joined.select("nths", "ids", "texts", "told").mapInArrow(finish, schema), "results"))
+    sweep(spark, mark, keep=rounds)
+    return reduce(DataFrame.unionByName, found)
 
 
 def score_text(
     docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: float = 10.0, least: int = 2,
-    segment_bytes: int = 8 << 20, max_bytes: int = 256 << 20, max_words: int = 12_000_000, share: int = 8, bucket_bytes: int = 64 << 20,
+    segment_bytes: int = 8 << 20, max_bytes: int = 256 << 20, max_words: int = 12_000_000, share: int = 8, bucket_bytes: int = 64 << 20, rounds: int = 6,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row; ``learn`` says which rows are learned from."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     training = docs.where(learn)
-    table, totals = build(training, bits_per_entry, least, segment_bytes)
-    size = table.agg(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0
-    broadcast = size <= max_bytes and totals.vocabulary <= max_words
-    given = Shared(spark, gathered(table, totals)) if broadcast else None
-    tidy()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def over(rows: DataFrame, result: Callable, schema: str) -> DataFrame:
-        rows = rows.select(F.monotonically_increasing_id().alias("nth"), "doc_id", "text")
-        if not broadcast:
-            return answered(rows, table, totals, result, schema, size, bucket_bytes)
-        documents = totals.documents
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", 1 << 19):
-                tokens, begin = token_rows(batch.column(2))
-                out = result(looked_up(given.value, documents, tokens, begin), tokens, begin, batch.column(0), batch.column(1))
-                batch = tokens = begin = None  # not held while the next batch comes in
-                yield out
+    with shuffles_freed(spark):
+        mark = scratch_mark()
+        table, totals = build(training, bits_per_entry, least, segment_bytes)
+        size = table.agg(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0
+        broadcast = size <= max_bytes and totals.vocabulary <= max_words
+        given = Shared(spark, gathered(table, totals)) if broadcast else None
+        if broadcast:
+            sweep(spark, mark)
+        tidy()
+        kind = docs.schema["doc_id"].dataType.simpleString()
+
+        def over(rows: DataFrame, result: Callable, schema: str, rounds: int = rounds) -> DataFrame:
+            rows = rows.select(F.monotonically_increasing_id().alias("nth"), "doc_id", "text")
+            if not broadcast:
+                return answered(rows, table, totals, result, schema, size, bucket_bytes, rounds)
+            documents = totals.documents
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in slices(batches, "text", 1 << 19):
+                    tokens, begin = token_rows(batch.column(2))
+                    out = result(looked_up(given.value, documents, tokens, begin), tokens, begin, batch.column(0), batch.column(1))
+                    batch = tokens = begin = None  # not held while the next batch comes in
+                    yield out
+                    tidy()
+                out = None
                 tidy()
-            out = None
-            tidy()
 
-        return rows.mapInArrow(run, schema)
+            return rows.mapInArrow(run, schema)
 
-    def likelihoods(seen: Lookups, tokens: np.ndarray, begin: np.ndarray, *_) -> pa.RecordBatch:
-        sums = [float(totals.logs(seen, 1, m2, m3).sum()) for m2 in STRENGTHS for m3 in STRENGTHS]
-        return pa.RecordBatch.from_arrays([pa.array([sums])], ["sums"])
+        def likelihoods(seen: Lookups, tokens: np.ndarray, begin: np.ndarray, *_) -> pa.RecordBatch:
+            sums = [float(totals.logs(seen, 1, m2, m3).sum()) for m2 in STRENGTHS for m3 in STRENGTHS]
+            return pa.RecordBatch.from_arrays([pa.array([sums])], ["sums"])
 
-    sums = over(training.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(share)) == 0), likelihoods, "sums array<double>")
-    tried = sums.agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(len(STRENGTHS) ** 2)]).first()
-    if totals.tokens and tried[0] is not None:
-        best = int(np.argmax(tried))
-        totals.m2, totals.m3 = STRENGTHS[best // len(STRENGTHS)], STRENGTHS[best % len(STRENGTHS)]
-    whole = totals.tokens + ADD * (totals.vocabulary + 1)
+        sums = over(training.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(share)) == 0), likelihoods, "sums array<double>", -(-rounds // share))
+        tried = sums.agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(len(STRENGTHS) ** 2)]).first()
+        if totals.tokens and tried[0] is not None:
+            best = int(np.argmax(tried))
+            totals.m2, totals.m3 = STRENGTHS[best // len(STRENGTHS)], STRENGTHS[best % len(STRENGTHS)]
+        whole = totals.tokens + ADD * (totals.vocabulary + 1)
 
-    def scores(seen: Lookups, tokens: np.ndarray, begin: np.ndarray, numbers: pa.Array, ids: pa.Array) -> pa.RecordBatch:
-        columns = [np.add.reduceat(x, begin[:-1]) if len(tokens) else np.zeros(0) for x in (
-            (seen.word > 0).astype(np.int64), np.log10((seen.word + ADD) / whole), totals.logs(seen))]
-        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(begin)), *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        def scores(seen: Lookups, tokens: np.ndarray, begin: np.ndarray, numbers: pa.Array, ids: pa.Array) -> pa.RecordBatch:
+            columns = [np.add.reduceat(x, begin[:-1]) if len(tokens) else np.zeros(0) for x in (
+                (seen.word > 0).astype(np.int64), np.log10((seen.word + ADD) / whole), totals.logs(seen))]
+            return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(begin)), *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = over(docs, scores, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        scored = over(docs, scores, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+        if not broadcast:
+            sweep(spark, mark, keep=rounds)
+        return scored.select("doc_id", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
